@@ -1,8 +1,8 @@
-"""SQL guardrails as column expressions: a table of statements in, guarded SQL or a refusal out."""
+"""SQL guardrails as column expressions over a table of statements."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.text import squeeze
@@ -23,33 +23,11 @@ NO_RELATION = "Query must reference an allowlisted schema-qualified table."
 OUT_OF_SCOPE = "Schema is not allowlisted: "
 
 
-def normalize(sql: Column) -> Column:
-    """One line without the closing semicolon."""
-    flat = squeeze(sql)
-    return F.when(flat.endswith(";"), F.trim(F.regexp_replace(flat, ";$", ""))).otherwise(flat)
-
-
 def without_literals(sql: Column) -> Column:
     """Empty every quoted text. A doubled quote reads as two adjacent texts, which leaves the same words outside."""
     return F.regexp_replace(sql, "'[^']*'", "''")
 
 
-def refusal(query: Column, allowed_schemas: tuple[str, ...]) -> Column:
-    """Why a normalised statement is refused, or null when it may run; the first failing check decides."""
-    probe = F.lower(without_literals(query))
-    words = F.array_min(F.regexp_extract_all(probe, F.lit(rf"(?U)\b({'|'.join(BLOCKED_WORDS)})\b"), F.lit(1)))
-    schemas = F.regexp_extract_all(probe, F.lit(SCHEMA_QUALIFIED), F.lit(1))
-    allowed = F.array(*[F.lit(name.lower()) for name in allowed_schemas])
-    foreign = F.array_min(F.array_except(schemas, allowed))
-    return (
-        F.when(~(probe.startswith("select ") | probe.startswith("with ")), NOT_SELECT)
-        .when(words.isNotNull(), F.concat(F.lit(BLOCKED), words))
-        .when(probe.contains(";"), SEVERAL)
-        .when(F.size(schemas) == 0, NO_RELATION)
-        .when(foreign.isNotNull(), F.concat(F.lit(OUT_OF_SCOPE), foreign))
-    )
-
-
 def enforce_limit(query: Column, limit: int = DEFAULT_LIMIT) -> Column:
     """Append the row limit, keep a smaller one, cap a larger one."""
     asked = F.regexp_extract(query, TRAILING_LIMIT, 1)
@@ -62,10 +40,35 @@ def enforce_limit(query: Column, limit: int = DEFAULT_LIMIT) -> Column:
     )
 
 
-def guard(sql: Column, allowed_schemas: tuple[str, ...], default_limit: int = DEFAULT_LIMIT) -> Column:
-    """``struct(guarded_sql, reason)``: exactly one of the two is set."""
-    flat = squeeze(F.coalesce(sql, F.lit("")))
-    query = normalize(F.coalesce(sql, F.lit("")))
-    reason = F.when(flat == "", EMPTY).otherwise(refusal(query, allowed_schemas))
-    guarded = F.when(reason.isNull(), enforce_limit(query, default_limit))
-    return F.struct(guarded.alias("guarded_sql"), reason.alias("reason"))
+def guard(
+    statements: DataFrame, sql: str, allowed_schemas: tuple[str, ...], default_limit: int = DEFAULT_LIMIT
+) -> DataFrame:
+    """Add ``guarded_sql`` and ``reason``: exactly one of them is set on every row.
+
+    The checks run in a fixed order and the first that fails gives the reason. Each step is a column of its own, so
+    Spark evaluates the regular expressions once per row.
+    """
+    blocked = F.regexp_extract_all("_probe", F.lit(rf"(?U)\b({'|'.join(BLOCKED_WORDS)})\b"), F.lit(1))
+    allowed = F.array(*[F.lit(name.lower()) for name in allowed_schemas])
+    flat, probe = F.col("_flat"), F.col("_probe")
+    reason = (
+        F.when(flat == "", EMPTY)
+        .when(~(probe.startswith("select ") | probe.startswith("with ")), NOT_SELECT)
+        .when(F.col("_word").isNotNull(), F.concat(F.lit(BLOCKED), F.col("_word")))
+        .when(probe.contains(";"), SEVERAL)
+        .when(F.size("_schemas") == 0, NO_RELATION)
+        .when(F.col("_foreign").isNotNull(), F.concat(F.lit(OUT_OF_SCOPE), F.col("_foreign")))
+    )
+    return (
+        statements.withColumn("_flat", squeeze(F.coalesce(F.col(sql), F.lit(""))))
+        .withColumn("_query", F.when(flat.endswith(";"), F.trim(F.regexp_replace(flat, ";$", ""))).otherwise(flat))
+        .withColumn("_probe", F.lower(without_literals(F.col("_query"))))
+        .withColumns({
+            "_word": F.array_min(blocked),
+            "_schemas": F.regexp_extract_all("_probe", F.lit(SCHEMA_QUALIFIED), F.lit(1)),
+        })
+        .withColumn("_foreign", F.array_min(F.array_except("_schemas", allowed)))
+        .withColumn("reason", reason)
+        .withColumn("guarded_sql", F.when(F.col("reason").isNull(), enforce_limit(F.col("_query"), default_limit)))
+        .drop("_flat", "_query", "_probe", "_word", "_schemas", "_foreign")
+    )

@@ -37,6 +37,4 @@ def tokens(text: Column) -> Column:
 
 def compact(text: Column, max_chars: int = COMPACT_CHARS) -> Column:
     """White space collapsed and the result cut to ``max_chars``, with an ellipsis where it was cut."""
-    flat = squeeze(text)
-    cut = F.concat(F.substring(flat, 1, max_chars - 3), F.lit("..."))
-    return F.when(F.length(flat) <= max_chars, flat).otherwise(cut)
+    return F.regexp_replace(squeeze(text), f"(?s)^(.{{{max_chars - 3}}}).{{4,}}$", "$1...")

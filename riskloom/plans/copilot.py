@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,7 +58,7 @@ EVAL_OK = "ok"
 
 def _mentions(text: Column, *words: str) -> Column:
     """Any of the words occurs somewhere in the text, also inside a longer word."""
-    return reduce(Column.__or__, [text.contains(word) for word in words])
+    return text.rlike("|".join(words))
 
 
 def is_destructive(question: Column) -> Column:
@@ -111,24 +110,23 @@ def answer_batch(
     screened = questions.withColumn("_refused", is_destructive(F.col("question")))
     found = cite(screened.where(~F.col("_refused")), corpus)
     none = F.array().cast("array<string>")
-    verdict = guard(F.col("_draft"), allowed_schemas, default_limit)
-    return (
+    drafted = (
         screened.join(found, "question", "left")
         .withColumn("citations", F.coalesce("citations", none))
         .withColumn("_draft", F.when(~F.col("_refused"), canned_sql(F.col("question"))))
-        .withColumn("_verdict", F.when(F.col("_draft").isNotNull(), verdict))
-        .withColumn("guarded_sql", F.col("_verdict.guarded_sql"))
+    )
+    # A question without a draft needs no SQL, so the guard's verdict on the missing text does not count.
+    unsafe = F.col("_draft").isNotNull() & F.col("reason").isNotNull()
+    return (
+        guard(drafted, "_draft", allowed_schemas, default_limit)
         .withColumn(
             "response",
             F.when(F.col("_refused"), REFUSED.format(name=name))
-            .when(F.col("_verdict.reason").isNotNull(), F.concat(F.lit(GUARD_REFUSED), F.col("_verdict.reason")))
+            .when(unsafe, F.concat(F.lit(GUARD_REFUSED), F.col("reason")))
             .otherwise(compose(F.col("citations"), F.col("guarded_sql"), name)),
         )
-        .withColumn(
-            "status",
-            F.when(F.col("_refused") | F.col("_verdict.reason").isNotNull(), "rejected").otherwise("answered"),
-        )
-        .drop("_refused", "_draft", "_verdict")
+        .withColumn("status", F.when(F.col("_refused") | unsafe, "rejected").otherwise("answered"))
+        .drop("_refused", "_draft", "reason")
     )
 
 
@@ -145,7 +143,8 @@ def run_guarded(spark: SparkSession, sql: str, allowed_schemas: tuple[str, ...]
 
     ``marts`` stands in for the tables of the mart schema; without it the statement reads the catalog.
     """
-    verdict = spark.range(1).select(guard(F.lit(sql), allowed_schemas, default_limit).alias("v")).first()["v"]
+    statement = spark.range(1).select(F.lit(sql).alias("sql"))
+    verdict = guard(statement, "sql", allowed_schemas, default_limit).first()
     if verdict["reason"]:
         raise ValueError(verdict["reason"])
     query = verdict["guarded_sql"]

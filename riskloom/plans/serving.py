@@ -19,12 +19,19 @@ def _everything():
 
 def kpi_exposure(exposure: DataFrame) -> DataFrame:
     """Customers, balance, critical customers and their share, mean of the customers' average delays."""
-    critical = F.count_distinct(F.when(F.col("portfolio_status").isin(*CRITICAL_STATUSES), F.col("customer_id")))
-    return exposure.agg(
-        F.count_distinct("customer_id").alias("total_customers"),
-        money("total_outstanding_balance").alias("total_balance"),
-        critical.alias("critical_customers"),
-        F.round(F.avg("avg_days_past_due"), 6).alias("avg_days_past_due"),
+    # Grouping by customer first keeps the mart's own partitioning and needs no distinct aggregate.
+    per_customer = exposure.groupBy("customer_id").agg(
+        money("total_outstanding_balance").alias("balance"),
+        F.bool_or(F.col("portfolio_status").isin(*CRITICAL_STATUSES)).alias("critical"),
+        F.sum("avg_days_past_due").alias("delay_sum"),
+        F.count("avg_days_past_due").alias("delays"),
+    )
+    known = F.col("customer_id").isNotNull()
+    return per_customer.agg(
+        F.count_if(known).alias("total_customers"),
+        money("balance").alias("total_balance"),
+        F.count_if(known & F.col("critical")).alias("critical_customers"),
+        F.round(F.try_divide(F.sum("delay_sum"), F.sum("delays")), 6).alias("avg_days_past_due"),
     ).withColumn("critical_pct", share_pct(F.col("critical_customers"), F.col("total_customers"), 6))
 
 

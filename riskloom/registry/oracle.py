@@ -468,6 +468,7 @@ def _suite_body() -> str:
             "'HEALTHY', 'PARTIALLY_BLOCKED', 'FULLY_BLOCKED', 'ALL_CLOSED'",
     }
     rules = (
+        ("stg_transactions", "no_future_transactions", "transaction_date > current_date"),
         ("mart_customer_exposure", "customer_exposure_non_negative",
          "total_outstanding_balance < 0 OR total_principal_amount < 0 OR loan_count < 0"),
         ("mart_customer_exposure", "portfolio_status_matches_dpd", MISMATCH),
@@ -671,7 +672,8 @@ BODIES["copilot_audit_batch"] = "WITH " + ANSWERS.strip() + " SELECT * FROM repl
 EVALS = ANSWERS + """,
 judged AS (
   SELECT question_id AS id, question LIKE '%account%' AND guarded_sql IS NULL AS lacks_sql,
-    list_filter(['Governed Offline Mode', split_part(question, ' ', 1)],
+    list_filter([CASE WHEN status = 'rejected' THEN 'Cannot run' ELSE 'Governed Offline Mode' END,
+        CASE WHEN question_id % 2 = 0 THEN split_part(question, ' ', -1) ELSE '' END],
       lambda term: NOT contains(lower(response || chr(10) || coalesce(guarded_sql, '')), lower(term))) AS missing
   FROM replies),
 results AS (

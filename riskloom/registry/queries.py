@@ -544,8 +544,8 @@ def retrieve_vector_topk(s: Samples) -> DataFrame:
 
 @query
 def guardrail_classify(s: Samples) -> DataFrame:
-    verdict = guard.guard(F.col("sql"), ("analytics_marts",), 100)
-    return s["feed_statements"].select("statement_id", verdict.alias("v")).select("statement_id", "v.*")
+    judged = guard.guard(s["feed_statements"], "sql", ("analytics_marts",), 100)
+    return judged.select("statement_id", "guarded_sql", "reason")
 
 
 @query
@@ -592,9 +592,11 @@ def copilot_audit_batch(s: Samples) -> DataFrame:
 
 def _eval_results(s: Samples) -> DataFrame:
     asked = s["feed_questions"]
+    opening = F.when(copilot.is_destructive(F.col("question")), "Cannot run").otherwise("Governed Offline Mode")
+    last_word = F.when(F.col("question_id") % 2 == 0, F.element_at(F.split("question", " "), -1))
     cases = asked.select(
         F.col("question_id").alias("id"), "question",
-        F.array(F.lit("Governed Offline Mode"), F.element_at(F.split("question", " "), 1)).alias("expected_terms"),
+        F.array_compact(F.array(opening, last_word)).alias("expected_terms"),
         F.col("question").contains("account").alias("requires_sql"),
     )
     answers = copilot.answer_batch(asked.select("question").distinct(), s["v_corpus"], name="Risk desk")

@@ -191,7 +191,10 @@ class ModelTests:
 
 MODEL_TESTS: dict[str, ModelTests] = {
     "stg_customers": ModelTests("stg_customers", "customer_id", ("customer_id", "segment")),
-    "stg_transactions": ModelTests("stg_transactions", "transaction_id", ("transaction_id", "amount")),
+    "stg_transactions": ModelTests(
+        "stg_transactions", "transaction_id", ("transaction_id", "amount"),
+        rules={"no_future_transactions": "transaction_date > current_date()"},
+    ),
     "stg_loans": ModelTests("stg_loans", "loan_id", ("loan_id",), {"risk_rating": RISK_RATINGS}),
     "stg_macro_indicators": ModelTests(
         "stg_macro_indicators", None, ("observation_date", "indicator_name", "value"),
