@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the Unicode white space that str.split() recognises, as a regex class both Java and RE2 accept.
-WHITESPACE = (
-    r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-)
+# Fixed value: the white space str.split() recognises, which is Unicode's plus the four separator control codes.
+UNICODE = "(?U)"
+WHITESPACE = r"[\s\x1c-\x1f]"
 
 # Token pattern and the length of a compacted text.
 TOKEN = "[a-z0-9_]+"
@@ -17,17 +16,17 @@ COMPACT_CHARS = 900
 
 def strip(text: Column) -> Column:
     """Drop leading and trailing white space of any kind (Spark's trim drops blanks only)."""
-    return F.regexp_replace(text, f"^{WHITESPACE}+|{WHITESPACE}+$", "")
+    return F.regexp_replace(text, f"{UNICODE}^{WHITESPACE}+|{WHITESPACE}+$", "")
 
 
 def is_blank(text: Column) -> Column:
     """Null, empty or white space only; stops at the first other character."""
-    return ~F.coalesce(text, F.lit("")).rlike("[^" + WHITESPACE[1:])
+    return ~F.coalesce(text, F.lit("")).rlike(UNICODE + "[^" + WHITESPACE[1:])
 
 
 def squeeze(text: Column) -> Column:
     """Collapse every run of white space to one blank and trim the ends."""
-    return F.trim(F.regexp_replace(text, f"{WHITESPACE}+", " "))
+    return F.trim(F.regexp_replace(text, f"{UNICODE}{WHITESPACE}+", " "))
 
 
 def tokens(text: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.text import is_blank, tokens
-from riskloom.operators.sizing import BROADCAST_ROWS, fits
+from riskloom.operators.sizing import fits
 from riskloom.operators.topk import top_per_group
 
 # Copies of each question term in the shuffle join that is used when the terms are too many to broadcast.
@@ -40,10 +40,13 @@ def question_terms(questions: DataFrame) -> DataFrame:
     )
 
 
-def keyword_scores(terms: DataFrame, corpus: DataFrame, max_broadcast: int = BROADCAST_ROWS) -> DataFrame:
-    """``(question, source, score)`` of every match: occurrences of each question term, counted once per use."""
+def keyword_scores(terms: DataFrame, corpus: DataFrame, small: bool) -> DataFrame:
+    """``(question, source, score)`` of every match: occurrences of each question term, counted once per use.
+
+    ``small`` says that the terms have been measured and may be broadcast.
+    """
     words = corpus.select("source", F.explode(tokens(F.col("text"))).alias("term"))
-    if fits(terms, max_broadcast):
+    if small:
         # The join drops every other word inside the scan's stage; only matched sums are shuffled.
         matched = words.join(F.broadcast(terms), "term")
     else:
@@ -56,10 +59,14 @@ def keyword_scores(terms: DataFrame, corpus: DataFrame, max_broadcast: int = BRO
 
 
 def keyword_topk(
-    questions: DataFrame, corpus: DataFrame, top_k: int = 4, max_broadcast: int = BROADCAST_ROWS
+    questions: DataFrame, corpus: DataFrame, top_k: int = 4, small: bool | None = None
 ) -> DataFrame:
-    """``(question, source, score, rank)``: per distinct question its best documents, by score and then source."""
-    scored = keyword_scores(question_terms(questions), corpus, max_broadcast)
+    """``(question, source, score, rank)``: per distinct question its best documents, by score and then source.
+
+    The question terms are measured unless the caller already did.
+    """
+    terms = question_terms(questions)
+    scored = keyword_scores(terms, corpus, fits(terms) if small is None else small)
     return top_per_group(scored, "question", [F.desc("score"), F.asc("source")], top_k)
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.guard import guard
-from riskloom.operators.retrieval import keyword_topk
+from riskloom.operators.retrieval import keyword_topk, question_terms
+from riskloom.operators.sizing import fits
 from riskloom.operators.topk import top_overall
 from riskloom.plans.marts import money
 from riskloom.schemas import MART_SCHEMA
@@ -87,13 +88,18 @@ def compose(citations: Column, guarded_sql: Column, name: str = ASSISTANT) -> Co
 
 
 def cite(questions: DataFrame, corpus: DataFrame, top_k: int = CITATIONS) -> DataFrame:
-    """``(question, citations)`` for the distinct questions with a match, best source first."""
-    hits = keyword_topk(questions, corpus, top_k)
-    return hits.groupBy("question").agg(
+    """``(question, citations)`` for the distinct questions with a match, best source first.
+
+    Where the question terms are few enough to broadcast, so are the questions, and the result carries the hint.
+    """
+    small = fits(question_terms(questions))
+    hits = keyword_topk(questions, corpus, top_k, small)
+    found = hits.groupBy("question").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "source"))), lambda hit: hit["source"]).alias(
             "citations"
         )
     )
+    return F.broadcast(found) if small else found
 
 
 def answer_batch(

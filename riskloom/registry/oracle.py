@@ -5,7 +5,6 @@
 
 from __future__ import annotations
 
-from riskloom.functions.text import WHITESPACE
 from riskloom.plans import copilot
 from riskloom.sources.samples import with_views
 
@@ -13,6 +12,9 @@ STAMP = "2026-01-01T00:00:00+00:00"
 BATCH = "2026-01-01T00-00-00Z"
 AS_OF = "2024-01-10"
 NAME = "Risk desk"
+WHITESPACE = (
+    r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
 
 BODIES: dict[str, str] = {}
 

@@ -5,6 +5,7 @@ The column names, types, keys and accepted values below are fixed values: caller
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 # Typed schemas, in column order.
@@ -125,6 +126,12 @@ class Contract:
     not_null: tuple[str, ...]
     unique: tuple[str, ...]
 
+    @classmethod
+    def from_json(cls, text: str) -> Contract:
+        """Read a contract file: its name and three lists of column names."""
+        spec = json.loads(text)
+        return cls(spec["name"], *(tuple(spec[part]) for part in ("required_columns", "not_null", "unique")))
+
 
 CONTRACTS: dict[str, Contract] = {
     "accounts": Contract(

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.text import strip
 from riskloom.operators.retrieval import corpus_documents
+from riskloom.operators.sizing import fits
 from riskloom.schemas import AUDIT_LINE, CORE_TABLES, OPTIONAL_TABLES
 
 # File kinds of the document corpus, the fund register's columns and the macro series ids.
@@ -48,6 +49,23 @@ def scan_csv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def with_row_numbers(df: DataFrame, name: str = "row_id") -> DataFrame:
+    """Rows of a file scan with their place in the files, from 1, files in path order.
+
+    Spark reads each file split in order, so a row's number is the rows of the splits before its own plus its place
+    there. Only the splits are put in one order; the rows are neither sorted nor shuffled.
+    """
+    split = (F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    placed = df.select("*", *split, F.monotonically_increasing_id().alias("_id"))
+    splits = placed.groupBy("_file", "_start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    in_order = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.withColumn("_before", F.coalesce(F.sum("_rows").over(in_order), F.lit(0))).drop("_rows")
+    if fits(offsets):
+        offsets = F.broadcast(offsets)
+    number = F.col("_before") + F.col("_id") - F.col("_first") + 1
+    return placed.join(offsets, ["_file", "_start"]).select(number.alias(name), *df.columns)
+
+
 def scan_raw(spark: SparkSession, raw_dir: str) -> dict[str, DataFrame]:
     """Every CSV of a raw directory."""
     return {name: scan_csv(spark, f"{raw_dir}/{name}.csv") for name in raw_tables(spark, raw_dir)}
@@ -86,9 +104,7 @@ def scan_series(spark: SparkSession, path: str) -> DataFrame:
 def scan_corpus(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``(source, text)`` of the documents under some paths, one row per file."""
     files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .text(paths)
+        spark.read.text(paths, wholetext=True, recursiveFileLookup=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     )
     return corpus_documents(files, CORPUS_EXTENSIONS)

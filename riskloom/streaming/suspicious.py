@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from riskloom.functions.rules import is_flagged
 from riskloom.operators.dedupe import latest_per_key
 from riskloom.plans.marts import MONEY
-from riskloom.schemas import EVENT
+from riskloom.schemas import EVENT, TABLES
 
 # The event type and the topic.
 EVENT_TYPE = "suspicious_transaction_detected"
@@ -144,11 +145,12 @@ def maintain_summary(events: DataFrame, path: str, checkpoint: str, once: bool =
 
 
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
-    """Current totals: the newest row per customer."""
-    changes = spark.read.schema(
-        "customer_id string, suspicious_count bigint, total_suspicious_amount decimal(38,2), "
-        "last_suspicious_timestamp string, epoch bigint"
-    ).parquet(path)
+    """Current totals: the newest row per customer; empty before the first event."""
+    schema = TABLES["streaming_suspicious_summary"] + ", epoch bigint"
+    try:
+        changes = spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        changes = spark.createDataFrame([], schema)
     return latest_per_key(changes, ["customer_id"], [F.desc("epoch")]).drop("epoch")
 
 

@@ -103,7 +103,7 @@ def corpus(spark, tmp_path):
     docs = tmp_path / "docs" / "sub"
     docs.mkdir(parents=True)
     (docs / "dictionary.MD").write_text("mart_customer_exposure exposes segment, segment and customer totals.")
-    (docs / "quality.yml").write_text("tests validate data quality")
+    (docs / "quality.yml").write_text("tests:\n  validate\n\n  data quality\n")
     (docs / "blank.sql").write_text(" \n\t ")
     (docs / "notes.txt").write_text("customer exposure by segment")
     return files.scan_corpus(spark, [str(tmp_path / "docs")])

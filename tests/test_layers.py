@@ -145,6 +145,8 @@ def test_typed_silver_and_gold(spark, raw, tmp_path):
 
 def test_warehouse_load_and_declared_tables(spark, raw):
     _raw_core(raw)
+    for schema in ("raw", "analytics_marts"):
+        spark.sql(f"DROP DATABASE IF EXISTS {schema} CASCADE")
     sinks.declare_tables(spark)
     assert spark.table("analytics_marts.mart_customer_exposure").count() == 0
     for schema, tables in (("raw", TABLES), ("analytics_marts", MARTS)):

@@ -43,7 +43,7 @@ def test_keyword_topk_matches_brute_force_on_both_joins(spark):
     asked = spark.createDataFrame([(q,) for q in questions + questions[:5]], "question string")
     expected = _brute(questions, corpus, 4)
     assert _found(keyword_topk(asked, docs, 4)) == expected
-    assert _found(keyword_topk(asked, docs, 4, max_broadcast=3)) == expected
+    assert _found(keyword_topk(asked, docs, 4, small=False)) == expected
 
 
 def test_vector_topk_matches_brute_force_in_blocks(spark):
