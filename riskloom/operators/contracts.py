@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.text import is_blank
+from riskloom.operators.joins import join_lookup
 from riskloom.schemas import Contract
 
 # Fixed value: how many errors a report lists.
@@ -58,17 +59,14 @@ def not_null_counts(df: DataFrame, contract: Contract) -> DataFrame:
 def duplicate_rows(df: DataFrame, column: str, row_id: str) -> DataFrame:
     """Every row after the first that repeats a value, first being the smallest ``row_id``.
 
-    The first row per value is a map-side combined minimum, so a value held by a large part of the rows never
-    meets in one task there; the join back is a plain equi-join whose hot side AQE splits.
+    The first row per value is a map-side combined minimum, and the join back keeps hot values out of the shuffle, so
+    a value held by a large part of the rows never meets in one task.
     """
     rows = df.select(F.col(row_id).alias("row_id"), _raw(column).alias("value"))
-    repeated = (
-        rows.groupBy("value")
-        .agg(F.min("row_id").alias("first_row_id"), F.count(F.lit(1)).alias("_n"))
-        .where("_n > 1")
-        .drop("_n")
-    )
-    return rows.join(repeated, "value").where("row_id > first_row_id").select("row_id", "value")
+    counted = rows.groupBy("value").agg(F.min("row_id").alias("first_row_id"), F.count(F.lit(1)).alias("n"))
+    repeated = counted.where("n > 1").select("value", "first_row_id")
+    joined = join_lookup(rows, repeated, "value", counted.select("value", "n"))
+    return joined.where("row_id > first_row_id").select("row_id", "value")
 
 
 def violations(df: DataFrame, contract: Contract, row_id: str) -> DataFrame:

@@ -70,40 +70,39 @@ def keyword_topk(
     return top_per_group(scored, "question", [F.desc("score"), F.asc("source")], top_k)
 
 
-def _best_vectors(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, top_k: int):
-    """Row positions and rounded cosines of the best ``top_k`` vectors per query, ties to the smaller id."""
-    norms = np.linalg.norm(vectors, axis=1)
-    cosines = (vectors / np.where(norms > 0, norms, 1.0)[:, None]) @ queries.T
-    cosines = np.round(cosines, 6)
-    for q in range(queries.shape[0]):
-        column = cosines[:, q]
-        kept = np.arange(len(ids))
-        if len(ids) > top_k:
-            cut = np.partition(column, len(ids) - top_k)[len(ids) - top_k]
-            kept = np.flatnonzero(column >= cut)
-        yield q, kept[np.lexsort((ids[kept], -column[kept]))[:top_k]], column
-
-
 def _scan_block(corpus: DataFrame, block: list, top_k: int) -> DataFrame:
-    """Best vectors of each batch for one block of queries; numpy multiplies whole Arrow batches."""
+    """Best vectors of each batch for one block of queries; numpy multiplies whole Arrow batches.
+
+    The task function refers to nothing of this package, so executors need numpy and pyarrow only.
+    """
     names = [row["query_id"] for row in block]
     matrix = np.array([row["vector"] for row in block], dtype="float64")
-    norms = np.linalg.norm(matrix, axis=1)
-    matrix = matrix / np.where(norms > 0, norms, 1.0)[:, None]
+    lengths = np.linalg.norm(matrix, axis=1)
+    matrix = (matrix / np.where(lengths > 0, lengths, 1.0)[:, None]).T
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
+            ids = ids.astype(str) if ids.dtype == object else ids
             flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype("float64")
-            vectors = flat.reshape(batch.num_rows, matrix.shape[1])
-            query_ids, vec_ids, cosines = [], [], []
-            for q, rows, column in _best_vectors(ids, vectors, matrix, top_k):
-                query_ids += [names[q]] * len(rows)
-                vec_ids += ids[rows].tolist()
-                cosines += column[rows].tolist()
-            yield pa.RecordBatch.from_pydict({"query_id": query_ids, "vec_id": vec_ids, "cosine": cosines})
+            vectors = flat.reshape(len(ids), matrix.shape[0])
+            norms = np.linalg.norm(vectors, axis=1)
+            cosines = np.round((vectors / np.where(norms > 0, norms, 1.0)[:, None]) @ matrix, 6)
+            found = {"query_id": [], "vec_id": [], "cosine": []}
+            for q, name in enumerate(names):
+                column = cosines[:, q]
+                rows = np.arange(len(ids))
+                if len(ids) > top_k:
+                    cut = np.partition(column, len(ids) - top_k)[len(ids) - top_k]
+                    rows = np.flatnonzero(column >= cut)
+                # Equal cosines go by id, so copies of a vector are cut the same way in every batch.
+                rows = rows[np.lexsort((ids[rows], -column[rows]))[:top_k]]
+                found["query_id"] += [name] * len(rows)
+                found["vec_id"] += ids[rows].tolist()
+                found["cosine"] += column[rows].tolist()
+            yield pa.RecordBatch.from_pydict(found)
 
     kinds = dict(corpus.dtypes)
     query_type = "bigint" if isinstance(names[0], int) else "string"

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.guard import guard
+from riskloom.operators.joins import join_lookup
 from riskloom.operators.retrieval import keyword_topk, question_terms
 from riskloom.operators.sizing import fits
 from riskloom.operators.topk import top_overall
@@ -87,19 +88,22 @@ def compose(citations: Column, guarded_sql: Column, name: str = ASSISTANT) -> Co
     return F.concat(F.lit(OFFLINE.format(name=name)), sql_part, source_part)
 
 
-def cite(questions: DataFrame, corpus: DataFrame, top_k: int = CITATIONS) -> DataFrame:
-    """``(question, citations)`` for the distinct questions with a match, best source first.
+def per_question(rows: DataFrame, found: DataFrame, small: bool, how: str) -> DataFrame:
+    """Join rows to ``found``, one row per question, without gathering a hot question's rows in one task."""
+    if small:
+        return rows.join(F.broadcast(found), "question", how)
+    counts = rows.where(F.col("question").isNotNull()).groupBy("question").agg(F.count(F.lit(1)).alias("n"))
+    return join_lookup(rows, found, "question", counts, how)
 
-    Where the question terms are few enough to broadcast, so are the questions, and the result carries the hint.
-    """
-    small = fits(question_terms(questions))
+
+def cite(questions: DataFrame, corpus: DataFrame, top_k: int = CITATIONS, small: bool | None = None) -> DataFrame:
+    """``(question, citations)`` for the distinct questions with a match, best source first."""
     hits = keyword_topk(questions, corpus, top_k, small)
-    found = hits.groupBy("question").agg(
+    return hits.groupBy("question").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "source"))), lambda hit: hit["source"]).alias(
             "citations"
         )
     )
-    return F.broadcast(found) if small else found
 
 
 def answer_batch(
@@ -114,10 +118,13 @@ def answer_batch(
     Equal questions are retrieved once; the list of a question has at most three sources.
     """
     screened = questions.withColumn("_refused", is_destructive(F.col("question")))
-    found = cite(screened.where(~F.col("_refused")), corpus)
+    asked = screened.where(~F.col("_refused"))
+    # Where the question terms are few enough to broadcast, so are the questions with a match.
+    small = fits(question_terms(asked))
+    found = cite(asked, corpus, CITATIONS, small)
     none = F.array().cast("array<string>")
     drafted = (
-        screened.join(found, "question", "left")
+        per_question(screened, found, small, "left")
         .withColumn("citations", F.coalesce("citations", none))
         .withColumn("_draft", F.when(~F.col("_refused"), canned_sql(F.col("question"))))
     )
@@ -201,8 +208,13 @@ def eval_results(cases: DataFrame, answers: DataFrame) -> DataFrame:
     missing = F.filter("expected_terms", lambda term: ~F.col("_text").contains(F.lower(term)))
     quoted = F.array_join(F.transform("_missing", lambda term: F.concat(F.lit("'"), term, F.lit("'"))), ", ")
     lacks_sql = F.col("requires_sql") & F.col("guarded_sql").isNull()
+    asked = cases.select("question").distinct()
+    small = fits(asked)
+    replies = answers.select("question", "response", "guarded_sql")
+    if small:
+        replies = replies.join(F.broadcast(asked), "question", "left_semi")
     return (
-        cases.join(answers.select("question", "response", "guarded_sql"), "question")
+        per_question(cases, replies, small, "inner")
         .withColumn("_text", text)
         .withColumn("_missing", missing)
         .select(

@@ -325,10 +325,7 @@ def mart_ai_copilot_audit(s: Samples) -> DataFrame:
 
 @query
 def loan_risk_rating(s: Samples) -> DataFrame:
-    scored = loans(s).select("loan_id", "customer_id", "days_past_due").join(
-        customers(s).select("customer_id", "internal_score"), "customer_id"
-    )
-    return scored.select(
+    return s["v_scored_loans"].select(
         "loan_id", rules.risk_rating(F.col("days_past_due"), F.col("internal_score")).alias("risk_rating")
     )
 

@@ -29,12 +29,8 @@ SELECT o_orderkey AS account_id, o_custkey AS customer_id,
 FROM {orders} WHERE o_orderpriority = '1-URGENT'
 """
 
-VIEWS["v_loans"] = """
-SELECT l.loan_id, l.customer_id, l.product_type, l.origination_date, l.maturity_date, l.principal_amount,
-  l.outstanding_balance, l.interest_rate, l.days_past_due,
-  CASE WHEN l.days_past_due = 0 AND c.internal_score >= 750 THEN 'AA'
-    WHEN l.days_past_due <= 5 AND c.internal_score >= 680 THEN 'A' WHEN l.days_past_due <= 15 THEN 'B'
-    WHEN l.days_past_due <= 30 THEN 'C' WHEN l.days_past_due <= 90 THEN 'D' ELSE 'E' END AS risk_rating
+VIEWS["v_scored_loans"] = """
+SELECT l.*, c.internal_score
 FROM (SELECT o_orderkey AS loan_id, o_custkey AS customer_id,
     CASE o_orderkey % 5 WHEN 0 THEN 'PERSONAL_LOAN' WHEN 1 THEN 'AUTO_LOAN' WHEN 2 THEN 'MORTGAGE'
       WHEN 3 THEN 'WORKING_CAPITAL' ELSE 'CREDIT_CARD' END AS product_type,
@@ -50,6 +46,15 @@ FROM (SELECT o_orderkey AS loan_id, o_custkey AS customer_id,
 JOIN {v_customers} c ON l.customer_id = c.customer_id
 """
 
+VIEWS["v_loans"] = """
+SELECT loan_id, customer_id, product_type, origination_date, maturity_date, principal_amount, outstanding_balance,
+  interest_rate, days_past_due,
+  CASE WHEN days_past_due = 0 AND internal_score >= 750 THEN 'AA'
+    WHEN days_past_due <= 5 AND internal_score >= 680 THEN 'A' WHEN days_past_due <= 15 THEN 'B'
+    WHEN days_past_due <= 30 THEN 'C' WHEN days_past_due <= 90 THEN 'D' ELSE 'E' END AS risk_rating
+FROM {v_scored_loans}
+"""
+
 VIEWS["v_transactions"] = """
 SELECT event_id AS transaction_id, user_id AS customer_id, event_id AS account_id,
   CAST(ts AS DATE) AS transaction_date,
