@@ -22,3 +22,20 @@ def join_lookup(rows: DataFrame, lookup: DataFrame, key: str, counts: DataFrame,
     apart = rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(hot_lookup), key, how)
     rest = rows.join(F.broadcast(hot), key, "left_anti").join(lookup, key, how)
     return apart.unionByName(rest)
+
+
+def join_split(rows: DataFrame, other: DataFrame, key: str, by: str) -> DataFrame:
+    """Inner join of two sides that may both repeat a key, with the rows of each hot key spread over many tasks.
+
+    A hot key's rows are split by a hash of ``by``, which stays the same when a task is run again, and the other side
+    repeats its rows of that key once per split. Keys that are not hot are joined as they are.
+    """
+    splits = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).scalar()
+    hot = F.broadcast(counts.where(F.col("n") * HOT_SHARE > total).select(key, F.lit(True).alias("_hot")))
+    part = F.pmod(F.xxhash64(by), F.lit(splits)).cast("int")
+    left = rows.join(hot, key, "left").withColumn("_part", F.when(F.col("_hot"), part).otherwise(0))
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(splits - 1))).otherwise(F.array(F.lit(0)))
+    right = other.join(hot, key, "left").withColumn("_part", F.explode(parts))
+    return left.drop("_hot").join(right.drop("_hot"), [key, "_part"]).drop("_part")

@@ -11,12 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.text import is_blank, tokens
+from riskloom.operators.joins import join_split
 from riskloom.operators.sizing import fits
 from riskloom.operators.topk import top_per_group
 
-# Copies of each question term in the shuffle join that is used when the terms are too many to broadcast.
-TERM_SPLITS = 32
-
 # Question vectors held by one scoring pass.
 VECTOR_BLOCK = 1024
 
@@ -50,11 +48,9 @@ def keyword_scores(terms: DataFrame, corpus: DataFrame, small: bool) -> DataFram
         # The join drops every other word inside the scan's stage; only matched sums are shuffled.
         matched = words.join(F.broadcast(terms), "term")
     else:
-        # Count each document's words once, then split every term's postings over several tasks.
+        # Count each document's words once; a term that many documents share is split over many tasks.
         postings = words.groupBy("source", "term").agg(F.count(F.lit(1)).alias("uses"))
-        postings = postings.withColumn("_part", F.pmod(F.xxhash64("source"), F.lit(TERM_SPLITS)).cast("int"))
-        spread = terms.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(TERM_SPLITS - 1))))
-        matched = postings.join(spread, ["term", "_part"]).withColumn("weight", F.col("weight") * F.col("uses"))
+        matched = join_split(postings, terms, "term", "source").withColumn("weight", F.col("weight") * F.col("uses"))
     return matched.groupBy("question", "source").agg(F.sum("weight").alias("score"))
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators import contracts
-from riskloom.operators.joins import join_lookup
+from riskloom.operators.joins import join_lookup, join_split
 from riskloom.operators.retrieval import keyword_topk, vector_topk
 from riskloom.plans import copilot, marts
 
@@ -68,6 +68,15 @@ def test_join_lookup_matches_a_plain_join(spark, hot_rows):
             assert apart.exceptAll(plain.select(apart.columns)).count() == 0
 
 
+def test_join_split_matches_a_plain_join(spark, hot_rows):
+    other = spark.createDataFrame([("hot", i) for i in range(5)] + [("k7", 1), ("k7", 2), ("none", 1)],
+                                  "k string, m int")
+    rows = hot_rows.select("k", "id")
+    plain = rows.join(other, "k")
+    split = join_split(rows, other, "k", "id")
+    assert split.count() == plain.count() and split.exceptAll(plain.select(split.columns)).count() == 0
+
+
 def test_join_below_an_aggregate_splits_the_hot_key(spark, hot_rows, tmp_path):
     """The forced skew rule also covers a join whose partitioning the next aggregate could reuse."""
     path = str(tmp_path / "parents")
