@@ -5,37 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more than one in this many rows, so there are fewer hot keys than this.
-HOT_SHARE = 1000
+# How many of the most frequent keys are treated as hot. Fewer keys than this can hold more than one in this many rows,
+# so every key of that weight is among them.
+HOT_KEYS = 10_000
+
+# Rows of a hot key that one task takes in a join that splits it.
+SPLIT_ROWS = 1_000_000
+
+
+def _most_frequent(counts: DataFrame, key: str) -> DataFrame:
+    """The rows of ``counts(key, n)`` with the most frequent keys; equal counts go by key, so a rerun agrees."""
+    return counts.orderBy(F.desc("n"), F.asc(key)).limit(HOT_KEYS)
 
 
 def join_lookup(rows: DataFrame, lookup: DataFrame, key: str, counts: DataFrame, how: str = "inner") -> DataFrame:
     """Join ``rows`` to ``lookup``, which has at most one row per key; ``how`` is inner or left.
 
     ``counts(key, n)`` says how many rows each key has. AQE splits a hot partition only where both sides come straight
-    from a shuffle, which an aggregated lookup does not. So the fewer than ``HOT_SHARE`` hot keys are looked up by
-    broadcast, without moving their rows, and all other keys by a shuffle join.
+    from a shuffle, which an aggregated lookup does not. So the hot keys are looked up by broadcast, without moving
+    their rows, and all other keys by a shuffle join.
     """
-    total = counts.agg(F.sum("n")).scalar()
-    hot = counts.where(F.col("n") * HOT_SHARE > total).select(key)
-    hot_lookup = lookup.join(F.broadcast(hot), key, "left_semi")
-    apart = rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(hot_lookup), key, how)
-    rest = rows.join(F.broadcast(hot), key, "left_anti").join(lookup, key, how)
+    hot = F.broadcast(_most_frequent(counts, key).select(key))
+    hot_lookup = F.broadcast(lookup.join(hot, key, "left_semi"))
+    hot_rows = rows if how == "inner" else rows.join(hot, key, "left_semi")
+    apart = hot_rows.join(hot_lookup, key, how)
+    rest = rows.join(hot, key, "left_anti").join(lookup, key, how)
     return apart.unionByName(rest)
 
 
-def join_split(rows: DataFrame, other: DataFrame, key: str, by: str) -> DataFrame:
+def join_split(rows: DataFrame, other: DataFrame, key: str, by: str, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Inner join of two sides that may both repeat a key, with the rows of each hot key spread over many tasks.
 
-    A hot key's rows are split by a hash of ``by``, which stays the same when a task is run again, and the other side
-    repeats its rows of that key once per split. Keys that are not hot are joined as they are.
+    A hot key's rows are split by a hash of ``by``, which stays the same when a task is run again, into as many parts
+    as it has ``split_rows`` rows; the other side repeats its rows of that key once per part. All other keys are joined
+    as they are.
     """
-    splits = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    hot = F.broadcast(counts.where(F.col("n") * HOT_SHARE > total).select(key, F.lit(True).alias("_hot")))
-    part = F.pmod(F.xxhash64(by), F.lit(splits)).cast("int")
-    left = rows.join(hot, key, "left").withColumn("_part", F.when(F.col("_hot"), part).otherwise(0))
-    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(splits - 1))).otherwise(F.array(F.lit(0)))
-    right = other.join(hot, key, "left").withColumn("_part", F.explode(parts))
-    return left.drop("_hot").join(right.drop("_hot"), [key, "_part"]).drop("_part")
+    parts = F.ceil(F.col("n") / split_rows).cast("int")
+    hot = F.broadcast(_most_frequent(counts.where(F.col("n") > split_rows), key).select(key, parts.alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    left = rows.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int"))
+    right = other.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return left.drop("_parts").join(right.drop("_parts"), [key, "_part"]).drop("_part")

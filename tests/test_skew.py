@@ -73,7 +73,7 @@ def test_join_split_matches_a_plain_join(spark, hot_rows):
                                   "k string, m int")
     rows = hot_rows.select("k", "id")
     plain = rows.join(other, "k")
-    split = join_split(rows, other, "k", "id")
+    split = join_split(rows, other, "k", "id", split_rows=1000)
     assert split.count() == plain.count() and split.exceptAll(plain.select(split.columns)).count() == 0
 
 
