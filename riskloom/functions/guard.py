@@ -29,12 +29,14 @@ def without_literals(sql: Column) -> Column:
 
 
 def enforce_limit(query: Column, limit: int = DEFAULT_LIMIT) -> Column:
-    """Append the row limit, keep a smaller one, cap a larger one."""
+    """Append the row limit, keep a smaller one, cap a larger one; for a query without trailing white space."""
+    # Only a query that ends in a digit is searched for a limit.
+    ends_in_digit = F.substring(query, -1, 1).between("0", "9")
     asked = F.regexp_extract(query, TRAILING_LIMIT, 1)
     # A number too long for the decimal is larger than any limit.
     within = F.coalesce(asked.try_cast("decimal(38,0)") <= limit, F.lit(False))
     return (
-        F.when(asked == "", F.concat(query, F.lit(f" limit {limit}")))
+        F.when(~ends_in_digit | (asked == ""), F.concat(query, F.lit(f" limit {limit}")))
         .when(within, query)
         .otherwise(F.regexp_replace(query, TRAILING_LIMIT, f"limit {limit}"))
     )
