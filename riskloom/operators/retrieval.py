@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.text import is_blank, tokens
-from riskloom.operators.joins import join_split
+from riskloom.functions.text import compact, is_blank, tokens
+from riskloom.operators.joins import join_lookup, join_split
 from riskloom.operators.sizing import fits
 from riskloom.operators.topk import top_per_group
 
@@ -66,6 +66,30 @@ def keyword_topk(
     return top_per_group(scored, "question", [F.desc("score"), F.asc("source")], top_k)
 
 
+def with_text(hits: DataFrame, documents: DataFrame, key: str, small: bool) -> DataFrame:
+    """Add the compacted text of each hit; ``documents(<key>, text)`` has one row per key.
+
+    Where the caller knows the hits to be few (``small``) they are broadcast to the scan of the documents; else a
+    shuffle join keeps popular documents apart.
+    """
+    texts = documents.select(key, "text")
+    if small:
+        found = texts.join(F.broadcast(hits), key)
+    else:
+        counts = hits.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        found = join_lookup(hits, texts, key, counts)
+    return found.select(*hits.columns, compact(F.col("text")).alias("text"))
+
+
+def retrieve_context(questions: DataFrame, corpus: DataFrame, top_k: int = 4) -> DataFrame:
+    """``(question, source, score, rank, text)``: per distinct question its best documents and their compacted text.
+
+    A question has at least one term where it has a hit, so terms within the bounds mean few hits.
+    """
+    small = fits(question_terms(questions))
+    return with_text(keyword_topk(questions, corpus, top_k, small), corpus, "source", small)
+
+
 def _scan_block(corpus: DataFrame, block: list, top_k: int) -> DataFrame:
     """Best vectors of each batch for one block of queries; numpy multiplies whole Arrow batches.
 

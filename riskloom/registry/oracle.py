@@ -565,6 +565,12 @@ hits AS (
 
 BODIES["retrieve_keyword_topk"] = "WITH " + _ranked("{feed_questions}", 4).strip() + " SELECT * FROM hits"
 
+BODIES["retrieve_context"] = "WITH " + _ranked("{feed_questions}", 4).strip() + f"""
+SELECT question, h.source, score, rank,
+  CASE WHEN length(flat) <= 900 THEN flat ELSE substring(flat, 1, 897) || '...' END AS text
+FROM hits h JOIN (SELECT source, {squeeze('text')} AS flat FROM {{v_corpus}}) c ON h.source = c.source
+"""
+
 BODIES["retrieve_vector_topk"] = """
 WITH parts AS (
   SELECT label, generate_subscripts(embedding, 1) AS dim, unnest(embedding) AS x FROM {embeddings}),

@@ -532,6 +532,11 @@ def retrieve_keyword_topk(s: Samples) -> DataFrame:
     return retrieval.keyword_topk(s["feed_questions"], s["v_corpus"], 4)
 
 
+@query
+def retrieve_context(s: Samples) -> DataFrame:
+    return retrieval.retrieve_context(s["feed_questions"], s["v_corpus"], 4)
+
+
 @query
 def retrieve_vector_topk(s: Samples) -> DataFrame:
     vectors = s["embeddings"].select("vec_id", F.col("embedding").alias("vector"), "label")

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 
+from riskloom.operators import retrieval
 from riskloom.operators.retrieval import keyword_topk, vector_topk
 from riskloom.sources.sinks import index_corpus
 
@@ -46,6 +47,18 @@ def test_keyword_topk_matches_brute_force_on_both_joins(spark):
     assert _found(keyword_topk(asked, docs, 4, small=False)) == expected
 
 
+def test_hits_carry_their_compacted_text(spark, monkeypatch):
+    long = "alpha " + "x" * 2000
+    docs = spark.createDataFrame([("a", " alpha\n beta "), ("b", long), ("c", "gamma")], "source string, text string")
+    asked = spark.createDataFrame([("alpha?",), ("beta",), ("alpha beta",)], "question string")
+    expected = {("alpha?", "a"): "alpha beta", ("alpha?", "b"): long[:897] + "...", ("beta", "a"): "alpha beta",
+                ("alpha beta", "a"): "alpha beta", ("alpha beta", "b"): long[:897] + "..."}
+    for measured in (True, False):
+        monkeypatch.setattr(retrieval, "fits", lambda df, *bounds: measured)
+        rows = retrieval.retrieve_context(asked, docs).collect()
+        assert {(r["question"], r["source"]): r["text"] for r in rows} == expected
+
+
 def test_vector_topk_matches_brute_force_in_blocks(spark):
     rng = np.random.default_rng(5)
     vectors = rng.normal(size=(300, 8)).astype("float32")

@@ -90,6 +90,18 @@ def test_drain_counts_every_event_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "compact")).count() == 3
 
 
+def test_batch_that_is_run_again_after_a_crash_counts_once(spark, tmp_path):
+    folder = tmp_path / "events"
+    _drop(folder, "1.jsonl", _event("c1", 10.0), _event("c2", 5.5))
+    first = _drain(spark, folder, tmp_path)
+    # The sink has the batch but the commit is gone, as when the driver dies between the two.
+    commits = tmp_path / "checkpoint" / "commits"
+    for name in ("0", ".0.crc"):
+        (commits / name).unlink(missing_ok=True)
+    _drop(folder, "2.jsonl", _event("c1", 1.0))
+    assert _drain(spark, folder, tmp_path) == {**first, "c1": (2, 11.0, first["c1"][2])}
+
+
 def test_top_flagged_and_kpis(spark):
     df = spark.createDataFrame(
         [(f"c{i}", n, Decimal("1.5")) for i, n in enumerate([3, 9, 3, 1, 9, 3, 3])],
