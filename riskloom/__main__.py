@@ -8,6 +8,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
+from riskloom.operators.sizing import spread
 from riskloom.plans import copilot, warehouse
 from riskloom.plans.layers import bronze_to_silver, build_layers, silver_to_gold
 from riskloom.schemas import CONTRACTS, PRIMARY_KEYS, Contract
@@ -103,11 +104,11 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         ).awaitTermination()
     elif args.job == "ask":
         questions = spark.read.text(args.questions).withColumnRenamed("value", "question")
-        corpus = files.scan_corpus(spark, args.corpus.split(","))
+        corpus = spread(files.scan_corpus(spark, args.corpus.split(",")), "source")
         sinks.append_audit(copilot.audit_records(copilot.answer_batch(questions, corpus)), args.audit)
     elif args.job == "evals":
         cases = read_cases(spark, args.cases)
-        corpus = files.scan_corpus(spark, args.corpus.split(","))
+        corpus = spread(files.scan_corpus(spark, args.corpus.split(",")), "source")
         answers = copilot.answer_batch(cases.select("question").distinct(), corpus)
         results = copilot.eval_results(cases, answers)
         for row in results.where("NOT passed").orderBy("id").toLocalIterator():

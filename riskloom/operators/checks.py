@@ -10,15 +10,13 @@ from pyspark.sql import functions as F
 from riskloom.schemas import ModelTests
 
 
-def _row_tests(tests: ModelTests) -> list[tuple[str, Column]]:
-    """(test name, predicate of a failing row); a null passes the accepted-values tests."""
-    listed = [(f"not_null_{tests.model}_{name}", F.col(name).isNull()) for name in tests.not_null]
-    listed += [
-        (f"accepted_values_{tests.model}_{name}", ~F.col(name).isin(*values))
-        for name, values in tests.accepted.items()
-    ]
-    listed += [(f"assert_{name}", F.expr(predicate)) for name, predicate in tests.rules.items()]
-    return listed
+def _row_tests(tests: ModelTests) -> dict[str, str]:
+    """Predicate of a failing row by test name; a null passes the accepted-values tests."""
+    listed = {f"not_null_{tests.model}_{name}": f"{name} IS NULL" for name in tests.not_null}
+    for name, values in tests.accepted.items():
+        known = ", ".join(f"'{value}'" for value in values)
+        listed[f"accepted_values_{tests.model}_{name}"] = f"{name} NOT IN ({known})"
+    return listed | {f"assert_{name}": predicate for name, predicate in tests.rules.items()}
 
 
 def run_model_tests(df: DataFrame, tests: ModelTests) -> DataFrame:
@@ -28,21 +26,19 @@ def run_model_tests(df: DataFrame, tests: ModelTests) -> DataFrame:
     pass groups by the key and sums the row failures of each key on the way, so a repeated key is combined map-side.
     """
     row_tests = _row_tests(tests)
-    counts = [F.count_if(predicate).alias(f"n{i}") for i, (_, predicate) in enumerate(row_tests)]
-    total = [F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"n{i}") for i in range(len(row_tests))]
-    names = [name for name, _ in row_tests]
+    counts = [F.expr(f"count_if({predicate}) AS n{i}") for i, predicate in enumerate(row_tests.values())]
+    names = list(row_tests)
     if tests.unique:
-        per_key = df.groupBy(F.col(tests.unique).alias("_key")).agg(F.count(F.lit(1)).alias("_rows"), *counts)
-        repeated = F.count_if(F.col("_key").isNotNull() & (F.col("_rows") > 1)).alias(f"n{len(row_tests)}")
-        counted = per_key.agg(*total, repeated)
+        totals = [F.expr(f"coalesce(sum(n{i}), 0) AS n{i}") for i in range(len(names))]
+        repeated = F.expr(f"count_if({tests.unique} IS NOT NULL AND _rows > 1) AS n{len(names)}")
+        per_key = df.groupBy(tests.unique).agg(F.expr("count(*) AS _rows"), *counts)
+        counted = per_key.agg(*totals, repeated)
         names.append(f"unique_{tests.model}_{tests.unique}")
     else:
         counted = df.agg(*counts)
-    results = [
-        F.struct(F.lit(name).alias("test_name"), F.col(f"n{i}").alias("failures")) for i, name in enumerate(names)
-    ]
-    return counted.select(F.lit(tests.model).alias("model"), F.explode(F.array(*results)).alias("t")).select(
-        "model", "t.test_name", "t.failures", (F.col("t.failures") == 0).alias("passed")
+    results = ", ".join(f"'{name}', n{i}, n{i} = 0" for i, name in enumerate(names))
+    return counted.selectExpr(
+        f"'{tests.model}' AS model", f"stack({len(names)}, {results}) AS (test_name, failures, passed)"
     )
 
 

@@ -14,11 +14,10 @@ def typed(raw: DataFrame, table: str) -> DataFrame:
     A column that already has its type, or a key that is not text in the caller's data, passes through.
     """
     kinds = dict(raw.dtypes)
-    picked = []
-    for name, kind in columns_of(TABLES[table]):
-        keep = kind == "string" or kinds[name] == kind
-        picked.append(F.col(name) if keep else F.col(name).cast(kind).alias(name))
-    return raw.select(*picked)
+    return raw.selectExpr(*[
+        name if kind == "string" or kinds[name] == kind else f"CAST({name} AS {kind}) AS {name}"
+        for name, kind in columns_of(TABLES[table])
+    ])
 
 
 def stg_customers(raw: DataFrame) -> DataFrame:

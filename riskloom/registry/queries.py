@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import guard, rules, text
 from riskloom.operators import checks, contracts, dedupe, retrieval
+from riskloom.operators.sizing import spread
 from riskloom.plans import copilot, gold, marts, serving, silver, staging
 from riskloom.schemas import CONTRACTS, MODEL_TESTS, ModelTests
 from riskloom.session import scratch_path, tune
@@ -516,25 +517,29 @@ def top_flagged_customers(s: Samples) -> DataFrame:
 # Retrieval and governance.
 
 
+def corpus(s: Samples) -> DataFrame:
+    return spread(s["v_corpus"], "source")
+
+
 @query
 def corpus_token_counts(s: Samples) -> DataFrame:
-    words = s["v_corpus"].select(F.explode(text.tokens(F.col("text"))).alias("term"))
+    words = corpus(s).select(F.explode(text.tokens(F.col("text"))).alias("term"))
     return words.groupBy("term").agg(F.count(F.lit(1)).alias("uses"))
 
 
 @query
 def compact_text(s: Samples) -> DataFrame:
-    return s["v_corpus"].select("source", text.compact(F.col("text")).alias("compact"))
+    return corpus(s).select("source", text.compact(F.col("text")).alias("compact"))
 
 
 @query
 def retrieve_keyword_topk(s: Samples) -> DataFrame:
-    return retrieval.keyword_topk(s["feed_questions"], s["v_corpus"], 4)
+    return retrieval.keyword_topk(s["feed_questions"], corpus(s), 4)
 
 
 @query
 def retrieve_context(s: Samples) -> DataFrame:
-    return retrieval.retrieve_context(s["feed_questions"], s["v_corpus"], 4)
+    return retrieval.retrieve_context(s["feed_questions"], corpus(s), 4)
 
 
 @query
@@ -581,7 +586,7 @@ def answer_compose(s: Samples) -> DataFrame:
 
 
 def _answers(s: Samples) -> DataFrame:
-    return copilot.answer_batch(s["feed_questions"], s["v_corpus"], name="Risk desk")
+    return copilot.answer_batch(s["feed_questions"], corpus(s), name="Risk desk")
 
 
 @query
@@ -601,7 +606,7 @@ def _eval_results(s: Samples) -> DataFrame:
         F.array_compact(F.array(opening, last_word)).alias("expected_terms"),
         F.col("question").contains("account").alias("requires_sql"),
     )
-    answers = copilot.answer_batch(asked.select("question").distinct(), s["v_corpus"], name="Risk desk")
+    answers = copilot.answer_batch(asked.select("question").distinct(), corpus(s), name="Risk desk")
     return copilot.eval_results(cases, answers)
 
 
