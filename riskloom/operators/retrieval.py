@@ -153,12 +153,3 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, top_k: int = 3, block: in
     best = reduce(DataFrame.unionByName, parts)
     ranked = top_per_group(best, "query_id", [F.desc("cosine"), F.asc("vec_id")], top_k)
     return ranked.select("query_id", "vec_id", "cosine", (F.col("cosine") * 100).cast("int").alias("score"), "rank")
-
-
-def centroids(vectors: DataFrame, label: str) -> DataFrame:
-    """``(query_id, vector)``: the mean vector per label, rounded so the order of summing does not show."""
-    parts = vectors.select(label, F.posexplode("vector").alias("dim", "x"))
-    means = parts.groupBy(label, "dim").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("x"))
-    return means.groupBy(F.col(label).alias("query_id")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda p: p["x"]).alias("vector")
-    )
