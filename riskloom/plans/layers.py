@@ -6,10 +6,13 @@ from dataclasses import dataclass
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskloom.plans.gold import for_gold, local_customer_credit_snapshot, local_daily_transaction_monitoring
+from riskloom.plans.gold import (
+    for_gold, gold_customer_credit_snapshot, gold_daily_transaction_monitoring, local_customer_credit_snapshot,
+    local_daily_transaction_monitoring,
+)
 from riskloom.plans.marts import mart_account_health
-from riskloom.plans.gold import gold_customer_credit_snapshot, gold_daily_transaction_monitoring
 from riskloom.plans.silver import CLEANERS, standardize, to_silver
 from riskloom.schemas import PRIMARY_KEYS
 from riskloom.sources.files import scan_layer, scan_raw
@@ -57,8 +60,8 @@ def build_layers(
     raw = scan_raw(spark, raw_dir)
     counts = {name: write_batch(df, lake_dir, "bronze", name, batch) for name, df in raw.items()}
     bronze = {
-        name: scan_layer(spark, lake_dir, "bronze", name).where(f"batch_id = '{batch}'").select(*df.columns)
-        for name, df in raw.items()
+        name: scan_layer(spark, lake_dir, "bronze", name).where(F.col("batch_id") == batch).drop("batch_id")
+        for name in raw
     }
     silver = {
         name: write_batch(standardize(df, stamped), lake_dir, "silver", name, batch) for name, df in bronze.items()

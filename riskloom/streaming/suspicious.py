@@ -127,13 +127,7 @@ def maintain_summary(events: DataFrame, path: str, checkpoint: str, once: bool =
     """
 
     def write(changed: DataFrame, epoch: int) -> None:
-        (
-            changed.withColumn("epoch", F.lit(epoch).cast("bigint"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("epoch")
-            .parquet(path)
-        )
+        changed.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     writer = (
         running_totals(events)

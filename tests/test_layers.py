@@ -84,6 +84,17 @@ def test_bronze_keeps_raw_text_and_names(spark, raw, tmp_path):
     assert bronze.first()[:2] == ("007", "1.50")
 
 
+def test_odd_headers_pass_through_every_layer(spark, raw, tmp_path):
+    (raw / "other.csv").write_text(" Odd.Name ,B\n1,2\n1,2\n")
+    lake = str(tmp_path / "lake")
+    built = build_layers(spark, str(raw), lake, "b")
+    assert built.tables["other"] == 2 and built.silver["other"] == 1
+    assert files.scan_layer(spark, lake, "bronze", "other").columns == [" Odd.Name ", "B", "batch_id"]
+    assert files.scan_layer(spark, lake, "silver", "other").columns == [
+        "odd.name", "b", "ingestion_processed_at", "batch_id",
+    ]
+
+
 def test_missing_inputs_are_errors(spark, raw, tmp_path):
     with pytest.raises(FileNotFoundError, match="Raw directory not found"):
         build_layers(spark, str(tmp_path / "none"), str(tmp_path / "lake"))
