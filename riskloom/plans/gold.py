@@ -13,9 +13,14 @@ from riskloom.functions.rules import SNAPSHOT_BANDS, is_flagged, portfolio_statu
 from riskloom.plans.marts import money
 
 
-def _snapshot(customers: DataFrame, loans: DataFrame, with_average: bool) -> DataFrame:
+def _distinct_ids(column: str, unique_ids: bool):
+    """Number of distinct ids; where the id is the table's key a plain count says the same without a shuffle by id."""
+    return F.count(column) if unique_ids else F.count_distinct(column)
+
+
+def _snapshot(customers: DataFrame, loans: DataFrame, with_average: bool, unique_ids: bool) -> DataFrame:
     measures = [
-        F.count_distinct("loan_id").alias("loan_count"),
+        _distinct_ids("loan_id", unique_ids).alias("loan_count"),
         money("principal_amount").alias("total_principal_amount"),
         money("outstanding_balance").alias("total_outstanding_balance"),
         F.max("days_past_due").alias("max_days_past_due"),
@@ -30,23 +35,26 @@ def _snapshot(customers: DataFrame, loans: DataFrame, with_average: bool) -> Dat
     return customers.join(totals, "customer_id", "left").withColumns(filled)
 
 
-def gold_customer_credit_snapshot(customers: DataFrame, loans: DataFrame) -> DataFrame:
-    """All customer columns, loan totals, and the status under the snapshot's own bands."""
-    return _snapshot(customers, loans, with_average=True).withColumn(
+def gold_customer_credit_snapshot(customers: DataFrame, loans: DataFrame, unique_ids: bool = False) -> DataFrame:
+    """All customer columns, loan totals, and the status under the snapshot's own bands.
+
+    ``unique_ids`` says that loans have one row per loan, as in Silver.
+    """
+    return _snapshot(customers, loans, True, unique_ids).withColumn(
         "portfolio_status", portfolio_status(F.col("max_days_past_due"), SNAPSHOT_BANDS)
     )
 
 
 def local_customer_credit_snapshot(customers: DataFrame, loans: DataFrame) -> DataFrame:
     """All customer columns and loan totals."""
-    return _snapshot(customers, loans.where(F.col("customer_id").isNotNull()), with_average=False)
+    return _snapshot(customers, loans.where(F.col("customer_id").isNotNull()), False, False)
 
 
-def _monitoring(transactions: DataFrame) -> DataFrame:
+def _monitoring(transactions: DataFrame, unique_ids: bool) -> DataFrame:
     return (
         transactions.groupBy("transaction_date", "channel")
         .agg(
-            F.count_distinct("transaction_id").alias("transaction_count"),
+            _distinct_ids("transaction_id", unique_ids).alias("transaction_count"),
             money("amount").alias("total_amount"),
             F.count_if(is_flagged(F.col("is_suspicious"))).alias("suspicious_count"),
         )
@@ -54,14 +62,17 @@ def _monitoring(transactions: DataFrame) -> DataFrame:
     )
 
 
-def gold_daily_transaction_monitoring(transactions: DataFrame) -> DataFrame:
-    """Distinct transactions, volume and suspicious count per day and channel, in order."""
-    return _monitoring(transactions)
+def gold_daily_transaction_monitoring(transactions: DataFrame, unique_ids: bool = False) -> DataFrame:
+    """Distinct transactions, volume and suspicious count per day and channel, in order.
+
+    ``unique_ids`` says that there is one row per transaction, as in Silver.
+    """
+    return _monitoring(transactions, unique_ids)
 
 
 def local_daily_transaction_monitoring(transactions: DataFrame) -> DataFrame:
     """The same from raw rows, without the rows that lack a day or channel."""
-    return _monitoring(transactions.where("transaction_date IS NOT NULL AND channel IS NOT NULL"))
+    return _monitoring(transactions.where("transaction_date IS NOT NULL AND channel IS NOT NULL"), False)
 
 
 def for_gold(raw: DataFrame) -> DataFrame:

@@ -83,14 +83,14 @@ def bronze_to_silver(spark: SparkSession, lake_dir: str, table: str, fmt: str =
 
 
 def silver_to_gold(spark: SparkSession, lake_dir: str, fmt: str = "parquet") -> None:
-    """Rebuild the Gold tables from the typed Silver tables."""
+    """Rebuild the Gold tables from the typed Silver tables, which have one row per key."""
     customers, accounts, loans, transactions = (
         scan_layer(spark, lake_dir, "silver_typed", name, fmt).drop("ingestion_processed_at")
         for name in ("customers", "accounts", "loans", "transactions")
     )
     outputs = {
-        "customer_credit_snapshot": gold_customer_credit_snapshot(customers, loans),
-        "daily_transaction_monitoring": gold_daily_transaction_monitoring(transactions),
+        "customer_credit_snapshot": gold_customer_credit_snapshot(customers, loans, unique_ids=True),
+        "daily_transaction_monitoring": gold_daily_transaction_monitoring(transactions, unique_ids=True),
         "mart_account_health": mart_account_health(accounts, customers),
     }
     for name, df in outputs.items():

@@ -263,7 +263,8 @@ def silver_dedup_latest(s: Samples) -> DataFrame:
 
 @query
 def gold_customer_credit_snapshot(s: Samples) -> DataFrame:
-    return gold.gold_customer_credit_snapshot(customers(s), loans(s))
+    # One row per loan and per transaction, as Silver has them.
+    return gold.gold_customer_credit_snapshot(customers(s), loans(s), unique_ids=True)
 
 
 @query
@@ -273,7 +274,7 @@ def local_customer_credit_snapshot(s: Samples) -> DataFrame:
 
 @query
 def gold_daily_transaction_monitoring(s: Samples) -> DataFrame:
-    return gold.gold_daily_transaction_monitoring(transactions(s))
+    return gold.gold_daily_transaction_monitoring(transactions(s), unique_ids=True)
 
 
 @query
@@ -443,7 +444,7 @@ def dq_no_future_transactions(s: Samples) -> DataFrame:
 @query
 def dq_status_matches_dpd(s: Samples) -> DataFrame:
     # The Gold snapshot follows other bands, so the mart's rule finds the customers on which the two differ.
-    return _rule(s, gold.gold_customer_credit_snapshot(customers(s), loans(s)), "mart_customer_exposure",
+    return _rule(s, gold.gold_customer_credit_snapshot(customers(s), loans(s), unique_ids=True), "mart_customer_exposure",
                  "portfolio_status_matches_dpd")
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.functions import rules
-from riskloom.plans import marts, serving
+from riskloom.plans import gold, marts, serving
 
 
 def _map(spark, values, kind, fn):
@@ -112,3 +112,25 @@ def test_scaled_series_without_suspicious_rows(spark):
         [("2024-01-01", Decimal(5), 0)], "transaction_date string, total_amount decimal(38,2), suspicious_count bigint"
     )
     assert serving.daily_suspicious_scaled(daily).first()["suspicious_scaled"] == 0.0
+
+
+def test_gold_counts_distinct_ids_unless_they_are_known_to_be_unique(spark):
+    rows = spark.createDataFrame(
+        [("t1", "2024-01-01", "PIX", Decimal(1), True), ("t1", "2024-01-01", "PIX", Decimal(1), True),
+         ("t2", "2024-01-01", "PIX", Decimal(2), None), (None, "2024-01-01", "PIX", Decimal(4), False)],
+        "transaction_id string, transaction_date string, channel string, amount decimal(18,2), is_suspicious boolean",
+    )
+    row = gold.gold_daily_transaction_monitoring(rows).first()
+    assert (row["transaction_count"], float(row["total_amount"]), row["suspicious_count"]) == (2, 8.0, 2)
+    unique = gold.gold_daily_transaction_monitoring(rows.where("transaction_id = 't2'"), unique_ids=True).first()
+    assert unique["transaction_count"] == 1
+
+
+def test_local_gold_drops_rows_without_a_key(spark):
+    rows = spark.createDataFrame(
+        [("t1", None, "PIX", Decimal(1), "yes"), ("t2", "2024-01-01", None, Decimal(1), "yes"),
+         ("t3", "2024-01-01", "PIX", Decimal(1), "yes")],
+        "transaction_id string, transaction_date string, channel string, amount decimal(18,2), is_suspicious string",
+    )
+    assert gold.local_daily_transaction_monitoring(rows).count() == 1
+    assert gold.gold_daily_transaction_monitoring(rows).count() == 3
