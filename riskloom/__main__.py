@@ -32,7 +32,7 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
             for c in (yaml.safe_load(text) or {}).get("cases", [])
         ]
         return spark.createDataFrame(cases, schema)
-    return files.scan_jsonl(spark, path, schema).fillna({"requires_sql": False})
+    return files.scan_jsonl(spark, path, schema)
 
 
 def parser() -> argparse.ArgumentParser:

@@ -137,7 +137,7 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, top_k: int = 3, block: in
     rounded to six digits before ranking, so copies of a vector tie and the smaller id wins.
     """
     parts, last = [], None
-    ordered = queries.orderBy("query_id")
+    ordered = queries.where("query_id IS NOT NULL AND vector IS NOT NULL").orderBy("query_id")
     while True:
         rest = ordered if last is None else ordered.where(F.col("query_id") > F.lit(last))
         rows = rest.limit(block).collect()

@@ -205,9 +205,10 @@ def eval_results(cases: DataFrame, answers: DataFrame) -> DataFrame:
     ``cases(id, question, expected_terms, requires_sql)``; ``answers`` has one row per distinct question.
     """
     text = F.lower(F.concat(F.col("response"), F.lit("\n"), F.coalesce("guarded_sql", F.lit(""))))
-    missing = F.filter("expected_terms", lambda term: ~F.col("_text").contains(F.lower(term)))
+    terms = F.coalesce("expected_terms", F.array().cast("array<string>"))
+    missing = F.filter(terms, lambda term: ~F.col("_text").contains(F.lower(term)))
     quoted = F.array_join(F.transform("_missing", lambda term: F.concat(F.lit("'"), term, F.lit("'"))), ", ")
-    lacks_sql = F.col("requires_sql") & F.col("guarded_sql").isNull()
+    lacks_sql = F.coalesce("requires_sql", F.lit(False)) & F.col("guarded_sql").isNull()
     asked = cases.select("question").distinct()
     small = fits(asked)
     replies = answers.select("question", "response", "guarded_sql")

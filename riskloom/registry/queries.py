@@ -444,8 +444,8 @@ def dq_no_future_transactions(s: Samples) -> DataFrame:
 @query
 def dq_status_matches_dpd(s: Samples) -> DataFrame:
     # The Gold snapshot follows other bands, so the mart's rule finds the customers on which the two differ.
-    return _rule(s, gold.gold_customer_credit_snapshot(customers(s), loans(s), unique_ids=True), "mart_customer_exposure",
-                 "portfolio_status_matches_dpd")
+    snapshot = gold.gold_customer_credit_snapshot(customers(s), loans(s), unique_ids=True)
+    return _rule(s, snapshot, "mart_customer_exposure", "portfolio_status_matches_dpd")
 
 
 @query

@@ -84,6 +84,11 @@ COMMENTS: dict[str, str] = {
 RAW_SCHEMA = "raw"
 MART_SCHEMA = "analytics_marts"
 
+SCHEMA_COMMENTS = {
+    RAW_SCHEMA: "Banking and macro data as landed.",
+    MART_SCHEMA: "Governed marts for dashboards and guarded queries.",
+}
+
 PRIMARY_KEYS: dict[str, tuple[str, ...]] = {
     "customers": ("customer_id",),
     "accounts": ("account_id",),

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 VIEWS: dict[str, str] = {}
 
@@ -220,6 +221,10 @@ def reads(name: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"{(\w+)}", VIEWS[name])))
 
 
+# Schemas of the tables read so far, so that a footer is read once per table and not once per query.
+_SCHEMAS: dict[str, StructType] = {}
+
+
 class Samples:
     """The sample tables and views of one data directory, as lazy DataFrames by name."""
 
@@ -233,7 +238,10 @@ class Samples:
             if name in VIEWS:
                 self._made[name] = self.spark.sql(VIEWS[name], **{used: self[used] for used in reads(name)})
             else:
-                self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                path = f"{self.sf_dir}/{name}.parquet"
+                if path not in _SCHEMAS:
+                    _SCHEMAS[path] = self.spark.read.parquet(path).schema
+                self._made[name] = self.spark.read.schema(_SCHEMAS[path]).parquet(path)
         return self._made[name]
 
 

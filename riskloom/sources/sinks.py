@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.schemas import AUDIT_LINE, COMMENTS, MART_SCHEMA, MARTS, RAW_SCHEMA, TABLES
+from riskloom.schemas import AUDIT_LINE, COMMENTS, MART_SCHEMA, MARTS, RAW_SCHEMA, SCHEMA_COMMENTS, TABLES
 from riskloom.sources.files import audit_rows, scan_core, scan_jsonl
 
 # Fixed value: rows per insert of a JDBC load.
@@ -82,7 +82,7 @@ def write_manifest(manifest: DataFrame, lake_dir: str, batch_id: str) -> str:
 def declare_tables(spark: SparkSession) -> None:
     """Create the raw and mart schemas and their empty tables, with comments."""
     for schema, tables in ((RAW_SCHEMA, TABLES), (MART_SCHEMA, MARTS)):
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema}")
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema} COMMENT '{SCHEMA_COMMENTS[schema]}'")
         for name, columns in tables.items():
             spark.sql(
                 f"CREATE TABLE IF NOT EXISTS {schema}.{name} ({columns}) USING parquet COMMENT '{COMMENTS[name]}'"
@@ -91,8 +91,11 @@ def declare_tables(spark: SparkSession) -> None:
 
 def load_table(df: DataFrame, name: str, schema: str = RAW_SCHEMA) -> None:
     """Replace a warehouse table in full."""
-    df.sparkSession.sql(f"CREATE DATABASE IF NOT EXISTS {schema}")
+    spark = df.sparkSession
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema}")
     df.write.mode("overwrite").option("overwriteSchema", "true").saveAsTable(f"{schema}.{name}")
+    if name in COMMENTS:
+        spark.sql(f"COMMENT ON TABLE {schema}.{name} IS '{COMMENTS[name]}'")
 
 
 def load_warehouse(spark: SparkSession, raw_dir: str) -> DataFrame:

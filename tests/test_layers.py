@@ -167,6 +167,8 @@ def test_warehouse_load_and_declared_tables(spark, raw):
     (raw / "macro_indicators.csv").write_text(
         "observation_date,indicator_name,series_id,value\n2024-01-01,selic,11,11.75\n"
     )
+    comment = spark.sql("DESCRIBE TABLE EXTENDED raw.loans").where("col_name = 'Comment'").first()["data_type"]
+    assert comment == "Loan contracts as landed."
     again = {r["table_name"]: r["row_count"] for r in sinks.load_warehouse(spark, str(raw)).collect()}
     assert again == {**counts, "macro_indicators": 1}
 

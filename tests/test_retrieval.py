@@ -67,7 +67,8 @@ def test_vector_topk_matches_brute_force_in_blocks(spark):
     queries = rng.normal(size=(7, 8))
     queries[3] = vectors[7]
     corpus = spark.createDataFrame(
-        [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(999, None)], "vec_id bigint, vector array<float>"
+        [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(999, None)],
+        "vec_id bigint, vector array<float>",
     ).repartition(4)
     asked = spark.createDataFrame([(i, [float(x) for x in q]) for i, q in enumerate(queries)],
                                   "query_id bigint, vector array<double>")

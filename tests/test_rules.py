@@ -91,7 +91,8 @@ def test_rating_order_is_by_text(spark):
     customers = spark.createDataFrame([("c", "s", "x", 1)],
                                       "customer_id string, segment string, state string, internal_score int")
     loans = spark.createDataFrame(
-        [(i, c, Decimal(1), Decimal(1), 0, r) for i, c, r in (("l1", "c", "AA"), ("l2", "c", "A"), ("l3", "orphan", "E"))],
+        [(i, c, Decimal(1), Decimal(1), 0, r)
+         for i, c, r in (("l1", "c", "AA"), ("l2", "c", "A"), ("l3", "orphan", "E"))],
         "loan_id string, customer_id string, principal_amount decimal(18,2), outstanding_balance decimal(18,2), "
         "days_past_due int, risk_rating string",
     )
