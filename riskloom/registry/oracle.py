@@ -156,6 +156,29 @@ SELECT timestamp, status, question, concat_ws(', ', citation_1, citation_2) AS c
 FROM {feed_audit}
 """
 
+BODIES["publish_bronze"] = f"""
+SELECT batch_id, channel, count(*) AS row_count, count(DISTINCT transaction_id) AS ids
+FROM {{feed_transactions}}
+CROSS JOIN (SELECT '{BATCH}' AS batch_id UNION ALL SELECT '{BATCH.replace("2026", "2027")}') b GROUP BY 1, 2
+"""
+
+BODIES["layers_silver_loans"] = (
+    as_text("v_loans", C_LOANS).replace(
+        " FROM ", f", '{STAMP}' AS ingestion_processed_at, '{BATCH}' AS batch_id FROM "
+    )
+)
+
+BODIES["scan_register"] = """
+SELECT CNPJ_FUNDO AS cnpj, DENOM_SOCIAL || ' Ações' AS fund_name, TP_FUNDO AS fund_type,
+  nullif(SITUACAO, '') AS status, CAST(NULL AS VARCHAR) AS class_type, VL_PATRIM_LIQ AS net_worth
+FROM {feed_register}
+"""
+
+BODIES["index_corpus"] = """
+SELECT vec_id, source, CAST(len(embedding) AS INTEGER) AS dims, CAST(length(text) AS INTEGER) AS chars
+FROM {embeddings} JOIN {documents} ON vec_id = doc_id
+"""
+
 BODIES["corpus_scan"] = f"""
 SELECT path AS source, text FROM {{feed_files}}
 WHERE lower(regexp_extract(path, '\\.([^./]+)$', 1)) IN ('md', 'sql', 'yml', 'yaml', 'json')
@@ -257,6 +280,12 @@ SELECT transaction_date, channel, count(DISTINCT transaction_id) AS transaction_
 FROM {feed_transactions} WHERE transaction_date IS NOT NULL AND channel IS NOT NULL GROUP BY 1, 2
 """
 
+BODIES["layers_gold_snapshot"] = BODIES["local_customer_credit_snapshot"]
+# A CSV holds no difference between null and empty, and no null id is counted.
+BODIES["layers_gold_monitoring"] = BODIES["local_daily_transaction_monitoring"].replace(
+    "DISTINCT transaction_id", "DISTINCT nullif(transaction_id, '')"
+)
+
 BODIES["int_customer_credit_profile"] = "WITH " + PROFILE.strip() + " SELECT * FROM profile"
 BODIES["mart_customer_exposure"] = "WITH " + EXPOSURE.strip() + " SELECT * FROM exposure"
 BODIES["mart_daily_transactions"] = "WITH " + DAILY.strip() + " SELECT * FROM daily"
@@ -511,6 +540,14 @@ SELECT 'suspicious_transaction_detected' AS event_type, '{BATCH}' AS batch_id,
   CAST(amount AS DOUBLE) AS amount FROM {{v_transactions}} WHERE is_suspicious
 """
 
+BODIES["event_jsonl"] = f"""
+SELECT 'suspicious_transaction_detected' AS event_type, '{BATCH}' AS batch_id, transaction_id, customer_id,
+  account_id, transaction_date, channel, CAST(amount AS DOUBLE) AS amount
+FROM {{feed_transactions}} WHERE lower(is_suspicious) IN ('true', '1', 't', 'yes')
+"""
+
+BODIES["suspicious_event_stream"] = BODIES["suspicious_events"].replace(f"'{BATCH}' AS batch_id,", "")
+
 SUMMARY = """
 summary AS (
   SELECT CAST(customer_id AS VARCHAR) AS customer_id, count(*) AS suspicious_count,
@@ -702,6 +739,8 @@ SELECT segment, CAST(sum(total_outstanding_balance) AS DECIMAL(38,2)) AS total_o
 FROM exposure GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100
 """
 
+BODIES["guarded_query"] = BODIES["copilot_exposure_by_segment"]
+
 BODIES["copilot_suspicious_by_channel"] = "WITH " + DAILY.strip() + """
 SELECT transaction_date, channel, CAST(sum(suspicious_count) AS BIGINT) AS suspicious_count
 FROM daily GROUP BY 1, 2 ORDER BY 1 DESC, 2 LIMIT 100

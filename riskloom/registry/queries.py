@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from riskloom.functions import guard, rules, text
 from riskloom.operators import checks, contracts, dedupe, retrieval
 from riskloom.operators.sizing import spread
-from riskloom.plans import copilot, gold, marts, serving, silver, staging
-from riskloom.schemas import CONTRACTS, MODEL_TESTS, ModelTests
+from riskloom.plans import copilot, gold, layers, marts, serving, silver, staging
+from riskloom.schemas import CONTRACTS, EVENT, MODEL_TESTS, ModelTests
 from riskloom.session import scratch_path, tune
 from riskloom.sources import files, sinks
 from riskloom.sources.samples import Samples
@@ -121,6 +122,69 @@ def layer_manifest(s: Samples) -> DataFrame:
     return manifest.groupBy("batch_id", "layer", "table_name").agg(F.sum("row_count").alias("row_count"))
 
 
+@query
+def publish_bronze(s: Samples) -> DataFrame:
+    lake = scratch_path(s.spark, "lake")
+    for batch in (BATCH, BATCH.replace("2026", "2027"), BATCH):
+        sinks.publish_bronze({"transactions": s["feed_transactions"]}, lake, batch)
+    published = files.scan_layer(s.spark, lake, "bronze", "transactions")
+    return published.groupBy("batch_id", "channel").agg(
+        F.count(F.lit(1)).alias("row_count"), F.count_distinct("transaction_id").alias("ids")
+    )
+
+
+def _built_layers(s: Samples) -> str:
+    """A lake with one batch of every layer, built from CSV files of the raw tables."""
+    raw, lake = scratch_path(s.spark, "raw"), scratch_path(s.spark, "lake")
+    tables = {"customers": s["v_customers"], "loans": s["v_loans"], "transactions": s["feed_transactions"]}
+    for name, df in tables.items():
+        _texts(df).write.option("header", True).csv(f"{raw}/{name}.csv")
+    layers.build_layers(s.spark, raw, lake, BATCH, datetime(2026, 1, 1, tzinfo=UTC))
+    return lake
+
+
+@query
+def layers_gold_snapshot(s: Samples) -> DataFrame:
+    return files.scan_layer(s.spark, _built_layers(s), "gold", "customer_credit_snapshot").drop("batch_id")
+
+
+@query
+def layers_gold_monitoring(s: Samples) -> DataFrame:
+    return files.scan_layer(s.spark, _built_layers(s), "gold", "daily_transaction_monitoring").drop("batch_id")
+
+
+@query
+def layers_silver_loans(s: Samples) -> DataFrame:
+    return files.scan_layer(s.spark, _built_layers(s), "silver", "loans")
+
+
+@query
+def event_jsonl(s: Samples) -> DataFrame:
+    path = suspicious.write_event_batch(s["feed_transactions"], scratch_path(s.spark, "events"), BATCH)
+    schema = EVENT.replace("timestamp string", "batch_id string")
+    return files.scan_jsonl(s.spark, path, schema)
+
+
+@query
+def scan_register(s: Samples) -> DataFrame:
+    path = scratch_path(s.spark, "register")
+    landed = s["feed_register"].withColumn("DENOM_SOCIAL", F.concat("DENOM_SOCIAL", F.lit(" Ações")))
+    landed.write.option("header", True).option("sep", ";").option("encoding", "ISO-8859-1").csv(path)
+    return files.normalize_register(files.scan_register(s.spark, path))
+
+
+@query
+def index_corpus(s: Samples) -> DataFrame:
+    path = scratch_path(s.spark, "index")
+    vectors = s["embeddings"].select("vec_id", F.col("embedding").alias("vector"))
+    texts = s["documents"].select(F.col("doc_id").alias("vec_id"), "source", "text")
+    documents = vectors.join(texts, "vec_id")
+    sinks.index_corpus(documents, path)
+    sinks.index_corpus(documents.where("false"), path)
+    index = s.spark.read.parquet(path)
+    return index.select("vec_id", "source", F.size("vector").alias("dims"), F.length("text").alias("chars"))
+
+
 @query
 def scan_jsonl_audit(s: Samples) -> DataFrame:
     path = scratch_path(s.spark, "audit")
@@ -483,14 +547,19 @@ def suspicious_events(s: Samples) -> DataFrame:
     return suspicious.suspicious_event_batch(s["v_transactions"], BATCH)
 
 
-def _summary(s: Samples) -> DataFrame:
-    """Running totals after the event stream over the events file has been drained."""
+def _transaction_stream(s: Samples) -> DataFrame:
+    """The transactions as a stream over the events file."""
     stream = (
         s.spark.readStream.schema(s["events"].schema)
         .option("pathGlobFilter", "events.parquet")
         .parquet(s.sf_dir)
     )
-    events = suspicious.suspicious_only(Samples(s.spark, s.sf_dir, events=stream)["v_transactions"]).withColumn(
+    return Samples(s.spark, s.sf_dir, events=stream)["v_transactions"]
+
+
+def _summary(s: Samples) -> DataFrame:
+    """Running totals after the event stream over the events file has been drained."""
+    events = suspicious.suspicious_only(_transaction_stream(s)).withColumn(
         "timestamp", F.lit(None).cast("string")
     )
     path = scratch_path(s.spark, "summary")
@@ -499,6 +568,14 @@ def _summary(s: Samples) -> DataFrame:
     return suspicious.read_summary(s.spark, path)
 
 
+@query
+def suspicious_event_stream(s: Samples) -> DataFrame:
+    path = scratch_path(s.spark, "events")
+    events = suspicious.suspicious_events(_transaction_stream(s))
+    suspicious.publish_to_files(events, path, scratch_path(s.spark, "events-checkpoint")).awaitTermination()
+    return files.scan_jsonl(s.spark, path, EVENT).drop("timestamp")
+
+
 @query
 def streaming_suspicious_summary(s: Samples) -> DataFrame:
     return _summary(s)
@@ -626,6 +703,11 @@ def eval_summary(s: Samples) -> DataFrame:
     return copilot.eval_summary(_eval_results(s))
 
 
+@query
+def guarded_query(s: Samples) -> DataFrame:
+    return copilot.run_guarded(s.spark, copilot.EXPOSURE_BY_SEGMENT, marts={"mart_customer_exposure": exposure(s)})
+
+
 @query
 def copilot_exposure_by_segment(s: Samples) -> DataFrame:
     return copilot.exposure_by_segment(exposure(s))
