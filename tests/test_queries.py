@@ -7,8 +7,8 @@ import compare
 import pytest
 from conftest import SMALL
 
-QUERIES = entry_module.queries()
-ORACLE = entry_module.oracle_sql()
+from riskloom.registry.oracle import ORACLE
+from riskloom.registry.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +16,11 @@ def con():
     return compare.connect(SMALL)
 
 
+def test_every_query_is_registered():
+    assert QUERIES.items() <= entry_module.queries().items()
+    assert ORACLE.items() <= entry_module.oracle_sql().items()
+
+
 def test_every_query_has_its_sql():
     assert QUERIES.keys() == ORACLE.keys()
 
