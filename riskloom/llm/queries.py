@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import contamination, lines, mixing
+from riskloom.llm import chat, contamination, lines, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op7_benchmark_hits": contamination.op7_benchmark_hits,
+    "op9_chat_prefix_tree": chat.op9_chat_prefix_tree,
 }
 
-ORACLE: dict[str, str] = {**lines.ORACLE, **mixing.ORACLE, **contamination.ORACLE}
+ORACLE: dict[str, str] = {**lines.ORACLE, **mixing.ORACLE, **contamination.ORACLE, **chat.ORACLE}
