@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import chat, contamination, lines, mixing
+from riskloom.llm import chat, contamination, language, lines, mixing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": language.op2_language_id,
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_benchmark_hits": contamination.op7_benchmark_hits,
     "op9_chat_prefix_tree": chat.op9_chat_prefix_tree,
 }
