@@ -4,7 +4,7 @@ A sentence's score is logistic in the words it has; a document is toxic with the
 the product of their complements. The weights are trained from document labels through the noisy-or, so the sentences
 that explain the labels get the weight, and those sentences are what ``sentences`` locates in a document.
 
-A word has as features itself and its first three to five letters, which inflected forms share. ``FEATURES`` features
+A word has as features itself and its first three to eight letters, which inflected forms share. ``FEATURES`` features
 at most are kept: those that toxic training documents have more often, by the log-likelihood ratio. The classifier is
 fitted on ``TRAIN_DOCS`` labelled documents per label at most, in expectation, chosen by a hash of the id, in ``SHARDS``
 tasks that descend from shared weights and are averaged after each round; all of this is bounded by these parameters.
@@ -29,12 +29,13 @@ from pyspark.sql import functions as F
 from riskloom.llm.frames import held_out, table, written
 
 TRAIN_DOCS = 3_000
-FEATURES = 20_000
+FEATURES = 2_000
 SHARDS = 8
-ROUNDS = 4
-STEPS = 40
+ROUNDS = 3
+STEPS = 100
 RATE = 0.5
-DECAY = 1e-4
+DECAY = 3e-5
+MIN_DOCS, MIN_GAIN = 4, 6.0  # toxic training documents with a feature, and its log-likelihood ratio, at least
 THRESHOLD = 0.7
 CACHE = 500_000
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -43,7 +44,7 @@ WORDS = re.compile(r"[^\W\d_]+")
 
 def word_features(word: str) -> list[str]:
     """A word and, marked, its beginnings."""
-    return [word, *(f"^{word[:k]}" for k in (3, 4, 5) if len(word) >= k)]
+    return [word, *(f"^{word[:k]}" for k in range(3, 9) if len(word) >= k)]
 
 
 def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,8 +94,8 @@ def descend(bags: list, labels: np.ndarray, weights: np.ndarray, steps: int) ->
         z = bias + np.bincount(sentence_of, weights[feature_of], at)
         mass = np.bincount(bag_of, _softplus(z), len(bags)) + plain * _softplus(bias)
         # d loss / d mass: one for clean documents, minus the odds of the complement for toxic ones.
-        pull = share * np.where(labels == 1, -1.0 / np.expm1(np.maximum(mass, 1e-12)), 1.0)
-        sigma = 1.0 / (1.0 + np.exp(-z))
+        pull = share * np.where(labels == 1, -1.0 / np.expm1(np.clip(mass, 1e-12, 500.0)), 1.0)
+        sigma = 1.0 / (1.0 + np.exp(-np.clip(z, -500.0, 500.0)))
         slope = np.zeros(len(weights))
         own = pull[bag_of] * sigma if at else np.zeros(0)
         slope[:-1] = np.bincount(feature_of, own[sentence_of], len(weights) - 1) if at else 0.0
@@ -130,13 +131,15 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> t
         return F.when(n > 0, n * F.log(n / expected)).otherwise(F.lit(0.0))
 
     gain = part(F.col("bad"), seen * share) + part(F.col("good"), seen * (1 - share))
-    best = counts.where((F.col("bad") > seen * share) & (F.col("bad") >= 2)).orderBy(F.desc(gain), "feature")
+    telling = (F.col("bad") > seen * share) & (F.col("bad") >= MIN_DOCS) & (gain > MIN_GAIN)
+    best = counts.where(telling).orderBy(F.desc(gain), "feature")
     features = [r["feature"] for r in best.limit(FEATURES).select("feature").collect()]
     place = {f: k for k, f in enumerate(features)}
 
     def trained(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Iterator[pa.RecordBatch]:
-        rows = sorted((row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "toxic")))),
-                      key=lambda r: (r[0], r[2], r[1]))
+        names = ("doc_id", "text", "toxic")
+        rows = sorted((row for b in batches for row in zip(*(b.column(c).to_pylist() for c in names))),
+                      key=lambda r: (str(r[0]), r[2], r[1]))
         bags = [[[place[f] for w in WORDS.findall(s) for f in word_features(w) if f in place]
                  for s in SENTENCE.findall(text.lower())] for _, text, _ in rows]
         kept = [k for k, bag in enumerate(bags) if bag]
@@ -147,7 +150,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> t
 
     weights = np.zeros(len(features) + 1)
     weights[-1] = -5.0
-    shards = max(1, min(SHARDS, (size[0] + size[1]) // 200))
+    shards = max(1, min(SHARDS, (size[0] + size[1]) // 1_000))
     dealt = sample.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).repartition(shards, "shard")
     dealt = written(dealt.select("doc_id", "text", "toxic", "shard"), "toxic-shards")
 
@@ -188,7 +191,7 @@ class Scorer:
         for found in SENTENCE.finditer(text or ""):
             worth = sum(self.word(w) for w in WORDS.findall(found[0].lower()))
             if worth:
-                out.append((found.start(), found.end(), float(1.0 / (1.0 + np.exp(-(self.bias + worth))))))
+                out.append((found.start(), found.end(), float(1.0 / (1.0 + np.exp(-np.clip(self.bias + worth, -500.0, 500.0))))))
         return out
 
     def score(self, text: str | None) -> float:
