@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import chat, contamination, language, lines, mixing, toxicity
+from riskloom.llm import chat, contamination, language, lines, mixing, near, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": language.op2_language_id,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_benchmark_hits": contamination.op7_benchmark_hits,
     "op9_chat_prefix_tree": chat.op9_chat_prefix_tree,
+    "op10_near_groups": near.op10_near_groups,
 }
 
-ORACLE: dict[str, str] = {**lines.ORACLE, **mixing.ORACLE, **contamination.ORACLE, **chat.ORACLE}
+ORACLE: dict[str, str] = {**lines.ORACLE, **mixing.ORACLE, **contamination.ORACLE, **chat.ORACLE, **near.ORACLE}
