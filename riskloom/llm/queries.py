@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import chat, contamination, language, lines, mixing, near, toxicity
+from riskloom.llm import chat, contamination, language, lines, mixing, near, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": substring.op1_substring_dedup,
     "op2_language_id": language.op2_language_id,
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_mix_sources": mixing.op5_mix_sources,
@@ -18,4 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_groups": near.op10_near_groups,
 }
 
-ORACLE: dict[str, str] = {**lines.ORACLE, **mixing.ORACLE, **contamination.ORACLE, **chat.ORACLE, **near.ORACLE}
+ORACLE: dict[str, str] = {
+    **substring.ORACLE, **lines.ORACLE, **mixing.ORACLE, **contamination.ORACLE, **chat.ORACLE, **near.ORACLE,
+}
