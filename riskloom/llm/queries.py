@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import chat, contamination, language, lines, mixing, near, substring, toxicity
+from riskloom.llm import chat, contamination, fingerprint, language, lines, mixing, near, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_benchmark_hits": contamination.op7_benchmark_hits,
+    "op8_lz_fingerprint": fingerprint.op8_lz_fingerprint,
     "op9_chat_prefix_tree": chat.op9_chat_prefix_tree,
     "op10_near_groups": near.op10_near_groups,
 }
