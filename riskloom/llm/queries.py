@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import chat, contamination, fingerprint, language, lines, mixing, near, substring, toxicity
+from riskloom.llm import chat, contamination, fingerprint, language, lines, mixing, near, quality, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring.op1_substring_dedup,
     "op2_language_id": language.op2_language_id,
+    "op3_quality": quality.op3_quality,
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_toxicity": toxicity.op6_toxicity,
