@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.frames import table, written
+from riskloom.llm.frames import lean, table, written
 
 ESCAPES = (("\\", "\\b"), ("<", "\\l"), (">", "\\g"))
 OPEN, OPENED, CLOSED = "<turn ", ">\n", "\n</turn>\n"
@@ -84,6 +84,7 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def ranked_paths(rows: DataFrame) -> DataFrame:
     """``(conv_id, path, pieces, learned, rank)``: conversations with ``rank`` rising in depth-first order."""
+    lean(rows.sparkSession)
     turns = format_turns(rows).select("conv_id", F.col("turns.piece").alias("pieces"),
                                       F.col("turns.learned").alias("learned"))
     paths = written(turns.mapInArrow(_named, PATH.format(id=turns.schema["conv_id"].dataType.simpleString())),

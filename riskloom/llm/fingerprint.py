@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.frames import table, written
+from riskloom.llm.frames import lean, table, written
 from riskloom.llm.text import BASE, blocks, mix, powers
 
 SLOTS = 128
@@ -131,6 +131,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     ``docs(doc_id, text)`` is read in descending order of the id, an integer. The edited text of a document has its second half
     replaced with as much of the next document's beginning.
     """
+    lean(docs.sparkSession)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held = Hasher(), None

@@ -14,6 +14,8 @@ from riskloom.session import scratch_path
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+BATCH_BYTES = 8 * 1024 * 1024
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
@@ -34,6 +36,14 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+def lean(spark: SparkSession) -> None:
+    """Bounds the batches that rows with whole texts travel to Python in, for the rest of the session.
+
+    Batches are made when a plan runs, so the setting has to outlast the call that builds the plan.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the shared scratch folder, which cuts its lineage and outlives lost executors.
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.frames import held_out, table, written
+from riskloom.llm.frames import held_out, lean, table, written
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 TRAIN_DOCS = 1_500
@@ -181,6 +181,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS, train_docs: int = TRAIN_DOCS) -> tuple:
     """``(languages, pieces, model)`` from ``docs(doc_id, lang, text)``; the model has a row per language."""
+    lean(docs.sparkSession)
     pieces = vocabulary(path)
     labelled = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rates = written(labelled.groupBy("lang").agg((F.lit(float(train_docs)) / F.count(F.lit(1))).alias("rate")),

@@ -7,7 +7,7 @@ larger ones of its parts, and two sets agree in a register with a probability cl
 Documents of equal sets form a class, which is linked as a whole. Classes that agree in all registers of one of ``BANDS``
 bands share a bucket; at similarity 0.8 a pair misses all of them with probability 1.4e-7. Within a bucket, pairs are
 not enumerated: some members are pivots, which are compared with all members. Members that thereby come into one
-component need no link of their own; the others go into the next round with four times the pivots, until every pair of a
+component need no link of their own; the others go into the next round with eight times the pivots, until every pair of a
 bucket is compared or lies in one component. A pair's similarity is estimated from both sketches by the likelihood of
 its larger, smaller and equal registers; pairs that it leaves possible are confirmed on the full sets.
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.frames import table, written
+from riskloom.llm.frames import lean, table, written
 from riskloom.llm.text import blocks, hashed, mix
 
 SHINGLE = 2  # words; the pipeline takes 5
@@ -207,6 +207,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_links(documents: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, sign, n, cid)`` of every row of ``documents(doc_id, text)``, and ``(cid, comp)`` of linked classes."""
+    lean(documents.sparkSession)
     signed = documents.select("doc_id", F.xxhash64("text").alias("sign"), "text")
     sketches = written(sketch(signed, size), "near-sketches")
     linked = sketches.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
@@ -251,7 +252,7 @@ def near_links(documents: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, Da
         if open_buckets.isEmpty():
             return sketches.select("doc_id", "sign", "n", "cid"), labels
         members = written(left.join(open_buckets, "bucket"), "near-members")
-        pivots_per_bucket *= 4
+        pivots_per_bucket *= 8
 
 
 def _confirm(likely: DataFrame, classes: DataFrame, signed: DataFrame, size: int) -> DataFrame:

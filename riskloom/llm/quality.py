@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.frames import table, written
+from riskloom.llm.frames import lean, table, written
 from riskloom.llm.text import blocks, flat
 
 ORDER = 4
@@ -195,6 +195,7 @@ def thresholds(scores: DataFrame, quantile: float = QUANTILE) -> DataFrame:
 
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """``(doc_id, lang, perplexity, threshold, keep)`` of every row of ``docs(doc_id, lang, text)``."""
+    lean(docs.sparkSession)
     scores = written(perplexity(docs, learn(docs, labels)), "quality-scores")
     limits = written(thresholds(trusted_rows(scores, labels), quantile), "quality-limits")
     own = limits.where(F.col("lang") != EVERY).withColumnRenamed("lang", "own_lang")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.frames import table, written
+from riskloom.llm.frames import lean, table, written
 from riskloom.llm.text import BASE, blocks, hashed, mix
 
 WINDOW = 13
@@ -181,6 +181,7 @@ def without_repeats(documents: DataFrame, window: int = WINDOW, seed: int = SEED
 
     ``kept`` are the words that stay, joined by one space; ``repeats`` the maximal repeats as word intervals.
     """
+    lean(documents.sparkSession)
     runs = written(_per_document(repeats(documents, window, seed)), "repeat-runs")
     met = _with_text(_signed(documents), runs, "left")
 

@@ -13,7 +13,7 @@ SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 BASE = np.uint64(0x9E3779B97F4A7C15)
-BLOCK = 2_000_000  # bytes of text worked on at once; a longer text is a block of its own
+BLOCK = 1_000_000  # bytes of text worked on at once; a longer text is a block of its own
 POWERS = 1 << 16
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.frames import held_out, table, written
+from riskloom.llm.frames import held_out, lean, table, written
 
 TRAIN_DOCS = 3_000
 FEATURES = 2_000
@@ -108,6 +108,7 @@ def descend(bags: list, labels: np.ndarray, weights: np.ndarray, steps: int) ->
 
 def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple:
     """``(features, weights, bias)`` from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``."""
+    lean(docs.sparkSession)
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out("doc_id")).select(
         F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
