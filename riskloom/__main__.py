@@ -46,12 +46,12 @@ def parser() -> argparse.ArgumentParser:
         for option, default in optional.items():
             sub.add_argument(f"--{option.replace('_', '-')}", default=default)
 
-    job("validate", "input", "contract")
+    job("validate", "input", "contract", multi_line=None)
     job("bronze", "raw", "lake", batch_id=None)
-    job("layers", "raw", "lake", batch_id=None)
+    job("layers", "raw", "lake", batch_id=None, multi_line=None)
     job("silver", "lake")
     job("gold", "lake")
-    job("load", "raw", audit=None)
+    job("load", "raw", audit=None, multi_line=None)
     job("marts")
     job("test")
     job("publish", "input", "output", "checkpoint")
@@ -67,13 +67,13 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         contract = CONTRACTS.get(args.contract)
         if contract is None:
             contract = Contract.from_json(spark.read.text(args.contract, wholetext=True).first()["value"])
-        passed, lines = warehouse.validate_csv(spark, args.input, contract)
+        passed, lines = warehouse.validate_csv(spark, args.input, contract, bool(args.multi_line))
         print("\n".join(lines))
         return 0 if passed else 1
     if args.job == "bronze":
         print(json.dumps(sinks.publish_bronze(files.scan_raw(spark, args.raw), args.lake, args.batch_id)))
     elif args.job == "layers":
-        built = build_layers(spark, args.raw, args.lake, args.batch_id)
+        built = build_layers(spark, args.raw, args.lake, args.batch_id, multi_line=bool(args.multi_line))
         print(json.dumps({"batch_id": built.batch_id, "tables": built.tables, "manifest": built.manifest_path}))
     elif args.job == "silver":
         for table in PRIMARY_KEYS:
@@ -81,7 +81,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
     elif args.job == "gold":
         silver_to_gold(spark, args.lake)
     elif args.job == "load":
-        sinks.load_warehouse(spark, args.raw).show(truncate=False)
+        sinks.load_warehouse(spark, args.raw, bool(args.multi_line)).show(truncate=False)
         if args.audit:
             sinks.load_table(sinks.load_audit(spark, args.audit), "ai_copilot_audit")
     elif args.job == "marts":
@@ -92,8 +92,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
             print("PASS" if row["passed"] else "FAIL", row["test_name"], row["failures"])
         return 0 if all(row["passed"] for row in results) else 1
     elif args.job == "publish":
-        header = spark.read.option("header", True).csv(args.input).schema
-        stream = spark.readStream.schema(header).option("header", True).csv(args.input)
+        header = spark.read.options(header=True, escape='"').csv(args.input).schema
+        stream = spark.readStream.schema(header).options(header=True, escape='"').csv(args.input)
         suspicious.publish_to_files(
             suspicious.suspicious_events(stream), args.output, args.checkpoint
         ).awaitTermination()

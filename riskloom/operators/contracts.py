@@ -59,13 +59,13 @@ def not_null_counts(df: DataFrame, contract: Contract) -> DataFrame:
 def duplicate_rows(df: DataFrame, column: str, row_id: str) -> DataFrame:
     """Every row after the first that repeats a value, first being the smallest ``row_id``.
 
-    The first row per value is a map-side combined minimum, and the join back keeps hot values out of the shuffle, so
-    a value held by a large part of the rows never meets in one task.
+    The first row per value is a map-side combined minimum, and the join back splits hot values, so a value held by a
+    large part of the rows never meets in one task.
     """
     rows = df.select(F.col(row_id).alias("row_id"), _raw(column).alias("value"))
     counted = rows.groupBy("value").agg(F.min("row_id").alias("first_row_id"), F.count(F.lit(1)).alias("n"))
     repeated = counted.where("n > 1").select("value", "first_row_id")
-    joined = join_lookup(rows, repeated, "value", counted.select("value", "n"))
+    joined = join_lookup(rows, repeated, "value")
     return joined.where("row_id > first_row_id").select("row_id", "value")
 
 

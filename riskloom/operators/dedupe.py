@@ -11,9 +11,11 @@ def distinct_rows(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-def one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Any one row per key."""
-    return df.dropDuplicates(keys)
+def one_per_key(df: DataFrame, keys: list[str], newest_first: list | None = None) -> DataFrame:
+    """One row per key: the newest, and among equally new ones the smallest by its other columns, so a rerun agrees."""
+    others = [F.asc_nulls_last(F.col(f"`{name}`")) for name in df.columns if name not in keys]
+    order = [*(newest_first or []), *others]
+    return latest_per_key(df, keys, order) if order else df.dropDuplicates(keys)
 
 
 def latest_per_key(df: DataFrame, keys: list[str], newest_first: list) -> DataFrame:

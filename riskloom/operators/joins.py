@@ -5,45 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# How many of the most frequent keys are treated as hot. Fewer keys than this can hold more than one in this many rows,
-# so every key of that weight is among them.
-HOT_KEYS = 10_000
+from riskloom.operators.sizing import fits
+from riskloom.session import staged
 
-# Rows of a hot key that one task takes in a join that splits it.
+# Rows of a hot key that one task takes.
 SPLIT_ROWS = 1_000_000
 
 
-def _most_frequent(counts: DataFrame, key: str) -> DataFrame:
-    """The rows of ``counts(key, n)`` with the most frequent keys; equal counts go by key, so a rerun agrees."""
-    return counts.orderBy(F.desc("n"), F.asc(key)).limit(HOT_KEYS)
+def _hot(rows: DataFrame, key: str, split_rows: int) -> DataFrame:
+    """``(_hash, _parts)``: the keys with more than ``split_rows`` rows, by hash, and into how many parts they go.
+
+    There is at most one for every ``split_rows`` rows, and each takes 16 bytes: 16 MB for 10**12 rows. That bound is
+    what allows the broadcast. Keys are counted before the shuffle.
+    """
+    counts = rows.groupBy(F.xxhash64(key).alias("_hash")).agg(F.count(F.lit(1)).alias("_n"))
+    parts = F.ceil(F.col("_n") / split_rows).cast("int")
+    return F.broadcast(counts.where(F.col("_n") > split_rows).select("_hash", parts.alias("_parts")))
+
+
+def join_split(
+    rows: DataFrame, other: DataFrame, key: str, by: str | list[str], split_rows: int = SPLIT_ROWS, how: str = "inner"
+) -> DataFrame:
+    """Join two sides that may both repeat a key, with the rows of each hot key of ``rows`` spread over many tasks.
+
+    A hot key's rows are split by a hash of ``by``, which stays the same when a task is run again, into as many parts
+    as it has ``split_rows`` rows; the other side repeats its rows of that key once per part. All other keys have one
+    part. ``how`` is inner or left; a null key has no partner, but its rows are spread like any other's.
+    """
+    hot = _hot(rows, key, split_rows)
+    parts = F.coalesce("_parts", F.lit(1))
+    columns = [by] if isinstance(by, str) else by
+    left = rows.withColumn("_hash", F.xxhash64(key)).join(hot, "_hash", "left")
+    left = left.withColumn("_part", F.pmod(F.xxhash64(*columns), parts).cast("int")).drop("_parts", "_hash")
+    right = other.withColumn("_hash", F.xxhash64(key)).join(hot, "_hash", "left")
+    right = right.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts", "_hash")
+    return left.join(right, [key, "_part"], how).drop("_part")
 
 
-def join_lookup(rows: DataFrame, lookup: DataFrame, key: str, counts: DataFrame, how: str = "inner") -> DataFrame:
+def join_lookup(
+    rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", split_rows: int = SPLIT_ROWS
+) -> DataFrame:
     """Join ``rows`` to ``lookup``, which has at most one row per key; ``how`` is inner or left.
 
-    ``counts(key, n)`` says how many rows each key has. AQE splits a hot partition only where both sides come straight
-    from a shuffle, which an aggregated lookup does not. So the hot keys are looked up by broadcast, without moving
-    their rows, and all other keys by a shuffle join.
+    AQE splits a hot partition only where both sides come straight from a shuffle, which an aggregated lookup does not,
+    so the rows of a hot key are spread by a hash of the whole row.
     """
-    hot = F.broadcast(_most_frequent(counts, key).select(key))
-    hot_lookup = F.broadcast(lookup.join(hot, key, "left_semi"))
-    hot_rows = rows if how == "inner" else rows.join(hot, key, "left_semi")
-    apart = hot_rows.join(hot_lookup, key, how)
-    rest = rows.join(hot, key, "left_anti").join(lookup, key, how)
-    return apart.unionByName(rest)
+    return join_split(rows, lookup, key, rows.columns, split_rows, how)
 
 
-def join_split(rows: DataFrame, other: DataFrame, key: str, by: str, split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """Inner join of two sides that may both repeat a key, with the rows of each hot key spread over many tasks.
+def join_measured(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``rows``, one row per key, and ``found``, which is broadcast where it is measured to be small.
 
-    A hot key's rows are split by a hash of ``by``, which stays the same when a task is run again, into as many parts
-    as it has ``split_rows`` rows; the other side repeats its rows of that key once per part. All other keys are joined
-    as they are.
+    ``found`` is written first, so that it is computed once, and what is measured is what is broadcast. A larger one
+    is joined by shuffle, with its hot keys split.
     """
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    parts = F.ceil(F.col("n") / split_rows).cast("int")
-    hot = F.broadcast(_most_frequent(counts.where(F.col("n") > split_rows), key).select(key, parts.alias("_parts")))
-    parts = F.coalesce("_parts", F.lit(1))
-    left = rows.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int"))
-    right = other.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return left.drop("_parts").join(right.drop("_parts"), [key, "_part"]).drop("_part")
+    found = staged(found, "found")
+    return rows.join(F.broadcast(found), key) if fits(found) else join_lookup(found, rows, key)

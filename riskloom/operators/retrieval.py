@@ -1,9 +1,14 @@
-"""Top-k retrieval of documents for a table of questions, by keyword and by vector."""
+"""Top-k retrieval of documents for a table of questions, by keyword and by vector.
+
+Both score blocks of queries against packs of documents: queries are dealt into blocks of bounded size, documents are
+packed within their tasks, and every pack meets every block once. A pack and block emit the best ``top_k`` documents
+per query, never all pairs, and nothing passes through the driver but the number of queries.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,12 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.text import compact, is_blank, tokens
-from riskloom.operators.joins import join_lookup, join_split
-from riskloom.operators.sizing import fits
+from riskloom.operators.joins import join_measured
 from riskloom.operators.topk import top_per_group
 
-# Question vectors held by one scoring pass.
-VECTOR_BLOCK = 1024
+# Queries scored together, and documents in a pack.
+QUERY_BLOCK = 512
+PACK_ROWS = 2048
 
 
 def corpus_documents(files: DataFrame, extensions: tuple[str, ...]) -> DataFrame:
@@ -27,129 +32,169 @@ def corpus_documents(files: DataFrame, extensions: tuple[str, ...]) -> DataFrame
     )
 
 
-def question_terms(questions: DataFrame) -> DataFrame:
-    """``(question, term, weight)``: how often each question uses each term."""
-    return (
-        questions.select("question")
-        .distinct()
-        .select("question", F.explode(tokens(F.col("question"))).alias("term"))
-        .groupBy("question", "term")
-        .agg(F.count(F.lit(1)).alias("weight"))
-    )
+def _blocks(queries: DataFrame, key: str, block: int) -> tuple[DataFrame, int]:
+    """One row per block of about ``block`` queries, dealt by a hash of ``key``, and the number of blocks."""
+    parts = max(1, -(-queries.count() // block))
+    numbered = queries.withColumn("block", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+    return numbered.groupBy("block").agg(F.collect_list(F.struct(*queries.columns)).alias("queries")), parts
 
 
-def keyword_scores(terms: DataFrame, corpus: DataFrame, small: bool) -> DataFrame:
-    """``(question, source, score)`` of every match: occurrences of each question term, counted once per use.
+def _scored(packs: DataFrame, blocks: DataFrame, parts: int, score: Callable, schema: str) -> DataFrame:
+    """``score`` of every pack with every block.
 
-    ``small`` says that the terms have been measured and may be broadcast.
+    A pack is copied once per block and meets it by an equality join; salts keep one block's packs in many tasks where
+    Spark does not broadcast the blocks.
     """
-    words = corpus.select("source", F.explode(tokens(F.col("text"))).alias("term"))
-    if small:
-        # The join drops every other word inside the scan's stage; only matched sums are shuffled.
-        matched = words.join(F.broadcast(terms), "term")
-    else:
-        # Count each document's words once; a term that many documents share is split over many tasks.
-        postings = words.groupBy("source", "term").agg(F.count(F.lit(1)).alias("uses"))
-        matched = join_split(postings, terms, "term", "source").withColumn("weight", F.col("weight") * F.col("uses"))
-    return matched.groupBy("question", "source").agg(F.sum("weight").alias("score"))
-
-
-def keyword_topk(
-    questions: DataFrame, corpus: DataFrame, top_k: int = 4, small: bool | None = None
-) -> DataFrame:
+    salts = 2 * packs.sparkSession.sparkContext.defaultParallelism
+    left = packs.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
+    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, ["block", "salt"]).drop("block", "salt").mapInArrow(score, schema)
+
+
+def _best(scores: np.ndarray, names: list, top_k: int) -> np.ndarray:
+    """Rows with the highest scores, equal ones by name."""
+    rows = np.arange(len(scores))
+    if len(scores) > top_k:
+        cut = np.partition(scores, len(scores) - top_k)[len(scores) - top_k]
+        rows = np.flatnonzero(scores >= cut)
+    return np.array(sorted(rows, key=lambda i: (-scores[i], names[i]))[:top_k], dtype=int)
+
+
+def _word_packs(corpus: DataFrame) -> DataFrame:
+    """``(ids, terms, ends, places, uses)``: documents in packs, each with its words counted once."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms: dict[str, int] = {}
+            ends, places, uses = [], [], []
+            for words in batch.column("words").to_pylist():
+                for word, n in Counter(words or ()).items():
+                    places.append(terms.setdefault(word, len(terms)))
+                    uses.append(n)
+                ends.append(len(places))
+            if ends:
+                row = {"ids": [batch.column("source").to_pylist()], "terms": [list(terms)], "ends": [ends],
+                       "places": [places], "uses": [uses]}
+                yield pa.RecordBatch.from_pydict(row, schema=pa.schema([
+                    ("ids", pa.list_(pa.string())), ("terms", pa.list_(pa.string())), ("ends", pa.list_(pa.int32())),
+                    ("places", pa.list_(pa.int32())), ("uses", pa.list_(pa.int32()))]))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return packed(b.slice(at, PACK_ROWS) for b in batches for at in range(0, b.num_rows, PACK_ROWS))
+
+    words = corpus.select("source", tokens(F.col("text")).alias("words"))
+    return words.mapInArrow(
+        split, "ids array<string>, terms array<string>, ends array<int>, places array<int>, uses array<int>")
+
+
+def keyword_topk(questions: DataFrame, corpus: DataFrame, top_k: int = 4, block: int = QUERY_BLOCK) -> DataFrame:
     """``(question, source, score, rank)``: per distinct question its best documents, by score and then source.
 
-    The question terms are measured unless the caller already did.
+    The score counts the occurrences of each question word, once per use in the question. ``corpus`` has one row per
+    source; a document is scored within its row, and the cut to ``top_k`` comes before the only shuffle of scores.
     """
-    terms = question_terms(questions)
-    scored = keyword_scores(terms, corpus, fits(terms) if small is None else small)
+    asked = questions.select("question").distinct().select("question", tokens(F.col("question")).alias("words"))
+    blocks, parts = _blocks(asked.where(F.size("words") > 0), "question", block)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {"question": [], "source": [], "score": []}
+            for row in batch.to_pylist():
+                place = {term: k for k, term in enumerate(row["terms"])}
+                weights = np.zeros((len(place), len(row["queries"])), dtype=np.int64)
+                for q, query in enumerate(row["queries"]):
+                    for word, n in Counter(query["words"]).items():
+                        if word in place:
+                            weights[place[word], q] = n
+                used = weights.any(axis=1)
+                scores = np.zeros((len(row["ids"]), len(row["queries"])), dtype=np.int64)
+                begin, places, uses = 0, np.array(row["places"], dtype=int), np.array(row["uses"], dtype=np.int64)
+                for d, end in enumerate(row["ends"]):
+                    own, n = places[begin:end], uses[begin:end]
+                    own, n = own[used[own]], n[used[own]]
+                    scores[d] = n @ weights[own]
+                    begin = end
+                for q, query in enumerate(row["queries"]):
+                    for d in _best(scores[:, q], row["ids"], top_k):
+                        if scores[d, q] > 0:
+                            found["question"].append(query["question"])
+                            found["source"].append(row["ids"][d])
+                            found["score"].append(int(scores[d, q]))
+            yield pa.RecordBatch.from_pydict(found, schema=pa.schema(
+                [("question", pa.string()), ("source", pa.string()), ("score", pa.int64())]))
+
+    scored = _scored(_word_packs(corpus), blocks, parts, score, "question string, source string, score bigint")
     return top_per_group(scored, "question", [F.desc("score"), F.asc("source")], top_k)
 
 
-def with_text(hits: DataFrame, documents: DataFrame, key: str, small: bool) -> DataFrame:
+def with_text(hits: DataFrame, documents: DataFrame, key: str) -> DataFrame:
     """Add the compacted text of each hit; ``documents(<key>, text)`` has one row per key.
 
-    Where the caller knows the hits to be few (``small``) they are broadcast to the scan of the documents; else a
-    shuffle join keeps popular documents apart.
+    Texts are compacted before they meet the hits, and a document that many hits name is split over tasks.
     """
-    texts = documents.select(key, "text")
-    if small:
-        found = texts.join(F.broadcast(hits), key)
-    else:
-        counts = hits.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-        found = join_lookup(hits, texts, key, counts)
-    return found.select(*hits.columns, compact(F.col("text")).alias("text"))
+    texts = documents.select(key, compact(F.col("text")).alias("text"))
+    return join_measured(texts, hits, key).select(*hits.columns, "text")
 
 
 def retrieve_context(questions: DataFrame, corpus: DataFrame, top_k: int = 4) -> DataFrame:
-    """``(question, source, score, rank, text)``: per distinct question its best documents and their compacted text.
+    """``(question, source, score, rank, text)``: per distinct question its best documents and their compacted text."""
+    return with_text(keyword_topk(questions, corpus, top_k), corpus, "source")
 
-    A question has at least one term where it has a hit, so terms within the bounds mean few hits.
-    """
-    small = fits(question_terms(questions))
-    return with_text(keyword_topk(questions, corpus, top_k, small), corpus, "source", small)
 
+def _vector_packs(corpus: DataFrame) -> DataFrame:
+    """``(ids, width, vectors)``: vectors in packs, one after another."""
+    kind = corpus.schema["vec_id"].dataType.simpleString()
 
-def _scan_block(corpus: DataFrame, block: list, top_k: int) -> DataFrame:
-    """Best vectors of each batch for one block of queries; numpy multiplies whole Arrow batches.
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PACK_ROWS):
+                part = batch.slice(at, PACK_ROWS)
+                flat = part.column("vector").flatten().cast(pa.float64())
+                ids = part.column("vec_id")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                     pa.array([len(flat) // len(ids)], pa.int32()),
+                     pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)],
+                    names=["ids", "width", "vectors"])
 
-    The task function refers to nothing of this package, so executors need numpy and pyarrow only.
-    """
-    names = [row["query_id"] for row in block]
-    matrix = np.array([row["vector"] for row in block], dtype="float64")
-    lengths = np.linalg.norm(matrix, axis=1)
-    matrix = (matrix / np.where(lengths > 0, lengths, 1.0)[:, None]).T
+    rows = corpus.select("vec_id", "vector").where("vector is not null")
+    return rows.mapInArrow(packed, f"ids array<{kind}>, width int, vectors array<double>")
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
-            ids = ids.astype(str) if ids.dtype == object else ids
-            flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype("float64")
-            vectors = flat.reshape(len(ids), matrix.shape[0])
-            norms = np.linalg.norm(vectors, axis=1)
-            cosines = np.round((vectors / np.where(norms > 0, norms, 1.0)[:, None]) @ matrix, 6)
-            found = {"query_id": [], "vec_id": [], "cosine": []}
-            for q, name in enumerate(names):
-                column = cosines[:, q]
-                rows = np.arange(len(ids))
-                if len(ids) > top_k:
-                    cut = np.partition(column, len(ids) - top_k)[len(ids) - top_k]
-                    rows = np.flatnonzero(column >= cut)
-                # Equal cosines go by id, so copies of a vector are cut the same way in every batch.
-                rows = rows[np.lexsort((ids[rows], -column[rows]))[:top_k]]
-                found["query_id"] += [name] * len(rows)
-                found["vec_id"] += ids[rows].tolist()
-                found["cosine"] += column[rows].tolist()
-            yield pa.RecordBatch.from_pydict(found)
-
-    kinds = dict(corpus.dtypes)
-    query_type = "bigint" if isinstance(names[0], int) else "string"
-    return corpus.mapInArrow(best, f"query_id {query_type}, vec_id {kinds['vec_id']}, cosine double")
-
-
-def vector_topk(queries: DataFrame, corpus: DataFrame, top_k: int = 3, block: int = VECTOR_BLOCK) -> DataFrame:
+
+def vector_topk(queries: DataFrame, corpus: DataFrame, top_k: int = 3, block: int = QUERY_BLOCK) -> DataFrame:
     """``(query_id, vec_id, cosine, score, rank)``: per query its nearest vectors by cosine.
 
-    ``queries(query_id, vector)`` is read in blocks of at most ``block`` vectors, each scored in one scan of
-    ``corpus(vec_id, vector)``. A task emits ``top_k`` rows per query and batch, never all pairs. The cosine is
-    rounded to six digits before ranking, so copies of a vector tie and the smaller id wins.
+    A query without an id or a vector is an error; an id with several vectors takes the best cosine of them; a corpus
+    row without a vector can't be found. The cosine is rounded to six digits before ranking, so copies of a vector tie
+    and the smaller id wins.
     """
-    parts, last = [], None
-    ordered = queries.where("query_id IS NOT NULL AND vector IS NOT NULL").orderBy("query_id")
-    while True:
-        rest = ordered if last is None else ordered.where(F.col("query_id") > F.lit(last))
-        rows = rest.limit(block).collect()
-        if rows:
-            parts.append(_scan_block(corpus.select("vec_id", "vector").where("vector is not null"), rows, top_k))
-        if len(rows) < block:
-            break
-        last = rows[-1]["query_id"]
-    if not parts:
-        return corpus.sparkSession.createDataFrame(
-            [], "query_id bigint, vec_id bigint, cosine double, score int, rank int"
-        )
-    best = reduce(DataFrame.unionByName, parts)
+    whole = F.col("query_id").isNotNull() & F.col("vector").isNotNull()
+    checked = F.when(whole, F.col("query_id")).otherwise(F.raise_error(F.lit("a query lacks its id or vector")))
+    asked = queries.select(checked.alias("query_id"), F.col("vector").cast("array<double>").alias("vector")).distinct()
+    blocks, parts = _blocks(asked, "query_id", block)
+    kinds = {"query_id": queries.schema["query_id"].dataType, "vec_id": corpus.schema["vec_id"].dataType}
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                ids, asked = row.column("ids")[0].as_py(), row.column("queries")[0].as_py()
+                vectors = row.column("vectors").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+                matrix = np.array([query["vector"] for query in asked], dtype="float64")
+                lengths, norms = np.linalg.norm(matrix, axis=1), np.linalg.norm(vectors, axis=1)
+                matrix = (matrix / np.where(lengths > 0, lengths, 1.0)[:, None]).T
+                cosines = np.round((vectors / np.where(norms > 0, norms, 1.0)[:, None]) @ matrix, 6)
+                found = {"query_id": [], "vec_id": [], "cosine": []}
+                for q, query in enumerate(asked):
+                    rows = _best(cosines[:, q], ids, top_k)
+                    found["query_id"] += [query["query_id"]] * len(rows)
+                    found["vec_id"] += [ids[d] for d in rows]
+                    found["cosine"] += cosines[rows, q].tolist()
+                yield pa.RecordBatch.from_pydict(found)
+
+    schema = ", ".join(f"{name} {kind.simpleString()}" for name, kind in kinds.items()) + ", cosine double"
+    best = _scored(_vector_packs(corpus), blocks, parts, score, schema)
+    best = best.groupBy("query_id", "vec_id").agg(F.max("cosine").alias("cosine"))
     ranked = top_per_group(best, "query_id", [F.desc("cosine"), F.asc("vec_id")], top_k)
     return ranked.select("query_id", "vec_id", "cosine", (F.col("cosine") * 100).cast("int").alias("score"), "rank")

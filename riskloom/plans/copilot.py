@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.guard import guard
+from riskloom.functions.relations import check_relations
 from riskloom.operators.joins import join_lookup
-from riskloom.operators.retrieval import keyword_topk, question_terms
+from riskloom.operators.retrieval import keyword_topk
 from riskloom.operators.sizing import fits
 from riskloom.operators.topk import top_overall
 from riskloom.plans.marts import money
 from riskloom.schemas import MART_SCHEMA
+from riskloom.session import staged
 
 # Words that make a question destructive, limits, and the canned query of each intent.
 DESTRUCTIVE = ("delete", "drop", "truncate", "update", "insert", "grant")
@@ -38,21 +41,23 @@ ACCOUNT_HEALTH = (
     "from analytics_marts.mart_account_health group by account_health_status order by customer_count desc"
 )
 
-# Answer texts around the assistant's name, and the outcome texts of an eval.
+# Answer texts. Evals look for "cannot run destructive" and "governed offline mode", which are fixed values.
 REFUSED = (
-    "I cannot run destructive or administrative SQL. "
-    "The {name} copilot is limited to governed read-only portfolio analysis."
+    "I cannot run destructive or administrative statements. "
+    "{name} answers questions about the portfolio and reads the risk marts only."
 )
 OFFLINE = (
-    "{name} governed offline mode: I can answer from project documentation and "
-    "only propose read-only SQL against allowlisted risk marts."
+    "{name} is in governed offline mode: answers come from the project's documents, "
+    "and queries are proposed for the allowed risk marts only."
 )
-GUARD_REFUSED = "The generated SQL was rejected by guardrails: "
+GUARD_REFUSED = "The guardrails refused the proposed SQL: "
 SQL_BLOCK = ("\n\nGuarded SQL:\n```sql\n", "\n```")
-NO_SQL = "\n\nI did not need SQL for this question."
+NO_SQL = "\n\nThis question needs no SQL."
 SOURCES = "\n\nSources:\n"
-NO_SOURCES = "\n\nNo local source matched this question."
+NO_SOURCES = "\n\nNo document matched this question."
 ASSISTANT = "Riskloom"
+
+# The outcome texts of an eval.
 EVAL_MISSING = "Missing terms: "
 EVAL_NO_SQL = "Expected guarded SQL, got none"
 EVAL_OK = "ok"
@@ -88,17 +93,17 @@ def compose(citations: Column, guarded_sql: Column, name: str = ASSISTANT) -> Co
     return F.concat(F.lit(OFFLINE.format(name=name)), sql_part, source_part)
 
 
-def per_question(rows: DataFrame, found: DataFrame, small: bool, how: str) -> DataFrame:
+def per_question(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
     """Join rows to ``found``, one row per question, without gathering a hot question's rows in one task."""
-    if small:
+    found = staged(found, "answers")
+    if fits(found):
         return rows.join(F.broadcast(found), "question", how)
-    counts = rows.where(F.col("question").isNotNull()).groupBy("question").agg(F.count(F.lit(1)).alias("n"))
-    return join_lookup(rows, found, "question", counts, how)
+    return join_lookup(rows, found, "question", how)
 
 
-def cite(questions: DataFrame, corpus: DataFrame, top_k: int = CITATIONS, small: bool | None = None) -> DataFrame:
+def cite(questions: DataFrame, corpus: DataFrame, top_k: int = CITATIONS) -> DataFrame:
     """``(question, citations)`` for the distinct questions with a match, best source first."""
-    hits = keyword_topk(questions, corpus, top_k, small)
+    hits = keyword_topk(questions, corpus, top_k)
     return hits.groupBy("question").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "source"))), lambda hit: hit["source"]).alias(
             "citations"
@@ -112,19 +117,18 @@ def answer_batch(
     allowed_schemas: tuple[str, ...] = (MART_SCHEMA,),
     default_limit: int = ANSWER_LIMIT,
     name: str = ASSISTANT,
+    citations: int = CITATIONS,
 ) -> DataFrame:
     """Add ``status, citations, guarded_sql, response`` to every question row.
 
-    Equal questions are retrieved once; the list of a question has at most three sources.
+    Equal questions are retrieved once; the list of a question has at most ``citations`` sources.
     """
     screened = questions.withColumn("_refused", is_destructive(F.col("question")))
     asked = screened.where(~F.col("_refused"))
-    # Where the question terms are few enough to broadcast, so are the questions with a match.
-    small = fits(question_terms(asked))
-    found = cite(asked, corpus, CITATIONS, small)
+    found = cite(asked, corpus, citations)
     none = F.array().cast("array<string>")
     drafted = (
-        per_question(screened, found, small, "left")
+        per_question(screened, found, "left")
         .withColumn("citations", F.coalesce("citations", none))
         .withColumn("_draft", F.when(~F.col("_refused"), canned_sql(F.col("question"))))
     )
@@ -154,6 +158,8 @@ def run_guarded(spark: SparkSession, sql: str, allowed_schemas: tuple[str, ...]
                 default_limit: int = ANSWER_LIMIT, marts: dict[str, DataFrame] | None = None) -> DataFrame:
     """Guard one statement and run what is left of it.
 
+    After the text rule, every relation that Spark's parser finds in the statement must be a table of an allowed schema
+    or one of the statement's own common tables; temporary views, files and table functions are refused.
     ``marts`` stands in for the tables of the mart schema; without it the statement reads the catalog.
     """
     statement = spark.range(1).select(F.lit(sql).alias("sql"))
@@ -161,42 +167,55 @@ def run_guarded(spark: SparkSession, sql: str, allowed_schemas: tuple[str, ...]
     if verdict["reason"]:
         raise ValueError(verdict["reason"])
     query = verdict["guarded_sql"]
-    for name, df in (marts or {}).items():
-        view = f"guarded_{name}"
-        df.createOrReplaceTempView(view)
-        query = re.sub(rf"\b{MART_SCHEMA}\.{name}\b", view, query, flags=re.IGNORECASE)
-    return spark.sql(query)
-
-
-def exposure_by_segment(exposure: DataFrame) -> DataFrame:
+    places = check_relations(spark, query, allowed_schemas)
+    views = {name.lower(): f"guarded_{name}_{uuid.uuid4().hex}" for name in marts or {}}
+    try:
+        for name, df in (marts or {}).items():
+            df.createTempView(views[name.lower()])
+        for schema, name, start in sorted(places, key=lambda place: -place[2]):
+            if schema == MART_SCHEMA and name in views:
+                named = re.match(r"`?\w+`?\s*\.\s*`?\w+`?", query[start:])
+                query = query[:start] + views[name] + query[start + named.end():]
+        return spark.sql(query)
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
+
+
+def _first(df: DataFrame, order: list, limit: int | None) -> DataFrame:
+    """Rows in order, all of them unless a limit is given."""
+    return df.orderBy(*order) if limit is None else top_overall(df, order, limit)
+
+
+def exposure_by_segment(exposure: DataFrame, limit: int | None = None) -> DataFrame:
     """Balance per segment, largest first."""
     totals = exposure.groupBy("segment").agg(money("total_outstanding_balance").alias("total_outstanding_balance"))
-    return top_overall(totals, [F.desc("total_outstanding_balance"), F.asc("segment")], ANSWER_LIMIT)
+    return _first(totals, [F.desc("total_outstanding_balance"), F.asc("segment")], limit)
 
 
-def suspicious_by_channel(daily: DataFrame) -> DataFrame:
+def suspicious_by_channel(daily: DataFrame, limit: int | None = None) -> DataFrame:
     """Suspicious transactions per day and channel, newest first."""
     totals = daily.groupBy("transaction_date", "channel").agg(F.sum("suspicious_count").alias("suspicious_count"))
-    return top_overall(totals, [F.desc("transaction_date"), F.asc("channel")], ANSWER_LIMIT)
+    return _first(totals, [F.desc("transaction_date"), F.asc("channel")], limit)
 
 
-def exposure_by_status(exposure: DataFrame) -> DataFrame:
+def exposure_by_status(exposure: DataFrame, limit: int | None = None) -> DataFrame:
     """Customers and balance per status, largest first."""
     totals = exposure.groupBy("portfolio_status").agg(
         F.count(F.lit(1)).alias("customer_count"),
         money("total_outstanding_balance").alias("total_outstanding_balance"),
     )
-    return top_overall(totals, [F.desc("total_outstanding_balance"), F.asc("portfolio_status")], ANSWER_LIMIT)
+    return _first(totals, [F.desc("total_outstanding_balance"), F.asc("portfolio_status")], limit)
 
 
-def health_summary(health: DataFrame) -> DataFrame:
+def health_summary(health: DataFrame, limit: int | None = None) -> DataFrame:
     """Customers, accounts and mean active ratio per health status, largest first."""
     totals = health.groupBy("account_health_status").agg(
         F.count(F.lit(1)).alias("customer_count"),
         F.sum("total_accounts").alias("total_accounts"),
         F.round(F.avg("active_ratio_pct"), 6).alias("avg_active_ratio"),
     )
-    return top_overall(totals, [F.desc("customer_count"), F.asc("account_health_status")], ANSWER_LIMIT)
+    return _first(totals, [F.desc("customer_count"), F.asc("account_health_status")], limit)
 
 
 def eval_results(cases: DataFrame, answers: DataFrame) -> DataFrame:
@@ -209,13 +228,9 @@ def eval_results(cases: DataFrame, answers: DataFrame) -> DataFrame:
     missing = F.filter(terms, lambda term: ~F.col("_text").contains(F.lower(term)))
     quoted = F.array_join(F.transform("_missing", lambda term: F.concat(F.lit("'"), term, F.lit("'"))), ", ")
     lacks_sql = F.coalesce("requires_sql", F.lit(False)) & F.col("guarded_sql").isNull()
-    asked = cases.select("question").distinct()
-    small = fits(asked)
     replies = answers.select("question", "response", "guarded_sql")
-    if small:
-        replies = replies.join(F.broadcast(asked), "question", "left_semi")
     return (
-        per_question(cases, replies, small, "inner")
+        per_question(cases, replies, "inner")
         .withColumn("_text", text)
         .withColumn("_missing", missing)
         .select(

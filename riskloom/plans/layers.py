@@ -50,6 +50,7 @@ def build_layers(
     lake_dir: str,
     batch_id: str | None = None,
     processed_at: datetime | None = None,
+    multi_line: bool = False,
 ) -> LayerBuild:
     """Write one batch of every layer from a raw directory.
 
@@ -57,7 +58,7 @@ def build_layers(
     """
     batch = batch_id or new_batch_id()
     stamped = processed_at or datetime.now(UTC)
-    raw = scan_raw(spark, raw_dir)
+    raw = scan_raw(spark, raw_dir, multi_line)
     counts = {name: write_batch(df, lake_dir, "bronze", name, batch) for name, df in raw.items()}
     bronze = {
         name: scan_layer(spark, lake_dir, "bronze", name).where(F.col("batch_id") == batch).drop("batch_id")
@@ -76,9 +77,9 @@ def build_layers(
 
 
 def bronze_to_silver(spark: SparkSession, lake_dir: str, table: str, fmt: str = "parquet") -> None:
-    """Rebuild one Silver table from all its Bronze batches."""
-    bronze = scan_layer(spark, lake_dir, "bronze", table).drop("batch_id")
-    silver = to_silver(bronze, list(PRIMARY_KEYS[table]), CLEANERS[table])
+    """Rebuild one Silver table from all its Bronze batches; of a key's versions the newest batch's stays."""
+    bronze = scan_layer(spark, lake_dir, "bronze", table)
+    silver = to_silver(bronze, list(PRIMARY_KEYS[table]), CLEANERS[table], newest_by="batch_id")
     overwrite_layer(silver, f"{lake_dir}/silver_typed/{table}", fmt)
 
 

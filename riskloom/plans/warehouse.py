@@ -7,18 +7,26 @@ from pyspark.sql import DataFrame, SparkSession
 from riskloom.operators import checks, contracts
 from riskloom.plans import marts, staging
 from riskloom.schemas import MART_SCHEMA, MODEL_TESTS, RAW_SCHEMA, Contract
+from riskloom.session import scratch_path
 from riskloom.sources.files import scan_csv, with_row_numbers
 from riskloom.sources.sinks import declare_tables, load_table
 
 
-def validate_csv(spark: SparkSession, path: str, contract: Contract) -> tuple[bool, list[str]]:
+def validate_csv(
+    spark: SparkSession, path: str, contract: Contract, multi_line: bool = False
+) -> tuple[bool, list[str]]:
     """Check a raw CSV; returns whether it passed and the lines of its report."""
-    raw = scan_csv(spark, path)
+    raw = scan_csv(spark, path, multi_line)
+    # Numbered once: the report and its errors read the numbered copy, not the file.
+    copy = scratch_path(spark, "validate")
+    with_row_numbers(raw).write.parquet(copy)
+    numbered = spark.read.parquet(copy)
+    raw = numbered.drop("row_id")
     report = contracts.summary(raw, contract).first()
     # The report's texts.
     if report["passed"]:
         return True, [f"Validation passed for '{contract.name}'. Rows checked: {report['rows_checked']}"]
-    listed = contracts.first_errors(with_row_numbers(raw), contract, "row_id").orderBy("row_id", "step").collect()
+    listed = contracts.first_errors(numbered, contract, "row_id").orderBy("row_id", "step").collect()
     lines = [f"Validation failed for '{contract.name}'. Errors: {report['error_count']}"]
     lines += [f"- {row['error']}" for row in listed]
     if report["error_count"] > len(listed):

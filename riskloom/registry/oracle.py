@@ -5,17 +5,48 @@
 
 from __future__ import annotations
 
-from riskloom.plans import copilot
 from riskloom.sources.samples import with_views
 
 STAMP = "2026-01-01T00:00:00+00:00"
 BATCH = "2026-01-01T00-00-00Z"
 AS_OF = "2024-01-10"
-NAME = "Risk desk"
 WHITESPACE = (
     r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 
+# The canned queries and answer texts, written out so that a change in the code under test shows.
+EXPOSURE_BY_SEGMENT = (
+    "select segment, sum(total_outstanding_balance) as total_outstanding_balance "
+    "from analytics_marts.mart_customer_exposure group by segment order by total_outstanding_balance desc"
+)
+SUSPICIOUS_BY_CHANNEL = (
+    "select transaction_date, channel, sum(suspicious_count) as suspicious_count "
+    "from analytics_marts.mart_daily_transactions group by transaction_date, channel order by transaction_date desc"
+)
+EXPOSURE_BY_STATUS = (
+    "select portfolio_status, count(*) as customer_count, "
+    "sum(total_outstanding_balance) as total_outstanding_balance "
+    "from analytics_marts.mart_customer_exposure group by portfolio_status order by total_outstanding_balance desc"
+)
+ACCOUNT_HEALTH = (
+    "select account_health_status, count(*) as customer_count, sum(total_accounts) as total_accounts, "
+    "avg(active_ratio_pct) as avg_active_ratio "
+    "from analytics_marts.mart_account_health group by account_health_status order by customer_count desc"
+)
+REFUSED = (
+    "I cannot run destructive or administrative statements. "
+    "Risk desk answers questions about the portfolio and reads the risk marts only."
+)
+OFFLINE = (
+    "Risk desk is in governed offline mode: answers come from the project's documents, "
+    "and queries are proposed for the allowed risk marts only."
+)
+SQL_BLOCK = ("\n\nGuarded SQL:\n```sql\n", "\n```")
+NO_SQL = "\n\nThis question needs no SQL."
+SOURCES = "\n\nSources:\n"
+NO_SOURCES = "\n\nNo document matched this question."
+
+
 BODIES: dict[str, str] = {}
 
 
@@ -175,8 +206,8 @@ FROM {feed_register}
 """
 
 BODIES["index_corpus"] = """
-SELECT vec_id, source, CAST(len(embedding) AS INTEGER) AS dims, CAST(length(text) AS INTEGER) AS chars
-FROM {embeddings} JOIN {documents} ON vec_id = doc_id
+SELECT doc_id AS vec_id, source, CAST(len(embedding) AS INTEGER) AS dims, CAST(length(text) AS INTEGER) AS chars
+FROM {documents} LEFT JOIN {embeddings} ON vec_id = doc_id
 """
 
 BODIES["corpus_scan"] = f"""
@@ -185,6 +216,12 @@ WHERE lower(regexp_extract(path, '\\.([^./]+)$', 1)) IN ('md', 'sql', 'yml', 'ya
   AND NOT {is_blank('text')}
 """
 
+BODIES["cvm_first_rows"] = """
+SELECT CNPJ_FUNDO AS cnpj, DENOM_SOCIAL AS fund_name, TP_FUNDO AS fund_type, SITUACAO AS status,
+  CAST(NULL AS VARCHAR) AS class_type, VL_PATRIM_LIQ AS net_worth FROM {feed_register}
+ORDER BY 1 NULLS FIRST, 2 NULLS FIRST, 3 NULLS FIRST, 4 NULLS FIRST, 6 NULLS FIRST LIMIT 40
+"""
+
 BODIES["cvm_normalize"] = """
 SELECT CNPJ_FUNDO AS cnpj, DENOM_SOCIAL AS fund_name, TP_FUNDO AS fund_type, SITUACAO AS status,
   CAST(NULL AS VARCHAR) AS class_type, VL_PATRIM_LIQ AS net_worth FROM {feed_register}
@@ -192,7 +229,23 @@ SELECT CNPJ_FUNDO AS cnpj, DENOM_SOCIAL AS fund_name, TP_FUNDO AS fund_type, SIT
 
 BODIES["bcb_normalize"] = """
 SELECT CAST(strptime(data, '%d/%m/%Y') AS DATE) AS observation_date, 'selic' AS indicator_name, 11 AS series_id,
-  TRY_CAST(valor AS DECIMAL(18,4)) AS value FROM {feed_series}
+  TRY_CAST(valor AS DECIMAL(18,4)) AS value FROM {feed_series} WHERE indicator_name = 'selic'
+"""
+
+BODIES["scan_series"] = BODIES["bcb_normalize"]
+
+BODIES["scan_csv_quoted"] = """
+SELECT CAST(doc_id AS VARCHAR) AS doc_id,
+  md5('say "' || source || '", then C:' || chr(92) || 'dir' || chr(92) || chr(10) || text) AS digest FROM {documents}
+"""
+
+BODIES["overwrite_layer"] = "SELECT account_id, upper(account_type) AS kind FROM {v_accounts}"
+
+BODIES["corpus_files"] = "SELECT source AS folder, count(*) AS documents FROM {documents} GROUP BY 1"
+
+BODIES["silver_newest"] = """
+SELECT CAST(account_id AS VARCHAR) AS account_id, CAST(customer_id AS VARCHAR) AS customer_id, account_type, opened_at,
+  CASE WHEN account_id % 5 <> 0 THEN status ELSE 'BLOCKED' END AS status FROM {v_accounts}
 """
 
 BODIES["macro_union"] = """
@@ -225,12 +278,21 @@ BODIES["silver_standardize"] = (
     as_text("v_customers", C_CUSTOMERS).replace(" FROM ", f", '{STAMP}' AS ingestion_processed_at FROM ")
 )
 
-BODIES["silver_dedup_pk"] = "SELECT DISTINCT l_orderkey, l_linenumber FROM {lineitem}"
+BODIES["silver_dedup_rows"] = """
+SELECT DISTINCT * REPLACE (CAST(l_shipdate AS DATE) AS l_shipdate) FROM {lineitem}
+"""
 
-BODIES["silver_dedup_rows"] = "SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM {lineitem}"
+BODIES["silver_dedup_pk"] = """
+SELECT * EXCLUDE (r) REPLACE (CAST(l_shipdate AS DATE) AS l_shipdate) FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+    ORDER BY l_partkey NULLS LAST, l_suppkey NULLS LAST, l_quantity NULLS LAST, l_extendedprice NULLS LAST,
+      l_discount NULLS LAST, l_tax NULLS LAST, l_returnflag NULLS LAST, l_linestatus NULLS LAST,
+      l_shipdate NULLS LAST) AS r FROM {lineitem}) t
+WHERE r = 1
+"""
 
 BODIES["silver_dedup_latest"] = """
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS DATE) AS ship_date FROM (
+SELECT * EXCLUDE (r) REPLACE (CAST(l_shipdate AS DATE) AS l_shipdate) FROM (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
     ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS r FROM {lineitem}) t
 WHERE r = 1
@@ -668,29 +730,29 @@ def _destructive(text: str) -> str:
 def _routed(text: str) -> str:
     low = f"lower({text})"
     return (
-        f"CASE WHEN {low} LIKE '%exposure%' AND {low} LIKE '%segment%' THEN {lit(copilot.EXPOSURE_BY_SEGMENT)} "
-        f"WHEN {low} LIKE '%suspicious%' OR {low} LIKE '%transaction%' THEN {lit(copilot.SUSPICIOUS_BY_CHANNEL)} "
-        f"WHEN {low} LIKE '%default%' OR {low} LIKE '%high risk%' THEN {lit(copilot.EXPOSURE_BY_STATUS)} "
+        f"CASE WHEN {low} LIKE '%exposure%' AND {low} LIKE '%segment%' THEN {lit(EXPOSURE_BY_SEGMENT)} "
+        f"WHEN {low} LIKE '%suspicious%' OR {low} LIKE '%transaction%' THEN {lit(SUSPICIOUS_BY_CHANNEL)} "
+        f"WHEN {low} LIKE '%default%' OR {low} LIKE '%high risk%' THEN {lit(EXPOSURE_BY_STATUS)} "
         f"WHEN {low} LIKE '%account%' AND ({low} LIKE '%health%' OR {low} LIKE '%status%' OR {low} LIKE '%blocked%') "
-        f"THEN {lit(copilot.ACCOUNT_HEALTH)} END"
+        f"THEN {lit(ACCOUNT_HEALTH)} END"
     )
 
 
 def _composed(sql: str, sources: str) -> str:
     """Answer text; ``sources`` is the bulleted list or null."""
     return (
-        f"{lit(copilot.OFFLINE.format(name=NAME))} || coalesce({lit(copilot.SQL_BLOCK[0])} || {sql} || "
-        f"{lit(copilot.SQL_BLOCK[1])}, {lit(copilot.NO_SQL)}) || coalesce({lit(copilot.SOURCES)} || {sources}, "
-        f"{lit(copilot.NO_SOURCES)})"
+        f"{lit(OFFLINE)} || coalesce({lit(SQL_BLOCK[0])} || {sql} || "
+        f"{lit(SQL_BLOCK[1])}, {lit(NO_SQL)}) || coalesce({lit(SOURCES)} || {sources}, "
+        f"{lit(NO_SOURCES)})"
     )
 
 
 BODIES["question_screen"] = (
-    f"SELECT question_id, {_destructive("concat_ws(' ', question, remark)")} AS destructive FROM {{feed_questions}}"
+    f"SELECT question_id, {_destructive("question")} AS destructive FROM {{feed_questions}}"
 )
 
 BODIES["question_route"] = (
-    f"SELECT question_id, {_routed("concat_ws(' ', question, remark)")} AS draft_sql FROM {{feed_questions}}"
+    f"SELECT question_id, {_routed("question")} AS draft_sql FROM {{feed_questions}}"
 )
 
 BODIES["answer_compose"] = (
@@ -709,7 +771,7 @@ answers AS (
   FROM {{feed_questions}} q LEFT JOIN cited c ON q.question = c.question),
 replies AS (
   SELECT question_id, CASE WHEN refused THEN 'rejected' ELSE 'answered' END AS status, question, citations,
-    guarded_sql, CASE WHEN refused THEN {lit(copilot.REFUSED.format(name=NAME))}
+    guarded_sql, CASE WHEN refused THEN {lit(REFUSED)}
       ELSE {_composed('guarded_sql', 'bullets')} END AS response FROM answers)"""
 
 BODIES["copilot_audit_batch"] = "WITH " + ANSWERS.strip() + " SELECT * FROM replies"
@@ -736,26 +798,26 @@ FROM results
 
 BODIES["copilot_exposure_by_segment"] = "WITH " + EXPOSURE.strip() + """
 SELECT segment, CAST(sum(total_outstanding_balance) AS DECIMAL(38,2)) AS total_outstanding_balance
-FROM exposure GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100
+FROM exposure GROUP BY 1
 """
 
-BODIES["guarded_query"] = BODIES["copilot_exposure_by_segment"]
+BODIES["guarded_query"] = BODIES["copilot_exposure_by_segment"] + " ORDER BY 2 DESC LIMIT 100"
 
 BODIES["copilot_suspicious_by_channel"] = "WITH " + DAILY.strip() + """
 SELECT transaction_date, channel, CAST(sum(suspicious_count) AS BIGINT) AS suspicious_count
-FROM daily GROUP BY 1, 2 ORDER BY 1 DESC, 2 LIMIT 100
+FROM daily GROUP BY 1, 2
 """
 
 BODIES["copilot_exposure_by_status"] = "WITH " + EXPOSURE.strip() + """
 SELECT portfolio_status, count(*) AS customer_count,
   CAST(sum(total_outstanding_balance) AS DECIMAL(38,2)) AS total_outstanding_balance
-FROM exposure GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 100
+FROM exposure GROUP BY 1
 """
 
 BODIES["copilot_account_health"] = "WITH " + HEALTH.strip() + """
 SELECT account_health_status, count(*) AS customer_count, CAST(sum(total_accounts) AS BIGINT) AS total_accounts,
   round(avg(active_ratio_pct), 6) AS avg_active_ratio
-FROM health GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100
+FROM health GROUP BY 1
 """
 
 # Serving.

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import UTC, datetime
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions import guard, rules, text
@@ -13,7 +14,7 @@ from riskloom.operators import checks, contracts, dedupe, retrieval
 from riskloom.operators.sizing import spread
 from riskloom.plans import copilot, gold, layers, marts, serving, silver, staging
 from riskloom.schemas import CONTRACTS, EVENT, MODEL_TESTS, ModelTests
-from riskloom.session import scratch_path, tune
+from riskloom.session import scratch_path, staged, tune
 from riskloom.sources import files, sinks
 from riskloom.sources.samples import Samples
 from riskloom.streaming import suspicious
@@ -94,14 +95,27 @@ def health(s: Samples) -> DataFrame:
 @query
 def scan_csv_raw(s: Samples) -> DataFrame:
     raw = scratch_path(s.spark, "raw")
-    _texts(s["v_customers"]).write.option("header", True).csv(f"{raw}/customers.csv")
+    sinks.write_csv(_texts(s["v_customers"]), f"{raw}/customers.csv")
     return files.scan_raw(s.spark, raw)["customers"]
 
 
+@query
+def scan_csv_quoted(s: Samples) -> DataFrame:
+    """Fields with quotes, separators, line breaks and backslashes, written and read back."""
+    path = scratch_path(s.spark, "quoted")
+    quoted = F.concat(F.lit('say "'), F.col("source"), F.lit('", then C:\\dir\\'), F.lit("\n"), F.col("text"))
+    rows = s["documents"].select(F.col("doc_id").cast("string").alias("doc_id"), quoted.alias("note"))
+    sinks.write_csv(rows, path)
+    read = files.scan_csv(s.spark, path, multi_line=True)
+    return read.select("doc_id", F.md5(F.col("note").cast("binary")).alias("digest"))
+
+
 @query
 def load_row_counts(s: Samples) -> DataFrame:
-    names = ("customers", "accounts", "transactions", "loans", "macro_indicators")
-    return sinks.row_counts({name: s[f"v_{name}"] for name in names})
+    raw = scratch_path(s.spark, "raw")
+    for name in ("customers", "accounts", "transactions", "loans", "macro_indicators"):
+        sinks.write_csv(_texts(s[f"v_{name}"]), f"{raw}/{name}.csv")
+    return sinks.row_counts(files.scan_core(s.spark, raw))
 
 
 @query
@@ -138,7 +152,7 @@ def _built_layers(s: Samples) -> str:
     raw, lake = scratch_path(s.spark, "raw"), scratch_path(s.spark, "lake")
     tables = {"customers": s["v_customers"], "loans": s["v_loans"], "transactions": s["feed_transactions"]}
     for name, df in tables.items():
-        _texts(df).write.option("header", True).csv(f"{raw}/{name}.csv")
+        sinks.write_csv(_texts(df), f"{raw}/{name}.csv")
     layers.build_layers(s.spark, raw, lake, BATCH, datetime(2026, 1, 1, tzinfo=UTC))
     return lake
 
@@ -169,7 +183,7 @@ def event_jsonl(s: Samples) -> DataFrame:
 def scan_register(s: Samples) -> DataFrame:
     path = scratch_path(s.spark, "register")
     landed = s["feed_register"].withColumn("DENOM_SOCIAL", F.concat("DENOM_SOCIAL", F.lit(" Ações")))
-    landed.write.option("header", True).option("sep", ";").option("encoding", "ISO-8859-1").csv(path)
+    sinks.write_csv(landed, path, sep=";", encoding="ISO-8859-1")
     return files.normalize_register(files.scan_register(s.spark, path))
 
 
@@ -178,7 +192,7 @@ def index_corpus(s: Samples) -> DataFrame:
     path = scratch_path(s.spark, "index")
     vectors = s["embeddings"].select("vec_id", F.col("embedding").alias("vector"))
     texts = s["documents"].select(F.col("doc_id").alias("vec_id"), "source", "text")
-    documents = vectors.join(texts, "vec_id")
+    documents = texts.join(vectors, "vec_id", "left")
     sinks.index_corpus(documents, path)
     sinks.index_corpus(documents.where("false"), path)
     index = s.spark.read.parquet(path)
@@ -213,7 +227,45 @@ def cvm_normalize(s: Samples) -> DataFrame:
 
 @query
 def bcb_normalize(s: Samples) -> DataFrame:
-    return files.normalize_series(s["feed_series"], "selic")
+    return files.normalize_series(s["feed_series"].where("indicator_name = 'selic'"), "selic")
+
+
+@query
+def scan_series(s: Samples) -> DataFrame:
+    """A series that landed as one JSON array a month."""
+    path = scratch_path(s.spark, "series")
+    landed = s["feed_series"].where("indicator_name = 'selic'").withColumn("month", F.substring("data", 4, 7))
+    arrays = landed.groupBy(F.replace("month", F.lit("/"), F.lit("-")).alias("month")).agg(
+        F.to_json(F.collect_list(F.struct("data", "valor"))).alias("value"))
+    arrays.write.partitionBy("month").text(path)
+    return files.normalize_series(files.scan_series(s.spark, path), "selic")
+
+
+@query
+def cvm_first_rows(s: Samples) -> DataFrame:
+    return files.normalize_register(s["feed_register"], max_rows=40)
+
+
+@query
+def overwrite_layer(s: Samples) -> DataFrame:
+    """A layer table replaced by one with other columns."""
+    path = scratch_path(s.spark, "layer")
+    sinks.overwrite_layer(s["v_accounts"], path)
+    sinks.overwrite_layer(s["v_accounts"].select("account_id", F.upper("account_type").alias("kind")), path)
+    return s.spark.read.parquet(path)
+
+
+@query
+def corpus_files(s: Samples) -> DataFrame:
+    """Documents per file folder: one JSON file and its lines for each source."""
+    path = scratch_path(s.spark, "corpus")
+    documents = s["documents"].select("source", "doc_id", "text")
+    documents.repartition("source").write.partitionBy("source").json(path)
+    found = files.scan_corpus(s.spark, [path])
+    lines = F.size(F.split("text", "\n")) - 1
+    folder = F.regexp_extract("source", "source=([^/]+)/", 1)
+    return found.select(folder.alias("folder"), lines.alias("lines")).groupBy("folder").agg(
+        F.sum("lines").alias("documents"))
 
 
 @query
@@ -299,27 +351,42 @@ def silver_accounts(s: Samples) -> DataFrame:
     return _silver(s, "accounts", ["account_id"])
 
 
+@query
+def silver_newest(s: Samples) -> DataFrame:
+    """Silver of two Bronze batches that hold different versions of every account, the older one last."""
+    lake = scratch_path(s.spark, "lake")
+    raw = _texts(s["v_accounts"])
+    older = raw.withColumn("status", F.lit("BLOCKED"))
+    sinks.write_batch(raw.where("account_id % 5 <> 0"), lake, "bronze", "accounts", "2026-02-01T00-00-00Z")
+    sinks.write_batch(older, lake, "bronze", "accounts", "2026-01-01T00-00-00Z")
+    layers.bronze_to_silver(s.spark, lake, "accounts")
+    return files.scan_layer(s.spark, lake, "silver_typed", "accounts").drop("ingestion_processed_at")
+
+
 @query
 def silver_macro(s: Samples) -> DataFrame:
     return _silver(s, "macro_indicators", ["observation_date", "indicator_name"])
 
 
+def _dated(lines: DataFrame) -> DataFrame:
+    """All columns of the order lines, the ship date as a date."""
+    return lines.withColumn("l_shipdate", F.to_date("l_shipdate"))
+
+
 @query
 def silver_dedup_pk(s: Samples) -> DataFrame:
-    return dedupe.one_per_key(s["lineitem"], ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber")
+    return _dated(dedupe.one_per_key(s["lineitem"], ["l_orderkey", "l_linenumber"]))
 
 
 @query
 def silver_dedup_rows(s: Samples) -> DataFrame:
-    return dedupe.distinct_rows(s["lineitem"].select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"))
+    return _dated(dedupe.distinct_rows(s["lineitem"].unionAll(s["lineitem"])))
 
 
 @query
 def silver_dedup_latest(s: Samples) -> DataFrame:
     newest = [F.desc("l_shipdate"), F.desc("l_partkey"), F.desc("l_suppkey"), F.desc("l_extendedprice")]
-    kept = dedupe.latest_per_key(s["lineitem"], ["l_orderkey", "l_linenumber"], newest)
-    return kept.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                       F.to_date("l_shipdate").alias("ship_date"))
+    return _dated(dedupe.latest_per_key(s["lineitem"], ["l_orderkey", "l_linenumber"], newest))
 
 
 # Gold.
@@ -441,10 +508,12 @@ def contract_not_null(s: Samples) -> DataFrame:
 @query
 def contract_unique(s: Samples) -> DataFrame:
     def repeats(df: DataFrame, contract: contracts.Contract) -> DataFrame:
-        column = contract.unique[0]
-        return contracts.duplicate_rows(df, column, "row_id").select(
-            F.lit(contract.name).alias("contract"), F.lit(column).alias("column_name"), "row_id", "value"
-        )
+        parts = [
+            contracts.duplicate_rows(df, column, "row_id").select(
+                F.lit(contract.name).alias("contract"), F.lit(column).alias("column_name"), "row_id", "value")
+            for column in contract.unique
+        ]
+        return reduce(DataFrame.unionByName, parts)
 
     return _over_feeds(s, repeats)
 
@@ -524,11 +593,13 @@ def dq_referential(s: Samples) -> DataFrame:
 
 @query
 def dq_suite_report(s: Samples) -> DataFrame:
+    # Two marts read the exposure, so it is built once, as a warehouse does.
+    built = staged(exposure(s), "exposure")
     models = {
         "stg_customers": customers(s), "stg_transactions": transactions(s), "stg_loans": loans(s),
-        "stg_macro_indicators": macro(s), "stg_accounts": accounts(s), "mart_customer_exposure": exposure(s),
+        "stg_macro_indicators": macro(s), "stg_accounts": accounts(s), "mart_customer_exposure": built,
         "mart_daily_transactions": daily(s),
-        "mart_credit_macro_context": marts.mart_credit_macro_context(macro(s), exposure(s)),
+        "mart_credit_macro_context": marts.mart_credit_macro_context(macro(s), built),
         "mart_ai_copilot_audit": audit(s), "mart_account_health": health(s),
     }
     return checks.run_suite(models, MODEL_TESTS)
@@ -645,19 +716,14 @@ def guardrail_limit(s: Samples) -> DataFrame:
     )
 
 
-def _asked() -> Column:
-    """A question with the remark that came with it."""
-    return F.concat_ws(" ", "question", "remark")
-
-
 @query
 def question_screen(s: Samples) -> DataFrame:
-    return s["feed_questions"].select("question_id", copilot.is_destructive(_asked()).alias("destructive"))
+    return s["feed_questions"].select("question_id", copilot.is_destructive(F.col("question")).alias("destructive"))
 
 
 @query
 def question_route(s: Samples) -> DataFrame:
-    return s["feed_questions"].select("question_id", copilot.canned_sql(_asked()).alias("draft_sql"))
+    return s["feed_questions"].select("question_id", copilot.canned_sql(F.col("question")).alias("draft_sql"))
 
 
 @query

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings the plans rely on. Forcing the skew-join rule lets AQE split a hot join key even when
 # the aggregate above the join would otherwise reuse the join's partitioning. The running totals of a stream live in
@@ -53,6 +53,13 @@ def _local_root() -> str:
     return tempfile.mkdtemp(prefix="riskloom-")
 
 
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared scratch folder, so that it is computed once and its size is known."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the cluster's shared checkpoint folder; a machine-local one only in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)

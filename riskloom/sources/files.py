@@ -21,6 +21,7 @@ REGISTER_COLUMNS = {
     "CLASSE": "class_type",
     "VL_PATRIM_LIQ": "net_worth",
 }
+QUOTE = '"'
 SERIES_IDS = {"selic": 11, "credit_free_total": 20542}
 
 
@@ -37,14 +38,16 @@ def raw_tables(spark: SparkSession, raw_dir: str) -> list[str]:
     return sorted(names)
 
 
-def scan_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A raw CSV with every column as text, under the names its header gives; a ragged row is an error."""
-    header = spark.read.option("header", True).csv(path).schema
+def scan_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """A raw CSV with every column as text, under the names its header gives; a ragged row is an error.
+
+    Quotes inside a field are doubled and a backslash is a plain character. Fields with line breaks need
+    ``multi_line``, which reads each file in one task; without it such a row is ragged.
+    """
+    header = spark.read.options(header=True, escape=QUOTE, multiLine=multi_line).csv(path).schema
     return (
         spark.read.schema(header)
-        .option("header", True)
-        .option("mode", "FAILFAST")
-        .option("enforceSchema", False)
+        .options(header=True, escape=QUOTE, multiLine=multi_line, mode="FAILFAST", enforceSchema=False)
         .csv(path)
     )
 
@@ -66,19 +69,19 @@ def with_row_numbers(df: DataFrame, name: str = "row_id") -> DataFrame:
     return placed.join(offsets, ["_file", "_start"]).select(number.alias(name), *df.columns)
 
 
-def scan_raw(spark: SparkSession, raw_dir: str) -> dict[str, DataFrame]:
+def scan_raw(spark: SparkSession, raw_dir: str, multi_line: bool = False) -> dict[str, DataFrame]:
     """Every CSV of a raw directory."""
-    return {name: scan_csv(spark, f"{raw_dir}/{name}.csv") for name in raw_tables(spark, raw_dir)}
+    return {name: scan_csv(spark, f"{raw_dir}/{name}.csv", multi_line) for name in raw_tables(spark, raw_dir)}
 
 
-def scan_core(spark: SparkSession, raw_dir: str) -> dict[str, DataFrame]:
+def scan_core(spark: SparkSession, raw_dir: str, multi_line: bool = False) -> dict[str, DataFrame]:
     """The core tables, which must all be there, and those optional ones that are."""
     found = raw_tables(spark, raw_dir)
     for name in CORE_TABLES:
         if name not in found:
             raise FileNotFoundError(f"Missing CSV file: {raw_dir}/{name}.csv")
     wanted = [name for name in (*CORE_TABLES, *OPTIONAL_TABLES) if name in found]
-    return {name: scan_csv(spark, f"{raw_dir}/{name}.csv") for name in wanted}
+    return {name: scan_csv(spark, f"{raw_dir}/{name}.csv", multi_line) for name in wanted}
 
 
 def scan_layer(spark: SparkSession, lake_dir: str, layer: str, table: str, fmt: str = "parquet") -> DataFrame:
@@ -93,11 +96,11 @@ def scan_jsonl(spark: SparkSession, path: str, schema: str = AUDIT_LINE) -> Data
 
 def scan_register(spark: SparkSession, path: str) -> DataFrame:
     """The fund register as landed: semicolons, Latin-1."""
-    return spark.read.option("sep", ";").option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return spark.read.options(sep=";", header=True, encoding="ISO-8859-1", escape=QUOTE).csv(path)
 
 
 def scan_series(spark: SparkSession, path: str) -> DataFrame:
-    """A macro series as landed: a JSON array of text pairs."""
+    """A macro series as landed: JSON arrays, or single objects, of text pairs."""
     return spark.read.schema("data string, valor string").option("multiLine", True).json(path)
 
 

@@ -27,7 +27,7 @@ SELECT o_orderkey AS account_id, o_custkey AS customer_id,
   CASE o_orderkey % 3 WHEN 0 THEN 'CHECKING' WHEN 1 THEN 'SAVINGS' ELSE 'INVESTMENT' END AS account_type,
   CAST(o_orderdate AS DATE) AS opened_at,
   CASE o_orderstatus WHEN 'F' THEN 'ACTIVE' WHEN 'O' THEN 'BLOCKED' ELSE 'CLOSED' END AS status
-FROM {orders} WHERE o_orderpriority = '1-URGENT'
+FROM {orders}
 """
 
 VIEWS["v_scored_loans"] = """
@@ -43,7 +43,7 @@ FROM (SELECT o_orderkey AS loan_id, o_custkey AS customer_id,
     CAST(CAST(120 + o_orderkey % 431 AS DECIMAL(6,0)) * CAST(0.0001 AS DECIMAL(4,4)) AS DECIMAL(10,4))
       AS interest_rate,
     CAST(GREATEST(0, (o_orderkey * 37) % 160 - 40) AS INT) AS days_past_due
-  FROM {orders} WHERE o_orderpriority = '5-LOW') l
+  FROM {orders}) l
 JOIN {v_customers} c ON l.customer_id = c.customer_id
 """
 
@@ -179,10 +179,10 @@ FROM (SELECT conv_id, turn, text, '''' || replace(text, '''', '''''') || '''' AS
     ' ' || chr(10) || chr(9) || ' ' AS spaced FROM {conversations}) t
 """
 
-# Questions: each user turn asks one of the known questions; the turn's own text rides along as a remark.
+# Questions: the text of each user turn, behind an opening that some of the routes know.
 VIEWS["feed_questions"] = """
 SELECT conv_id * 1000 + turn AS question_id,
-  CASE (conv_id * 7 + turn) % 10
+  concat_ws(' ', CASE (conv_id * 7 + turn) % 10
     WHEN 0 THEN 'show customer exposure by segment'
     WHEN 1 THEN 'summarize suspicious transactions by channel'
     WHEN 2 THEN 'delete all raw customer records'
@@ -192,8 +192,7 @@ SELECT conv_id * 1000 + turn AS question_id,
     WHEN 6 THEN 'who is in default or high risk by the end of the month, and by the end of the year?'
     WHEN 7 THEN 'which of the accounts and the loans is the oldest'
     WHEN 8 THEN 'When was the customer table last Updated'
-    ELSE 'zzz' END AS question,
-  text AS remark
+    ELSE 'zzz' END, text) AS question
 FROM {conversations} WHERE role = 'user'
 """
 

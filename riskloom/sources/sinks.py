@@ -20,6 +20,11 @@ def new_batch_id() -> str:
     return datetime.now(UTC).strftime("%Y-%m-%dT%H-%M-%SZ")
 
 
+def write_csv(df: DataFrame, path: str, sep: str = ",", encoding: str = "UTF-8") -> None:
+    """Write a CSV folder with a header; quotes inside fields are doubled."""
+    df.write.options(header=True, sep=sep, encoding=encoding, quote='"', escape='"').csv(path)
+
+
 def write_batch(df: DataFrame, lake_dir: str, layer: str, table: str, batch_id: str, fmt: str = "parquet") -> int:
     """Write one batch of a layer table and return its row count, measured by the write itself.
 
@@ -98,9 +103,9 @@ def load_table(df: DataFrame, name: str, schema: str = RAW_SCHEMA) -> None:
         spark.sql(f"COMMENT ON TABLE {schema}.{name} IS '{COMMENTS[name]}'")
 
 
-def load_warehouse(spark: SparkSession, raw_dir: str) -> DataFrame:
+def load_warehouse(spark: SparkSession, raw_dir: str, multi_line: bool = False) -> DataFrame:
     """Load the raw tables into the warehouse; returns ``(table_name, row_count)``."""
-    tables = scan_core(spark, raw_dir)
+    tables = scan_core(spark, raw_dir, multi_line)
     for name, df in tables.items():
         load_table(df, name)
     return row_counts({name: spark.table(f"{RAW_SCHEMA}.{name}") for name in tables})

@@ -16,6 +16,11 @@ from riskloom.schemas import EVENT, TABLES
 EVENT_TYPE = "suspicious_transaction_detected"
 TOPIC = "suspicious-transactions"
 
+# Files that a micro-batch writes, and batches after which the summary is folded.
+EPOCH_FILES = 4
+FOLD_EVERY = 100
+SUMMARY = TABLES["streaming_suspicious_summary"] + ", since bigint, epoch bigint"
+
 
 def suspicious_only(transactions: DataFrame) -> DataFrame:
     """Transactions whose flag is set."""
@@ -93,7 +98,13 @@ def events_from_topic(
     )
     if max_per_trigger:
         reader = reader.option("maxOffsetsPerTrigger", max_per_trigger)
-    return reader.load().select(F.from_json(F.col("value").cast("string"), EVENT).alias("e")).select("e.*")
+    return parsed_messages(reader.load())
+
+
+def parsed_messages(messages: DataFrame) -> DataFrame:
+    """The events in the values of topic messages; one that is not an event is an error."""
+    event = F.from_json(F.col("value").cast("string"), EVENT, {"mode": "FAILFAST"})
+    return messages.select(event.alias("e")).select("e.*")
 
 
 def events_from_files(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -117,17 +128,44 @@ def running_totals(events: DataFrame) -> DataFrame:
     )
 
 
+def _folders(spark: SparkSession, path: str) -> list:
+    """The file system of a path and the folders in it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [system, [status.getPath() for status in system.listStatus(place)] if system.exists(place) else []]
+
+
+def _fold(spark: SparkSession, path: str, since: int) -> None:
+    """Begin a generation of epochs with the totals so far, and remove the generations before it.
+
+    The totals stand as the epoch before the first one. If the fold is run again, a finished one is kept.
+    """
+    base = f"{path}/since={since}/epoch={since - 1}"
+    system, folders = _folders(spark, path)
+    older = [f for f in folders if f.getName().startswith("since=") and int(f.getName()[6:]) < since]
+    if older and not system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/_SUCCESS")):
+        rows = spark.read.option("basePath", path).schema(SUMMARY).parquet(*[f.toString() for f in older])
+        newest = latest_per_key(rows, ["customer_id"], [F.desc("epoch")]).drop("epoch", "since")
+        newest.write.mode("overwrite").parquet(base)
+    for folder in older:
+        system.delete(folder, True)
+
+
 def maintain_summary(events: DataFrame, path: str, checkpoint: str, once: bool = True,
-                     interval: str = "10 seconds") -> StreamingQuery:
+                     interval: str = "10 seconds", fold_every: int = FOLD_EVERY) -> StreamingQuery:
     """Keep running totals up to date: drain what is there, or go on with the given interval.
 
     Each micro-batch writes only the customers it changed, with their totals so far, into its own ``epoch``
-    partition. A batch that is run again after a failure replaces that partition, so nothing counts twice, and no
-    batch rewrites the whole table.
+    partition of a few files. A batch that is run again after a failure replaces that partition, so nothing counts
+    twice. Every ``fold_every`` batches the totals so far are folded into one partition that later ones add to, and the
+    older ones are removed, so what a reader lists and reads stays bounded.
     """
 
     def write(changed: DataFrame, epoch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        since = epoch - epoch % fold_every
+        if epoch == since and epoch > 0:
+            _fold(changed.sparkSession, path, since)
+        changed.repartition(EPOCH_FILES).write.mode("overwrite").parquet(f"{path}/since={since}/epoch={epoch}")
 
     writer = (
         running_totals(events)
@@ -140,12 +178,11 @@ def maintain_summary(events: DataFrame, path: str, checkpoint: str, once: bool =
 
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
     """Current totals: the newest row per customer; empty before the first event."""
-    schema = TABLES["streaming_suspicious_summary"] + ", epoch bigint"
     try:
-        changes = spark.read.schema(schema).parquet(path)
+        changes = spark.read.schema(SUMMARY).parquet(path)
     except AnalysisException:
-        changes = spark.createDataFrame([], schema)
-    return latest_per_key(changes, ["customer_id"], [F.desc("epoch")]).drop("epoch")
+        changes = spark.createDataFrame([], SUMMARY)
+    return latest_per_key(changes, ["customer_id"], [F.desc("epoch")]).drop("epoch", "since")
 
 
 def compact_summary(spark: SparkSession, path: str, target: str) -> None:

@@ -132,13 +132,13 @@ def test_destructive_question_is_refused(spark, corpus):
     assert [r["status"] for r in rows] == ["rejected", "rejected", "answered", "rejected"]
     assert "cannot run destructive" in rows[0]["response"] and rows[0]["guarded_sql"] is None
     assert rows[0]["citations"] == []
-    assert "No local source matched" in rows[2]["response"] and "did not need SQL" in rows[2]["response"]
+    assert "No document matched" in rows[2]["response"] and "needs no SQL" in rows[2]["response"]
 
 
 def test_guard_refusal_reaches_the_answer(spark, corpus):
     row = ask(spark, corpus, "show customer exposure by segment", allowed_schemas=("other",))[0]
     assert row["status"] == "rejected" and row["guarded_sql"] is None
-    assert row["response"].endswith("rejected by guardrails: Schema is not allowlisted: analytics_marts")
+    assert row["response"].endswith("refused the proposed SQL: Schema is not allowlisted: analytics_marts")
     assert len(row["citations"]) == 1
 
 

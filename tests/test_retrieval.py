@@ -7,8 +7,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from riskloom.operators import retrieval
+from riskloom.operators import joins, retrieval
 from riskloom.operators.retrieval import keyword_topk, vector_topk
 from riskloom.sources.sinks import index_corpus
 
@@ -34,7 +36,7 @@ def _found(df):
     return found
 
 
-def test_keyword_topk_matches_brute_force_on_both_joins(spark):
+def test_keyword_topk_matches_brute_force_in_blocks(spark):
     rng = random.Random(3)
     words = ["the"] * 30 + [f"w{i}" for i in range(40)]
     corpus = [(f"d{i:03}", " ".join(rng.choices(words, k=rng.randrange(1, 60)))) for i in range(120)]
@@ -43,8 +45,8 @@ def test_keyword_topk_matches_brute_force_on_both_joins(spark):
     docs = spark.createDataFrame(corpus, "source string, text string").repartition(5)
     asked = spark.createDataFrame([(q,) for q in questions + questions[:5]], "question string")
     expected = _brute(questions, corpus, 4)
-    assert _found(keyword_topk(asked, docs, 4)) == expected
-    assert _found(keyword_topk(asked, docs, 4, small=False)) == expected
+    for block in (1, 7, 512):
+        assert _found(keyword_topk(asked, docs, 4, block)) == expected
 
 
 def test_hits_carry_their_compacted_text(spark, monkeypatch):
@@ -54,7 +56,7 @@ def test_hits_carry_their_compacted_text(spark, monkeypatch):
     expected = {("alpha?", "a"): "alpha beta", ("alpha?", "b"): long[:897] + "...", ("beta", "a"): "alpha beta",
                 ("alpha beta", "a"): "alpha beta", ("alpha beta", "b"): long[:897] + "..."}
     for measured in (True, False):
-        monkeypatch.setattr(retrieval, "fits", lambda df, *bounds: measured)
+        monkeypatch.setattr(joins, "fits", lambda df, *bounds, measured=measured: measured)
         rows = retrieval.retrieve_context(asked, docs).collect()
         assert {(r["question"], r["source"]): r["text"] for r in rows} == expected
 
@@ -84,6 +86,21 @@ def test_vector_topk_matches_brute_force_in_blocks(spark):
         rows = vector_topk(asked, corpus, 3, block).collect()
         assert {(r["query_id"], r["rank"]): (r["vec_id"], r["cosine"], r["score"]) for r in rows} == expected
     assert vector_topk(asked.where("false"), corpus).count() == 0
+    text = vector_topk(asked.where("false").select(F.col("query_id").cast("string"), "vector"), corpus)
+    assert dict(text.dtypes)["query_id"] == "string"
+    with pytest.raises(Exception, match="lacks its id or vector"):
+        vector_topk(asked.unionByName(spark.createDataFrame([(9, None)], asked.schema)), corpus).collect()
+
+
+def test_repeated_query_ids_do_not_depend_on_the_block(spark):
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.7, 0.7])],
+                                   "vec_id bigint, vector array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])],
+                                  "query_id bigint, vector array<double>")
+    for block in (1, 9):
+        rows = vector_topk(asked, corpus, 2, block).collect()
+        assert {(r["query_id"], r["rank"], r["vec_id"], r["cosine"]) for r in rows} == {
+            (1, 1, 1, 1.0), (1, 2, 2, 1.0), (2, 1, 3, 1.0), (2, 2, 1, 0.707107)}
 
 
 def test_index_is_kept_unless_forced(spark, tmp_path):
