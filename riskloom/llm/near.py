@@ -6,10 +6,12 @@ larger ones of its parts, and two sets agree in a register with a probability cl
 
 Documents of equal sets form a class, which is linked as a whole. Classes that agree in all registers of one of ``BANDS``
 bands share a bucket; at similarity 0.8 a pair misses all of them with probability 1.4e-7. Within a bucket, pairs are
-not enumerated: some members are pivots, which are compared with all members. Members that thereby come into one
-component need no link of their own; the others go into the next round with eight times the pivots, until every pair of a
-bucket is compared or lies in one component. A pair's similarity is estimated from both sketches by the likelihood of
-its larger, smaller and equal registers; pairs that it leaves possible are confirmed on the full sets.
+not enumerated: the first member is a pivot, which is compared with all members, and members that thereby come into one
+component need no link of their own. Members of buckets that still hold several components, such as texts with a
+frequent passage in common, are dealt into new buckets by the rare shingles that linked sets must share, and pivots are
+taken there, 64 times as many each round, until every pair of a bucket is compared or lies in one component. A pair's
+similarity is estimated from both sketches by the likelihood of its larger, smaller and equal registers; pairs that it
+leaves possible are confirmed on the full sets.
 
 No bucket, class or component is gathered: classes and components are minima taken before the shuffle, pivots are the
 first rows of a bucket and are cut in every task, and joins on a bucket, class or text have two written sides, which
@@ -192,19 +194,57 @@ def components(edges: DataFrame) -> DataFrame:
     labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp"))
                      .withColumnRenamed("a", "cid"), "near-labels")
     while True:
-        near = both.join(labels, both["b"] == labels["cid"]).groupBy("a").agg(F.min("comp").alias("next"))
+        named = labels.withColumnRenamed("comp", "next")
+        near = both.join(named, both["b"] == named["cid"]).groupBy("a").agg(F.min("next").alias("next"))
         step = labels.join(near, labels["cid"] == near["a"]).select(
             "cid", F.col("comp").alias("old"), F.least("comp", "next").alias("comp"))
-        step = written(step, "near-step")
-        jump = step.select(F.col("cid").alias("at"), F.col("comp").alias("beyond"))
+        jump = labels.select(F.col("cid").alias("at"), F.col("comp").alias("beyond"))
         moved = step.join(jump, step["comp"] == jump["at"], "left").select(
-            "cid", "old", F.least("comp", "beyond").alias("comp"))
+            "cid", "old", F.least("comp", F.coalesce("beyond", "comp")).alias("comp"))
         moved = written(moved, "near-labels")
         labels = moved.select("cid", "comp")
         if moved.where("comp <> old").isEmpty():
             return labels
 
 
+def rare_prefixes(members: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """``(bucket, cid)``: the classes of ``members`` anew, by the shingles that a linked pair of them must share.
+
+    With shingles ordered by how many of the classes have them, two sets that reach the similarity share one of the
+    first ``n - ceil(n * similarity) + 1`` shingles of each. Those are the rare ones, which classes that only have a
+    frequent passage in common do not share, so these buckets hold few pairs that fail.
+    """
+    wanted = texts.join(members.select("cid").distinct(), "cid").select("cid", "text")
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            value, first = shingle_sets(batch.column("text"), size)
+            n = np.diff(first)
+            names = np.repeat(batch.column("cid").to_numpy(), n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names), pa.array(np.repeat(n, n)), pa.array(value.view(np.int64))],
+                names=["cid", "n", "bucket"])
+
+    rows = written(wanted.mapInArrow(listed, "cid long, n long, bucket long"), "near-shingles")
+    counts = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes")), "near-shingle-counts")
+    order = Window.partitionBy("cid").orderBy("classes", "bucket")
+    placed = rows.join(counts, "bucket").withColumn("place", F.row_number().over(order))
+    reach = F.col("n") - F.ceil(F.col("n") * SIMILARITY / 100) + 1
+    return written(placed.where((F.col("place") <= reach) & (F.col("classes") > 1)).select("bucket", "cid"),
+                   "near-members")
+
+
+def _pivots(members: DataFrame, n: int) -> DataFrame:
+    """``(bucket, pivot)``: the first ``n`` classes of each bucket."""
+    if n == 1:
+        first = members.groupBy("bucket").agg(F.min("cid").alias("pivot"))
+    else:
+        order = Window.partitionBy("bucket").orderBy("cid")
+        first = members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).select(
+            "bucket", F.col("cid").alias("pivot"))
+    return written(first, "near-pivots")
+
+
 def near_links(documents: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, sign, n, cid)`` of every row of ``documents(doc_id, text)``, and ``(cid, comp)`` of linked classes."""
     lean(documents.sparkSession)
@@ -217,15 +257,14 @@ def near_links(documents: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, Da
     spread = written(buckets(classes), "near-buckets")
     shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     members = written(spread.join(written(shared.select("bucket"), "near-shared"), "bucket"), "near-members")
+    texts = _class_texts(classes, members, signed)
     spark = documents.sparkSession
     edges = tested = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "cid long, comp long")
     slim = classes.select("cid", "n", "registers")
-    pivots_per_bucket = 1
+    pivots_per_bucket, refined = 1, False
     while True:
-        first = Window.partitionBy("bucket").orderBy("cid")
-        pivots = members.withColumn("place", F.row_number().over(first)).where(F.col("place") <= pivots_per_bucket)
-        pivots = written(pivots.select("bucket", F.col("cid").alias("pivot")), "near-pivots")
+        pivots = _pivots(members, pivots_per_bucket)
         pairs = members.join(pivots, "bucket").where("cid <> pivot")
         pairs = pairs.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
         # Only pairs of different components are still open.
@@ -240,7 +279,9 @@ def near_links(documents: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, Da
                                        F.col("registers").alias("sketch_b")), "b")
         sizes = 100 * F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")
         likely = written(plausible(pairs.where(sizes)), "near-likely")
-        found = written(_confirm(likely, classes, signed, size), "near-links")
+        one = likely.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
+        two = one.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
+        found = written(confirmed(two.select("a", "b", "text_a", "text_b"), size), "near-links")
         if not found.isEmpty():
             edges = edges.unionByName(found)
             labels = components(edges)
@@ -252,21 +293,20 @@ def near_links(documents: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, Da
         if open_buckets.isEmpty():
             return sketches.select("doc_id", "sign", "n", "cid"), labels
         members = written(left.join(open_buckets, "bucket"), "near-members")
-        pivots_per_bucket *= 8
+        if refined:
+            pivots_per_bucket *= 64
+        else:
+            members, refined = rare_prefixes(members, texts, size), True
 
 
-def _confirm(likely: DataFrame, classes: DataFrame, signed: DataFrame, size: int) -> DataFrame:
-    """Meets likely pairs with a text of each class and confirms them."""
-    needed = likely.select(F.col("a").alias("cid")).union(likely.select("b")).distinct()
-    needed = written(classes.join(needed, "cid").select("cid", "example.doc_id", F.col("example.sign").alias("sign")),
-                     "near-needed")
+def _class_texts(classes: DataFrame, members: DataFrame, signed: DataFrame) -> DataFrame:
+    """``(cid, text)``: a text of every class that shares a bucket. Texts are moved once, whatever their number."""
+    needed = classes.join(members.select("cid").distinct(), "cid").select(
+        "cid", "example.doc_id", F.col("example.sign").alias("sign"))
+    needed = written(needed, "near-needed").hint("merge")
     texts = signed.withColumnRenamed("doc_id", "id").withColumnRenamed("sign", "id_sign")
     same = (texts["id"] == needed["doc_id"]) & (texts["id_sign"] == needed["sign"])
-    texts = texts.join(needed, same).groupBy("cid").agg(F.first("text").alias("text"))
-    texts = written(texts, "near-texts")
-    one = likely.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
-    two = one.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
-    return confirmed(two.select("a", "b", "text_a", "text_b"), size)
+    return written(texts.join(needed, same).groupBy("cid").agg(F.first("text").alias("text")), "near-texts")
 
 
 def near_groups(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
