@@ -8,6 +8,8 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+from riskloom.functions.rules import MART_BANDS
+
 # Typed schemas, in column order.
 TABLES: dict[str, str] = {
     "customers": (
@@ -223,8 +225,9 @@ MODEL_TESTS: dict[str, ModelTests] = {
                 "total_outstanding_balance < 0 OR total_principal_amount < 0 OR loan_count < 0"
             ),
             "portfolio_status_matches_dpd": (
-                "portfolio_status <> CASE WHEN max_days_past_due >= 90 THEN 'DEFAULT_RISK' "
-                "WHEN max_days_past_due >= 30 THEN 'HIGH_RISK' WHEN max_days_past_due > 0 THEN 'WATCHLIST' "
+                f"portfolio_status <> CASE WHEN max_days_past_due >= {MART_BANDS.default_from} THEN 'DEFAULT_RISK' "
+                f"WHEN max_days_past_due >= {MART_BANDS.high_from} THEN 'HIGH_RISK' "
+                f"WHEN max_days_past_due >= {MART_BANDS.watch_from} THEN 'WATCHLIST' "
                 "WHEN max_days_past_due = 0 THEN 'PERFORMING' ELSE portfolio_status END"
             ),
         },

@@ -105,10 +105,11 @@ def scan_series(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_corpus(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``(source, text)`` of the documents under some paths, one row per file."""
+    """``(source, text)`` of the documents under some paths, one row per file; a local file by its plain path."""
+    path = F.regexp_replace(F.url_decode("_metadata.file_path"), "^file:(?://)?", "")
     files = (
         spark.read.text(paths, wholetext=True, recursiveFileLookup=True)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+        .select(path.alias("path"), F.col("value").alias("text"))
     )
     return corpus_documents(files, CORPUS_EXTENSIONS)
 
