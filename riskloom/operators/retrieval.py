@@ -49,7 +49,9 @@ def _scored(packs: DataFrame, blocks: DataFrame, parts: int, score: Callable, sc
     left = packs.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
     left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     right = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, ["block", "salt"]).drop("block", "salt").mapInArrow(score, schema)
+    # The rows are few and small but costly, so the number of tasks is set and not left to their size.
+    left, right = (side.repartition(2 * salts, "block", "salt") for side in (left, right))
+    return left.join(right.hint("shuffle_hash"), ["block", "salt"]).drop("block", "salt").mapInArrow(score, schema)
 
 
 def _best(scores: np.ndarray, names: list, top_k: int) -> np.ndarray:
@@ -58,7 +60,37 @@ def _best(scores: np.ndarray, names: list, top_k: int) -> np.ndarray:
     if len(scores) > top_k:
         cut = np.partition(scores, len(scores) - top_k)[len(scores) - top_k]
         rows = np.flatnonzero(scores >= cut)
-    return np.array(sorted(rows, key=lambda i: (-scores[i], names[i]))[:top_k], dtype=int)
+    return np.array(sorted(rows.tolist(), key=lambda i: (-scores[i], names[i]))[:top_k], dtype=int)
+
+
+def _word_scores(row: pa.RecordBatch, top_k: int) -> pa.RecordBatch:
+    """The best documents of one pack for every question of one block; sums of whole numbers stay exact as doubles."""
+    ids, asked = row.column("ids")[0].as_py(), row.column("queries")[0].as_py()
+    ends, places, uses = (row.column(c).flatten().to_numpy() for c in ("ends", "places", "uses"))
+    weights = [Counter(query["words"]) for query in asked]
+    place = {term: k for k, term in enumerate(row.column("terms").flatten().to_pylist())}
+    used = sorted({place[word] for words in weights for word in words if word in place})
+    line = np.full(len(place), -1)
+    line[used] = np.arange(len(used))
+    matrix = np.zeros((len(used), len(asked)))
+    for q, words in enumerate(weights):
+        for word, n in words.items():
+            if word in place:
+                matrix[line[place[word]], q] = n
+    own, scores, begin = line[places], np.zeros((len(ids), len(asked))), 0
+    for d, end in enumerate(ends):
+        lines, n = own[begin:end], uses[begin:end]
+        scores[d] = n[lines >= 0].astype("float64") @ matrix[lines[lines >= 0]]
+        begin = end
+    found = {"question": [], "source": [], "score": []}
+    for q, query in enumerate(asked):
+        some = np.flatnonzero(scores[:, q])
+        rows = some[_best(scores[some, q], [ids[d] for d in some], top_k)]
+        found["question"] += [query["question"]] * len(rows)
+        found["source"] += [ids[d] for d in rows]
+        found["score"] += scores[rows, q].astype("int64").tolist()
+    return pa.RecordBatch.from_pydict(found, schema=pa.schema(
+        [("question", pa.string()), ("source", pa.string()), ("score", pa.int64())]))
 
 
 def _word_packs(corpus: DataFrame) -> DataFrame:
@@ -99,30 +131,8 @@ def keyword_topk(questions: DataFrame, corpus: DataFrame, top_k: int = 4, block:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {"question": [], "source": [], "score": []}
-            for row in batch.to_pylist():
-                place = {term: k for k, term in enumerate(row["terms"])}
-                weights = np.zeros((len(place), len(row["queries"])), dtype=np.int64)
-                for q, query in enumerate(row["queries"]):
-                    for word, n in Counter(query["words"]).items():
-                        if word in place:
-                            weights[place[word], q] = n
-                used = weights.any(axis=1)
-                scores = np.zeros((len(row["ids"]), len(row["queries"])), dtype=np.int64)
-                begin, places, uses = 0, np.array(row["places"], dtype=int), np.array(row["uses"], dtype=np.int64)
-                for d, end in enumerate(row["ends"]):
-                    own, n = places[begin:end], uses[begin:end]
-                    own, n = own[used[own]], n[used[own]]
-                    scores[d] = n @ weights[own]
-                    begin = end
-                for q, query in enumerate(row["queries"]):
-                    for d in _best(scores[:, q], row["ids"], top_k):
-                        if scores[d, q] > 0:
-                            found["question"].append(query["question"])
-                            found["source"].append(row["ids"][d])
-                            found["score"].append(int(scores[d, q]))
-            yield pa.RecordBatch.from_pydict(found, schema=pa.schema(
-                [("question", pa.string()), ("source", pa.string()), ("score", pa.int64())]))
+            for k in range(batch.num_rows):
+                yield _word_scores(batch.slice(k, 1), top_k)
 
     scored = _scored(_word_packs(corpus), blocks, parts, score, "question string, source string, score bigint")
     return top_per_group(scored, "question", [F.desc("score"), F.asc("source")], top_k)
