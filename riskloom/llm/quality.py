@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,13 +92,13 @@ def _discount(n: str) -> Column:
     return F.when(F.col(n) == 1, F.col("d1")).when(F.col(n) == 2, F.col("d2")).otherwise(F.col("d3"))
 
 
-def smoothed(counts: DataFrame) -> DataFrame:
-    """``(lang, width, gram, p, rest)`` for every width from ``ORDER`` to 1.
+def smoothed(counts: DataFrame) -> list[DataFrame]:
+    """``(lang, gram, p, rest)`` for every width from ``ORDER`` to 1.
 
     Rows with ``p`` are n-grams with their discounted share; rows with ``rest`` are contexts with the share that goes to
     the next shorter n-gram.
     """
-    out = None
+    parts = []
     for width in range(ORDER, 0, -1):
         spread = [F.sum(F.when(F.col("n") == k, 1).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3, 4)]
         tally = counts.groupBy("lang").agg(*spread)
@@ -112,38 +113,34 @@ def smoothed(counts: DataFrame) -> DataFrame:
         known = counts.join(tally, "lang").withColumn("off", _discount("n"))
         known = known.withColumn("context", F.shiftright("gram", BITS))
         totals = known.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("off").alias("mass"))
+        totals = written(totals, f"quality-contexts-{width}")
         shares = known.join(totals, ["lang", "context"]).select(
-            "lang", F.lit(width).alias("width"), "gram", ((F.col("n") - F.col("off")) / F.col("total")).alias("p"),
+            "lang", "gram", ((F.col("n") - F.col("off")) / F.col("total")).alias("p"),
             F.lit(None).cast("double").alias("rest"))
-        rests = totals.select("lang", F.lit(width).alias("width"), F.col("context").alias("gram"),
+        rests = totals.select("lang", F.col("context").alias("gram"),
                               F.lit(None).cast("double").alias("p"), (F.col("mass") / F.col("total")).alias("rest"))
-        part = shares.unionByName(rests)
-        out = part if out is None else out.unionByName(part)
+        parts.append(shares.unionByName(rests))
         lower = F.col("gram").bitwiseAND((1 << (BITS * (width - 1))) - 1)
         counts = counts.groupBy("lang", lower.alias("gram")).agg(F.count(F.lit(1)).alias("n"))
         counts = written(counts, f"quality-counts-{width - 1}")
-    return out
+    return parts
 
 
-def dense(rows: DataFrame) -> dict[str, np.ndarray]:
+def dense(parts: list[DataFrame]) -> dict[str, np.ndarray]:
     """Log probability of every n-gram by language. The rows are bounded by the classes and the order."""
-    found = rows.toArrow()
-    lang, width = found.column("lang").to_numpy(), found.column("width").to_numpy()
-    gram, p, rest = (found.column(c).to_numpy() for c in ("gram", "p", "rest"))
-    models = {}
-    for name in sorted(set(lang)):
-        lower = np.full(1, 1.0 / (1 << BITS))
-        for k in range(1, ORDER + 1):
-            own = (lang == name) & (width == k)
-            share, left = np.zeros(1 << (BITS * k)), np.ones(1 << (BITS * (k - 1)))
-            seen = own & ~np.isnan(p)
-            share[gram[seen]] = p[seen]
-            seen = own & ~np.isnan(rest)
-            left[gram[seen]] = rest[seen]
-            every = np.arange(len(share))
-            lower = share + left[every >> BITS] * lower[every & (len(lower) - 1)]
-        models[name] = np.log(lower).astype(np.float32)
-    return models
+    models: dict[str, np.ndarray] = {}
+    for k, part in enumerate(reversed(parts), 1):
+        found = part.toArrow()
+        every = np.arange(1 << (BITS * k))
+        for name in sorted(found.column("lang").unique().to_pylist()):
+            own = found.filter(pc.equal(found.column("lang"), name))
+            gram, p, rest = (own.column(c).to_numpy() for c in ("gram", "p", "rest"))
+            share, left = np.zeros(len(every)), np.ones(len(every) >> BITS)
+            share[gram[~np.isnan(p)]] = p[~np.isnan(p)]
+            left[gram[~np.isnan(rest)]] = rest[~np.isnan(rest)]
+            lower = models.get(name, np.full(1, 1.0 / (1 << BITS)))
+            models[name] = share + left[every >> BITS] * lower[every & (len(lower) - 1)]
+    return {name: np.log(chances).astype(np.float32) for name, chances in models.items()}
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
@@ -152,9 +149,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
 
 
 def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that a label calls good."""
+    """The documents that a label calls good. The labels grow with the documents, so they are joined by shuffle."""
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi")
+    return docs.join(good.hint("merge"), "doc_id", "left_semi")
 
 
 def perplexity(docs: DataFrame, models: dict[str, np.ndarray]) -> DataFrame:
