@@ -7,6 +7,7 @@ per query, never all pairs, and nothing passes through the driver but the number
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -15,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.text import compact, is_blank, tokens
+from riskloom.functions.text import TOKEN, compact, is_blank, tokens
 from riskloom.operators.joins import join_measured
 from riskloom.operators.topk import top_per_group
 
 # Queries scored together, and documents in a pack.
 QUERY_BLOCK = 512
+WORD = re.compile(TOKEN)
 PACK_ROWS = 2048
 
 
@@ -100,8 +102,8 @@ def _word_packs(corpus: DataFrame) -> DataFrame:
         for batch in batches:
             terms: dict[str, int] = {}
             ends, places, uses = [], [], []
-            for words in batch.column("words").to_pylist():
-                for word, n in Counter(words or ()).items():
+            for text in batch.column("text").to_pylist():
+                for word, n in Counter(WORD.findall(text or "")).items():
                     places.append(terms.setdefault(word, len(terms)))
                     uses.append(n)
                 ends.append(len(places))
@@ -115,8 +117,8 @@ def _word_packs(corpus: DataFrame) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return packed(b.slice(at, PACK_ROWS) for b in batches for at in range(0, b.num_rows, PACK_ROWS))
 
-    words = corpus.select("source", tokens(F.col("text")).alias("words"))
-    return words.mapInArrow(
+    # Texts are lowered as the questions are; their words are found where they are counted.
+    return corpus.select("source", F.lower("text").alias("text")).mapInArrow(
         split, "ids array<string>, terms array<string>, ends array<int>, places array<int>, uses array<int>")
 
 
