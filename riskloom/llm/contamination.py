@@ -185,7 +185,7 @@ def decontamination_stage(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents in which no benchmark window occurs, in the columns of ``docs``."""
     found = contamination(docs.select("doc_id", "text"), items.select("item_id", "text"))
     bad = written(found.where("n_hit > 0").select(F.col("doc_id").alias("bad_id"), F.col("sign").alias("bad_sign"))
-                  .distinct(), "contaminated")
+                  .distinct(), "contaminated").hint("merge")
     same = docs["doc_id"].eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs["text"]) == bad["bad_sign"])
     return docs.join(bad, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -58,7 +58,7 @@ def drop_boilerplate(
     found = slim.select("id", "host", F.explode(_keys(F.col("text"))).alias("key"))
     same = found["key"].eqNullSafe(known["key"]) & found["host"].eqNullSafe(known["host"])
     hits = found.join(known, same, "left_semi")
-    hits = written(hits.groupBy("id", "host").agg(F.collect_set("key").alias("gone")), "boilerplate-hits")
+    hits = written(hits.groupBy("id", "host").agg(F.collect_set("key").alias("gone")), "boilerplate-hits").hint("merge")
     rows = pages.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), F.col(host).alias("host"),
                         F.col(text).alias("text"))
     met = rows.join(hits, rows["id"].eqNullSafe(hits["id"]) & rows["host"].eqNullSafe(hits["host"]), "left")

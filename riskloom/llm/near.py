@@ -335,7 +335,7 @@ def near_stage(docs: DataFrame, size: int = 5) -> DataFrame:
     Rows that share that id are the same document and stay together."""
     groups = near_groups(docs.select("doc_id", "text"), size)
     gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("sign").alias("gone_sign"))
-    gone = written(gone.distinct(), "near-gone")
+    gone = written(gone.distinct(), "near-gone").hint("merge")
     same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_sign"])
     return docs.join(gone, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 

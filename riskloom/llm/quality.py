@@ -5,7 +5,7 @@ ASCII, others), one model per language and one of all languages. Its counts cove
 into dense tables and send what they have seen, counts are summed by language and n-gram, continuation counts, context
 totals and the three discounts of each order follow by grouping and joining the count tables on their contexts.
 
-A model has at most 32**ORDER n-grams, about a million, so it has a bound of 8 MB per language however large the corpus
+A model has at most 32**ORDER n-grams, about a million, so it has a bound of 4 MB per language however large the corpus
 is; documents meet it by broadcast and are scored in one pass without a shuffle. A document is kept when its perplexity
 is at most the ``QUANTILE`` of its language's trusted documents, taken from exact counts of perplexities to three digits
 of the logarithm. A language without trusted documents takes the model and the threshold of all.
