@@ -39,7 +39,7 @@ CUT = 40
 CACHE = 500_000
 FLOOR = 1e-7  # probability of a character that is no piece, and of a piece that a language never used
 UNKNOWN = "und"
-MIN_SCORE = 0.5  # below it the pipeline rejects a document
+MIN_SCORE = 0.4  # below it no language is likely enough, and the pipeline rejects a document
 WORDS = re.compile(r"[^\W\d_]+")
 STEP = np.uint64(0x9E3779B97F4A7C15)
 START = "▁"
