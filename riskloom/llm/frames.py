@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.session import scratch_path
@@ -56,6 +56,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, label: str, condition: str = "true") -> tuple[DataFrame, int]:
+    """``df`` written, and how many of its rows meet a condition, which the write itself counts."""
+    seen = Observation()
+    rows = written(df.observe(seen, F.count_if(F.expr(condition)).alias("rows")), label)
+    return rows, seen.get["rows"]
+
+
 def n_words(text: str) -> Column:
     """Words of a text column, 0 for null."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")

@@ -9,7 +9,7 @@ bands share a bucket; at similarity 0.8 a pair misses all of them with probabili
 not enumerated: the first member is a pivot, which is compared with all members, and members that thereby come into one
 component need no link of their own. Members of buckets that still hold several components, such as texts with a
 frequent passage in common, are dealt into new buckets by the rare shingles that linked sets must share, and pivots are
-taken there, 64 times as many each round, until every pair of a bucket is compared or lies in one component. A pair's
+taken there, those of small components first and eight times as many each round, until every pair of a bucket is compared or lies in one component. A pair's
 similarity is estimated from both sketches by the likelihood of its larger, smaller and equal registers; pairs that it
 leaves possible are confirmed on the full sets.
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.frames import lean, table, written
+from riskloom.llm.frames import counted, lean, table, written
 from riskloom.llm.text import blocks, hashed, mix
 
 SHINGLE = 2  # words; the pipeline takes 5
@@ -189,8 +189,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the smallest label among the neighbours and then the label of that label; a written table ends it.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = written(both, "near-edges")
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp"))
                      .withColumnRenamed("a", "cid"), "near-labels")
     while True:
@@ -201,9 +200,9 @@ def components(edges: DataFrame) -> DataFrame:
         jump = labels.select(F.col("cid").alias("at"), F.col("comp").alias("beyond"))
         moved = step.join(jump, step["comp"] == jump["at"], "left").select(
             "cid", "old", F.least("comp", F.coalesce("beyond", "comp")).alias("comp"))
-        moved = written(moved, "near-labels")
+        moved, changed = counted(moved, "near-labels", "comp <> old")
         labels = moved.select("cid", "comp")
-        if moved.where("comp <> old").isEmpty():
+        if not changed:
             return labels
 
 
@@ -230,19 +229,33 @@ def rare_prefixes(members: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     order = Window.partitionBy("cid").orderBy("classes", "bucket")
     placed = rows.join(counts, "bucket").withColumn("place", F.row_number().over(order))
     reach = F.col("n") - F.ceil(F.col("n") * SIMILARITY / 100) + 1
-    return written(placed.where((F.col("place") <= reach) & (F.col("classes") > 1)).select("bucket", "cid"),
-                   "near-members")
+    kept = placed.where((F.col("place") <= reach) & (F.col("classes") > 1))
+    return kept.select("bucket", "cid", "n", F.col("place").cast("long").alias("place"))
 
 
 def _pivots(members: DataFrame, n: int) -> DataFrame:
-    """``(bucket, pivot)``: the first ``n`` classes of each bucket."""
-    if n == 1:
-        first = members.groupBy("bucket").agg(F.min("cid").alias("pivot"))
-    else:
-        order = Window.partitionBy("bucket").orderBy("cid")
-        first = members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).select(
-            "bucket", F.col("cid").alias("pivot"))
-    return written(first, "near-pivots")
+    """``(bucket, pivot, ...)``: ``n`` members of each bucket, those of the smallest components first."""
+    sizes = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"))
+    sized = members.join(written(sizes, "near-sizes"), ["bucket", "comp"])
+    order = Window.partitionBy("bucket").orderBy("size", "cid")
+    first = sized.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return first.select("bucket", "cid", "comp", "n", "place")
+
+
+def _pairs(members: DataFrame, pivots: DataFrame) -> DataFrame:
+    """``(a, b)``: pivots with the members of their buckets that lie in other components and may be similar enough.
+
+    The sizes of two linked sets differ little; and in a bucket of rare shingles, where the shared one is the first that
+    a pair has in common, no more can be common than what follows it in either set.
+    """
+    x, y = members.alias("x"), pivots.alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    sizes = 100 * F.least(n, m) >= SIMILARITY * F.greatest(n, m)
+    follows = 1 + F.least(n - F.col("x.place"), m - F.col("y.place"))
+    enough = F.coalesce((100 + SIMILARITY) * follows >= SIMILARITY * (n + m), F.lit(True))
+    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp")) & sizes & enough
+    pairs = x.join(y, apart).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
+    return written(pairs.distinct(), "near-pairs")
 
 
 def near_links(documents: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
@@ -255,55 +268,63 @@ def near_links(documents: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, Da
                                         F.first("registers").alias("registers"))
     classes = written(classes, "near-classes")
     spread = written(buckets(classes), "near-buckets")
-    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = written(spread.join(written(shared.select("bucket"), "near-shared"), "bucket"), "near-members")
+    pivots = spread.groupBy("bucket").agg(F.min("cid").alias("pivot"), F.count(F.lit(1)).alias("size"))
+    pivots = written(pivots.where("size > 1").select("bucket", "pivot"), "near-pivots")
+    members = written(spread.join(pivots, "bucket"), "near-members")
     texts = _class_texts(classes, members, signed)
-    spark = documents.sparkSession
-    edges = tested = spark.createDataFrame([], "a long, b long")
-    labels = spark.createDataFrame([], "cid long, comp long")
     slim = classes.select("cid", "n", "registers")
-    pivots_per_bucket, refined = 1, False
-    while True:
-        pivots = _pivots(members, pivots_per_bucket)
-        pairs = members.join(pivots, "bucket").where("cid <> pivot")
-        pairs = pairs.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
-        # Only pairs of different components are still open.
-        pairs = pairs.join(labels.select(F.col("cid").alias("a"), F.col("comp").alias("comp_a")), "a", "left")
-        pairs = pairs.join(labels.select(F.col("cid").alias("b"), F.col("comp").alias("comp_b")), "b", "left")
-        pairs = pairs.where(~F.coalesce(F.col("comp_a") == F.col("comp_b"), F.lit(False))).select("a", "b")
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        tested = tested.unionByName(pairs)
-        pairs = pairs.join(slim.select(F.col("cid").alias("a"), F.col("n").alias("n_a"),
-                                       F.col("registers").alias("sketch_a")), "a")
-        pairs = pairs.join(slim.select(F.col("cid").alias("b"), F.col("n").alias("n_b"),
-                                       F.col("registers").alias("sketch_b")), "b")
-        sizes = 100 * F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")
-        likely = written(plausible(pairs.where(sizes)), "near-likely")
-        one = likely.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
-        two = one.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
-        found = written(confirmed(two.select("a", "b", "text_a", "text_b"), size), "near-links")
-        if not found.isEmpty():
+    pairs = members.where("cid <> pivot").select(
+        F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
+    edges, links = _linked(pairs, slim, texts, size)
+    labels = components(edges) if links else documents.sparkSession.createDataFrame([], "cid long, comp long")
+    members, rows = _open(members.where("cid <> pivot").select("bucket", "cid"), labels)
+    if rows:
+        members = written(_named(written(rare_prefixes(members, texts, size), "near-refined"), labels), "near-members")
+    pivots_per_bucket = 1
+    while rows:
+        pivots = written(_pivots(members, pivots_per_bucket), "near-pivots")
+        found, links = _linked(_pairs(members, pivots), slim, texts, size)
+        if links:
             edges = edges.unionByName(found)
             labels = components(edges)
         # Pivots have met all members of their buckets; what is left matters where it lies in several components.
-        left = members.join(pivots.withColumnRenamed("pivot", "cid"), ["bucket", "cid"], "left_anti")
-        named = left.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        open_buckets = named.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-        open_buckets = written(open_buckets.where("low < high").select("bucket"), "near-open")
-        if open_buckets.isEmpty():
-            return sketches.select("doc_id", "sign", "n", "cid"), labels
-        members = written(left.join(open_buckets, "bucket"), "near-members")
-        if refined:
-            pivots_per_bucket *= 64
-        else:
-            members, refined = rare_prefixes(members, texts, size), True
+        left = members.join(pivots.select("bucket", "cid"), ["bucket", "cid"], "left_anti")
+        members, rows = _open(left.select("bucket", "cid", "n", "place"), labels)
+        pivots_per_bucket *= 8
+    return sketches.select("doc_id", "sign", "n", "cid"), labels
+
+
+def _named(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``members`` with their component; a class without links is one of its own."""
+    return members.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+
+
+def _open(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
+    """The members, with their components, of buckets that hold several components, and how many there are."""
+    named = _named(members, labels)
+    spans = named.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    spans = written(spans.where("low < high").select("bucket"), "near-open")
+    return counted(named.join(spans, "bucket"), "near-open-members")
+
+
+def _linked(pairs: DataFrame, slim: DataFrame, texts: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """The ``pairs(a, b)`` that reach the similarity, by their sketches and then on their full sets, and their number."""
+    pairs = pairs.join(slim.select(F.col("cid").alias("a"), F.col("n").alias("n_a"),
+                                   F.col("registers").alias("sketch_a")), "a")
+    pairs = pairs.join(slim.select(F.col("cid").alias("b"), F.col("n").alias("n_b"),
+                                   F.col("registers").alias("sketch_b")), "b")
+    sizes = 100 * F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")
+    likely = written(plausible(pairs.where(sizes)), "near-likely")
+    one = likely.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
+    two = one.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
+    return counted(confirmed(two.select("a", "b", "text_a", "text_b"), size), "near-links")
 
 
 def _class_texts(classes: DataFrame, members: DataFrame, signed: DataFrame) -> DataFrame:
     """``(cid, text)``: a text of every class that shares a bucket. Texts are moved once, whatever their number."""
     needed = classes.join(members.select("cid").distinct(), "cid").select(
         "cid", "example.doc_id", F.col("example.sign").alias("sign"))
-    needed = written(needed, "near-needed").hint("merge")
+    needed = needed.hint("merge")
     texts = signed.withColumnRenamed("doc_id", "id").withColumnRenamed("sign", "id_sign")
     same = (texts["id"] == needed["doc_id"]) & (texts["id_sign"] == needed["sign"])
     return written(texts.join(needed, same).groupBy("cid").agg(F.first("text").alias("text")), "near-texts")
