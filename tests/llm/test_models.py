@@ -158,6 +158,83 @@ def test_quality_model_is_kneser_ney(spark):
         assert table[gram] == pytest.approx(chance(parts), rel=1e-4)
 
 
+def _halves(spark, texts, lang="en", trusted=None):
+    docs = [(k, lang, t) for k, t in enumerate(texts)]
+    labels = [(k, 1) for k in range(len(texts) if trusted is None else trusted)]
+    return (spark.createDataFrame(docs, "doc_id long, lang string, text string"),
+            spark.createDataFrame(labels, "doc_id long, quality int"))
+
+
+def test_quality_is_kneser_ney_of_word_pairs(spark):
+    texts = ["the cat sat on the mat", "the dog sat on the cat", "a dog, the cat", "the the the", "on 3 mats",
+             "the cat sat on a dog", "é là the cat", "zebra"] * 2
+    docs, labels = _halves(spark, texts, trusted=12)
+    found = {r.doc_id: r.perplexity for r in quality.scored(docs, labels).collect()}
+    spell = quality.spelling(docs, labels)["en"].astype(float)
+    half = [zlib.crc32(str(k).encode()) % 2 for k in range(len(texts))]
+    assert set(half) == set(half[:12]) == {0, 1}
+
+    def spelled(word):
+        value, total = [0] * (quality.ORDER - 1), 0.0
+        for byte in [*word.encode(), 32]:
+            value.append(int(quality.CLASS[byte]))
+            gram = sum(v << (quality.BITS * k) for k, v in enumerate(reversed(value[-quality.ORDER:])))
+            total += spell[gram] - (math.log((quality.CLASS == quality.CLASS[byte]).sum()) if byte != 32 else 0.0)
+        return math.exp(total)
+
+    def discounts(counts):
+        n = Counter(counts.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+        return [max(min(k - (k + 1) * y * n[k + 1] / n[k], k), 0.1) if n[k] else 0.5 for k in (1, 2, 3)]
+
+    marked = [["<s>", *t.split(), ""] for t in texts]
+    for side in (0, 1):
+        pairs = Counter(p for k in range(12) if half[k] != side for p in itertools.pairwise(marked[k]))
+        kinds = Counter(w for _, w in pairs)
+        two, one = discounts(pairs), discounts(kinds)
+
+        def low(w):
+            lost = sum(one[min(n, 3) - 1] for n in kinds.values())
+            own = kinds[w] - one[min(kinds[w], 3) - 1] if kinds[w] else 0.0
+            return (own + lost * spelled(w)) / sum(kinds.values())
+
+        def chance(v, w):
+            own = {x: n for (u, x), n in pairs.items() if u == v}
+            if not own:
+                return low(w)
+            lost = sum(two[min(n, 3) - 1] for n in own.values())
+            return (own.get(w, 0) - (two[min(own[w], 3) - 1] if w in own else 0.0) + lost * low(w)) / sum(own.values())
+
+        for k, words in enumerate(marked):
+            if half[k] == side:
+                total = sum(math.log(chance(v, w)) for v, w in itertools.pairwise(words))
+                assert found[k] == pytest.approx(math.exp(-total / len(texts[k].encode())), rel=1e-4)
+
+
+def test_quality_sees_words_and_their_order_in_any_script(spark):
+    rng = np.random.default_rng(3)
+    letters = list("абвгдежзиклмнопрст")
+    names = ["".join(rng.choice(letters, 5)) for _ in range(60)]
+    good = [" ".join(names[(b + k) % 60] for k in range(30)) for b in rng.integers(0, 60, 60)]
+    shuffled = [" ".join(rng.permutation(t.split())) for t in good[:20]]
+    unknown = [" ".join("".join(rng.choice(letters, 5)) for _ in range(30)) for _ in range(20)]
+    rows = quality.judge(*_halves(spark, good + shuffled + unknown, "ru", 60)).collect()
+    keep = {r.doc_id: r.keep for r in rows}
+    assert sum(keep[k] for k in range(60)) >= 58 and not any(keep[k] for k in range(60, 100))
+
+
+def test_quality_takes_all_models_for_other_languages(spark):
+    texts = ["the cat sat on the mat", "the dog sat on the cat"] * 4
+    rows = [(k, "en", t) for k, t in enumerate(texts)] + [(20, None, texts[0]), (21, "xx", texts[0]), (20, "en", ""),
+                                                          (None, "en", None), (None, "en", " \n")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(8)], "doc_id long, quality int")
+    found = quality.judge(docs, labels).collect()
+    assert len(found) == len(rows)
+    assert all(r.perplexity and r.threshold for r in found if r.lang != "en")
+    assert sum(r.perplexity is None for r in found) == 2
+
+
 def test_quality_tells_junk(spark):
     rows = {r.doc_id: r for r in QUERIES["op3_quality"](spark, LARGER).collect()}
     labels = spark.read.parquet(f"{LARGER}/labels.parquet").where("quality is not null").collect()
