@@ -13,6 +13,10 @@ The model is a bounded table (vocabulary times languages). It is fitted on ``TRA
 language at most, in expectation, chosen by a hash of the id; prediction runs over all rows and whole texts, in one pass
 without a shuffle. Tasks keep the words already scored, up to ``CACHE`` of them.
 
+The posterior compares the learned languages with each other only, so the pipeline also asks how well a text fits its best
+language: the mean log probability of its words must not be below that of nearly all training documents of the language
+(``FIT_QUANTILE``), less ``FIT_SPREAD`` standard errors of a mean over so many words.
+
 Nulls: a null text, or one without a letter, is ``und`` with score 0; a null id is never held out. Rows without a
 language are not learned from. An empty table gives an empty result; without any labelled row every text is ``und``.
 """
@@ -40,6 +44,8 @@ CACHE = 500_000
 FLOOR = 1e-7  # probability of a character that is no piece, and of a piece that a language never used
 UNKNOWN = "und"
 MIN_SCORE = 0.4  # below it no language is likely enough, and the pipeline rejects a document
+FIT_QUANTILE = 0.005
+FIT_SPREAD = 3.0
 WORDS = re.compile(r"[^\W\d_]+")
 STEP = np.uint64(0x9E3779B97F4A7C15)
 START = "▁"
@@ -179,15 +185,20 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit()
 
 
-def learn(docs: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS, train_docs: int = TRAIN_DOCS) -> tuple:
-    """``(languages, pieces, model)`` from ``docs(doc_id, lang, text)``; the model has a row per language."""
-    lean(docs.sparkSession)
-    pieces = vocabulary(path)
+def training_rows(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """The rows of ``docs(doc_id, lang, text)`` that are learned from."""
     labelled = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rates = written(labelled.groupBy("lang").agg((F.lit(float(train_docs)) / F.count(F.lit(1))).alias("rate")),
                     "language-rates")
     drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language")), F.lit(1_000_000)) < F.col("rate") * 1_000_000
-    sample = labelled.select("doc_id", "lang", "text").join(rates, "lang").where(drawn).select("lang", "text")
+    return labelled.select("doc_id", "lang", "text").join(rates, "lang").where(drawn)
+
+
+def learn(docs: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS, train_docs: int = TRAIN_DOCS) -> tuple:
+    """``(languages, pieces, model)`` from ``docs(doc_id, lang, text)``; the model has a row per language."""
+    lean(docs.sparkSession)
+    pieces = vocabulary(path)
+    sample = training_rows(docs, train_docs).select("lang", "text")
     words = sample.mapInArrow(_counted, "lang string, word string, n long")
     words = written(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
     languages = [r["lang"] for r in words.select("lang").distinct().orderBy("lang").collect()]
@@ -216,10 +227,14 @@ def learn(docs: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS, train_d
     return languages, pieces, model
 
 
-def predict(docs: DataFrame, learned: tuple) -> DataFrame:
-    """``docs`` (which has ``text``, and no such columns) with ``lang_pred`` and ``score``."""
+def predict(docs: DataFrame, learned: tuple, fits: bool = False) -> DataFrame:
+    """``docs`` (which has ``text``, and no such columns) with ``lang_pred`` and ``score``.
+
+    With ``fits`` also ``fit``, the mean log probability of the words in that language, and ``n_fit``, their number.
+    """
     languages, pieces, model = learned
     rest = [c for c in docs.columns if c != "text"]
+    found = [*rest, "lang_pred", "score"] + ["fit", "n_fit"] * fits
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder, known, values = Pieces(pieces), {}, np.zeros((0, len(languages)))
@@ -236,22 +251,28 @@ def predict(docs: DataFrame, learned: tuple) -> DataFrame:
                     fresh = np.where(letters[:, None], finder.log_chances(model, new), np.nan)
                     known.update(zip(new, range(len(known), len(known) + len(new))))
                     values = np.concatenate([values, fresh])
-                names, scores = [], []
+                names, scores, means, sizes = [], [], [], []
                 for words in texts:
                     total = np.nansum(values[[known[w] for w in words]], axis=0) if words and languages else None
                     if total is None or not total.any():
                         names.append(UNKNOWN)
                         scores.append(0.0)
+                        means.append(None)
+                        sizes.append(0)
                     else:
                         best = int(total.argmax())
                         names.append(languages[best])
                         scores.append(float(1.0 / np.exp(total - total[best]).sum()))
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in rest), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                    names=[*rest, "lang_pred", "score"])
+                        sizes.append(int((~np.isnan(values[[known[w] for w in words], best])).sum()) if fits else 0)
+                        means.append(float(total[best]) / sizes[-1] if fits else None)
+                columns = [*(part.column(c) for c in rest), pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+                if fits:
+                    columns += [pa.array(means, pa.float64()), pa.array(sizes, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=found)
 
     kinds = dict(docs.dtypes)
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in rest] + ["lang_pred string", "score double"])
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in rest] + ["lang_pred string", "score double"] + [
+        "fit double", "n_fit long"] * fits)
     return docs.mapInArrow(scored, schema)
 
 
@@ -262,9 +283,24 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def fit_limits(docs: DataFrame, learned: tuple) -> DataFrame:
+    """``(lang_pred, low, spread)``: a low quantile of the fit of each language's training documents, and the standard
+    deviation of a word's log probability."""
+    seen = predict(training_rows(docs).select("lang", "text"), learned, fits=True).where("lang_pred = lang")
+    seen = written(seen.select("lang_pred", "fit", "n_fit"), "language-fits")
+    middle = seen.groupBy("lang_pred").agg((F.sum(F.col("fit") * F.col("n_fit")) / F.sum("n_fit")).alias("middle"))
+    apart = F.col("n_fit") * (F.col("fit") - F.col("middle")) ** 2
+    return written(seen.join(middle, "lang_pred").groupBy("lang_pred").agg(
+        F.percentile("fit", F.lit(FIT_QUANTILE)).alias("low"), F.sqrt(F.avg(apart)).alias("spread")), "language-limits")
+
+
 def language_stage(docs: DataFrame) -> DataFrame:
-    """The documents with a language that the model is sure of, in the columns of ``docs``."""
+    """The documents with a language that the model is sure of and that they fit, in the columns of ``docs``."""
     carried = docs.select(F.struct("*").alias("row"), "text")
-    kept = predict(carried, learn(docs.select("doc_id", "lang", "text")))
-    kept = kept.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE))
+    labelled = docs.select("doc_id", "lang", "text")
+    learned = learn(labelled)
+    # one row per language
+    kept = predict(carried, learned, fits=True).join(F.broadcast(fit_limits(labelled, learned)), "lang_pred")
+    fits = F.col("fit") >= F.col("low") - FIT_SPREAD * F.col("spread") / F.sqrt("n_fit")
+    kept = kept.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE) & fits)
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

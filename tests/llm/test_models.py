@@ -83,6 +83,23 @@ def test_language_of_odd_texts(spark):
     assert {r.lang_pred for r in language.predict(docs.select("doc_id", "text"), none).collect()} == {"und"}
 
 
+def test_language_stage_rejects_texts_of_no_learned_language(spark):
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "lang", "text")
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    polish = ("wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem "
+              "i sumieniem i powinni postępować wobec innych w duchu braterstwa ") * 3
+    noise = " ".join("".join(rng.choice(letters, rng.integers(3, 10))) for _ in range(200))
+    short = [" ".join(r.text.split()[:k]) for k, r in zip((3, 5, 8, 12, 20, 30), docs.where(
+        "lang = 'en' and length(text) > 300").orderBy("doc_id").limit(6).collect())]
+    added = spark.createDataFrame([(f"x{k}", None, t) for k, t in enumerate([polish, noise, *short])],
+                                  "doc_id string, lang string, text string")
+    all_ = docs.withColumn("doc_id", docs["doc_id"].cast("string")).unionByName(added)
+    kept = {r.doc_id for r in language.language_stage(all_).collect()}
+    assert not {"x0", "x1"} & kept and {f"x{k}" for k in range(2, 8)} <= kept
+    assert len(kept) >= 0.97 * docs.count()
+
+
 def test_toxicity_on_held_out_documents(spark):
     rows = {r.doc_id: r for r in QUERIES["op6_toxicity"](spark, "/root/testdata/sf0.1").collect()}
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()
