@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import chat, contamination, fingerprint, language, lines, mixing, near, quality, substring, toxicity
+from riskloom.llm import (
+    chat, contamination, fingerprint, language, lines, mixing, near, quality, sharding, substring, toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -19,8 +21,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lz_fingerprint": fingerprint.op8_lz_fingerprint,
     "op9_chat_prefix_tree": chat.op9_chat_prefix_tree,
     "op10_near_groups": near.op10_near_groups,
+    "op11_shard_tree": sharding.op11_shard_tree,
 }
 
 ORACLE: dict[str, str] = {
     **substring.ORACLE, **lines.ORACLE, **mixing.ORACLE, **contamination.ORACLE, **chat.ORACLE, **near.ORACLE,
+    **sharding.ORACLE,
 }
