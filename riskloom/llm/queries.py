@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.llm import (
-    chat, contamination, fingerprint, language, lines, mixing, near, quality, sharding, substring, toxicity,
+    chat, contamination, fingerprint, language, lexical, lines, mixing, near, quality, repair, sharding, substring,
+    toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,9 +23,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_prefix_tree": chat.op9_chat_prefix_tree,
     "op10_near_groups": near.op10_near_groups,
     "op11_shard_tree": sharding.op11_shard_tree,
+    "op12_ranked_search": lexical.op12_ranked_search,
+    "op13_repair": repair.op13_repair,
 }
 
 ORACLE: dict[str, str] = {
     **substring.ORACLE, **lines.ORACLE, **mixing.ORACLE, **contamination.ORACLE, **chat.ORACLE, **near.ORACLE,
-    **sharding.ORACLE,
+    **sharding.ORACLE, **lexical.ORACLE,
 }

@@ -187,8 +187,8 @@ ORACLE = {
                    hex(encode(coalesce(text, ''))) AS digits FROM documents),
         sized AS (
             SELECT doc_id, key, CAST(size AS BIGINT) AS size,
-                   xor(list_reduce(list_prepend(4294967295, list_transform(range(length(digits) // 2),
-                       lambda i: ('0x' || substr(digits, 2 * i + 1, 2))::BIGINT)),
+                   xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(digits, '..'),
+                       lambda d: ('0x' || d)::BIGINT)),
                        lambda a, b: xor(a >> 8, step[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32
             FROM docs, crc),
         keys AS (SELECT DISTINCT key FROM docs),

@@ -91,14 +91,14 @@ def test_query_on_empty_tables(spark, empty, name):
     assert [r["conv_id"] for r in rows] == ([-7] if name.startswith("op9") else [])
 
 
-def test_ten_operators_are_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+def test_every_operator_is_registered():
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
 def test_null_ids(spark, tmp_path):
     rows = [(None, PASSAGE, "en", "a"), (None, PASSAGE, "en", "a"), (3, PASSAGE, "en", "a"), (None, None, None, None)]
     folder = tables(tmp_path, rows)
-    for name in ("op4_line_dedup", "op5_mix_sources", "op7_benchmark_hits"):
+    for name in ("op4_line_dedup", "op5_mix_sources", "op7_benchmark_hits", "op11_shard_tree", "op12_ranked_search"):
         assert compare.difference(QUERIES[name](spark, folder), compare.connect(folder), ORACLE[name]) is None
     removed = {(r.doc_id, r.n_words, r.n_removed) for r in QUERIES["op1_substring_dedup"](spark, folder).collect()}
     assert removed == {(None, 40, 0), (3, 40, 0), (None, 0, 0)}
