@@ -1,29 +1,15 @@
-"""Top-k retrieval of documents for a table of questions, by keyword and by vector.
-
-Both score blocks of queries against packs of documents: queries are dealt into blocks of bounded size, documents are
-packed within their tasks, and every pack meets every block once. A pack and block emit the best ``top_k`` documents
-per query, never all pairs, and nothing passes through the driver but the number of queries.
-"""
+"""Top-k retrieval of documents for a table of questions, by keyword and by vector, over indexes made on the way."""
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.text import TOKEN, compact, is_blank, tokens
+from riskloom.functions.text import compact, is_blank
 from riskloom.operators.joins import join_measured
-from riskloom.operators.topk import top_per_group
-
-# Queries scored together, and documents in a pack.
-QUERY_BLOCK = 512
-WORD = re.compile(TOKEN)
-PACK_ROWS = 2048
+from riskloom.operators.keyword_index import QUESTIONS, keyword_blocks, search_keywords
+from riskloom.operators.vector_index import search_vectors, vector_packs
+from riskloom.session import staged
 
 
 def corpus_documents(files: DataFrame, extensions: tuple[str, ...]) -> DataFrame:
@@ -34,110 +20,12 @@ def corpus_documents(files: DataFrame, extensions: tuple[str, ...]) -> DataFrame
     )
 
 
-def _blocks(queries: DataFrame, key: str, block: int) -> tuple[DataFrame, int]:
-    """One row per block of about ``block`` queries, dealt by a hash of ``key``, and the number of blocks."""
-    parts = max(1, -(-queries.count() // block))
-    numbered = queries.withColumn("block", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
-    return numbered.groupBy("block").agg(F.collect_list(F.struct(*queries.columns)).alias("queries")), parts
-
-
-def _scored(packs: DataFrame, blocks: DataFrame, parts: int, score: Callable, schema: str) -> DataFrame:
-    """``score`` of every pack with every block.
-
-    A pack is copied once per block and meets it by an equality join; salts keep one block's packs in many tasks where
-    Spark does not broadcast the blocks.
-    """
-    salts = 2 * packs.sparkSession.sparkContext.defaultParallelism
-    left = packs.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
-    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    # The rows are few and small but costly, so the number of tasks is set and not left to their size.
-    left, right = (side.repartition(2 * salts, "block", "salt") for side in (left, right))
-    return left.join(right.hint("shuffle_hash"), ["block", "salt"]).drop("block", "salt").mapInArrow(score, schema)
-
-
-def _best(scores: np.ndarray, names: list, top_k: int) -> np.ndarray:
-    """Rows with the highest scores, equal ones by name."""
-    rows = np.arange(len(scores))
-    if len(scores) > top_k:
-        cut = np.partition(scores, len(scores) - top_k)[len(scores) - top_k]
-        rows = np.flatnonzero(scores >= cut)
-    return np.array(sorted(rows.tolist(), key=lambda i: (-scores[i], names[i]))[:top_k], dtype=int)
-
-
-def _word_scores(row: pa.RecordBatch, top_k: int) -> pa.RecordBatch:
-    """The best documents of one pack for every question of one block; sums of whole numbers stay exact as doubles."""
-    ids, asked = row.column("ids")[0].as_py(), row.column("queries")[0].as_py()
-    ends, places, uses = (row.column(c).flatten().to_numpy() for c in ("ends", "places", "uses"))
-    weights = [Counter(query["words"]) for query in asked]
-    place = {term: k for k, term in enumerate(row.column("terms").flatten().to_pylist())}
-    used = sorted({place[word] for words in weights for word in words if word in place})
-    line = np.full(len(place), -1)
-    line[used] = np.arange(len(used))
-    matrix = np.zeros((len(used), len(asked)))
-    for q, words in enumerate(weights):
-        for word, n in words.items():
-            if word in place:
-                matrix[line[place[word]], q] = n
-    own, scores, begin = line[places], np.zeros((len(ids), len(asked))), 0
-    for d, end in enumerate(ends):
-        lines, n = own[begin:end], uses[begin:end]
-        scores[d] = n[lines >= 0].astype("float64") @ matrix[lines[lines >= 0]]
-        begin = end
-    found = {"question": [], "source": [], "score": []}
-    for q, query in enumerate(asked):
-        some = np.flatnonzero(scores[:, q])
-        rows = some[_best(scores[some, q], [ids[d] for d in some], top_k)]
-        found["question"] += [query["question"]] * len(rows)
-        found["source"] += [ids[d] for d in rows]
-        found["score"] += scores[rows, q].astype("int64").tolist()
-    return pa.RecordBatch.from_pydict(found, schema=pa.schema(
-        [("question", pa.string()), ("source", pa.string()), ("score", pa.int64())]))
-
-
-def _word_packs(corpus: DataFrame) -> DataFrame:
-    """``(ids, terms, ends, places, uses)``: documents in packs, each with its words counted once."""
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            terms: dict[str, int] = {}
-            ends, places, uses = [], [], []
-            for text in batch.column("text").to_pylist():
-                for word, n in Counter(WORD.findall(text or "")).items():
-                    places.append(terms.setdefault(word, len(terms)))
-                    uses.append(n)
-                ends.append(len(places))
-            if ends:
-                row = {"ids": [batch.column("source").to_pylist()], "terms": [list(terms)], "ends": [ends],
-                       "places": [places], "uses": [uses]}
-                yield pa.RecordBatch.from_pydict(row, schema=pa.schema([
-                    ("ids", pa.list_(pa.string())), ("terms", pa.list_(pa.string())), ("ends", pa.list_(pa.int32())),
-                    ("places", pa.list_(pa.int32())), ("uses", pa.list_(pa.int32()))]))
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return packed(b.slice(at, PACK_ROWS) for b in batches for at in range(0, b.num_rows, PACK_ROWS))
-
-    # Texts are lowered as the questions are; their words are found where they are counted.
-    return corpus.select("source", F.lower("text").alias("text")).mapInArrow(
-        split, "ids array<string>, terms array<string>, ends array<int>, places array<int>, uses array<int>")
-
-
-def keyword_topk(questions: DataFrame, corpus: DataFrame, top_k: int = 4, block: int = QUERY_BLOCK) -> DataFrame:
+def keyword_topk(questions: DataFrame, corpus: DataFrame, top_k: int = 4, block: int = QUESTIONS) -> DataFrame:
     """``(question, source, score, rank)``: per distinct question its best documents, by score and then source.
 
-    The score counts the occurrences of each question word, once per use in the question. ``corpus`` has one row per
-    source; a document is scored within its row, and the cut to ``top_k`` comes before the only shuffle of scores.
+    ``corpus`` has one row per source; it is indexed once, whatever the number of questions.
     """
-    asked = questions.select("question").distinct().select("question", tokens(F.col("question")).alias("words"))
-    blocks, parts = _blocks(asked.where(F.size("words") > 0), "question", block)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                yield _word_scores(batch.slice(k, 1), top_k)
-
-    scored = _scored(_word_packs(corpus), blocks, parts, score, "question string, source string, score bigint")
-    return top_per_group(scored, "question", [F.desc("score"), F.asc("source")], top_k)
+    return search_keywords(questions, staged(keyword_blocks(corpus), "keyword-index"), top_k, block)
 
 
 def with_text(hits: DataFrame, documents: DataFrame, key: str) -> DataFrame:
@@ -154,59 +42,9 @@ def retrieve_context(questions: DataFrame, corpus: DataFrame, top_k: int = 4) ->
     return with_text(keyword_topk(questions, corpus, top_k), corpus, "source")
 
 
-def _vector_packs(corpus: DataFrame) -> DataFrame:
-    """``(ids, width, vectors)``: vectors in packs, one after another."""
-    kind = corpus.schema["vec_id"].dataType.simpleString()
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, PACK_ROWS):
-                part = batch.slice(at, PACK_ROWS)
-                flat = part.column("vector").flatten().cast(pa.float64())
-                ids = part.column("vec_id")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-                     pa.array([len(flat) // len(ids)], pa.int32()),
-                     pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)],
-                    names=["ids", "width", "vectors"])
-
-    rows = corpus.select("vec_id", "vector").where("vector is not null")
-    return rows.mapInArrow(packed, f"ids array<{kind}>, width int, vectors array<double>")
-
-
-def vector_topk(queries: DataFrame, corpus: DataFrame, top_k: int = 3, block: int = QUERY_BLOCK) -> DataFrame:
+def vector_topk(queries: DataFrame, corpus: DataFrame, top_k: int = 3, block: int | None = None) -> DataFrame:
     """``(query_id, vec_id, cosine, score, rank)``: per query its nearest vectors by cosine.
 
-    A query without an id or a vector is an error; an id with several vectors takes the best cosine of them; a corpus
-    row without a vector can't be found. The cosine is rounded to six digits before ranking, so copies of a vector tie
-    and the smaller id wins.
+    A corpus row without a vector can't be found. Vectors are indexed once, whatever the number of queries.
     """
-    whole = F.col("query_id").isNotNull() & F.col("vector").isNotNull()
-    checked = F.when(whole, F.col("query_id")).otherwise(F.raise_error(F.lit("a query lacks its id or vector")))
-    asked = queries.select(checked.alias("query_id"), F.col("vector").cast("array<double>").alias("vector")).distinct()
-    blocks, parts = _blocks(asked, "query_id", block)
-    kinds = {"query_id": queries.schema["query_id"].dataType, "vec_id": corpus.schema["vec_id"].dataType}
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                ids, asked = row.column("ids")[0].as_py(), row.column("queries")[0].as_py()
-                vectors = row.column("vectors").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-                matrix = np.array([query["vector"] for query in asked], dtype="float64")
-                lengths, norms = np.linalg.norm(matrix, axis=1), np.linalg.norm(vectors, axis=1)
-                matrix = (matrix / np.where(lengths > 0, lengths, 1.0)[:, None]).T
-                cosines = np.round((vectors / np.where(norms > 0, norms, 1.0)[:, None]) @ matrix, 6)
-                found = {"query_id": [], "vec_id": [], "cosine": []}
-                for q, query in enumerate(asked):
-                    rows = _best(cosines[:, q], ids, top_k)
-                    found["query_id"] += [query["query_id"]] * len(rows)
-                    found["vec_id"] += [ids[d] for d in rows]
-                    found["cosine"] += cosines[rows, q].tolist()
-                yield pa.RecordBatch.from_pydict(found)
-
-    schema = ", ".join(f"{name} {kind.simpleString()}" for name, kind in kinds.items()) + ", cosine double"
-    best = _scored(_vector_packs(corpus), blocks, parts, score, schema)
-    best = best.groupBy("query_id", "vec_id").agg(F.max("cosine").alias("cosine"))
-    ranked = top_per_group(best, "query_id", [F.desc("cosine"), F.asc("vec_id")], top_k)
-    return ranked.select("query_id", "vec_id", "cosine", (F.col("cosine") * 100).cast("int").alias("score"), "rank")
+    return search_vectors(queries, staged(vector_packs(corpus), "vector-index"), top_k, block)
