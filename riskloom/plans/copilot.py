@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.guard import guard
-from riskloom.functions.relations import check_relations
+from riskloom.functions.relations import check_analysed, check_parsed
 from riskloom.operators.joins import join_lookup
+from riskloom.operators.keyword_index import search_keywords
 from riskloom.operators.retrieval import keyword_topk
 from riskloom.operators.sizing import fits
 from riskloom.operators.topk import top_overall
@@ -101,9 +102,13 @@ def per_question(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
     return join_lookup(rows, found, "question", how)
 
 
-def cite(questions: DataFrame, corpus: DataFrame, top_k: int = CITATIONS) -> DataFrame:
-    """``(question, citations)`` for the distinct questions with a match, best source first."""
-    hits = keyword_topk(questions, corpus, top_k)
+def cite(questions: DataFrame, corpus: DataFrame | None, top_k: int = CITATIONS,
+         index: DataFrame | None = None) -> DataFrame:
+    """``(question, citations)`` for the distinct questions with a match, best source first.
+
+    A kept keyword ``index`` takes the place of the corpus.
+    """
+    hits = keyword_topk(questions, corpus, top_k) if index is None else search_keywords(questions, index, top_k)
     return hits.groupBy("question").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "source"))), lambda hit: hit["source"]).alias(
             "citations"
@@ -113,19 +118,21 @@ def cite(questions: DataFrame, corpus: DataFrame, top_k: int = CITATIONS) -> Dat
 
 def answer_batch(
     questions: DataFrame,
-    corpus: DataFrame,
+    corpus: DataFrame | None,
     allowed_schemas: tuple[str, ...] = (MART_SCHEMA,),
     default_limit: int = ANSWER_LIMIT,
     name: str = ASSISTANT,
     citations: int = CITATIONS,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``status, citations, guarded_sql, response`` to every question row.
 
-    Equal questions are retrieved once; the list of a question has at most ``citations`` sources.
+    Equal questions are retrieved once; the list of a question has at most ``citations`` sources. They come from the
+    corpus, or from a kept keyword ``index`` of it.
     """
     screened = questions.withColumn("_refused", is_destructive(F.col("question")))
     asked = screened.where(~F.col("_refused"))
-    found = cite(asked, corpus, citations)
+    found = cite(asked, corpus, citations, index)
     none = F.array().cast("array<string>")
     drafted = (
         per_question(screened, found, "left")
@@ -158,25 +165,29 @@ def run_guarded(spark: SparkSession, sql: str, allowed_schemas: tuple[str, ...]
                 default_limit: int = ANSWER_LIMIT, marts: dict[str, DataFrame] | None = None) -> DataFrame:
     """Guard one statement and run what is left of it.
 
-    After the text rule, every relation that Spark's parser finds in the statement must be a table of an allowed schema
-    or one of the statement's own common tables; temporary views, files and table functions are refused.
-    ``marts`` stands in for the tables of the mart schema; without it the statement reads the catalog.
+    After the text rule, the parsed statement may hold only known steps and functions, and the analysed one may read
+    only tables of an allowed schema: temporary views, files, table functions and scripts are refused, whatever names a
+    common table gives them. ``marts`` stands in for the tables of the mart schema; without it the statement reads the
+    catalog.
     """
     statement = spark.range(1).select(F.lit(sql).alias("sql"))
     verdict = guard(statement, "sql", allowed_schemas, default_limit).first()
     if verdict["reason"]:
         raise ValueError(verdict["reason"])
     query = verdict["guarded_sql"]
-    places = check_relations(spark, query, allowed_schemas)
+    places = check_parsed(spark, query, allowed_schemas)
     views = {name.lower(): f"guarded_{name}_{uuid.uuid4().hex}" for name in marts or {}}
     try:
         for name, df in (marts or {}).items():
             df.createTempView(views[name.lower()])
-        for schema, name, start in sorted(places, key=lambda place: -place[2]):
-            if schema == MART_SCHEMA and name in views:
-                named = re.match(r"`?\w+`?\s*\.\s*`?\w+`?", query[start:])
-                query = query[:start] + views[name] + query[start + named.end():]
-        return spark.sql(query)
+        for place in reversed(places):
+            if place.schema == MART_SCHEMA and place.table in views:
+                named = re.match(r"`?\w+`?\s*\.\s*`?\w+`?", query[place.start:])
+                stand_in = views[place.table] + (f" AS {place.table}" if place.bare else "")
+                query = query[:place.start] + stand_in + query[place.start + named.end():]
+        df = spark.sql(query)
+        check_analysed(df, allowed_schemas, set(views.values()))
+        return df
     finally:
         for view in views.values():
             spark.catalog.dropTempView(view)
