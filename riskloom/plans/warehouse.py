@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from riskloom.operators import checks, contracts
 from riskloom.plans import marts, staging
 from riskloom.schemas import MART_SCHEMA, MODEL_TESTS, RAW_SCHEMA, Contract
-from riskloom.session import scratch_path
-from riskloom.sources.files import scan_csv, with_row_numbers
+from riskloom.session import staged
+from riskloom.sources.files import scan_csv_numbered
 from riskloom.sources.sinks import declare_tables, load_table
 
 
@@ -16,11 +16,8 @@ def validate_csv(
     spark: SparkSession, path: str, contract: Contract, multi_line: bool = False
 ) -> tuple[bool, list[str]]:
     """Check a raw CSV; returns whether it passed and the lines of its report."""
-    raw = scan_csv(spark, path, multi_line)
     # Numbered once: the report and its errors read the numbered copy, not the file.
-    copy = scratch_path(spark, "validate")
-    with_row_numbers(raw).write.parquet(copy)
-    numbered = spark.read.parquet(copy)
+    numbered = staged(scan_csv_numbered(spark, path, multi_line), "validate")
     raw = numbered.drop("row_id")
     report = contracts.summary(raw, contract).first()
     # The report's texts.

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from riskloom.functions.text import strip
 from riskloom.operators.retrieval import corpus_documents
 from riskloom.operators.sizing import fits
 from riskloom.schemas import AUDIT_LINE, CORE_TABLES, OPTIONAL_TABLES
+from riskloom.sources.csv_records import QUOTE, csv_records, numbered_records, parsed_records
+from riskloom.sources.snapshots import folders, read_snapshot, snapshot
 
 # File kinds of the document corpus, the fund register's columns and the macro series ids.
 CORPUS_EXTENSIONS = ("md", "sql", "yml", "yaml", "json")
@@ -21,7 +27,6 @@ REGISTER_COLUMNS = {
     "CLASSE": "class_type",
     "VL_PATRIM_LIQ": "net_worth",
 }
-QUOTE = '"'
 SERIES_IDS = {"selic": 11, "credit_free_total": 20542}
 
 
@@ -38,20 +43,46 @@ def raw_tables(spark: SparkSession, raw_dir: str) -> list[str]:
     return sorted(names)
 
 
+def _header(spark: SparkSession, path: str, multi_line: bool) -> StructType:
+    """The columns that the header of a CSV names, all text."""
+    return spark.read.options(header=True, escape=QUOTE, multiLine=multi_line).csv(path).schema
+
+
 def scan_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """A raw CSV with every column as text, under the names its header gives; a ragged row is an error.
 
     Quotes inside a field are doubled and a backslash is a plain character. Fields with line breaks need
-    ``multi_line``, which reads each file in one task; without it such a row is ragged.
+    ``multi_line``, which finds the records of a file in parallel first; without it such a row is ragged.
     """
-    header = spark.read.options(header=True, escape=QUOTE, multiLine=multi_line).csv(path).schema
+    if multi_line:
+        return _records(spark, path)
     return (
-        spark.read.schema(header)
-        .options(header=True, escape=QUOTE, multiLine=multi_line, mode="FAILFAST", enforceSchema=False)
+        spark.read.schema(_header(spark, path, False))
+        .options(header=True, escape=QUOTE, mode="FAILFAST", enforceSchema=False)
         .csv(path)
     )
 
 
+def scan_csv_numbered(spark: SparkSession, path: str, multi_line: bool = False, name: str = "row_id") -> DataFrame:
+    """``scan_csv`` with each row's place in the files, from 1, files in path order."""
+    if not multi_line:
+        return with_row_numbers(scan_csv(spark, path), name)
+    return _records(spark, path, name)
+
+
+def _records(spark: SparkSession, path: str, number: str | None = None) -> DataFrame:
+    """The rows of a CSV with line breaks in fields, every file's header checked; with their ``number`` if it is named."""
+    names = _header(spark, path, True).names
+    records, plain = csv_records(spark, path), {"escape": QUOTE}
+    first = [f"c{k}" for k in range(len(names))]
+    heads = parsed_records(records.where("header"), first, plain)
+    if heads.select(*[F.lower(c) for c in first]).distinct().limit(2).count() > 1:
+        raise ValueError(f"The files of {path} have different headers")
+    if number:
+        return parsed_records(numbered_records(records, number), names, plain, number)
+    return parsed_records(records.where("not header"), names, plain)
+
+
 def with_row_numbers(df: DataFrame, name: str = "row_id") -> DataFrame:
     """Rows of a file scan with their place in the files, from 1, files in path order.
 
@@ -84,9 +115,29 @@ def scan_core(spark: SparkSession, raw_dir: str, multi_line: bool = False) -> di
     return {name: scan_csv(spark, f"{raw_dir}/{name}.csv", multi_line) for name in wanted}
 
 
+def read_layer_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """A table of any layer: its newest snapshot, or the plain files of batches."""
+    if fmt == "parquet" and snapshot(spark, path):
+        return read_snapshot(spark, path)
+    return spark.read.format(fmt).load(path)
+
+
 def scan_layer(spark: SparkSession, lake_dir: str, layer: str, table: str, fmt: str = "parquet") -> DataFrame:
-    """A layer table; ``batch_id`` is a partition column, so a filter on it prunes directories."""
-    return spark.read.format(fmt).load(f"{lake_dir}/{layer}/{table}")
+    """A layer table; of batches ``batch_id`` is a partition column, so a filter on it prunes directories."""
+    return read_layer_table(spark, f"{lake_dir}/{layer}/{table}", fmt)
+
+
+def batch_marks(spark: SparkSession, path: str) -> dict[str, str]:
+    """The batches of a layer table by id, each with a mark that changes when it is written again."""
+    found = {}
+    for status in folders(spark, path):
+        name = status.getPath().getName()
+        if name.startswith("batch_id="):
+            files = sorted(f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}"
+                           for f in folders(spark, status.getPath().toString()))
+            batch = unquote(name.removeprefix("batch_id="))
+            found[batch] = hashlib.md5("\n".join(files).encode()).hexdigest()
+    return found
 
 
 def scan_jsonl(spark: SparkSession, path: str, schema: str = AUDIT_LINE) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from riskloom.schemas import AUDIT_LINE, COMMENTS, MART_SCHEMA, MARTS, RAW_SCHEMA, SCHEMA_COMMENTS, TABLES
 from riskloom.sources.files import audit_rows, scan_core, scan_jsonl
+from riskloom.sources.snapshots import replace_table
 
 # Fixed value: rows per insert of a JDBC load.
 JDBC_BATCH_ROWS = 1000
@@ -43,11 +44,14 @@ def write_batch(df: DataFrame, lake_dir: str, layer: str, table: str, batch_id:
 
 
 def overwrite_layer(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Replace a layer table, schema included."""
-    writer = df.write.format(fmt).mode("overwrite")
+    """Replace a layer table, schema included, in one step: a failed write leaves it, and earlier readers end undisturbed.
+
+    A Parquet table is kept as snapshots and read with ``read_layer_table``; Delta has its own log.
+    """
     if fmt == "delta":
-        writer = writer.option("overwriteSchema", "true")
-    writer.save(path)
+        df.write.format(fmt).mode("overwrite").option("overwriteSchema", "true").save(path)
+    else:
+        replace_table(df, path)
 
 
 def publish_bronze(tables: dict[str, DataFrame], lake_dir: str, batch_id: str | None = None) -> dict[str, int]:

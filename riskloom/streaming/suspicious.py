@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,6 +10,7 @@ from riskloom.functions.rules import is_flagged
 from riskloom.operators.dedupe import latest_per_key
 from riskloom.plans.marts import MONEY
 from riskloom.schemas import EVENT, TABLES
+from riskloom.sources.snapshots import commit, new_part, read_parts, snapshot, vacuum
 
 # The event type and the topic.
 EVENT_TYPE = "suspicious_transaction_detected"
@@ -19,7 +19,7 @@ TOPIC = "suspicious-transactions"
 # Files that a micro-batch writes, and batches after which the summary is folded.
 EPOCH_FILES = 4
 FOLD_EVERY = 100
-SUMMARY = TABLES["streaming_suspicious_summary"] + ", since bigint, epoch bigint"
+SUMMARY = TABLES["streaming_suspicious_summary"] + ", epoch bigint"
 
 
 def suspicious_only(transactions: DataFrame) -> DataFrame:
@@ -115,6 +115,17 @@ def events_from_files(spark: SparkSession, path: str, max_files: int | None = No
     return reader.json(path)
 
 
+def unique_events(events: DataFrame, key: str = "transaction_id") -> DataFrame:
+    """Each event once, however often it is delivered; batch or stream.
+
+    Events with one id are one event, and so are events without an id that agree in all columns. A stream remembers the
+    digest of every event in its state store, so a replay is recognised after any time and restart.
+    """
+    whole = F.to_json(F.struct(*events.columns), {"ignoreNullFields": "false"})
+    named = F.when(F.col(key).isNull(), F.concat(F.lit("="), whole)).otherwise(F.concat(F.lit("#"), F.col(key).cast("string")))
+    return events.withColumn("_event", F.unhex(F.sha2(named, 256))).dropDuplicates(["_event"]).drop("_event")
+
+
 def running_totals(events: DataFrame) -> DataFrame:
     """Alerts, volume and last time per customer; the date stands in where an event has no time.
 
@@ -128,44 +139,33 @@ def running_totals(events: DataFrame) -> DataFrame:
     )
 
 
-def _folders(spark: SparkSession, path: str) -> list:
-    """The file system of a path and the folders in it."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    return [system, [status.getPath() for status in system.listStatus(place)] if system.exists(place) else []]
-
-
-def _fold(spark: SparkSession, path: str, since: int) -> None:
-    """Begin a generation of epochs with the totals so far, and remove the generations before it.
-
-    The totals stand as the epoch before the first one. If the fold is run again, a finished one is kept.
-    """
-    base = f"{path}/since={since}/epoch={since - 1}"
-    system, folders = _folders(spark, path)
-    older = [f for f in folders if f.getName().startswith("since=") and int(f.getName()[6:]) < since]
-    if older and not system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/_SUCCESS")):
-        rows = spark.read.option("basePath", path).schema(SUMMARY).parquet(*[f.toString() for f in older])
-        newest = latest_per_key(rows, ["customer_id"], [F.desc("epoch")]).drop("epoch", "since")
-        newest.write.mode("overwrite").parquet(base)
-    for folder in older:
-        system.delete(folder, True)
+def _folded(spark: SparkSession, path: str, parts: dict[str, dict]) -> dict[str, dict]:
+    """The given folders as one, with the newest row per customer."""
+    part = new_part()
+    rows = latest_per_key(read_parts(spark, path, list(parts), SUMMARY), ["customer_id"], [F.desc("epoch")])
+    rows.write.parquet(f"{path}/{part}")
+    return {part: {"epoch": max(known["epoch"] for known in parts.values())}}
 
 
 def maintain_summary(events: DataFrame, path: str, checkpoint: str, once: bool = True,
                      interval: str = "10 seconds", fold_every: int = FOLD_EVERY) -> StreamingQuery:
     """Keep running totals up to date: drain what is there, or go on with the given interval.
 
-    Each micro-batch writes only the customers it changed, with their totals so far, into its own ``epoch``
-    partition of a few files. A batch that is run again after a failure replaces that partition, so nothing counts
-    twice. Every ``fold_every`` batches the totals so far are folded into one partition that later ones add to, and the
-    older ones are removed, so what a reader lists and reads stays bounded.
+    Each micro-batch writes only the customers it changed, with their totals so far, into a folder of a few files, and
+    commits it beside the earlier ones. A batch that is run again after a failure takes the place of its first run, so
+    nothing counts twice. When ``fold_every`` folders have come together they are folded into one in the same step, so
+    what a reader lists and reads stays bounded; the older ones stay for readers that began before.
     """
 
     def write(changed: DataFrame, epoch: int) -> None:
-        since = epoch - epoch % fold_every
-        if epoch == since and epoch > 0:
-            _fold(changed.sparkSession, path, since)
-        changed.repartition(EPOCH_FILES).write.mode("overwrite").parquet(f"{path}/since={since}/epoch={epoch}")
+        spark, part, before = changed.sparkSession, new_part(), snapshot(changed.sparkSession, path)
+        changed.withColumn("epoch", F.lit(epoch).cast("bigint")).repartition(EPOCH_FILES).write.parquet(f"{path}/{part}")
+        earlier = {name: known for name, known in (before.parts if before else {}).items() if known["epoch"] < epoch}
+        if len(earlier) >= fold_every:
+            earlier = _folded(spark, path, earlier)
+        commit(spark, path, before, {**earlier, part: {"epoch": epoch}})
+        if len(earlier) == 1:
+            vacuum(spark, path)
 
     writer = (
         running_totals(events)
@@ -176,13 +176,13 @@ def maintain_summary(events: DataFrame, path: str, checkpoint: str, once: bool =
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
 
 
-def read_summary(spark: SparkSession, path: str) -> DataFrame:
-    """Current totals: the newest row per customer; empty before the first event."""
-    try:
-        changes = spark.read.schema(SUMMARY).parquet(path)
-    except AnalysisException:
-        changes = spark.createDataFrame([], SUMMARY)
-    return latest_per_key(changes, ["customer_id"], [F.desc("epoch")]).drop("epoch", "since")
+def read_summary(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """Current totals: the newest row per customer; empty before the first event. ``version`` reads an earlier state."""
+    found = snapshot(spark, path, version)
+    if found is None:
+        return spark.createDataFrame([], SUMMARY).drop("epoch")
+    changes = read_parts(spark, path, list(found.parts), SUMMARY)
+    return latest_per_key(changes, ["customer_id"], [F.desc("epoch")]).drop("epoch")
 
 
 def compact_summary(spark: SparkSession, path: str, target: str) -> None:

@@ -116,7 +116,7 @@ def test_layer_jobs(spark, tmp_path):
         assert job(spark, name, "--raw", raw, "--lake", lake, "--batch-id", "b1") == 0
     assert job(spark, "silver", "--lake", lake) == 0
     assert job(spark, "gold", "--lake", lake) == 0
-    assert spark.read.parquet(str(lake / "gold_typed/customer_credit_snapshot")).count() == 2
+    assert files.scan_layer(spark, str(lake), "gold_typed", "customer_credit_snapshot").count() == 2
 
 
 def test_stream_jobs(spark, tmp_path):

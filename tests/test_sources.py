@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskloom.plans import copilot
 from riskloom.plans.layers import bronze_to_silver
 from riskloom.sources import files, sinks
+from riskloom.sources.snapshots import snapshot, vacuum
 from riskloom.streaming import suspicious
 
 MART = "analytics_marts.mart_customer_exposure"
@@ -74,9 +75,13 @@ def test_summary_folds_and_stays_right(spark, tmp_path):
         suspicious.maintain_summary(stream, path, checkpoint, fold_every=3).awaitTermination()
     found = {r["customer_id"]: r["suspicious_count"] for r in suspicious.read_summary(spark, path).collect()}
     assert found == {"c0": 9, "c1": 9, **{f"c{k}": 1 for k in range(2, 8)}}
-    kept = sorted(p.name for p in (tmp_path / "summary").iterdir())
-    assert kept == ["since=6"]
-    assert sorted(p.name for p in (tmp_path / "summary" / "since=6").iterdir()) == ["epoch=5", "epoch=6", "epoch=7"]
+    parts = snapshot(spark, path).parts
+    assert sorted(known["epoch"] for known in parts.values()) == [6, 7]
+    assert set(parts) < {p.name for p in (tmp_path / "summary").iterdir()}  # the older ones stay for their readers
+    assert vacuum(spark, path, keep_versions=1, keep_hours=0)
+    assert {p.name for p in (tmp_path / "summary").iterdir() if p.name.startswith("part-")} == set(parts)
+    again = {r["customer_id"]: r["suspicious_count"] for r in suspicious.read_summary(spark, path).collect()}
+    assert again == found
 
 
 def test_silver_keeps_the_newest_version_on_every_run(spark, tmp_path):
@@ -89,6 +94,6 @@ def test_silver_keeps_the_newest_version_on_every_run(spark, tmp_path):
     sinks.write_batch(old, lake, "bronze", "accounts", "2026-01-01T00-00-00Z")
     for _ in range(2):
         bronze_to_silver(spark, lake, "accounts")
-        rows = spark.read.parquet(f"{lake}/silver_typed/accounts").collect()
+        rows = files.scan_layer(spark, lake, "silver_typed", "accounts").collect()
         assert {(r["account_id"], r["status"]) for r in rows} == {("1", "ACTIVE"), ("2", "ACTIVE")}
         assert "batch_id" not in rows[0].asDict()
