@@ -7,13 +7,16 @@ import json
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from riskloom.operators.keyword_index import INDEX, keyword_blocks
 from riskloom.operators.sizing import spread
 from riskloom.plans import copilot, warehouse
 from riskloom.plans.layers import bronze_to_silver, build_layers, silver_to_gold
 from riskloom.schemas import CONTRACTS, PRIMARY_KEYS, Contract
-from riskloom.session import tune
-from riskloom.sources import files, sinks
+from riskloom.session import staged, tune
+from riskloom.sources import files, key_index, sinks
+from riskloom.sources.snapshots import read_snapshot, replace_table
 from riskloom.streaming import suspicious
 
 
@@ -55,18 +58,36 @@ def parser() -> argparse.ArgumentParser:
     job("marts")
     job("test")
     job("publish", "input", "output", "checkpoint")
-    job("consume", "input", "output", "checkpoint", interval=None)
-    job("ask", "questions", "corpus", "audit")
-    job("evals", "cases", "corpus")
+    job("consume", "input", "output", "checkpoint", interval=None, unique=None)
+    job("unique", "input", "contract", "index", "batch-id", multi_line=None)
+    job("index", "corpus", "index")
+    job("ask", "questions", "audit", corpus=None, index=None)
+    job("evals", "cases", corpus=None, index=None)
     return top
 
 
+def read_contract(spark: SparkSession, name: str) -> Contract:
+    """A known contract, or one from a file."""
+    return CONTRACTS.get(name) or Contract.from_json(spark.read.text(name, wholetext=True).first()["value"])
+
+
+def read_corpus(spark: SparkSession, paths: str) -> DataFrame:
+    """The documents under some paths, parted by commas."""
+    return spread(files.scan_corpus(spark, paths.split(",")), "source")
+
+
+def answers_of(spark: SparkSession, questions: DataFrame, args: argparse.Namespace) -> DataFrame:
+    """Answers from the documents that are named, or from a kept index of them."""
+    if not (args.corpus or args.index):
+        raise ValueError("name a corpus or an index")
+    index = read_snapshot(spark, args.index, INDEX) if args.index else None
+    return copilot.answer_batch(questions, None if args.index else read_corpus(spark, args.corpus), index=index)
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> int:
     """Run one job; returns the exit code."""
     if args.job == "validate":
-        contract = CONTRACTS.get(args.contract)
-        if contract is None:
-            contract = Contract.from_json(spark.read.text(args.contract, wholetext=True).first()["value"])
+        contract = read_contract(spark, args.contract)
         passed, lines = warehouse.validate_csv(spark, args.input, contract, bool(args.multi_line))
         print("\n".join(lines))
         return 0 if passed else 1
@@ -76,8 +97,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         built = build_layers(spark, args.raw, args.lake, args.batch_id, multi_line=bool(args.multi_line))
         print(json.dumps({"batch_id": built.batch_id, "tables": built.tables, "manifest": built.manifest_path}))
     elif args.job == "silver":
-        for table in PRIMARY_KEYS:
-            bronze_to_silver(spark, args.lake, table)
+        print(json.dumps({table: bronze_to_silver(spark, args.lake, table) for table in PRIMARY_KEYS}))
     elif args.job == "gold":
         silver_to_gold(spark, args.lake)
     elif args.job == "load":
@@ -93,23 +113,33 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         return 0 if all(row["passed"] for row in results) else 1
     elif args.job == "publish":
         header = spark.read.options(header=True, escape='"').csv(args.input).schema
-        stream = spark.readStream.schema(header).options(header=True, escape='"').csv(args.input)
+        options = {"header": True, "escape": '"', "mode": "FAILFAST", "enforceSchema": False}
+        stream = spark.readStream.schema(header).options(**options).csv(args.input)
         suspicious.publish_to_files(
             suspicious.suspicious_events(stream), args.output, args.checkpoint
         ).awaitTermination()
     elif args.job == "consume":
+        events = suspicious.events_from_files(spark, args.input)
         suspicious.maintain_summary(
-            suspicious.events_from_files(spark, args.input), args.output, args.checkpoint,
+            suspicious.unique_events(events) if args.unique else events, args.output, args.checkpoint,
             once=args.interval is None, interval=args.interval or "",
         ).awaitTermination()
+    elif args.job == "unique":
+        rows, repeated = staged(files.scan_csv(spark, args.input, bool(args.multi_line)), "unique"), 0
+        for column in read_contract(spark, args.contract).unique:
+            if column in rows.columns:
+                report = key_index.check_batch(rows, column, args.batch_id, f"{args.index}/{column}")
+                repeated += (found := report.agg(F.coalesce(F.sum("duplicates"), F.lit(0))).first()[0])
+                print(f"{column}: {found} repeated")
+        return 1 if repeated else 0
+    elif args.job == "index":
+        replace_table(keyword_blocks(read_corpus(spark, args.corpus)), args.index)
     elif args.job == "ask":
         questions = spark.read.text(args.questions).withColumnRenamed("value", "question")
-        corpus = spread(files.scan_corpus(spark, args.corpus.split(",")), "source")
-        sinks.append_audit(copilot.audit_records(copilot.answer_batch(questions, corpus)), args.audit)
+        sinks.append_audit(copilot.audit_records(answers_of(spark, questions, args)), args.audit)
     elif args.job == "evals":
         cases = read_cases(spark, args.cases)
-        corpus = spread(files.scan_corpus(spark, args.corpus.split(",")), "source")
-        answers = copilot.answer_batch(cases.select("question").distinct(), corpus)
+        answers = answers_of(spark, cases.select("question").distinct(), args)
         results = copilot.eval_results(cases, answers)
         for row in results.where("NOT passed").orderBy("id").toLocalIterator():
             print("FAIL", f"{row['id']}: {row['details']}")

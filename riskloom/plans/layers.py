@@ -15,8 +15,10 @@ from riskloom.plans.gold import (
 from riskloom.plans.marts import mart_account_health
 from riskloom.plans.silver import CLEANERS, standardize, to_silver
 from riskloom.schemas import PRIMARY_KEYS
-from riskloom.sources.files import scan_layer, scan_raw
+from riskloom.sources.files import batch_marks, scan_layer, scan_raw
+from riskloom.sources.keyed import PART_ROWS, merge_rows
 from riskloom.sources.sinks import layer_manifest, new_batch_id, overwrite_layer, write_batch, write_manifest
+from riskloom.sources.snapshots import snapshot
 
 
 @dataclass(frozen=True)
@@ -76,11 +78,30 @@ def build_layers(
     return LayerBuild(batch, counts, silver, gold, manifest, write_manifest(manifest, lake_dir, batch))
 
 
-def bronze_to_silver(spark: SparkSession, lake_dir: str, table: str, fmt: str = "parquet") -> None:
-    """Rebuild one Silver table from all its Bronze batches; of a key's versions the newest batch's stays."""
-    bronze = scan_layer(spark, lake_dir, "bronze", table)
-    silver = to_silver(bronze, list(PRIMARY_KEYS[table]), CLEANERS[table], newest_by="batch_id")
-    overwrite_layer(silver, f"{lake_dir}/silver_typed/{table}", fmt)
+def bronze_to_silver(spark: SparkSession, lake_dir: str, table: str, fmt: str = "parquet", rebuild: bool = False,
+                     part_rows: int = PART_ROWS) -> list[str]:
+    """Bring one Silver table up to date with its Bronze batches; of a key's versions the newest batch's stays.
+
+    Returns the batches that were read. Silver's log names the batches that are in it: only those that are not are read,
+    and only the parts that hold their keys are written anew. A batch that was replaced or is gone leads to a rebuild from
+    every batch, which has the same rows. Batch ids compare as text. Delta tables are rebuilt each time.
+    """
+    path, keys = f"{lake_dir}/silver_typed/{table}", list(PRIMARY_KEYS[table])
+    bronze = scan_layer(spark, lake_dir, "bronze", table, fmt)
+    if fmt != "parquet":
+        overwrite_layer(to_silver(bronze, keys, CLEANERS[table], newest_by="batch_id"), path, fmt)
+        return []
+    before, batches = snapshot(spark, path), batch_marks(spark, f"{lake_dir}/bronze/{table}")
+    done = before.notes.get("batches", {}) if before else {}
+    if rebuild or any(batches.get(name) != known for name, known in done.items()):
+        done = {}
+    new = sorted(batches.keys() - done.keys())
+    if new:
+        fresh = bronze.where(F.col("batch_id").isin(new)).withColumn("batch_id", F.col("batch_id").cast("string"))
+        fresh = to_silver(fresh, keys, CLEANERS[table], newest_by="batch_id", keep=True)
+        merge_rows(path, fresh, keys, [F.desc("batch_id")], {"batches": batches, "hidden": ["batch_id"]},
+                   replace=not done, part_rows=part_rows)
+    return new
 
 
 def silver_to_gold(spark: SparkSession, lake_dir: str, fmt: str = "parquet") -> None:

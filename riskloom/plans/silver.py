@@ -59,14 +59,15 @@ def to_silver(
     cleaning: Callable[[DataFrame], DataFrame] | None = None,
     processed_at: Column | None = None,
     newest_by: str | None = None,
+    keep: bool = False,
 ) -> DataFrame:
     """Bronze rows with standard names, one per key, cleaned and stamped.
 
-    ``newest_by`` names a column that says which version of a key is newest; it is left out of the result.
+    ``newest_by`` names a column that says which version of a key is newest; it is left out unless ``keep`` is set.
     """
     newest = [F.desc_nulls_last(newest_by)] if newest_by else None
     keyed = one_per_key(standard_names(bronze), primary_keys, newest)
-    if newest_by:
+    if newest_by and not keep:
         keyed = keyed.drop(newest_by)
     cleaned = keyed.transform(cleaning) if cleaning else keyed
     return stamp(cleaned, processed_at)

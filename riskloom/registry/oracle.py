@@ -248,6 +248,8 @@ SELECT CAST(account_id AS VARCHAR) AS account_id, CAST(customer_id AS VARCHAR) A
   CASE WHEN account_id % 5 <> 0 THEN status ELSE 'BLOCKED' END AS status FROM {v_accounts}
 """
 
+BODIES["silver_incremental"] = BODIES["silver_newest"]
+
 BODIES["macro_union"] = """
 SELECT CAST(strptime(data, '%d/%m/%Y') AS DATE) AS observation_date, indicator_name,
   CASE indicator_name WHEN 'selic' THEN 11 ELSE 20542 END AS series_id,
@@ -619,6 +621,8 @@ summary AS (
 
 BODIES["streaming_suspicious_summary"] = "WITH " + SUMMARY.strip() + " SELECT * FROM summary"
 
+BODIES["streaming_replayed_events"] = BODIES["streaming_suspicious_summary"]
+
 BODIES["streaming_alert_kpis"] = "WITH " + SUMMARY.strip() + """
 SELECT count(*) AS customers_under_alert, CAST(sum(total_suspicious_amount) AS DECIMAL(38,2)) AS flagged_volume
 FROM summary
@@ -664,6 +668,15 @@ hits AS (
 
 BODIES["retrieve_keyword_topk"] = "WITH " + _ranked("{feed_questions}", 4).strip() + " SELECT * FROM hits"
 
+BODIES["retrieve_keyword_index"] = BODIES["retrieve_keyword_topk"]
+
+BODIES["keyword_index_terms"] = """
+SELECT term, count(*) AS documents, CAST(sum(n) AS BIGINT) AS uses, max(n) AS most FROM (
+  SELECT source, term, count(*) AS n FROM (
+    SELECT source, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM {v_corpus}) t GROUP BY 1, 2) u
+GROUP BY 1
+"""
+
 BODIES["retrieve_context"] = "WITH " + _ranked("{feed_questions}", 4).strip() + f"""
 SELECT question, h.source, score, rank,
   CASE WHEN length(flat) <= 900 THEN flat ELSE substring(flat, 1, 897) || '...' END AS text
@@ -684,6 +697,8 @@ SELECT query_id, vec_id, cosine, CAST(trunc(cosine * 100) AS INTEGER) AS score,
 FROM placed WHERE place <= 3
 """
 
+BODIES["retrieve_vector_index"] = BODIES["retrieve_vector_topk"]
+
 LIMITED = r"(?i)\blimit\s+([0-9]+)\s*$"
 
 

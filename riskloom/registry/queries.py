@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions import guard, rules, text
-from riskloom.operators import checks, contracts, dedupe, retrieval
+from riskloom.operators import checks, contracts, dedupe, keyword_index, retrieval, vector_index
 from riskloom.operators.sizing import spread
 from riskloom.plans import copilot, gold, layers, marts, serving, silver, staging
 from riskloom.schemas import CONTRACTS, EVENT, MODEL_TESTS, ModelTests
@@ -252,7 +252,7 @@ def overwrite_layer(s: Samples) -> DataFrame:
     path = scratch_path(s.spark, "layer")
     sinks.overwrite_layer(s["v_accounts"], path)
     sinks.overwrite_layer(s["v_accounts"].select("account_id", F.upper("account_type").alias("kind")), path)
-    return s.spark.read.parquet(path)
+    return files.read_layer_table(s.spark, path)
 
 
 @query
@@ -363,6 +363,18 @@ def silver_newest(s: Samples) -> DataFrame:
     return files.scan_layer(s.spark, lake, "silver_typed", "accounts").drop("ingestion_processed_at")
 
 
+@query
+def silver_incremental(s: Samples) -> DataFrame:
+    """Silver kept up to date over three runs: every account, a newer version of some, and a late older one of all."""
+    lake = scratch_path(s.spark, "lake")
+    raw = _texts(s["v_accounts"])
+    for batch, rows in (("2026-02-01", raw.withColumn("status", F.lit("BLOCKED"))), ("2026-03-01", raw.where("account_id % 5 <> 0")),
+                        ("2026-01-01", raw.withColumn("status", F.lit("CLOSED")))):
+        sinks.write_batch(rows, lake, "bronze", "accounts", f"{batch}T00-00-00Z")
+        layers.bronze_to_silver(s.spark, lake, "accounts")
+    return files.scan_layer(s.spark, lake, "silver_typed", "accounts").drop("ingestion_processed_at")
+
+
 @query
 def silver_macro(s: Samples) -> DataFrame:
     return _silver(s, "macro_indicators", ["observation_date", "indicator_name"])
@@ -652,6 +664,20 @@ def streaming_suspicious_summary(s: Samples) -> DataFrame:
     return _summary(s)
 
 
+@query
+def streaming_replayed_events(s: Samples) -> DataFrame:
+    """Running totals where every event file is delivered twice, in as many micro-batches as there are files."""
+    path = scratch_path(s.spark, "events")
+    events = suspicious.suspicious_events(s["v_transactions"]).withColumn("timestamp", F.lit(None).cast("string"))
+    events = staged(events.repartition(3, "transaction_id"), "events")
+    for _ in range(2):
+        events.write.mode("append").json(path)
+    stream = suspicious.unique_events(suspicious.events_from_files(s.spark, path, 2))
+    summary = scratch_path(s.spark, "summary")
+    suspicious.maintain_summary(stream, summary, scratch_path(s.spark, "summary-checkpoint")).awaitTermination()
+    return suspicious.read_summary(s.spark, summary)
+
+
 @query
 def streaming_alert_kpis(s: Samples) -> DataFrame:
     return serving.streaming_alert_kpis(_summary(s))
@@ -686,21 +712,50 @@ def retrieve_keyword_topk(s: Samples) -> DataFrame:
     return retrieval.keyword_topk(s["feed_questions"], corpus(s), 4)
 
 
+@query
+def keyword_index_terms(s: Samples) -> DataFrame:
+    """What a kept keyword index knows of its terms."""
+    path = scratch_path(s.spark, "keywords")
+    keyword_index.keyword_blocks(corpus(s)).write.parquet(path)
+    return keyword_index.index_terms(s.spark.read.parquet(path))
+
+
+@query
+def retrieve_keyword_index(s: Samples) -> DataFrame:
+    """The best documents of every question by a kept index, with the questions in several parts."""
+    path = scratch_path(s.spark, "keywords")
+    keyword_index.keyword_blocks(corpus(s)).write.parquet(path)
+    return keyword_index.search_keywords(s["feed_questions"], s.spark.read.parquet(path), 4, part=1_000)
+
+
 @query
 def retrieve_context(s: Samples) -> DataFrame:
     return retrieval.retrieve_context(s["feed_questions"], corpus(s), 4)
 
 
-@query
-def retrieve_vector_topk(s: Samples) -> DataFrame:
-    """The nearest vectors to the mean of each label; the mean is rounded so that the order of summing does not show."""
+def _mean_vectors(s: Samples) -> tuple[DataFrame, DataFrame]:
+    """The mean vector of each label, rounded so that the order of summing does not show, and all vectors."""
     vectors = s["embeddings"].select("vec_id", F.col("embedding").alias("vector"), "label")
     parts = vectors.select("label", F.posexplode("vector").alias("dim", "x"))
     means = parts.groupBy("label", "dim").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("x"))
     queries = means.groupBy(F.col("label").cast("bigint").alias("query_id")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda p: p["x"]).alias("vector")
     )
-    return retrieval.vector_topk(queries, vectors, 3)
+    return queries, vectors
+
+
+@query
+def retrieve_vector_topk(s: Samples) -> DataFrame:
+    return retrieval.vector_topk(*_mean_vectors(s), 3)
+
+
+@query
+def retrieve_vector_index(s: Samples) -> DataFrame:
+    """The nearest vectors by a kept index of more cells than the table needs, with the queries in several parts."""
+    queries, vectors = _mean_vectors(s)
+    path = scratch_path(s.spark, "vectors")
+    vector_index.vector_packs(vectors, cells=64).write.parquet(path)
+    return vector_index.search_vectors(queries, s.spark.read.parquet(path), 3, part=4)
 
 
 @query
