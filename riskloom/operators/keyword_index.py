@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.text import tokens
 from riskloom.operators.topk import top_per_group
-from riskloom.session import staged
+from riskloom.session import staged, staged_with
 
 BLOCK_DOCUMENTS, BLOCK_POSTINGS = 1_024, 500_000  # a block is full at either
 QUESTIONS = 20_000  # questions that travel to the tasks at once
@@ -117,14 +117,19 @@ class _Asked:
 
 def first_scores(index: DataFrame, asked: _Asked, top_k: int) -> np.ndarray:
     """For each question a score that ``top_k`` documents are known to reach, 1 at least."""
-    spark = index.sparkSession
-    words = spark.createDataFrame([(w,) for w in asked.vocabulary], "term string")
-    each = index.select(F.explode(F.arrays_zip("terms", "most")).alias("t"))
-    each = each.select(F.col("t.terms").alias("term"), F.col("t.most").alias("most")).join(words, "term", "left_semi")
+
+    def maxima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = [asked.vocabulary.get(term, -1) for term in batch.column("terms").flatten().to_pylist()]
+            terms = np.array(terms, dtype=np.int64)
+            most = batch.column("most").flatten().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_pydict({"term": terms[terms >= 0], "most": most[terms >= 0]})
+
+    each = index.select("terms", "most").mapInArrow(maxima, "term bigint, most bigint")
     best = top_per_group(each, "term", [F.desc("most")], top_k).where(F.col("rank") == top_k)
     known = np.zeros(len(asked.vocabulary), dtype=np.int64)
-    for row in best.select("term", "most").collect():
-        known[asked.vocabulary[row["term"]]] = row["most"]
+    found = best.select("term", "most").toArrow()
+    known[found.column("term").to_numpy()] = found.column("most").to_numpy()
     return np.maximum(asked.per_question(asked.uses * known[asked.terms], np.maximum), 1)
 
 
@@ -194,8 +199,8 @@ def search_keywords(questions: DataFrame, index: DataFrame, top_k: int = 4, part
     ``keyword_blocks``; ``part`` questions travel to the tasks at once.
     """
     words = questions.select("question").distinct().select("question", tokens(F.col("question")).alias("words"))
-    asked = staged(words.where(F.size("words") > 0), "questions")
-    sizes = asked.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("words")).alias("words")).first()
+    asked, sizes = staged_with(words.where(F.size("words") > 0), "questions", F.count(F.lit(1)).alias("rows"),
+                               F.sum(F.size("words")).alias("words"))
     parts = max(-(-sizes["rows"] // part), -(-(sizes["words"] or 0) // QUESTION_WORDS))
     found = index.sparkSession.createDataFrame([], "question string, source string, score bigint")
     for k in range(parts):

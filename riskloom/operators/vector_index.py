@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators.topk import top_per_group
-from riskloom.session import staged
+from riskloom.session import staged, staged_with
 
 PACK_VECTORS = 2_048
 QUERY_VALUES = 4_000_000  # elements of the query vectors that travel to the tasks at once
@@ -46,30 +46,18 @@ def checked(vectors: DataFrame, key: str, what: str) -> DataFrame:
     )
 
 
-def _rows(column: pa.Array, width: int) -> np.ndarray:
-    """The vectors of a list column as a matrix; one of another width is an error."""
-    sizes = np.diff(column.offsets.to_numpy())
-    if (sizes != width).any():
-        raise ValueError(f"a vector has {sizes[sizes != width][0]} elements where {width} are expected")
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
-
-
 def _scaled(matrix: np.ndarray) -> np.ndarray:
     """Rows of length 1; zeros stay."""
     lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
     return matrix / np.where(lengths > 0, lengths, 1.0)
 
 
-def _centres(vectors: DataFrame, cells: int | None) -> np.ndarray:
+def _centres(vectors: DataFrame, cells: int) -> np.ndarray:
     """Directions of some vectors, chosen by a hash of their values, so that reruns agree; none for an empty table."""
-    if cells is None:
-        cells = min(CELLS, -(-vectors.count() // CELL_VECTORS))
     hashed = vectors.select(F.xxhash64("vector").alias("hash"), "vector")
     least = hashed.groupBy(F.pmod("hash", F.lit(max(1, cells))).alias("part")).agg(F.min("hash").alias("hash"))
     picked = hashed.join(F.broadcast(least.select("hash")), "hash").groupBy("hash").agg(F.first("vector").alias("vector"))
     rows = [row["vector"] for row in sorted(picked.collect())]
-    if len({len(row) for row in rows}) > 1:
-        raise ValueError(f"vectors of {len(rows[0])} and of other numbers of elements")
     matrix = _scaled(np.array(rows, dtype="float64").reshape(len(rows), -1 if rows else 0))
     return matrix[np.linalg.norm(matrix, axis=1) > 0]
 
@@ -79,24 +67,27 @@ def vector_packs(corpus: DataFrame, cells: int | None = None) -> DataFrame:
 
     ``low`` and ``high`` are the least and largest distance of the pack's vectors from the cell's centre.
     """
-    vectors = staged(checked(corpus.where("vector is not null"), "vec_id", "vector"), "vectors")
+    rows = checked(corpus.where("vector is not null"), "vec_id", "vector")
+    vectors, sizes = staged_with(rows, "vectors", F.count(F.lit(1)).alias("rows"),
+                                 F.max(F.size("vector")).alias("width"), F.min(F.size("vector")).alias("least"))
+    if sizes["width"] != sizes["least"] or sizes["width"] == 0:
+        raise ValueError(f"vectors of {sizes['least']} and of {sizes['width']} elements")
     kind = vectors.schema["vec_id"].dataType.simpleString()
-    centres = _centres(vectors, cells)
-    width = centres.shape[1]
+    centres = _centres(vectors, min(CELLS, -(-sizes["rows"] // CELL_VECTORS)) if cells is None else cells)
+    width = sizes["width"] or 0
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            size = width or len(batch.column("vector")[0])
-            matrix = _scaled(_rows(batch.column("vector"), size))
+            matrix = _scaled(batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, width))
             cell, away = np.full(len(matrix), NO_DIRECTION), np.zeros(len(matrix))
             some = np.flatnonzero(matrix.any(axis=1))
             if len(some):
                 cosines = matrix[some] @ centres.T
                 cell[some] = cosines.argmax(axis=1)
                 away[some] = np.linalg.norm(matrix[some] - centres[cell[some]], axis=1)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1) * size, pa.int32()),
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1) * width, pa.int32()),
                                             pa.array(matrix.reshape(-1)))
             yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(away), batch.column("vec_id"), flat],
                                              names=["cell", "away", "vec_id", "vector"])
@@ -235,10 +226,10 @@ def search_vectors(queries: DataFrame, packs: DataFrame, top_k: int = 3, part: i
     to the tasks at once.
     """
     spark, query_type = packs.sparkSession, queries.schema["query_id"].dataType
-    asked = staged(checked(queries, "query_id", "query").distinct(), "queries")
-    sizes = asked.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("vector")).alias("width"),
-                      F.min(F.size("vector")).alias("least")).first()
-    if sizes["width"] != sizes["least"]:
+    asked, sizes = staged_with(
+        checked(queries, "query_id", "query").distinct(), "queries", F.count(F.lit(1)).alias("rows"),
+        F.max(F.size("vector")).alias("width"), F.min(F.size("vector")).alias("least"))
+    if sizes["width"] != sizes["least"] or sizes["width"] == 0:
         raise ValueError(f"queries of {sizes['least']} and of {sizes['width']} elements")
     kind = packs.schema["ids"].dataType.elementType.simpleString()
     found = spark.createDataFrame([], f"query_id {query_type.simpleString()}, vec_id {kind}, cosine double")

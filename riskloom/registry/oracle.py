@@ -239,6 +239,28 @@ SELECT CAST(doc_id AS VARCHAR) AS doc_id,
   md5('say "' || source || '", then C:' || chr(92) || 'dir' || chr(92) || chr(10) || text) AS digest FROM {documents}
 """
 
+BODIES["scan_csv_numbered"] = """
+SELECT row_number() OVER (ORDER BY doc_id) AS row_id, CAST(doc_id AS VARCHAR) AS doc_id,
+  md5(text || chr(10) || '"') AS digest FROM {documents}
+"""
+
+BODIES["index_corpus_changes"] = """
+SELECT doc_id AS vec_id, source, CAST(CASE doc_id % 10 WHEN 1 THEN 1 ELSE len(embedding) END AS INTEGER) AS dims,
+  md5(CASE doc_id % 10 WHEN 1 THEN text || '+' ELSE text END) AS digest
+FROM {documents} LEFT JOIN {embeddings} ON vec_id = doc_id WHERE doc_id % 10 <> 0
+UNION ALL SELECT -doc_id, source, 1, md5(text) FROM {documents} WHERE doc_id % 10 = 2
+"""
+
+BODIES["unique_across_batches"] = """
+WITH counted AS (
+  SELECT CAST(customer_id AS VARCHAR) AS value, 'b' || CAST(account_id % 3 AS INTEGER) AS batch_id, count(*) AS rows
+  FROM {v_accounts} WHERE customer_id IS NOT NULL GROUP BY 1, 2),
+placed AS (SELECT *, min(batch_id) OVER (PARTITION BY value ORDER BY batch_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier_batch FROM counted)
+SELECT value, batch_id, rows, earlier_batch, CASE WHEN earlier_batch IS NULL THEN rows - 1 ELSE rows END AS duplicates
+FROM placed WHERE earlier_batch IS NOT NULL OR rows > 1
+"""
+
 BODIES["overwrite_layer"] = "SELECT account_id, upper(account_type) AS kind FROM {v_accounts}"
 
 BODIES["corpus_files"] = "SELECT source AS folder, count(*) AS documents FROM {documents} GROUP BY 1"
@@ -353,6 +375,10 @@ BODIES["layers_gold_monitoring"] = BODIES["local_daily_transaction_monitoring"].
 BODIES["int_customer_credit_profile"] = "WITH " + PROFILE.strip() + " SELECT * FROM profile"
 BODIES["mart_customer_exposure"] = "WITH " + EXPOSURE.strip() + " SELECT * FROM exposure"
 BODIES["mart_daily_transactions"] = "WITH " + DAILY.strip() + " SELECT * FROM daily"
+
+BODIES["states_customer_exposure"] = BODIES["mart_customer_exposure"]
+BODIES["states_daily_transactions"] = BODIES["mart_daily_transactions"]
+BODIES["states_daily_monitoring"] = BODIES["local_daily_transaction_monitoring"]
 BODIES["mart_account_health"] = "WITH " + HEALTH.strip() + " SELECT * FROM health"
 BODIES["int_credit_macro_context"] = "WITH " + WIDE.strip() + " SELECT * FROM wide"
 BODIES["macro_latest"] = "WITH " + LATEST.strip() + " SELECT * FROM latest"

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from riskloom.functions import guard, rules, text
 from riskloom.operators import checks, contracts, dedupe, keyword_index, retrieval, vector_index
 from riskloom.operators.sizing import spread
-from riskloom.plans import copilot, gold, layers, marts, serving, silver, staging
+from riskloom.plans import copilot, gold, layers, marts, serving, silver, staging, states
 from riskloom.schemas import CONTRACTS, EVENT, MODEL_TESTS, ModelTests
 from riskloom.session import scratch_path, staged, tune
-from riskloom.sources import files, sinks
+from riskloom.sources import corpus_index, files, key_index, sinks
 from riskloom.sources.samples import Samples
 from riskloom.streaming import suspicious
 
@@ -199,6 +199,43 @@ def index_corpus(s: Samples) -> DataFrame:
     return index.select("vec_id", "source", F.size("vector").alias("dims"), F.length("text").alias("chars"))
 
 
+@query
+def index_corpus_changes(s: Samples) -> DataFrame:
+    """An index after a tenth of its documents was removed, a tenth was changed and as many came in, and the work it took."""
+    path = scratch_path(s.spark, "index")
+    texts = s["documents"].select(F.col("doc_id").alias("vec_id"), "source", "text")
+    vectors = s["embeddings"].select("vec_id", F.col("embedding").alias("vector"))
+    corpus_index.update_index(texts, path, lambda rows: rows.join(vectors, "vec_id", "left"))
+    kind = F.col("vec_id") % 10
+    changed = F.when(kind == 1, F.concat("text", F.lit("+"))).otherwise(F.col("text"))
+    came = texts.where(kind == 2).withColumn("vec_id", -F.col("vec_id"))
+    now = texts.where(kind != 0).withColumn("text", changed).unionByName(came)
+    corpus_index.update_index(now, path, lambda rows: rows.withColumn("vector", F.array(F.lit(0).cast("float"))))
+    index = corpus_index.read_index(s.spark, path)
+    return index.select("vec_id", "source", F.size("vector").alias("dims"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query
+def scan_csv_numbered(s: Samples) -> DataFrame:
+    """Rows with line breaks in their fields, by their place in the file."""
+    path = scratch_path(s.spark, "numbered")
+    rows = s["documents"].select(F.col("doc_id").cast("string").alias("doc_id"), F.concat("text", F.lit("\n\"")).alias("note"))
+    sinks.write_csv(rows.repartition(1).sortWithinPartitions(F.col("doc_id").cast("bigint")), path)
+    read = files.scan_csv_numbered(s.spark, path, multi_line=True)
+    return read.select("row_id", "doc_id", F.md5(F.col("note").cast("binary")).alias("digest"))
+
+
+@query
+def unique_across_batches(s: Samples) -> DataFrame:
+    """The customers that several of three batches of accounts hold, or one holds more than once."""
+    path, found = scratch_path(s.spark, "unique"), []
+    for k in range(3):
+        rows = s["v_accounts"].where(F.col("account_id") % 3 == k)
+        report = key_index.check_batch(rows, "customer_id", f"b{k}", path)
+        found.append(report.withColumn("batch_id", F.lit(f"b{k}")))
+    return reduce(DataFrame.unionByName, found)
+
+
 @query
 def scan_jsonl_audit(s: Samples) -> DataFrame:
     path = scratch_path(s.spark, "audit")
@@ -425,6 +462,37 @@ def local_daily_transaction_monitoring(s: Samples) -> DataFrame:
     return gold.local_daily_transaction_monitoring(gold.for_gold(s["feed_transactions"]))
 
 
+# Marts from states of batches.
+
+
+def _states(s: Samples, name: str, raw: DataFrame, key: str) -> DataFrame:
+    """The states of two batches, the first of which came in wrong and was corrected."""
+    lake, table = scratch_path(s.spark, "lake"), states.STATES[name].table
+    first = F.pmod(F.xxhash64(key), F.lit(2)) == 0
+    wrong = raw.where(first).unionAll(raw).withColumn(key, F.concat(F.lit("x"), F.col(key)))
+    for batch, rows in (("b1", wrong), ("b2", raw.where(~first)), ("b1", raw.where(first))):
+        sinks.write_batch(rows, lake, "bronze", table, batch)
+        states.update_states(s.spark, lake, name)
+    return states.read_states(s.spark, lake, name)
+
+
+@query
+def states_daily_transactions(s: Samples) -> DataFrame:
+    found = _states(s, "daily_transactions", _texts(s["v_transactions"]), "transaction_id")
+    return states.daily_transactions(found)
+
+
+@query
+def states_daily_monitoring(s: Samples) -> DataFrame:
+    return states.daily_monitoring(_states(s, "daily_monitoring", s["feed_transactions"], "transaction_id"))
+
+
+@query
+def states_customer_exposure(s: Samples) -> DataFrame:
+    found = _states(s, "customer_loans", _texts(s["v_loans"]), "loan_id")
+    return states.customer_exposure(customers(s), found)
+
+
 # Intermediate models and marts.
 
 

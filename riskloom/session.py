@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Runtime SQL settings the plans rely on. Forcing the skew-join rule lets AQE split a hot join key even when
 # the aggregate above the join would otherwise reuse the join's partitioning. The running totals of a stream live in
@@ -60,6 +60,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_with(df: DataFrame, label: str, *measures: Column) -> tuple[DataFrame, dict]:
+    """``staged`` with named aggregates over the rows, which the write itself takes."""
+    seen = Observation()
+    return staged(df.observe(seen, *measures), label), seen.get
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the cluster's shared checkpoint folder; a machine-local one only in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import joins, retrieval
+from riskloom.operators import joins, keyword_index, retrieval, vector_index
 from riskloom.operators.retrieval import keyword_topk, vector_topk
 from riskloom.sources.sinks import index_corpus
 
@@ -112,3 +112,82 @@ def test_index_is_kept_unless_forced(spark, tmp_path):
     assert spark.read.parquet(path).count() == 1
     assert index_corpus(one.union(one), path, force=True)
     assert spark.read.parquet(path).count() == 2
+
+
+def test_a_kept_keyword_index_answers_like_the_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyword_index, "BLOCK_DOCUMENTS", 16)
+    rng = random.Random(8)
+    words = [f"w{int(rng.expovariate(0.1))}" for _ in range(400)]
+    corpus = [(f"d{i:03}", " ".join(rng.choices(words, k=rng.randrange(0, 80)))) for i in range(300)]
+    corpus += [(f"copy{i:03}", corpus[0][1]) for i in range(100)] + [("none", None), ("blank", " !? ")]
+    questions = [" ".join(rng.choices(words, k=rng.randrange(1, 12))) for _ in range(40)] + ["w1 w1 W1", "absent", "?"]
+    path = str(tmp_path / "index")
+    keyword_index.keyword_blocks(spark.createDataFrame(corpus, "source string, text string").repartition(3)).write.parquet(path)
+    index = spark.read.schema(keyword_index.INDEX).parquet(path)
+    assert index.count() > 20
+    asked = spark.createDataFrame([(q,) for q in questions], "question string")
+    expected = _brute(questions, [(s, t or "") for s, t in corpus], 5)
+    assert _found(keyword_index.search_keywords(asked, index, 5)) == expected
+    assert _found(keyword_index.search_keywords(asked, index, 5, part=11)) == expected
+    uses = Counter(w for _, t in corpus for w in (t or "").split() if w.startswith("w"))
+    held = Counter(w for _, t in corpus for w in set((t or "").split()) if w.startswith("w"))
+    found = {r["term"]: (r["documents"], r["uses"]) for r in keyword_index.index_terms(index).collect()}
+    assert found == {w: (held[w], n) for w, n in uses.items()}
+
+
+def test_blocks_that_cannot_reach_the_score_are_skipped(spark, monkeypatch):
+    """A block's documents are scored only where its bound allows it."""
+    monkeypatch.setattr(keyword_index, "BLOCK_DOCUMENTS", 10)
+    corpus = [(f"d{i:03}", "rare " * 50 if i < 10 else "rare") for i in range(200)]
+    index = keyword_index.keyword_blocks(spark.createDataFrame(corpus, "source string, text string").coalesce(1))
+    rows = index.toArrow().to_batches()
+    asked = keyword_index._Asked.of([{"question": "rare", "words": ["rare"]}])
+    beat, found, scored = np.array([1]), [[]], []
+    monkeypatch.setattr(np, "bincount", lambda *a, plain=np.bincount, **b: scored.append(1) or plain(*a, **b))
+    for batch in rows:
+        for k in range(batch.num_rows):
+            keyword_index._score_block(batch.slice(k, 1), asked, beat, found, 4)
+    assert len(scored) == 1 and [s for _, s in found[0]] == ["d000", "d001", "d002", "d003"]
+
+
+def test_every_number_of_cells_gives_the_same_neighbours(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vector_index, "PACK_VECTORS", 32)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 6)) * 3
+    vectors = np.concatenate([centres[rng.integers(0, 12, 500)] + rng.normal(size=(500, 6)) * 0.2,
+                              np.repeat(centres[:1], 80, axis=0), np.zeros((5, 6))])
+    queries = np.concatenate([vectors[::97], rng.normal(size=(4, 6)), np.zeros((1, 6))])
+    frame = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in enumerate(vectors)],
+                                  "vec_id bigint, vector array<double>").repartition(4)
+    asked = spark.createDataFrame([(int(i), [float(x) for x in q]) for i, q in enumerate(queries)],
+                                  "query_id bigint, vector array<double>")
+    unit = lambda m: m / np.where(np.linalg.norm(m, axis=1) > 0, np.linalg.norm(m, axis=1), 1)[:, None]
+    cosines = np.round(unit(vectors) @ unit(queries).T, 6)
+    expected = {(q, rank + 1): int(i) for q in range(len(queries))
+                for rank, i in enumerate(sorted(range(len(vectors)), key=lambda i: (-cosines[i, q], i))[:5])}
+    for cells in (1, 3, 40, 1_000):
+        path = str(tmp_path / str(cells))
+        vector_index.vector_packs(frame, cells).write.parquet(path)
+        packs = spark.read.parquet(path)
+        for part in (3, None):
+            rows = vector_index.search_vectors(asked, packs, 5, part).collect()
+            assert {(r["query_id"], r["rank"]): r["vec_id"] for r in rows} == expected
+    assert packs.count() > 20
+
+
+@pytest.mark.parametrize(("bad", "told"), [
+    ([0.0, 1.0, 0.0], "elements"), ([0.0, 1.0, 0.0, 0.0, 0.0], "elements"), ([0.0, None, 0.0, 0.0], "not a number"),
+    ([0.0, float("nan"), 0.0, 0.0], "not a number"), ([0.0, float("inf"), 0.0, 0.0], "not a number"), ([], "elements"),
+])
+def test_odd_vectors_are_errors(spark, bad, told):
+    good = [0.0, 1.0, 0.0, 0.0]
+    schema = "vec_id bigint, vector array<double>"
+    asked = spark.createDataFrame([(1, good)], "query_id bigint, vector array<double>")
+    for rows in ([(1, bad)], [(1, good), (2, bad)]):
+        with pytest.raises(Exception, match=told):
+            vector_topk(asked, spark.createDataFrame(rows, schema)).collect()
+    with pytest.raises(Exception, match=told):
+        odd = asked.unionByName(spark.createDataFrame([(2, bad)], asked.schema))
+        vector_topk(odd, spark.createDataFrame([(1, good)], schema)).collect()
+    with pytest.raises(Exception, match="lacks its id or vector"):
+        vector_topk(asked, spark.createDataFrame([(None, good)], schema)).collect()
