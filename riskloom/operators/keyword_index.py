@@ -2,13 +2,14 @@
 
 A block holds up to ``BLOCK_DOCUMENTS`` documents: their names, and for every term its postings (document and count) and
 the largest of these counts. Blocks are rows of a table, so an index is built once, kept, and read by any number of
-searches; texts are not read again.
+searches; texts are not read again. Documents of similar length share a block, since a long one may use any word often: so
+blocks differ in what they can reach.
 
 A search takes its questions in parts of bounded size, each of which travels to the tasks once and passes over the
 blocks once. The documents of a block are scored for a question only if its bound, the sum of the largest counts of the
-question's words, can reach the score to beat. That score starts from the index alone: the ``top_k``-th largest of a
-term's block maxima belongs to that many different documents. It rises as a task sees more blocks. A task emits its best
-``top_k`` documents per question, and those of all tasks are ranked together.
+question's words, can reach the score to beat. That score starts as the ``top_k``-th best of a few blocks, those with the
+longest documents, and rises as a task sees more blocks. A task emits its best ``top_k`` documents per question, and
+those of all tasks are ranked together.
 """
 
 from __future__ import annotations
@@ -27,11 +28,13 @@ from riskloom.operators.topk import top_per_group
 from riskloom.session import staged, staged_with
 
 BLOCK_DOCUMENTS, BLOCK_POSTINGS = 1_024, 500_000  # a block is full at either
+SORTED_POSTINGS = 4_000_000  # postings of the documents that a task orders by length at once
+SEED_BLOCKS = 2  # blocks that are scored for the first score to beat
 QUESTIONS = 20_000  # questions that travel to the tasks at once
 QUESTION_WORDS = 400_000  # and about how many words they may have together
 
 INDEX = ("sources array<string>, terms array<string>, most array<bigint>, ends array<int>, docs array<int>, "
-         "uses array<bigint>")
+         "uses array<bigint>, longest bigint")
 # Lower-case words of digits, a to z and underscore; all other bytes separate.
 WORD_BYTES = bytes(
     c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c == 0x5F else 0x20 for c in range(256)
@@ -43,36 +46,51 @@ def _list(values, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
 
 
-def _block(sources: list, place: dict, terms: list, docs: list, uses: list) -> pa.RecordBatch:
-    """One block, its postings in the order of its terms."""
-    order = np.argsort(np.array(terms, dtype=np.int64), kind="stable")
-    number, counts = np.array(terms, dtype=np.int64)[order], np.array(uses, dtype=np.int64)[order]
-    begins = np.searchsorted(number, np.arange(len(place)))
-    most = np.maximum.reduceat(counts, begins) if len(place) else counts
+def _block(sources: list, names: list, docs: list) -> pa.RecordBatch:
+    """One block of documents, each with its terms by number and their counts; postings in the order of the terms."""
+    terms = np.concatenate([t for t, _ in docs])
+    counts = np.concatenate([n for _, n in docs])
+    place, number = np.unique(terms, return_inverse=True)
+    order = np.argsort(number, kind="stable")
+    counts, owner = counts[order], np.repeat(np.arange(len(docs)), [len(t) for t, _ in docs])[order]
+    edges = np.searchsorted(number[order], np.arange(len(place) + 1))
     return pa.RecordBatch.from_pydict({
-        "sources": _list(sources, pa.string()), "terms": _list([t.decode() for t in place], pa.string()),
-        "most": _list(most, pa.int64()), "ends": _list(np.searchsorted(number, np.arange(len(place)), "right"), pa.int32()),
-        "docs": _list(np.array(docs, dtype=np.int64)[order], pa.int32()), "uses": _list(counts, pa.int64()),
+        "sources": _list(sources, pa.string()), "terms": _list([names[t].decode() for t in place], pa.string()),
+        "most": _list(np.maximum.reduceat(counts, edges[:-1]) if len(place) else counts, pa.int64()),
+        "ends": _list(edges[1:], pa.int32()), "docs": _list(owner, pa.int32()), "uses": _list(counts, pa.int64()),
+        "longest": pa.array([max(int(n.sum()) for _, n in docs)], pa.int64()),
     })
 
 
-def keyword_blocks(corpus: DataFrame) -> DataFrame:
+def _blocks(sources: list, names: list, docs: list, block: int) -> Iterator[pa.RecordBatch]:
+    """Documents cut into blocks from the longest on."""
+    order = sorted(range(len(docs)), key=lambda d: -int(docs[d][1].sum()))
+    begin, held = 0, 0
+    for k, d in enumerate(order, 1):
+        held += len(docs[d][0])
+        if k - begin >= block or held >= BLOCK_POSTINGS or k == len(order):
+            some = order[begin:k]
+            yield _block([sources[d] for d in some], names, [docs[d] for d in some])
+            begin, held = k, 0
+
+
+def keyword_blocks(corpus: DataFrame, block: int = BLOCK_DOCUMENTS) -> DataFrame:
     """The blocks of ``corpus(source, text)``, one row per source, in the columns ``INDEX``."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sources, place, terms, docs, uses = [], {}, [], [], []
+        sources, place, docs, held = [], {}, [], 0
         for batch in batches:
             for source, text in zip(batch.column("source").to_pylist(), batch.column("text").to_pylist()):
-                for word, n in Counter((text or "").encode().translate(WORD_BYTES).split()).items():
-                    terms.append(place.setdefault(word, len(place)))
-                    docs.append(len(sources))
-                    uses.append(n)
+                found = Counter((text or "").encode().translate(WORD_BYTES).split())
+                docs.append((np.array([place.setdefault(word, len(place)) for word in found], dtype=np.int64),
+                             np.array(list(found.values()), dtype=np.int64)))
                 sources.append(source)
-                if len(sources) >= BLOCK_DOCUMENTS or len(terms) >= BLOCK_POSTINGS:
-                    yield _block(sources, place, terms, docs, uses)
-                    sources, place, terms, docs, uses = [], {}, [], [], []
+                held += len(found)
+                if held >= SORTED_POSTINGS:
+                    yield from _blocks(sources, list(place), docs, block)
+                    sources, place, docs, held = [], {}, [], 0
         if sources:
-            yield _block(sources, place, terms, docs, uses)
+            yield from _blocks(sources, list(place), docs, block)
 
     # Texts are lowered as the questions are.
     return corpus.select("source", F.lower("text").alias("text")).mapInArrow(build, INDEX)
@@ -117,20 +135,13 @@ class _Asked:
 
 def first_scores(index: DataFrame, asked: _Asked, top_k: int) -> np.ndarray:
     """For each question a score that ``top_k`` documents are known to reach, 1 at least."""
-
-    def maxima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            terms = [asked.vocabulary.get(term, -1) for term in batch.column("terms").flatten().to_pylist()]
-            terms = np.array(terms, dtype=np.int64)
-            most = batch.column("most").flatten().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_pydict({"term": terms[terms >= 0], "most": most[terms >= 0]})
-
-    each = index.select("terms", "most").mapInArrow(maxima, "term bigint, most bigint")
-    best = top_per_group(each, "term", [F.desc("most")], top_k).where(F.col("rank") == top_k)
-    known = np.zeros(len(asked.vocabulary), dtype=np.int64)
-    found = best.select("term", "most").toArrow()
-    known[found.column("term").to_numpy()] = found.column("most").to_numpy()
-    return np.maximum(asked.per_question(asked.uses * known[asked.terms], np.maximum), 1)
+    longest = [row[0] for row in index.select("longest").orderBy(F.desc("longest")).limit(SEED_BLOCKS).collect()]
+    seeds = index.where(F.col("longest") >= min(longest, default=0)).limit(SEED_BLOCKS).repartition(SEED_BLOCKS)
+    hits = _search(seeds, asked, np.ones(len(asked.questions), dtype=np.int64), top_k)
+    reached = top_per_group(hits, "q", [F.desc("score")], top_k).where(F.col("rank") == top_k).select("q", "score").toArrow()
+    beat = np.ones(len(asked.questions), dtype=np.int64)
+    beat[reached.column("q").to_numpy()] = reached.column("score").to_numpy()
+    return beat
 
 
 def _arrays(row: pa.RecordBatch, *names: str) -> list[np.ndarray]:
@@ -144,20 +155,20 @@ def _stretches(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _search(index: DataFrame, asked: _Asked, beat: np.ndarray, top_k: int) -> DataFrame:
-    """``(question, source, score)``: the best documents of each task for every question."""
+    """``(q, source, score)``: the best documents of each task for every question, by its number."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_beat, found = beat.copy(), [[] for _ in asked.questions]
         for batch in batches:
             for row in (batch.slice(k, 1) for k in range(batch.num_rows)):
                 _score_block(row, asked, to_beat, found, top_k)
-        hits = [(asked.questions[q], source, -score) for q, best in enumerate(found) for score, source in best]
+        hits = [(q, source, -score) for q, best in enumerate(found) for score, source in best]
         for at in range(0, len(hits), 50_000):
-            question, source, score = zip(*hits[at: at + 50_000])
-            yield pa.RecordBatch.from_pydict({"question": pa.array(question, pa.string()),
-                                              "source": pa.array(source, pa.string()), "score": pa.array(score, pa.int64())})
+            q, source, score = zip(*hits[at: at + 50_000])
+            yield pa.RecordBatch.from_pydict({"q": pa.array(q, pa.int64()), "source": pa.array(source, pa.string()),
+                                              "score": pa.array(score, pa.int64())})
 
-    return index.mapInArrow(task, "question string, source string, score bigint")
+    return index.mapInArrow(task, "q bigint, source string, score bigint")
 
 
 def _score_block(row: pa.RecordBatch, asked: _Asked, to_beat: np.ndarray, found: list, top_k: int) -> None:
@@ -202,11 +213,15 @@ def search_keywords(questions: DataFrame, index: DataFrame, top_k: int = 4, part
     asked, sizes = staged_with(words.where(F.size("words") > 0), "questions", F.count(F.lit(1)).alias("rows"),
                                F.sum(F.size("words")).alias("words"))
     parts = max(-(-sizes["rows"] // part), -(-(sizes["words"] or 0) // QUESTION_WORDS))
-    found = index.sparkSession.createDataFrame([], "question string, source string, score bigint")
+    spark = index.sparkSession
+    found = spark.createDataFrame([], "question string, source string, score bigint, rank int")
     for k in range(parts):
         rows = asked.where(F.pmod(F.xxhash64("question"), F.lit(parts)) == k).collect()
         if rows:
             some = _Asked.of(rows)
             hits = _search(index, some, first_scores(index, some, top_k), top_k)
-            found = hits if parts == 1 else found.unionByName(staged(hits, "keyword-hits"))
-    return top_per_group(found, "question", [F.desc("score"), F.asc("source")], top_k)
+            best = top_per_group(hits, "q", [F.desc("score"), F.asc("source")], top_k)
+            names = spark.createDataFrame(pa.table({"q": np.arange(len(rows)), "question": some.questions}))
+            best = best.join(F.broadcast(names), "q").select("question", "source", "score", "rank")
+            found = best if parts == 1 else found.unionByName(staged(best, "keyword-hits"))
+    return found

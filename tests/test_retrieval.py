@@ -114,15 +114,15 @@ def test_index_is_kept_unless_forced(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
-def test_a_kept_keyword_index_answers_like_the_texts(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(keyword_index, "BLOCK_DOCUMENTS", 16)
+def test_a_kept_keyword_index_answers_like_the_texts(spark, tmp_path):
     rng = random.Random(8)
     words = [f"w{int(rng.expovariate(0.1))}" for _ in range(400)]
     corpus = [(f"d{i:03}", " ".join(rng.choices(words, k=rng.randrange(0, 80)))) for i in range(300)]
     corpus += [(f"copy{i:03}", corpus[0][1]) for i in range(100)] + [("none", None), ("blank", " !? ")]
     questions = [" ".join(rng.choices(words, k=rng.randrange(1, 12))) for _ in range(40)] + ["w1 w1 W1", "absent", "?"]
     path = str(tmp_path / "index")
-    keyword_index.keyword_blocks(spark.createDataFrame(corpus, "source string, text string").repartition(3)).write.parquet(path)
+    texts = spark.createDataFrame(corpus, "source string, text string").repartition(3)
+    keyword_index.keyword_blocks(texts, block=16).write.parquet(path)
     index = spark.read.schema(keyword_index.INDEX).parquet(path)
     assert index.count() > 20
     asked = spark.createDataFrame([(q,) for q in questions], "question string")
@@ -137,9 +137,8 @@ def test_a_kept_keyword_index_answers_like_the_texts(spark, tmp_path, monkeypatc
 
 def test_blocks_that_cannot_reach_the_score_are_skipped(spark, monkeypatch):
     """A block's documents are scored only where its bound allows it."""
-    monkeypatch.setattr(keyword_index, "BLOCK_DOCUMENTS", 10)
     corpus = [(f"d{i:03}", "rare " * 50 if i < 10 else "rare") for i in range(200)]
-    index = keyword_index.keyword_blocks(spark.createDataFrame(corpus, "source string, text string").coalesce(1))
+    index = keyword_index.keyword_blocks(spark.createDataFrame(corpus, "source string, text string").coalesce(1), 10)
     rows = index.toArrow().to_batches()
     asked = keyword_index._Asked.of([{"question": "rare", "words": ["rare"]}])
     beat, found, scored = np.array([1]), [[]], []
@@ -148,6 +147,7 @@ def test_blocks_that_cannot_reach_the_score_are_skipped(spark, monkeypatch):
         for k in range(batch.num_rows):
             keyword_index._score_block(batch.slice(k, 1), asked, beat, found, 4)
     assert len(scored) == 1 and [s for _, s in found[0]] == ["d000", "d001", "d002", "d003"]
+    assert max(b.column("longest")[0].as_py() for b in rows) == 50
 
 
 def test_every_number_of_cells_gives_the_same_neighbours(spark, tmp_path, monkeypatch):
