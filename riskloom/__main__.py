@@ -58,7 +58,7 @@ def parser() -> argparse.ArgumentParser:
     job("marts")
     job("test")
     job("publish", "input", "output", "checkpoint")
-    job("consume", "input", "output", "checkpoint", interval=None, unique=None)
+    job("consume", "input", "output", "checkpoint", interval=None, unique=None, dead_letters=None)
     job("unique", "input", "contract", "index", "batch-id", multi_line=None)
     job("index", "corpus", "index")
     job("ask", "questions", "audit", corpus=None, index=None)
@@ -120,6 +120,10 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         ).awaitTermination()
     elif args.job == "consume":
         events = suspicious.events_from_files(spark, args.input)
+        if args.dead_letters:
+            messages = suspicious.messages_from_files(spark, args.input)
+            events = suspicious.parsed_messages(messages, strict=False)
+            suspicious.keep_dead_letters(messages, args.dead_letters, f"{args.checkpoint}-dead-letters").awaitTermination()
         suspicious.maintain_summary(
             suspicious.unique_events(events) if args.unique else events, args.output, args.checkpoint,
             once=args.interval is None, interval=args.interval or "",

@@ -87,9 +87,15 @@ def publish_to_files(events: DataFrame, path: str, checkpoint: str) -> Streaming
 
 
 def events_from_topic(
-    spark: SparkSession, servers: str, topic: str = TOPIC, max_per_trigger: int | None = None
+    spark: SparkSession, servers: str, topic: str = TOPIC, max_per_trigger: int | None = None, strict: bool = True
 ) -> DataFrame:
-    """Event stream of a topic from its earliest offset; needs the Kafka connector on the class path."""
+    """Event stream of a topic; a message that is not an event stops it, or is skipped where ``strict`` is off."""
+    return parsed_messages(messages_from_topic(spark, servers, topic, max_per_trigger), strict)
+
+
+def messages_from_topic(spark: SparkSession, servers: str, topic: str = TOPIC,
+                        max_per_trigger: int | None = None) -> DataFrame:
+    """Message stream of a topic from its earliest offset; needs the Kafka connector on the class path."""
     reader = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
@@ -98,15 +104,52 @@ def events_from_topic(
     )
     if max_per_trigger:
         reader = reader.option("maxOffsetsPerTrigger", max_per_trigger)
-    return parsed_messages(reader.load())
+    return reader.load()
+
+
+def messages_from_files(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """Message stream of a folder of lines: each line that is not blank is a ``value``."""
+    reader = spark.readStream
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.text(path).where("trim(value) <> ''")
+
+
+def _judged(messages: DataFrame) -> DataFrame:
+    """The messages with the event in ``e`` and, where there is none, why in ``reason``."""
+    text = F.col("value").cast("string")
+    event = F.from_json(text, f"{EVENT}, _malformed string",
+                        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"})
+    reason = (
+        F.when(text.isNull(), "no value")
+        .when(F.col("e").isNull() | F.col("e._malformed").isNotNull(), "not an event")
+        .when(F.col("e.customer_id").isNull(), "no customer")
+    )
+    return messages.withColumn("e", event).withColumn("reason", reason)
 
 
-def parsed_messages(messages: DataFrame) -> DataFrame:
-    """The events in the values of topic messages; one that is not an event is an error."""
+def parsed_messages(messages: DataFrame, strict: bool = True) -> DataFrame:
+    """The events in the values of topic messages.
+
+    A message that is not an event is an error, or is left to ``dead_letters`` where ``strict`` is off.
+    """
+    if not strict:
+        return _judged(messages).where("reason is null").select("e.*").drop("_malformed")
     event = F.from_json(F.col("value").cast("string"), EVENT, {"mode": "FAILFAST"})
     return messages.select(event.alias("e")).select("e.*")
 
 
+def dead_letters(messages: DataFrame) -> DataFrame:
+    """The messages that are no events, whole, with the ``reason``: every message is either here or an event."""
+    return _judged(messages).where("reason is not null").drop("e")
+
+
+def keep_dead_letters(messages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Stream the dead letters to a folder of JSON lines, so that they can be looked at and sent again."""
+    letters = dead_letters(messages).withColumn("value", F.col("value").cast("string"))
+    return publish_to_files(letters, path, checkpoint)
+
+
 def events_from_files(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Event stream of a folder of JSON lines."""
     reader = spark.readStream.schema(EVENT).option("mode", "FAILFAST")

@@ -116,3 +116,48 @@ def test_topic_messages_are_json(spark):
     df = _transactions(spark, [("t1", "c1", "a1", "2026-05-23", "PIX", 2.0, "1")])
     row = suspicious.as_messages(suspicious.suspicious_events(df)).first()
     assert row["key"] == "c1" and json.loads(row["value"])["amount"] == 2.0
+
+
+def test_every_message_is_an_event_or_a_dead_letter(spark):
+    values = ['{"customer_id": "c1", "amount": 1.5}', "{bad", "[1]", "7", None, "", '{"amount": 2}', '{"customer_id": "c2"}',
+              '{"customer_id": "c3", "amount": "much"}']
+    messages = spark.createDataFrame([(None if v is None else v.encode(), k) for k, v in enumerate(values)],
+                                     "value binary, offset int")
+    events = suspicious.parsed_messages(messages, strict=False)
+    assert sorted(r["customer_id"] for r in events.collect()) == ["c1", "c2"]
+    assert events.columns == suspicious.parsed_messages(messages).columns
+    letters = {r["offset"]: r["reason"] for r in suspicious.dead_letters(messages).collect()}
+    assert letters == {1: "not an event", 2: "not an event", 3: "not an event", 4: "no value", 5: "not an event",
+                       6: "no customer", 8: "not an event"}
+
+
+def test_replays_and_dead_letters_in_a_stream(spark, tmp_path):
+    """Files delivered again count once, over restarts; lines that are no events do not stop the stream."""
+    folder = tmp_path / "events"
+    first = [_event("c1", 10.0, transaction_id="t1"), _event("c2", 5.5, transaction_id="t2"),
+             _event("c1", 1.0, transaction_id=None), _event("c1", 1.0, transaction_id=None)]
+    _drop(folder, "1.jsonl", *first)
+
+    def drain():
+        messages = suspicious.messages_from_files(spark, str(folder), 1)
+        suspicious.keep_dead_letters(messages, str(tmp_path / "dead"), str(tmp_path / "dead-cp")).awaitTermination()
+        events = suspicious.unique_events(suspicious.parsed_messages(messages, strict=False))
+        suspicious.maintain_summary(events, str(tmp_path / "summary"), str(tmp_path / "cp")).awaitTermination()
+        return {r["customer_id"]: (r["suspicious_count"], float(r["total_suspicious_amount"]))
+                for r in suspicious.read_summary(spark, str(tmp_path / "summary")).collect()}
+
+    assert drain() == {"c1": (2, 11.0), "c2": (1, 5.5)}
+    _drop(folder, "2.jsonl", *first, _event("c2", 1.0, transaction_id="t3"))
+    (folder / "3.jsonl").write_text('{"customer_id": \n\nnothing\n')
+    assert drain() == {"c1": (2, 11.0), "c2": (2, 6.5)}
+    dead = spark.read.json(str(tmp_path / "dead")).collect()
+    assert sorted((r["value"], r["reason"]) for r in dead) == [("nothing", "not an event"), ('{"customer_id": ', "not an event")]
+    assert drain() == {"c1": (2, 11.0), "c2": (2, 6.5)}
+
+
+def test_unique_events_of_a_table(spark):
+    rows = [("t1", "c1", 1.0), ("t1", "c9", 9.0), (None, "c1", 1.0), (None, "c1", 1.0), (None, "c2", None), ("", "c1", 1.0)]
+    df = spark.createDataFrame(rows, "transaction_id string, customer_id string, amount double")
+    found = suspicious.unique_events(df)
+    assert found.columns == df.columns
+    assert sorted(str(r["transaction_id"]) for r in found.collect()) == ["", "None", "None", "t1"]
