@@ -27,11 +27,12 @@ from riskloom.functions.text import tokens
 from riskloom.operators.topk import top_per_group
 from riskloom.session import staged, staged_with
 
-BLOCK_DOCUMENTS, BLOCK_POSTINGS = 1_024, 500_000  # a block is full at either
+BLOCK_DOCUMENTS, BLOCK_POSTINGS = 128, 500_000  # a block is full at either
 SORTED_POSTINGS = 4_000_000  # postings of the documents that a task orders by length at once
-SEED_BLOCKS = 2  # blocks that are scored for the first score to beat
-QUESTIONS = 20_000  # questions that travel to the tasks at once
-QUESTION_WORDS = 400_000  # and about how many words they may have together
+SEED_BLOCKS = 8  # blocks that are scored for the first score to beat
+QUESTIONS = 50_000  # questions that travel to the tasks at once
+QUESTION_WORDS = 1_000_000  # and about how many words they may have together
+SCORED = 4_000_000  # products of question words and documents that are held at once
 
 INDEX = ("sources array<string>, terms array<string>, most array<bigint>, ends array<int>, docs array<int>, "
          "uses array<bigint>, longest bigint")
@@ -182,23 +183,31 @@ def _score_block(row: pa.RecordBatch, asked: _Asked, to_beat: np.ndarray, found:
     at = line[asked.terms]
     highest = np.where(at >= 0, most[at] if len(most) else 0, 0)
     bounds = asked.per_question(asked.uses * highest, np.add)
-    sources = None
-    for q in np.flatnonzero(bounds >= to_beat):
-        span = slice(asked.begins[q], asked.begins[q + 1])
-        lines, times = at[span], asked.uses[span]
-        lines, times = lines[lines >= 0], times[lines >= 0]
-        begins, stops = np.where(lines > 0, ends[lines - 1], 0), ends[lines]
-        places = _stretches(begins, stops)
-        scores = np.bincount(docs[places], uses[places] * np.repeat(times, stops - begins)).astype(np.int64)
-        places = np.flatnonzero(scores >= to_beat[q])
-        if len(places):
-            if sources is None:
-                sources = row.column("sources").flatten()
+    alive = np.flatnonzero(bounds >= to_beat)
+    if not len(alive):
+        return
+    sources = row.column("sources").flatten().to_pylist()
+    n_docs = len(sources)
+    rows = np.zeros((len(own) + 1, n_docs), dtype=np.int64)  # counts by asked term and document; the last row is of no term
+    begins = np.where(own > 0, ends[own - 1], 0)
+    places = _stretches(begins, ends[own])
+    rows[np.repeat(np.arange(len(own)), ends[own] - begins), docs[places]] = uses[places]
+    row_of = np.full(len(asked.vocabulary), len(own))
+    row_of[number[own]] = np.arange(len(own))
+    lines = row_of[asked.terms]
+    sizes = asked.begins[alive + 1] - asked.begins[alive]
+    for part in np.split(np.arange(len(alive)), np.flatnonzero(np.diff(np.cumsum(sizes) * n_docs // SCORED)) + 1):
+        some = alive[part]
+        at = _stretches(asked.begins[some], asked.begins[some + 1])
+        first = np.cumsum(sizes[part]) - sizes[part]
+        scores = np.add.reduceat(rows[lines[at]] * asked.uses[at, None], first, axis=0)
+        for k in np.flatnonzero((scores >= to_beat[some, None]).any(axis=1)):
+            q, own_scores = some[k], scores[k]
+            places = np.flatnonzero(own_scores >= to_beat[q])
             if len(places) > top_k:
-                cut = np.partition(scores[places], len(places) - top_k)[len(places) - top_k]
-                places = places[scores[places] >= cut]
-            best = found[q] + [(-int(scores[d]), sources[int(d)].as_py()) for d in places]
-            found[q] = sorted(best)[:top_k]
+                cut = np.partition(own_scores[places], len(places) - top_k)[len(places) - top_k]
+                places = places[own_scores[places] >= cut]
+            found[q] = sorted(found[q] + [(-int(own_scores[d]), sources[d]) for d in places])[:top_k]
             if len(found[q]) == top_k:
                 to_beat[q] = max(to_beat[q], -found[q][-1][0])
 

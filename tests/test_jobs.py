@@ -155,3 +155,31 @@ def test_question_jobs(spark, tmp_path, capsys):
     yaml.write_text("cases:\n  - id: a\n    question: show exposure by segment\n    requires_sql: true\n")
     pytest.importorskip("yaml")
     assert job(spark, "evals", "--cases", yaml, "--corpus", docs) == 0
+
+
+def test_index_jobs(spark, tmp_path):
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    (docs / "a.md").write_text("exposure by segment")
+    (docs / "b.md").write_text("account health")
+    assert job(spark, "index", "--corpus", docs, "--index", tmp_path / "keywords") == 0
+    (tmp_path / "questions.txt").write_text("show exposure by segment\n")
+    (docs / "a.md").write_text("the index is what is read")
+    audit = tmp_path / "audit.jsonl"
+    assert job(spark, "ask", "--questions", tmp_path / "questions.txt", "--index", tmp_path / "keywords", "--audit", audit) == 0
+    row = files.scan_jsonl(spark, str(audit)).first()
+    assert [c.rsplit("/", 1)[1] for c in row["citations"]] == ["a.md"]
+    with pytest.raises(ValueError, match="corpus or an index"):
+        job(spark, "ask", "--questions", tmp_path / "questions.txt", "--audit", audit)
+
+
+def test_unique_job(spark, tmp_path, capsys):
+    unique = CONTRACTS["accounts"].unique[0]
+    one, two = tmp_path / "1.csv", tmp_path / "2.csv"
+    one.write_text(f"{unique},note\na,x\nb,\"y\nz\"\n")
+    two.write_text(f"{unique},note\nb,x\nc,y\nc,z\n")
+    common = ("--contract", "accounts", "--index", tmp_path / "keys", "--multi-line", "1")
+    assert job(spark, "unique", "--input", one, "--batch-id", "b1", *common) == 0
+    assert job(spark, "unique", "--input", two, "--batch-id", "b2", *common) == 1
+    assert job(spark, "unique", "--input", one, "--batch-id", "b1", *common) == 1
+    assert capsys.readouterr().out.splitlines() == [f"{unique}: 0 repeated", f"{unique}: 2 repeated", f"{unique}: 1 repeated"]
