@@ -103,20 +103,26 @@ def phrase_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
 
 
 def proximity_matches(index: DataFrame, phrases: DataFrame, slop: int) -> DataFrame:
-    """``(doc_id, sign, phrase, start, length)``: stretches around an anchor that hold all of a phrase's terms.
+    """``(doc_id, sign, phrase, start, length)``: stretches that hold all words of a phrase, in any order.
 
-    The stretch has at most ``slop`` words more than the phrase, in any order; it must lie within the words that the
-    index keeps around a posting, which ``reach`` sets.
+    A stretch begins with a word of the phrase and has at most ``slop`` words more than it; a word that the phrase has
+    twice must occur twice. Each holds the phrase's anchor, so the words that the index keeps around a posting decide:
+    its ``reach`` must be the longest phrase's words less one, plus ``slop``.
     """
     met = index.where("term <> ''").join(phrases, F.col("term") == F.col("anchor"))
     length = F.size("words") + slop
     first = F.greatest(F.lit(1), F.col("left") + 2 - length)
     met = met.select("*", F.explode(F.sequence(first, F.col("left") + 1)).alias("begin"))
-    stretch = F.slice("around", F.col("begin"), length)
-    holds = F.size(F.array_except("words", stretch)) == 0
+    met = met.where(F.array_contains("words", F.element_at("around", F.col("begin"))))
+    met = met.withColumn("stretch", F.slice("around", F.col("begin"), length))
+
+    def uses(name: str, word: Column) -> Column:
+        return F.size(F.filter(F.col(name), lambda other: other == word))
+
+    holds = F.forall("words", lambda word: uses("stretch", word) >= uses("words", word))
     found = met.where(holds).select(
         "doc_id", "sign", "phrase", (F.col("pos") - F.col("left") - 1 + F.col("begin")).alias("start"),
-        F.size(stretch).alias("length"),
+        F.size("stretch").alias("length"),
     )
     return found.distinct()
 
@@ -136,6 +142,26 @@ def with_anchors(windows: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
+def near_matches(docs: DataFrame, items: DataFrame, slop: int, window: int = WINDOW) -> DataFrame:
+    """``(item_id, doc_id, sign, start, length)``: where the words of an item's windows stand close together.
+
+    ``docs(doc_id, text)`` and ``items(item_id, text)``; a stretch has up to ``slop`` words more than the window, whose
+    words may come in any order. Exact occurrences are among them.
+    """
+    spelled = F.array_join("words", " ")
+    by_item = written(item_windows(items, window).select("item_id", F.md5(spelled.cast("binary")).alias("phrase"),
+                                                         "words"), "item-windows")
+    windows = by_item.groupBy("phrase").agg(F.first("words").alias("words"))
+    vocabulary = by_item.select(F.explode("words").alias("word")).select(short(F.col("word")).alias("term"))
+    counts = written(term_counts(docs, written(vocabulary.distinct(), "item-terms")), "term-counts")
+    phrases = written(with_anchors(windows, counts), "phrases")
+    anchors = written(phrases.select(F.col("anchor").alias("term")).distinct(), "anchors")
+    index = written(postings(docs, anchors, window - 1 + slop), "postings")
+    found = written(proximity_matches(index, phrases, slop), "near-matches")
+    return found.join(by_item.select("phrase", "item_id"), "phrase").select(
+        "item_id", "doc_id", "sign", "start", "length").distinct()
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``(doc_id, sign, n_words, n_hit, item_ids)``, one row per row of ``docs(doc_id, text)``."""
     spelled = F.array_join("words", " ")
