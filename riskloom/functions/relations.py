@@ -33,17 +33,17 @@ UNRESOLVED = frozenset((
 # Functions that compute from their arguments alone. Those that call code by name, read files, wait or give away the
 # session are not among them.
 FUNCTIONS = frozenset("""
-    abs ceil ceiling exp floor greatest least ln log log10 log2 mod negative pmod positive pow power round bround sign
-    signum sqrt cbrt rint try_add try_divide try_multiply try_subtract width_bucket
+    abs ceil ceiling exp floor greatest least ln log log10 log2 mod negative pmod positive pow power round sign
+    signum sqrt cbrt try_add try_divide try_multiply try_subtract width_bucket
     any any_value approx_count_distinct approx_percentile array_agg avg bool_and bool_or collect_list collect_set corr
-    count count_if covar_pop covar_samp every first first_value grouping grouping_id kurtosis last last_value listagg max
-    max_by mean median min min_by mode percentile percentile_approx percentile_cont percentile_disc regr_slope skewness
-    some std stddev stddev_pop stddev_samp string_agg sum try_avg try_sum var_pop var_samp variance
+    count count_if every first first_value grouping grouping_id last last_value listagg max
+    max_by mean median min min_by mode percentile percentile_approx percentile_cont percentile_disc some std stddev
+    stddev_pop stddev_samp string_agg sum try_avg try_sum var_pop var_samp variance
     cume_dist dense_rank lag lead nth_value ntile percent_rank rank row_number
-    coalesce if iff ifnull isnan isnotnull isnull nanvl nullif nvl nvl2 zeroifnull between not
-    ascii char char_length character_length concat concat_ws contains endswith format_number initcap instr lcase left
-    length like lower lpad ltrim overlay position regexp_count regexp_extract regexp_like regexp_replace regexp_substr
-    repeat replace reverse right rlike rpad rtrim split split_part startswith substr substring trim ucase upper
+    coalesce if iff ifnull isnan isnotnull isnull nanvl nullif nvl nvl2 between not
+    ascii char char_length character_length concat concat_ws contains endswith format_number initcap instr left
+    length like lower lpad ltrim position regexp_count regexp_extract regexp_like regexp_replace repeat replace
+    reverse right rlike rpad rtrim split split_part startswith substr substring trim upper
     add_months date date_add date_diff date_format date_part date_sub date_trunc dateadd datediff datepart day dayofmonth
     dayofweek dayofyear extract hour last_day make_date minute month months_between next_day quarter second to_date
     to_timestamp trunc try_to_date try_to_timestamp weekday weekofyear year now current_date current_timestamp
@@ -54,7 +54,7 @@ FUNCTIONS = frozenset("""
 # Classes of resolved expressions that run code from outside the engine.
 FOREIGN_CODE = frozenset((
     "CallMethodViaReflection", "PythonUDF", "PythonUDAF", "PythonUDTF", "ScalaUDF", "ScalaAggregator", "ScalaUDAF",
-    "HiveSimpleUDF", "HiveGenericUDF", "HiveGenericUDTF", "HiveUDAFFunction", "Invoke", "StaticInvoke",
+    "HiveSimpleUDF", "HiveGenericUDF", "HiveGenericUDTF", "HiveUDAFFunction",
 ))
 UNREAD = ("CTERelationRef", "LocalRelation", "OneRowRelation")
 
@@ -139,16 +139,22 @@ def check_parsed(spark: SparkSession, query: str, allowed_schemas: tuple[str, ..
     return sorted(found, key=lambda place: place.start)
 
 
+def _schema(name) -> str:
+    """The schema of a table's name in the catalog, empty if it has none."""
+    return name.database().get() if name.database().isDefined() else ""
+
+
 def _reads(node) -> str:
-    """What a leaf or view of an analysed plan reads: a schema, or a temporary view as ``.name``."""
+    """What a leaf or view of an analysed plan reads: a schema, a temporary view as ``.name``, or else its kind."""
     kind = _kind(node)
     if kind == "View":
         name = node.desc().identifier()
-        return f".{name.table()}" if node.isTempView() else name.database().getOrElse(None) or ""
-    table = {"LogicalRelation": lambda: node.catalogTable(), "HiveTableRelation": lambda: None}.get(kind, lambda: None)()
+        return f".{name.table()}" if node.isTempView() else _schema(name)
+    if kind == "LogicalRelation" and node.catalogTable().isDefined():
+        return _schema(node.catalogTable().get().identifier())
     if kind == "HiveTableRelation":
-        return node.tableMeta().identifier().database().getOrElse(None) or ""
-    return table.get().identifier().database().getOrElse(None) or "" if table is not None and table.isDefined() else kind
+        return _schema(node.tableMeta().identifier())
+    return kind
 
 
 def check_analysed(df: DataFrame, allowed_schemas: tuple[str, ...], views: set[str]) -> None:
