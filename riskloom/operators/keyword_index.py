@@ -28,11 +28,11 @@ from riskloom.operators.topk import top_per_group
 from riskloom.session import staged, staged_with
 
 BLOCK_DOCUMENTS, BLOCK_POSTINGS = 128, 500_000  # a block is full at either
-SORTED_POSTINGS = 4_000_000  # postings of the documents that a task orders by length at once
+SORTED_POSTINGS = 1_000_000  # postings of the documents that a task orders by length at once
 SEED_BLOCKS = 8  # blocks that are scored for the first score to beat
-QUESTIONS = 50_000  # questions that travel to the tasks at once
-QUESTION_WORDS = 1_000_000  # and about how many words they may have together
-SCORED = 4_000_000  # products of question words and documents that are held at once
+QUESTIONS = 20_000  # questions that travel to the tasks at once
+QUESTION_WORDS = 500_000  # and about how many words they may have together
+SCORED = 1_000_000  # products of question words and documents that are held at once
 
 INDEX = ("sources array<string>, terms array<string>, most array<bigint>, ends array<int>, docs array<int>, "
          "uses array<bigint>, longest bigint")
