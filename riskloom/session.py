@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Runtime SQL settings the plans rely on. Forcing the skew-join rule lets AQE split a hot join key even when
 # the aggregate above the join would otherwise reuse the join's partitioning. The running totals of a stream live in
-# RocksDB, so their size is bound by disk and not by the executor's heap.
+# RocksDB, so their size is bound by disk and not by the executor's heap. Rows that hold a block of an index travel to
+# Python in batches of bounded bytes.
 RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 * 1024 * 1024),
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
