@@ -9,7 +9,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.operators.keyword_index import INDEX, keyword_blocks
+from riskloom.operators.keyword_index import INDEX, KEPT, keyword_blocks
 from riskloom.operators.sizing import spread
 from riskloom.plans import copilot, warehouse
 from riskloom.plans.layers import bronze_to_silver, build_layers, silver_to_gold
@@ -137,7 +137,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
                 print(f"{column}: {found} repeated")
         return 1 if repeated else 0
     elif args.job == "index":
-        replace_table(keyword_blocks(read_corpus(spark, args.corpus)), args.index)
+        replace_table(keyword_blocks(read_corpus(spark, args.corpus)), args.index, options=KEPT)
     elif args.job == "ask":
         questions = spark.read.text(args.questions).withColumnRenamed("value", "question")
         sinks.append_audit(copilot.audit_records(answers_of(spark, questions, args)), args.audit)

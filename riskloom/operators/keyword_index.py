@@ -27,12 +27,16 @@ from riskloom.functions.text import tokens
 from riskloom.operators.topk import top_per_group
 from riskloom.session import staged, staged_with
 
-BLOCK_DOCUMENTS, BLOCK_POSTINGS = 128, 500_000  # a block is full at either
-SORTED_POSTINGS = 1_000_000  # postings of the documents that a task orders by length at once
+BLOCK_DOCUMENTS, BLOCK_POSTINGS = 128, 64_000  # a block is full at either
+SORTED_POSTINGS = 300_000  # postings of the documents that a task orders by length at once
 SEED_BLOCKS = 8  # blocks that are scored for the first score to beat
 QUESTIONS = 20_000  # questions that travel to the tasks at once
 QUESTION_WORDS = 500_000  # and about how many words they may have together
-SCORED = 1_000_000  # products of question words and documents that are held at once
+SCORED = 500_000  # products of question words and documents that are held at once
+# A block is a long row. Spark's reader holds the rows of a row group at once, and its writer checks the size of one after
+# a hundred rows unless told otherwise.
+KEPT = {"parquet.block.size": 4 * 1024 * 1024, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 8,
+        "parquet.page.size.row.check.min": 1}
 
 INDEX = ("sources array<string>, terms array<string>, most array<bigint>, ends array<int>, docs array<int>, "
          "uses array<bigint>, longest bigint")
@@ -97,17 +101,28 @@ def keyword_blocks(corpus: DataFrame, block: int = BLOCK_DOCUMENTS) -> DataFrame
     return corpus.select("source", F.lower("text").alias("text")).mapInArrow(build, INDEX)
 
 
+def write_blocks(blocks: DataFrame, path: str) -> None:
+    """Write an index in row groups of few blocks, so that a task which reads it holds few at a time."""
+    blocks.write.options(**KEPT).parquet(path)
+
+
 def index_terms(index: DataFrame) -> DataFrame:
     """``(term, documents, uses, most)``: in how many documents a term occurs, how often in all and at most in one."""
-    ends = F.col("ends")
-    sizes = F.zip_with(ends, F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size(ends) - 1)), lambda end, begin: end - begin)
-    begins = F.concat(F.array(F.lit(0)), ends)
-    sums = F.transform(F.sequence(F.lit(1), F.size("terms")), lambda k: F.aggregate(
-        F.slice("uses", F.element_at(begins, k) + 1, F.element_at(sizes, k)), F.lit(0).cast("bigint"), lambda a, b: a + b))
-    filled = index.where(F.size("terms") > 0)
-    each = filled.select(F.explode(F.arrays_zip("terms", "most", sizes.alias("n"), sums.alias("uses"))).alias("t"))
-    return each.groupBy(F.col("t.terms").alias("term")).agg(
-        F.sum("t.n").alias("documents"), F.sum("t.uses").alias("uses"), F.max("t.most").alias("most"))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (batch.slice(k, 1) for k in range(batch.num_rows)):
+                most, ends, uses = _arrays(row, "most", "ends", "uses")
+                if len(ends):  # every term has a posting
+                    begins = np.append(0, ends[:-1])
+                    yield pa.RecordBatch.from_pydict({
+                        "term": row.column("terms").flatten(), "documents": pa.array(ends - begins, pa.int64()),
+                        "uses": pa.array(np.add.reduceat(uses, begins), pa.int64()), "most": pa.array(most, pa.int64())})
+
+    each = index.select("terms", "most", "ends", "uses").mapInArrow(
+        listed, "term string, documents bigint, uses bigint, most bigint")
+    return each.groupBy("term").agg(
+        F.sum("documents").alias("documents"), F.sum("uses").alias("uses"), F.max("most").alias("most"))
 
 
 @dataclass

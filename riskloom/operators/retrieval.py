@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.text import compact, is_blank
 from riskloom.operators.joins import join_measured
-from riskloom.operators.keyword_index import QUESTIONS, keyword_blocks, search_keywords
+from riskloom.operators.keyword_index import KEPT, QUESTIONS, keyword_blocks, search_keywords
 from riskloom.operators.vector_index import search_vectors, vector_packs
 from riskloom.session import staged
 
@@ -25,7 +25,7 @@ def keyword_topk(questions: DataFrame, corpus: DataFrame, top_k: int = 4, block:
 
     ``corpus`` has one row per source; it is indexed once, whatever the number of questions.
     """
-    return search_keywords(questions, staged(keyword_blocks(corpus), "keyword-index"), top_k, block)
+    return search_keywords(questions, staged(keyword_blocks(corpus), "keyword-index", KEPT), top_k, block)
 
 
 def with_text(hits: DataFrame, documents: DataFrame, key: str) -> DataFrame:

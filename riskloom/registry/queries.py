@@ -784,7 +784,7 @@ def retrieve_keyword_topk(s: Samples) -> DataFrame:
 def keyword_index_terms(s: Samples) -> DataFrame:
     """What a kept keyword index knows of its terms."""
     path = scratch_path(s.spark, "keywords")
-    keyword_index.keyword_blocks(corpus(s)).write.parquet(path)
+    keyword_index.write_blocks(keyword_index.keyword_blocks(corpus(s)), path)
     return keyword_index.index_terms(s.spark.read.parquet(path))
 
 
@@ -792,7 +792,7 @@ def keyword_index_terms(s: Samples) -> DataFrame:
 def retrieve_keyword_index(s: Samples) -> DataFrame:
     """The best documents of every question by a kept index, with the questions in several parts."""
     path = scratch_path(s.spark, "keywords")
-    keyword_index.keyword_blocks(corpus(s)).write.parquet(path)
+    keyword_index.write_blocks(keyword_index.keyword_blocks(corpus(s)), path)
     return keyword_index.search_keywords(s["feed_questions"], s.spark.read.parquet(path), 4, part=1_000)
 
 

@@ -55,10 +55,10 @@ def _local_root() -> str:
     return tempfile.mkdtemp(prefix="riskloom-")
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, options: dict | None = None) -> DataFrame:
     """``df`` as a table in the shared scratch folder, so that it is computed once and its size is known."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -98,10 +98,10 @@ def read_snapshot(spark: SparkSession, path: str, schema: str | None = None, ver
     return rows.drop(*found.notes.get("hidden", []))
 
 
-def replace_table(df: DataFrame, path: str, notes: dict | None = None) -> Snapshot:
+def replace_table(df: DataFrame, path: str, notes: dict | None = None, options: dict | None = None) -> Snapshot:
     """Replace a table, schema included; readers see the old rows until all new ones are there."""
     spark, part = df.sparkSession, new_part()
-    df.write.parquet(f"{path}/{part}")
+    df.write.options(**(options or {})).parquet(f"{path}/{part}")
     done = commit(spark, path, snapshot(spark, path), {part: {}}, notes)
     vacuum(spark, path)
     return done

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,6 +137,30 @@ def test_a_kept_keyword_index_answers_like_the_texts(spark, tmp_path):
     assert found == {w: (held[w], n) for w, n in uses.items()}
 
 
+def test_an_index_is_written_in_row_groups_of_few_blocks(spark, tmp_path):
+    """A reader holds a row group at once, so its size must not grow with the index."""
+    path = str(tmp_path / "index")
+    corpus = [(f"d{i:04}", " ".join(f"w{i}x{k}" for k in range(2_000))) for i in range(400)]
+    texts = spark.createDataFrame(corpus, "source string, text string").coalesce(1)
+    keyword_index.write_blocks(keyword_index.keyword_blocks(texts), path)
+    groups = [pq.ParquetFile(f).metadata for f in (tmp_path / "index").glob("*.parquet")]
+    sizes = [meta.row_group(k).total_byte_size for meta in groups for k in range(meta.num_row_groups)]
+    assert len(sizes) > 2 and max(sizes) < 4 * keyword_index.KEPT["parquet.block.size"]
+    index = spark.read.parquet(path)
+    assert index.agg(F.max(F.size("docs"))).first()[0] <= keyword_index.BLOCK_POSTINGS + 2_000
+    assert index.agg(F.sum(F.size("sources"))).first()[0] == 400
+
+
+def test_terms_of_a_block_are_summed_in_one_pass(spark):
+    words = [f"w{k}" for k in range(60_000)]
+    index = keyword_index.keyword_blocks(spark.createDataFrame([("a", " ".join(words + words[:9]))],
+                                                               "source string, text string"))
+    begin = time.monotonic()
+    found = keyword_index.index_terms(index).groupBy("documents", "uses", "most").count().collect()
+    assert sorted(map(tuple, found)) == [(1, 1, 1, 59_991), (1, 2, 2, 9)]
+    assert time.monotonic() - begin < 20
+
+
 def test_blocks_that_cannot_reach_the_score_are_skipped(spark, monkeypatch):
     """A block's documents are scored only where its bound allows it."""
     corpus = [(f"d{i:03}", "rare " * 50 if i < 10 else "rare") for i in range(200)]
