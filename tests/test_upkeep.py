@@ -52,6 +52,20 @@ def test_null_keys_are_one_key_and_an_empty_table_can_begin(spark, tmp_path):
     assert _merged(spark, path) == {3: 3.0}
 
 
+def test_long_rows_make_more_parts(spark, tmp_path, monkeypatch):
+    """A part is written by one task, so it may not grow with the bytes of its rows."""
+    monkeypatch.setattr(keyed, "PART_BYTES", 50_000)
+    path = str(tmp_path / "t")
+    rows = spark.range(400).selectExpr("id AS k", "1 AS s", "repeat('x', 1000) AS text")
+    done = keyed.merge_rows(path, rows, ["k"], [F.desc("s")])
+    assert len(done.parts) == 9 and max(p["bytes"] for p in done.parts.values()) < 100_000
+    more = spark.range(10).selectExpr("id AS k", "2 AS s", "repeat('y', 200000) AS text")
+    done = keyed.merge_rows(path, more, ["k"], [F.desc("s")])
+    assert len(done.parts) > 30 and sum(p["rows"] for p in done.parts.values()) == 400
+    found = snapshots.read_snapshot(spark, path).groupBy(F.length("text").alias("n")).count().collect()
+    assert sorted(map(tuple, found)) == [(1_000, 390), (200_000, 10)]
+
+
 # Unique values over batches.
 
 
