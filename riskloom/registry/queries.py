@@ -217,10 +217,10 @@ def index_corpus_changes(s: Samples) -> DataFrame:
 
 @query
 def scan_csv_numbered(s: Samples) -> DataFrame:
-    """Rows with line breaks in their fields, by their place in the file."""
+    """Rows with line breaks in their fields, by their place in the files."""
     path = scratch_path(s.spark, "numbered")
     rows = s["documents"].select(F.col("doc_id").cast("string").alias("doc_id"), F.concat("text", F.lit("\n\"")).alias("note"))
-    sinks.write_csv(rows.repartition(1).sortWithinPartitions(F.col("doc_id").cast("bigint")), path)
+    sinks.write_csv_in_order(rows, F.col("doc_id").cast("bigint"), path)
     read = files.scan_csv_numbered(s.spark, path, multi_line=True)
     return read.select("row_id", "doc_id", F.md5(F.col("note").cast("binary")).alias("digest"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import UTC, datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.schemas import AUDIT_LINE, COMMENTS, MART_SCHEMA, MARTS, RAW_SCHEMA, SCHEMA_COMMENTS, TABLES
@@ -14,6 +14,7 @@ from riskloom.sources.snapshots import replace_table
 
 # Fixed value: rows per insert of a JDBC load.
 JDBC_BATCH_ROWS = 1000
+FILE_BYTES = 64 * 1024 * 1024
 
 
 def new_batch_id() -> str:
@@ -26,6 +27,17 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", encoding: str = "UTF-8")
     df.write.options(header=True, sep=sep, encoding=encoding, quote='"', escape='"').csv(path)
 
 
+def write_csv_in_order(df: DataFrame, key: Column, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Write a CSV folder whose files, in path order, hold the rows in the order of ``key``.
+
+    A file is written by one task, so there are as many files as the texts have ``file_bytes``.
+    """
+    texts = [F.coalesce(F.octet_length(name), F.lit(0)) for name, kind in df.dtypes if kind == "string"]
+    n_bytes = df.agg(F.sum(sum(texts, F.lit(0)).cast("bigint"))).first()[0] or 0
+    n_files = max(1, -(-n_bytes // file_bytes))
+    write_csv(df.repartitionByRange(n_files, key).sortWithinPartitions(key), path)
+
+
 def write_batch(df: DataFrame, lake_dir: str, layer: str, table: str, batch_id: str, fmt: str = "parquet") -> int:
     """Write one batch of a layer table and return its row count, measured by the write itself.
 

@@ -8,10 +8,11 @@ import random
 from contextlib import contextmanager
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.plans.warehouse import validate_csv
 from riskloom.schemas import CONTRACTS
-from riskloom.sources import csv_records, files
+from riskloom.sources import csv_records, files, sinks
 
 SETTINGS = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
 
@@ -61,6 +62,19 @@ def test_records_are_those_that_were_written(spark, tmp_path, size, end):
     assert [(r[0], r[1], r[2] or "", r[3] or "") for r in numbered] == expected
 
 
+def test_ordered_files_are_bounded_and_keep_the_numbers(spark, tmp_path):
+    rows = spark.range(300).selectExpr("CAST((id * 7) % 300 AS STRING) AS id", "concat(repeat('x', 100), '\n\"', id) AS note")
+    path = str(tmp_path / "t")
+    sinks.write_csv_in_order(rows, F.col("id").cast("bigint"), path, file_bytes=4_000)
+    sizes = [p.stat().st_size for p in (tmp_path / "t").glob("*.csv")]
+    assert len(sizes) >= 6 and max(sizes) < 12_000
+    found = files.scan_csv_numbered(spark, path, True).orderBy("row_id").collect()
+    assert [(r["row_id"], r["id"]) for r in found] == [(k + 1, str(k)) for k in range(300)]
+    assert found[7]["note"].endswith('\n"1')
+    sinks.write_csv_in_order(rows, F.col("id").cast("bigint"), str(tmp_path / "one"))
+    assert len(list((tmp_path / "one").glob("*.csv"))) == 1
+
+
 def test_one_file_takes_many_tasks(spark, tmp_path):
     (tmp_path / "t.csv").write_text(text_of([["id", "note"], *([str(k), f"a\nb {k}"] for k in range(4_000))], "\n"))
     with small_blocks(spark, 4_096):
