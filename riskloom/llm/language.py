@@ -9,13 +9,13 @@ per language and piece. A text's score is the posterior of its best language und
 Words are runs of letters in lower case; a word of more than ``CUT`` characters is scored in stretches of that length.
 A character that is no piece has a fixed small probability in every language.
 
-The model is a bounded table (vocabulary times languages). It is fitted on ``TRAIN_DOCS`` labelled documents per
-language at most, in expectation, chosen by a hash of the id; prediction runs over all rows and whole texts, in one pass
-without a shuffle. Tasks keep the words already scored, up to ``CACHE`` of them.
+The model is a bounded table (vocabulary times languages). It is fitted on the word counts of all labelled documents that
+are not held out; prediction runs over all rows and whole texts, in one pass without a shuffle. Tasks keep the words
+already scored, up to ``CACHE`` of them, and count up to ``COUNTED`` before they send them on.
 
 The posterior compares the learned languages with each other only, so the pipeline also asks how well a text fits its best
 language: the mean log probability of its words must not be below that of nearly all training documents of the language
-(``FIT_QUANTILE``), less ``FIT_SPREAD`` standard errors of a mean over so many words.
+(``FIT_QUANTILE``, exact and over all of them), less ``FIT_SPREAD`` standard errors of a mean over so many words.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0; a null id is never held out. Rows without a
 language are not learned from. An empty table gives an empty result; without any labelled row every text is ``und``.
@@ -30,21 +30,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.frames import held_out, lean, table, written
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-TRAIN_DOCS = 1_500
 ROUNDS = 3
 LONGEST = 8  # characters of the longest piece used
 CUT = 40
 CACHE = 500_000
+COUNTED = 200_000
 FLOOR = 1e-7  # probability of a character that is no piece, and of a piece that a language never used
 UNKNOWN = "und"
 MIN_SCORE = 0.4  # below it no language is likely enough, and the pipeline rejects a document
 FIT_QUANTILE = 0.005
+FIT_STEPS = 1_000  # steps to one of the logarithm, in which fits are counted
 FIT_SPREAD = 3.0
 WORDS = re.compile(r"[^\W\d_]+")
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -179,27 +180,22 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
             for word, n in Counter(w for w in text_words(text) if any(map(str.isalpha, w))).items():
                 held[lang, word] += n
-            if len(held) > CACHE:
+            if len(held) > COUNTED:
                 yield emit()
     if held:
         yield emit()
 
 
-def training_rows(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """The rows of ``docs(doc_id, lang, text)`` that are learned from."""
-    labelled = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rates = written(labelled.groupBy("lang").agg((F.lit(float(train_docs)) / F.count(F.lit(1))).alias("rate")),
-                    "language-rates")
-    drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language")), F.lit(1_000_000)) < F.col("rate") * 1_000_000
-    return labelled.select("doc_id", "lang", "text").join(rates, "lang").where(drawn)
+def is_training(doc_id: str, lang: str, text: str) -> Column:
+    """Whether a row is learned from: it has a language and a text and is not held out."""
+    return ~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull()
 
 
-def learn(docs: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS, train_docs: int = TRAIN_DOCS) -> tuple:
+def learn(docs: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS) -> tuple:
     """``(languages, pieces, model)`` from ``docs(doc_id, lang, text)``; the model has a row per language."""
     lean(docs.sparkSession)
     pieces = vocabulary(path)
-    sample = training_rows(docs, train_docs).select("lang", "text")
-    words = sample.mapInArrow(_counted, "lang string, word string, n long")
+    words = docs.where(is_training("doc_id", "lang", "text")).select("lang", "text").mapInArrow(_counted, "lang string, word string, n long")
     words = written(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
     languages = [r["lang"] for r in words.select("lang").distinct().orderBy("lang").collect()]
     model = np.full((len(languages), len(pieces)), 1.0 / max(1, len(pieces)))
@@ -283,24 +279,55 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
-def fit_limits(docs: DataFrame, learned: tuple) -> DataFrame:
+def low_fits(seen: DataFrame, quantile: float = FIT_QUANTILE) -> DataFrame:
+    """``(lang_pred, low)``: the exact quantile of ``seen(lang_pred, fit)`` per language, between two ranks by proportion.
+
+    Fits are counted in steps, which are few; the two fits wanted are then looked up among those of their own steps.
+    """
+    step = F.floor(F.col("fit") * FIT_STEPS).alias("step")
+    counts = seen.groupBy("lang_pred", step).agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy("lang_pred")
+    at = (F.col("total") - 1) * F.lit(quantile)
+    placed = counts.select("lang_pred", "step", (F.sum("n").over(own.orderBy("step")) - F.col("n")).alias("before"), "n",
+                           F.sum("n").over(own).alias("total")).withColumn("at", at)
+    hit = (F.col("before") <= F.ceil("at")) & (F.col("before") + F.col("n") > F.floor("at"))
+    steps = written(placed.where(hit).select("lang_pred", "step", "before", "at"), "language-steps")
+    values = seen.select("lang_pred", "fit", step).join(F.broadcast(steps), ["lang_pred", "step"])
+    values = values.groupBy("lang_pred", "step", "before", "at", "fit").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("lang_pred", "step").orderBy("fit")) + F.col("before")
+    ranked = values.withColumn("upto", upto).withColumn("first", F.col("upto") - F.col("n"))
+
+    def at_rank(rank: Column) -> Column:
+        return F.max(F.when((F.col("first") <= rank) & (rank < F.col("upto")), F.col("fit")))
+
+    share = F.max("at") - F.floor(F.max("at"))
+    low, high = at_rank(F.floor("at")), at_rank(F.ceil("at"))
+    return ranked.groupBy("lang_pred").agg((low * (1 - share) + high * share).alias("low"))
+
+
+def fit_limits(seen: DataFrame) -> DataFrame:
     """``(lang_pred, low, spread)``: a low quantile of the fit of each language's training documents, and the standard
-    deviation of a word's log probability."""
-    seen = predict(training_rows(docs).select("lang", "text"), learned, fits=True).where("lang_pred = lang")
-    seen = written(seen.select("lang_pred", "fit", "n_fit"), "language-fits")
+    deviation of a word's log probability.
+
+    ``seen(lang_pred, fit, n_fit)`` has the training documents whose language was predicted right.
+    """
     middle = seen.groupBy("lang_pred").agg((F.sum(F.col("fit") * F.col("n_fit")) / F.sum("n_fit")).alias("middle"))
     apart = F.col("n_fit") * (F.col("fit") - F.col("middle")) ** 2
-    return written(seen.join(middle, "lang_pred").groupBy("lang_pred").agg(
-        F.percentile("fit", F.lit(FIT_QUANTILE)).alias("low"), F.sqrt(F.avg(apart)).alias("spread")), "language-limits")
+    spread = seen.join(F.broadcast(middle), "lang_pred").groupBy("lang_pred").agg(F.sqrt(F.avg(apart)).alias("spread"))
+    return written(low_fits(seen).join(spread, "lang_pred"), "language-limits")  # one row per language
 
 
 def language_stage(docs: DataFrame) -> DataFrame:
-    """The documents with a language that the model is sure of and that they fit, in the columns of ``docs``."""
+    """The documents with a language that the model is sure of and that they fit, in the columns of ``docs``.
+
+    All are predicted once; the limits come from the predictions of all training documents.
+    """
     carried = docs.select(F.struct("*").alias("row"), "text")
-    labelled = docs.select("doc_id", "lang", "text")
-    learned = learn(labelled)
-    # one row per language
-    kept = predict(carried, learned, fits=True).join(F.broadcast(fit_limits(labelled, learned)), "lang_pred")
+    learned = learn(docs.select("doc_id", "lang", "text"))
+    seen = written(predict(carried, learned, fits=True), "language-predicted")
+    right = seen.where(is_training("row.doc_id", "row.lang", "row.text") & (F.col("lang_pred") == F.col("row.lang")))
+    limits = fit_limits(right.select("lang_pred", "fit", "n_fit"))
+    kept = seen.join(F.broadcast(limits), "lang_pred")
     fits = F.col("fit") >= F.col("low") - FIT_SPREAD * F.col("spread") / F.sqrt("n_fit")
     kept = kept.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE) & fits)
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

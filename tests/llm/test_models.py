@@ -100,6 +100,29 @@ def test_language_stage_rejects_texts_of_no_learned_language(spark):
     assert len(kept) >= 0.97 * docs.count()
 
 
+def test_language_learns_from_every_training_document(spark, tmp_path):
+    """No labelled document that is not held out is left out of the counts, however many there are."""
+    texts = spark.range(6_000).selectExpr("id AS doc_id", "'en' AS lang", "concat('the ', repeat('q', 1 + CAST(id AS INT))) AS text")
+    seen = []
+    plain = language.written
+    try:
+        language.written = lambda df, label: (seen.append(plain(df, label)) or seen[-1])
+        language.learn(texts, rounds=0)
+    finally:
+        language.written = plain
+    expected = sum(zlib.crc32(str(k).encode()) % 3 != 1 for k in range(6_000))
+    assert seen[0].where("word = 'the'").collect() == [("en", "the", expected)]
+
+
+def test_low_fits_are_exact_quantiles(spark):
+    rng = np.random.default_rng(3)
+    own = {"a": rng.normal(-9, 2, 2_001).tolist(), "b": [-3.25], "c": [-7.5] * 300 + [-7.5004] * 2, "d": [-1.0, -2.0]}
+    seen = spark.createDataFrame([(k, float(x)) for k, xs in own.items() for x in xs], "lang_pred string, fit double")
+    for quantile in (0.0, 0.005, 0.37, 1.0):
+        found = {r.lang_pred: r.low for r in language.low_fits(seen, quantile).collect()}
+        assert found == {k: pytest.approx(np.quantile(xs, quantile), rel=1e-12) for k, xs in own.items()}
+
+
 def test_toxicity_on_held_out_documents(spark):
     rows = {r.doc_id: r for r in QUERIES["op6_toxicity"](spark, "/root/testdata/sf0.1").collect()}
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()
