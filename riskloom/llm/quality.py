@@ -271,7 +271,7 @@ def pair_counts(trusted: DataFrame, names: list[str], spell: dict[str, np.ndarra
         if held:
             yield from emit()
 
-    counts = written(trusted.mapInArrow(counted, "model int, v long, w long, n long, spell double"), "quality-seen")
+    counts = trusted.mapInArrow(counted, "model int, v long, w long, n long, spell double")
     counts = counts.groupBy("model", "v", "w").agg(F.sum("n").alias("n"), F.max("spell").alias("spell"))
     return written(counts, "quality-pairs")
 
@@ -313,7 +313,8 @@ def weights(counts: DataFrame) -> tuple[DataFrame, dict[int, float]]:
     share = (F.col("n") - F.col("off")) / F.col("total")
     lower = F.col("rest") * F.col("p")
     two = met.select("v", "w", F.log1p(share / lower).alias("weight"))
-    return written(one.unionByName(two), "quality-weights"), left
+    learned = one.unionByName(two).withColumn("weight", F.col("weight").cast("float"))  # as texts meet them
+    return written(learned, "quality-weights"), left
 
 
 def _keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
