@@ -8,8 +8,9 @@ Documents of equal sets form a class, which is linked as a whole. Classes that a
 bands share a bucket; at similarity 0.8 a pair misses all of them with probability 1.4e-7. Within a bucket, pairs are
 not enumerated: the first member is a pivot, which is compared with all members, and members that thereby come into one
 component need no link of their own. Members of buckets that still hold several components, such as texts with a
-frequent passage in common, are dealt into new buckets by the rare shingles that linked sets must share, and pivots are
-taken there, those of small components first and eight times as many each round, until every pair of a bucket is compared or lies in one component. A pair's
+frequent passage in common or the many copies of one text that differ here and there, are dealt into new buckets by the
+rare differences from their pivot that linked sets must share, and pivots are taken there, those of small components
+first and eight times as many each round, until every pair of a bucket is compared or lies in one component. A pair's
 similarity is estimated from both sketches by the likelihood of its larger, smaller and equal registers; pairs that it
 leaves possible are confirmed on the full sets.
 
@@ -206,31 +207,63 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def rare_prefixes(members: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """``(bucket, cid)``: the classes of ``members`` anew, by the shingles that a linked pair of them must share.
+def differences(pairs: DataFrame, size: int) -> DataFrame:
+    """``(bucket, base, cid, n, others, reach, cost)``: a row per shingle that one of ``pairs(base, cid, text_a, text_b)`` lacks.
 
-    With shingles ordered by how many of the classes have them, two sets that reach the similarity share one of the
-    first ``n - ceil(n * similarity) + 1`` shingles of each. Those are the rare ones, which classes that only have a
-    frequent passage in common do not share, so these buckets hold few pairs that fail.
+    ``text_a`` is the base's. Two sets that lack ``r`` and ``s`` shingles of a base of ``p`` and add ``a`` and ``b`` reach
+    the similarity exactly if ``(100 + SIMILARITY) * q >= 100 * (r + s) + SIMILARITY * (a + b) - (100 - SIMILARITY) * p``,
+    where ``q`` counts the differences that they share; ``cost`` is twice a set's part of the right side. A set that is
+    linked with the base needs partners that are not, whose part is larger; any other needs partners that have at least
+    ``q`` differences. That bounds ``q`` from below by a set alone: it shares one of its first ``reach`` differences, in
+    whatever order all have, with each partner.
     """
-    wanted = texts.join(members.select("cid").distinct(), "cid").select("cid", "text")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches):
-            value, first = shingle_sets(batch.column("text"), size)
-            n = np.diff(first)
-            names = np.repeat(batch.column("cid").to_numpy(), n)
+        for batch in blocks(batches, "text_a"):
+            x, first_x = shingle_sets(batch.column("text_a"), size)
+            y, first_y = shingle_sets(batch.column("text_b"), size)
+            rows = np.arange(batch.num_rows)
+            n_x, n_y = np.diff(first_x), np.diff(first_y)
+            value = np.concatenate([x, y])
+            owner = np.concatenate([np.repeat(rows, n_x), np.repeat(rows, n_y)])
+            order = np.lexsort((value, owner))
+            value, owner, added = value[order], owner[order], order >= len(x)
+            twice = (value[1:] == value[:-1]) & (owner[1:] == owner[:-1])
+            once = ~(np.append(twice, False) | np.append(False, twice))
+            value, owner, added = value[once], owner[once], added[once]
+            others = np.bincount(owner, minlength=len(rows))
+            more = np.bincount(owner[added], minlength=len(rows))
+            worth, free = 100 * (others - more) + SIMILARITY * more, (100 - SIMILARITY) * n_x
+            least = np.where(worth <= free, worth // (100 + SIMILARITY) + 1, -((free - worth) // 100))
+            reach, cost = others - least + 1, 2 * worth - free
+            own = np.flatnonzero(reach[owner] > 0)
+            value, owner = value[own], owner[own]
+            base = batch.column("base").to_numpy().view(np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names), pa.array(np.repeat(n, n)), pa.array(value.view(np.int64))],
-                names=["cid", "n", "bucket"])
+                [pa.array(mix(value + mix(base[owner])).view(np.int64)), batch.column("base").take(pa.array(owner)),
+                 batch.column("cid").take(pa.array(owner)), pa.array(n_y[owner]), pa.array(others[owner]),
+                 pa.array(reach[owner]), pa.array(cost[owner])],
+                names=["bucket", "base", "cid", "n", "others", "reach", "cost"])
 
-    rows = written(wanted.mapInArrow(listed, "cid long, n long, bucket long"), "near-shingles")
-    counts = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes")), "near-shingle-counts")
-    order = Window.partitionBy("cid").orderBy("classes", "bucket")
+    return pairs.mapInArrow(listed, "bucket long, base long, cid long, n long, others long, reach long, cost long")
+
+
+def rare_differences(members: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """``(bucket, cid, n, follow, cost)``: the classes of ``members(pivot, cid)`` anew, by what they differ in from a pivot.
+
+    With the differences of a pivot's classes ordered by how many of the classes have them, two that are linked share one
+    of the first ``reach`` of each. Those are the rare ones, and a class that resembles the pivot has few, so these buckets
+    hold few pairs that fail, also among the near copies of one text. ``follow`` counts the differences behind that one.
+    """
+    bases = written(members.select(F.col("pivot").alias("base"), "cid").distinct(), "near-bases")
+    one = bases.join(texts.select(F.col("cid").alias("base"), F.col("text").alias("text_a")), "base")
+    two = one.join(texts.select("cid", F.col("text").alias("text_b")), "cid")
+    rows = written(differences(two.select("base", "cid", "text_a", "text_b"), size), "near-differences")
+    counts = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes")), "near-difference-counts")
+    order = Window.partitionBy("base", "cid").orderBy("classes", "bucket")
     placed = rows.join(counts, "bucket").withColumn("place", F.row_number().over(order))
-    reach = F.col("n") - F.ceil(F.col("n") * SIMILARITY / 100) + 1
-    kept = placed.where((F.col("place") <= reach) & (F.col("classes") > 1))
-    return kept.select("bucket", "cid", "n", F.col("place").cast("long").alias("place"))
+    kept = placed.where((F.col("place") <= F.col("reach")) & (F.col("classes") > 1))
+    return kept.select("bucket", "cid", "n", (F.col("others") - F.col("place")).alias("follow"), "cost")
 
 
 def _pivots(members: DataFrame, n: int) -> DataFrame:
@@ -239,20 +272,20 @@ def _pivots(members: DataFrame, n: int) -> DataFrame:
     sized = members.join(written(sizes, "near-sizes"), ["bucket", "comp"])
     order = Window.partitionBy("bucket").orderBy("size", "cid")
     first = sized.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
-    return first.select("bucket", "cid", "comp", "n", "place")
+    return first.select("bucket", "cid", "comp", "n", "follow", "cost")
 
 
 def _pairs(members: DataFrame, pivots: DataFrame) -> DataFrame:
     """``(a, b)``: pivots with the members of their buckets that lie in other components and may be similar enough.
 
-    The sizes of two linked sets differ little; and in a bucket of rare shingles, where the shared one is the first that
-    a pair has in common, no more can be common than what follows it in either set.
+    The sizes of two linked sets differ little; and where a bucket's difference is the first that a pair has in common, no
+    more can be common than what follows it in either set.
     """
     x, y = members.alias("x"), pivots.alias("y")
     n, m = F.col("x.n"), F.col("y.n")
     sizes = 100 * F.least(n, m) >= SIMILARITY * F.greatest(n, m)
-    follows = 1 + F.least(n - F.col("x.place"), m - F.col("y.place"))
-    enough = F.coalesce((100 + SIMILARITY) * follows >= SIMILARITY * (n + m), F.lit(True))
+    common = 1 + F.least("x.follow", "y.follow")
+    enough = 2 * (100 + SIMILARITY) * common >= F.col("x.cost") + F.col("y.cost")
     apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp")) & sizes & enough
     pairs = x.join(y, apart).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
     return written(pairs.distinct(), "near-pairs")
@@ -277,9 +310,9 @@ def near_links(documents: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, Da
         F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
     edges, links = _linked(pairs, slim, texts, size)
     labels = components(edges) if links else documents.sparkSession.createDataFrame([], "cid long, comp long")
-    members, rows = _open(members.where("cid <> pivot").select("bucket", "cid"), labels)
+    members, rows = _open(members.where("cid <> pivot").select("bucket", "cid", "pivot"), labels)
     if rows:
-        members = written(_named(written(rare_prefixes(members, texts, size), "near-refined"), labels), "near-members")
+        members, rows = _open(written(rare_differences(members, texts, size), "near-refined"), labels)
     pivots_per_bucket = 1
     while rows:
         pivots = written(_pivots(members, pivots_per_bucket), "near-pivots")
@@ -289,7 +322,7 @@ def near_links(documents: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, Da
             labels = components(edges)
         # Pivots have met all members of their buckets; what is left matters where it lies in several components.
         left = members.join(pivots.select("bucket", "cid"), ["bucket", "cid"], "left_anti")
-        members, rows = _open(left.select("bucket", "cid", "n", "place"), labels)
+        members, rows = _open(left.select("bucket", "cid", "n", "follow", "cost"), labels)
         pivots_per_bucket *= 8
     return sketches.select("doc_id", "sign", "n", "cid"), labels
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -381,6 +382,40 @@ def test_near_links_need_no_star(spark):
     assert found == {1: 1, 2: 2, 3: 2, 4: 2, 5: 2, 6: 6}
 
 
+def test_copies_of_one_text_are_compared_by_what_they_change(spark, monkeypatch):
+    """Many copies of one text, some linked and some too far off: right groups from few compared pairs."""
+    size, some = 5, random.Random(5)
+    base = [f"t{k}" for k in range(90)]
+
+    def copy(edits):
+        words = list(base)
+        for _ in range(edits):
+            words[some.randrange(len(words))] = some.choice(["to", "of", "the", f"own{some.randrange(10**6)}"])
+        return " ".join(words)
+
+    texts = [copy(some.choice((0, 1, 1, 2, 3, 4, 5))) for _ in range(400)]
+    sets = [{tuple(w[i:i + size]) for i in range(len(w) - size + 1)} for w in (t.split() for t in texts)]
+    parent = list(range(len(texts)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        common = len(sets[a] & sets[b])
+        if 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    compared, plain = [], near._linked
+    monkeypatch.setattr(near, "_linked", lambda pairs, *more: compared.append(pairs.count()) or plain(pairs, *more))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r.component_id for r in near.near_groups(docs, size).collect()}
+    assert found == {k: root(k) for k in range(len(texts))}
+    assert len(set(found.values())) > 20 and max(Counter(found.values()).values()) > 100
+    assert sum(compared[1:]) < 1_200  # 2,278 by rare shingles of the whole texts
+
+
 def test_mix_clamps_and_reshares(spark):
     sources = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 0)], "source string, source_size long")
     rows = {r.source: r.target for r in mixing.source_targets(sources).collect()}
