@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.session import scratch_path
+from riskloom.session import scratch_path, setting
 
 # White space that separates words, and words as the dealt contracts define them.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -22,20 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@contextmanager
-def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    """A runtime setting for the length of a block; the caller's value comes back after it."""
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
-
-
 def lean(spark: SparkSession) -> None:
     """Bounds the batches that rows with whole texts travel to Python in, for the rest of the session.
 

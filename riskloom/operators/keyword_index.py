@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.text import tokens
 from riskloom.operators.topk import top_per_group
-from riskloom.session import staged, staged_with
+from riskloom.session import setting, staged, staged_with
 
 BLOCK_DOCUMENTS, BLOCK_POSTINGS = 128, 64_000  # a block is full at either
 SORTED_POSTINGS = 300_000  # postings of the documents that a task orders by length at once
@@ -37,6 +37,8 @@ SCORED = 500_000  # products of question words and documents that are held at on
 # a hundred rows unless told otherwise.
 KEPT = {"parquet.block.size": 4 * 1024 * 1024, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 8,
         "parquet.page.size.row.check.min": 1}
+# A search scores one block after another, so its reader decodes few at a time and few travel to Python at once.
+READ_BLOCKS, READ_BYTES = "8", str(1024 * 1024)
 
 INDEX = ("sources array<string>, terms array<string>, most array<bigint>, ends array<int>, docs array<int>, "
          "uses array<bigint>, longest bigint")
@@ -242,10 +244,17 @@ def search_keywords(questions: DataFrame, index: DataFrame, top_k: int = 4, part
     for k in range(parts):
         rows = asked.where(F.pmod(F.xxhash64("question"), F.lit(parts)) == k).collect()
         if rows:
-            some = _Asked.of(rows)
-            hits = _search(index, some, first_scores(index, some, top_k), top_k)
-            best = top_per_group(hits, "q", [F.desc("score"), F.asc("source")], top_k)
-            names = spark.createDataFrame(pa.table({"q": np.arange(len(rows)), "question": some.questions}))
-            best = best.join(F.broadcast(names), "q").select("question", "source", "score", "rank")
-            found = best if parts == 1 else found.unionByName(staged(best, "keyword-hits"))
+            found = found.unionByName(_best(index, _Asked.of(rows), top_k))
     return found
+
+
+def _best(index: DataFrame, asked: _Asked, top_k: int) -> DataFrame:
+    """The ranked documents of a part of the questions, written, since the settings for blocks hold until then."""
+    spark = index.sparkSession
+    with (setting(spark, "spark.sql.parquet.columnarReaderBatchSize", READ_BLOCKS),
+          setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", READ_BYTES)):
+        hits = _search(index, asked, first_scores(index, asked, top_k), top_k)
+        best = top_per_group(hits, "q", [F.desc("score"), F.asc("source")], top_k)
+        names = spark.createDataFrame(pa.table({"q": np.arange(len(asked.questions)), "question": asked.questions}))
+        best = best.join(F.broadcast(names), "q").select("question", "source", "score", "rank")
+        return staged(best, "keyword-hits")

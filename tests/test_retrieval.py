@@ -218,3 +218,16 @@ def test_odd_vectors_are_errors(spark, bad, told):
         vector_topk(odd, spark.createDataFrame([(1, good)], schema)).collect()
     with pytest.raises(Exception, match="lacks its id or vector"):
         vector_topk(asked, spark.createDataFrame([(None, good)], schema)).collect()
+
+
+def test_a_search_reads_few_blocks_at_once(spark, monkeypatch):
+    """While blocks are read, the reader and the batches hold few; the caller's settings come back."""
+    keys = ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before, seen, plain = [spark.conf.get(k) for k in keys], [], keyword_index.staged
+    monkeypatch.setattr(keyword_index, "staged", lambda *a: seen.append([spark.conf.get(k) for k in keys]) or plain(*a))
+    docs = spark.createDataFrame([(f"d{k}", f"one w{k}") for k in range(40)], "source string, text string")
+    asked = spark.createDataFrame([("one w7",), ("w9",)], "question string")
+    found = {(r.question, r["rank"]): r.source for r in keyword_topk(asked, docs, 2).collect()}
+    assert found == {("one w7", 1): "d7", ("one w7", 2): "d0", ("w9", 1): "d9"}
+    assert seen == [[keyword_index.READ_BLOCKS, keyword_index.READ_BYTES]]
+    assert [spark.conf.get(k) for k in keys] == before
