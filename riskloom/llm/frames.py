@@ -39,6 +39,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Removes ``written`` tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def counted(df: DataFrame, label: str, condition: str = "true") -> tuple[DataFrame, int]:
     """``df`` written, and how many of its rows meet a condition, which the write itself counts."""
     seen = Observation()

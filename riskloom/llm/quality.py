@@ -13,6 +13,10 @@ with its documents to the shard of its hash, where it meets the weights, and sum
 Both sides of that join grow with the input, and a frequent pair is one entry per bundle. Pairs are told apart by 56 bits
 of a hash. Only the spelling model, of at most 32**ORDER n-grams and 4 MB per language, is broadcast.
 
+Disk is bounded by doing this in parts: pairs are counted and weighed in ``SLICES`` of their second word's hash, each
+dropped when its weights are packed, and documents are scored in ``PASSES`` of the hash of their id, whose shuffle files go
+before the next. Every pair and document is in one of them; trusted texts are joined with their labels once.
+
 Perplexity is per byte. A document is kept when it is at most the ``QUANTILE`` of its language's trusted documents, taken
 from exact counts of perplexities to three digits of the logarithm. A language without trusted documents takes the
 models and the threshold of all, which are built if there is such a document; where the other half has no trusted
@@ -26,7 +30,8 @@ trusted text there is neither perplexity nor threshold. An empty table gives an
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +40,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.frames import lean, table, written
+from riskloom.llm.frames import dropped, lean, table, written
 from riskloom.llm.text import BASE, blocks, flat, mix, word_hashes, word_spans
+from riskloom.session import setting
 
 ORDER = 4
 BITS = 5
@@ -46,6 +52,10 @@ HELD_LANGUAGES = 8  # count tables that a task holds at once
 EVERY = ""  # the model of all languages
 BUNDLE_WORDS = 3_000_000
 BUNDLE_DOCS = 60_000  # places of documents in a bundle take two bytes
+SLICES = 4  # a power of two
+PASSES = 8
+SMALL_TEXT = 16 * 1024 * 1024  # bytes of text that are taken as one slice and in one pass
+PACKED_ROWS = 1_000_000  # weights that a task packs at once
 SHARDS = 16
 SHARD_TEXT = 256 * 1024 * 1024  # bytes of text for a shard, if that makes more than SHARDS
 BEGIN, END = np.uint64(1), np.uint64(2)
@@ -146,7 +156,8 @@ def dense(parts: list[DataFrame]) -> dict[str, np.ndarray]:
     """Log probability of every n-gram by language. The rows are bounded by the classes and the order."""
     models: dict[str, np.ndarray] = {}
     for k, part in enumerate(reversed(parts), 1):
-        found = part.toArrow()
+        with setting(part.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            found = part.toArrow()
         every = np.arange(1 << (BITS * k))
         for name in sorted(found.column("lang").unique().to_pylist()):
             own = found.filter(pc.equal(found.column("lang"), name))
@@ -191,8 +202,12 @@ def _salt(name: str) -> np.uint64:
     return mix(np.array([zlib.crc32(name.encode()) + (len(name.encode()) << 32)], dtype=np.uint64))[0]
 
 
-def _marked(texts: pa.Array, salt: np.ndarray, chances: list[np.ndarray], kind: np.ndarray) -> tuple:
-    """Words of non-empty texts between marks of begin and end: their hashes, text, and spelling (marks included)."""
+def _marked(texts: pa.Array, salt: np.ndarray, chances: list[np.ndarray], kind: np.ndarray,
+            wanted: Callable | None = None) -> tuple:
+    """Words of non-empty texts between marks of begin and end: their hashes, text, and spelling (marks included).
+
+    Only ``wanted`` words are spelled.
+    """
     content, offsets = flat(texts)
     begins, ends, first = word_spans(content, offsets)
     sizes = np.diff(first)
@@ -209,29 +224,36 @@ def _marked(texts: pa.Array, salt: np.ndarray, chances: list[np.ndarray], kind:
     _, some, every = np.unique(words, return_index=True, return_inverse=True)
     worth = np.zeros(len(some))
     for k in np.unique(kind):
-        own = np.flatnonzero(kind[text[some]] == k)
-        worth[own] = spelled(content, spans[0, some[own]], spans[1, some[own]], chances[k])
+        own = np.flatnonzero((kind[text[some]] == k) & (wanted(words[some]) if wanted else True))
+        if len(own):
+            worth[own] = spelled(content, spans[0, some[own]], spans[1, some[own]], chances[k])
     worth = worth[every]
     worth[stop - sizes - 1] = 0.0
     return words, text, worth, stop
 
 
-def pair_counts(trusted: DataFrame, names: list[str], spell: dict[str, np.ndarray]) -> DataFrame:
+def pair_counts(trusted: DataFrame, names: list[str], spell: dict[str, np.ndarray], slices: int) -> list[DataFrame]:
     """``(model, v, w, n, spell)``: pairs with their counts, and every word once with its spelling, ``v`` 0 and no count.
 
+    A table for each of the ``slices`` of ``w``.
     ``model`` is the place in ``names``, which are the half and the language; the models of all languages count every
     text of ``trusted(lang, half, text)``.
     """
     shared = trusted.sparkSession.sparkContext.broadcast(spell)
     place, salts = {n: k for k, n in enumerate(names)}, np.array([_salt(n) for n in names], dtype=np.uint64)
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(only: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chances = [shared.value[n[1:]] for n in names]
         held: list = []
 
+        def wanted(words: np.ndarray) -> np.ndarray:
+            return words % np.uint64(slices) == only
+
         def emit() -> Iterator[pa.RecordBatch]:
             model, v, w, n, worth = (np.concatenate(c) for c in zip(*held))
             held.clear()
+            if not len(model):
+                return
             order = np.lexsort((w, v, model))
             model, v, w, n, worth = (c[order] for c in (model, v, w, n, worth))
             new = np.append(True, (v[1:] != v[:-1]) | (w[1:] != w[:-1]) | (model[1:] != model[:-1]))
@@ -254,26 +276,33 @@ def pair_counts(trusted: DataFrame, names: list[str], spell: dict[str, np.ndarra
                 if not len(rows):
                     continue
                 words, text, worth, stop = _marked(full.column("text").take(pa.array(rows)), salts[kind[rows]],
-                                                   chances, kind[rows])
+                                                   chances, kind[rows], wanted)
                 model = kind[rows][text].astype(np.int32)
                 inner = np.ones(len(words), dtype=bool)
                 inner[stop] = False
                 left = np.flatnonzero(inner)
+                left = left[wanted(words[left + 1])]
                 held.append((model[left], words[left], words[left + 1], np.ones(len(left), np.int64),
                              np.full(len(left), np.nan)))
-                _, some = np.unique(words, return_index=True)
+                own = np.flatnonzero(wanted(words))
+                some = own[np.unique(words[own], return_index=True)[1]]
                 held.append((model[some], np.zeros(len(some), np.uint64), words[some],
                              np.zeros(len(some), np.int64), worth[some]))
-                size += len(words)
+                size += len(left)
             if size > BUNDLE_WORDS:
                 yield from emit()
                 size = 0
         if held:
             yield from emit()
 
-    counts = trusted.mapInArrow(counted, "model int, v long, w long, n long, spell double")
-    counts = counts.groupBy("model", "v", "w").agg(F.sum("n").alias("n"), F.max("spell").alias("spell"))
-    return written(counts, "quality-pairs")
+    tables = []
+    for only in range(slices):
+        counts = trusted.mapInArrow(partial(counted, only), "model int, v long, w long, n long, spell double")
+        counts = counts.groupBy("model", "v", "w").agg(F.sum("n").alias("n"), F.max("spell").alias("spell"))
+        # equal words side by side take little room
+        with setting(trusted.sparkSession, "spark.sql.parquet.compression.codec", "zstd"):
+            tables.append(written(counts.sortWithinPartitions("v", "w"), "quality-pairs"))
+    return tables
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
@@ -288,10 +317,17 @@ def _discounts(counts: DataFrame) -> DataFrame:
     return counts.groupBy("model").agg(*spread).select("model", *[off(k).alias(f"d{k}") for k in (1, 2, 3)])
 
 
-def weights(counts: DataFrame) -> tuple[DataFrame, dict[int, float]]:
-    """``(v, w, weight)`` of pairs and, with ``v`` 0, of words; and per model the log share that is left to spelling."""
+def weights(slices: list[DataFrame], shards: int) -> tuple[DataFrame, dict[int, float]]:
+    """``packed`` weights of the pairs and words of ``slices``, which are dropped; and per model the log share that is left
+    to spelling."""
+    counts = reduce(DataFrame.unionByName, slices)
     pairs = counts.where("n > 0").select("model", "v", "w", "n")
-    known = pairs.join(F.broadcast(_discounts(pairs)), "model").withColumn("off", _discount("n"))
+    discounts = written(_discounts(pairs), "quality-discounts")
+
+    def off(pairs: DataFrame) -> DataFrame:
+        return pairs.join(F.broadcast(discounts), "model").withColumn("off", _discount("n"))
+
+    known = off(pairs)
     contexts = known.groupBy("model", "v").agg(F.sum("n").alias("total"), F.sum("off").alias("mass"))
     contexts = written(contexts, "quality-word-contexts")
     kinds = written(pairs.groupBy("model", "w").agg(F.count(F.lit(1)).alias("n")), "quality-word-kinds")
@@ -306,15 +342,22 @@ def weights(counts: DataFrame) -> tuple[DataFrame, dict[int, float]]:
     chance = (F.col("n") - F.col("off")) / F.col("all") + F.exp(low)
     words = written(words.select("model", "w", chance.alias("p"), F.coalesce("rest", F.lit(1.0)).alias("rest"),
                                  low.alias("low")), "quality-words")
+    dropped(kinds)
     one = words.select(F.lit(0).cast("long").alias("v"), "w", (
         F.log("rest") + F.coalesce(F.log("p") - F.col("low"), F.lit(0.0))).alias("weight"))
     rests = contexts.select("model", "v", "total", (F.col("mass") / F.col("total")).alias("rest"))
-    met = known.join(rests, ["model", "v"]).join(words.select("model", "w", "p"), ["model", "w"])
-    share = (F.col("n") - F.col("off")) / F.col("total")
-    lower = F.col("rest") * F.col("p")
-    two = met.select("v", "w", F.log1p(share / lower).alias("weight"))
-    learned = one.unionByName(two).withColumn("weight", F.col("weight").cast("float"))  # as texts meet them
-    return written(learned, "quality-weights"), left
+    parts = [written(packed(one, shards), "quality-weights")]
+    for k, counts in enumerate(slices):
+        known = off(counts.where("n > 0").select("model", "v", "w", "n"))
+        known = known.select("model", "v", "w", (F.col("n") - F.col("off")).alias("kept"))
+        shares = known.join(rests, ["model", "v"]).select(
+            "model", "v", "w", (F.col("kept") / F.col("total") / F.col("rest")).alias("share"))
+        own = words.where(F.pmod("w", F.lit(len(slices))) == k).select("model", "w", "p")
+        two = shares.join(own, ["model", "w"]).select("v", "w", F.log1p(F.col("share") / F.col("p")).alias("weight"))
+        parts.append(written(packed(two, shards), "quality-weights"))
+        dropped(counts)
+    dropped(contexts, words)
+    return reduce(DataFrame.unionByName, parts), left
 
 
 def _keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -336,9 +379,40 @@ def _unpacked(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
+def packed(learned: DataFrame, shards: int) -> DataFrame:
+    """``(shard, keys, weights)`` of ``learned(v, w, weight)``, weights in four bytes."""
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            key, weight = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            shard = (key % np.uint64(shards)).astype(np.int64)
+            for k in np.unique(shard):
+                own = np.flatnonzero(shard == k)
+                own = own[np.argsort(key[own])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k], pa.int32()), pa.array([_packed(np.diff(key[own], prepend=np.uint64(0)))], pa.binary()),
+                     pa.array([_packed(weight[own])], pa.binary())], names=["shard", "keys", "weights"])
+
+        size = 0
+        for batch in batches:
+            v, w = (batch.column(c).to_numpy().view(np.uint64) for c in ("v", "w"))
+            held.append((_keys(v, w), batch.column("weight").to_numpy().astype(np.float32)))
+            size += len(v)
+            if size >= PACKED_ROWS:
+                yield from emit()
+                size = 0
+        if size:
+            yield from emit()
+
+    return learned.mapInArrow(dealt, "shard int, keys binary, weights binary")
+
+
 def perplexity(docs: DataFrame, names: list[str], spell: dict[str, np.ndarray], learned: DataFrame,
-               left: dict[int, float], shards: int) -> DataFrame:
-    """``(doc_id, lang, perplexity)`` of ``docs(doc_id, lang, text)``."""
+               left: dict[int, float], shards: int, passes: int) -> DataFrame:
+    """``(doc_id, lang, perplexity)`` of ``docs(doc_id, lang, text)``, with ``learned`` weights as ``packed``."""
     shared = docs.sparkSession.sparkContext.broadcast(spell)
     place, salts = {n: k for k, n in enumerate(names)}, np.array([_salt(n) for n in names], dtype=np.uint64)
     rest = np.array([left[k] for k in range(len(names))])
@@ -348,12 +422,12 @@ def perplexity(docs: DataFrame, names: list[str], spell: dict[str, np.ndarray],
         options = (f"{1 - half}{lang or EVERY}", f"{half}{lang or EVERY}", f"{1 - half}", f"{half}")
         return next((place[x] for x in options if x in place), -1)
 
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def asked(turn: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chances = [shared.value[n[1:]] for n in names]
         keys, at, rows, count, words_held, part = [], [], [], 0, 0, 0
 
         def emit() -> Iterator[pa.RecordBatch]:
-            bundle = f"{TaskContext.get().partitionId()}-{part}"
+            bundle = f"{turn}-{TaskContext.get().partitionId()}-{part}"
             table_ = pa.Table.from_batches(rows).combine_chunks()
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table_.schema) as out:
@@ -405,18 +479,6 @@ def perplexity(docs: DataFrame, names: list[str], spell: dict[str, np.ndarray],
         if rows:
             yield from emit()
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v, w = (batch.column(c).to_numpy().view(np.uint64) for c in ("v", "w"))
-            key, weight = _keys(v, w), batch.column("weight").to_numpy().astype(np.float32)
-            shard = (key % np.uint64(shards)).astype(np.int64)
-            for k in np.unique(shard):
-                own = np.flatnonzero(shard == k)
-                own = own[np.argsort(key[own])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k], pa.int32()), pa.array([_packed(np.diff(key[own], prepend=np.uint64(0)))], pa.binary()),
-                     pa.array([_packed(weight[own])], pa.binary())], names=["shard", "keys", "weights"])
-
     def met(questions: pa.Table, answers: pa.Table) -> pa.Table:
         key = [np.cumsum(_unpacked(k, np.uint64), dtype=np.uint64) for k in answers.column("keys").to_pylist()]
         key = np.append(np.concatenate(key or [np.zeros(0, np.uint64)]), np.uint64(1 << 63))
@@ -450,12 +512,16 @@ def perplexity(docs: DataFrame, names: list[str], spell: dict[str, np.ndarray],
             [rows.column("doc_id"), rows.column("lang"), pa.array(value, pa.float64(), from_pandas=True)],
             names=["doc_id", "lang", "perplexity"])
 
-    questions = docs.select("doc_id", "lang", half(), "text").mapInArrow(
-        asked, "shard int, bundle string, keys binary, uses binary, docs binary, rows binary")
-    answers = learned.mapInArrow(dealt, "shard int, keys binary, weights binary")
-    sums = questions.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(
-        met, "bundle string, sums binary, rows binary")
-    return written(sums, "quality-sums").groupBy("bundle").applyInArrow(
+    sums = []
+    for turn in range(passes):
+        own = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(passes)) == turn).select("doc_id", "lang", half(), "text")
+        questions = own.mapInArrow(
+            partial(asked, turn), "shard int, bundle string, keys binary, uses binary, docs binary, rows binary")
+        found = questions.groupBy("shard").cogroup(learned.groupBy("shard")).applyInArrow(
+            met, "bundle string, sums binary, rows binary")
+        sums.append(written(found, "quality-sums"))
+    dropped(learned)
+    return reduce(DataFrame.unionByName, sums).groupBy("bundle").applyInArrow(
         summed, f"doc_id {kind_of_id}, lang string, perplexity double")
 
 
@@ -466,19 +532,24 @@ def half() -> Column:
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, lang, perplexity)`` of ``docs(doc_id, lang, text)`` under the models of its trusted rows."""
-    spell = spelling(docs, labels)
+    trusted = written(trusted_rows(docs, labels).select("lang", half(), "text"), "quality-trusted")
+    spell = dense(smoothed(gram_counts(trusted.select("lang", "text"))))
     if not spell:
         return docs.select("doc_id", "lang", F.lit(None).cast("double").alias("perplexity"))
-    text = docs.where(F.octet_length("text") > 0).select("doc_id", "lang", half())
-    seen = [(r["half"], r["lang"]) for r in trusted_rows(text, labels).select("half", "lang").distinct().collect()]
+    text = docs.where(F.octet_length("text") > 0).select("lang")
+    seen = trusted.where(F.octet_length("text") > 0).select("half", "lang").distinct().collect()
+    seen = [(r["half"], r["lang"]) for r in seen]
     own = sorted({n for _, n in seen if n})
     others = text.where(~F.coalesce(F.col("lang").isin(own), F.lit(False)))
     names = sorted({f"{h}{n}" for h, n in seen if n}) + [f"{h}" for h in sorted({h for h, _ in seen})
                                                         if not others.isEmpty()]
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    counts = pair_counts(trusted_rows(docs, labels).select("lang", half(), "text"), names, spell)
-    learned, left = weights(counts)
-    return perplexity(docs, names, spell, learned, left, max(SHARDS, -(-size // SHARD_TEXT)))
+    shards = max(SHARDS, -(-size // SHARD_TEXT))
+    slices, passes = (SLICES, PASSES) if size > SMALL_TEXT else (1, 1)
+    slices = pair_counts(trusted, names, spell, slices)
+    dropped(trusted)
+    learned, left = weights(slices, shards)
+    return perplexity(docs, names, spell, learned, left, shards, passes)
 
 
 def thresholds(scores: DataFrame, quantile: float = QUANTILE) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -252,6 +253,30 @@ def test_quality_is_kneser_ney_of_word_pairs(spark):
                 assert found[k] == pytest.approx(math.exp(-total / len(texts[k].encode())), rel=1e-4)
 
 
+def test_quality_drops_what_is_weighed(spark, monkeypatch):
+    """Pairs are counted in slices of their second word, and no table of them or of trusted texts outlasts its use."""
+    made, plain, sliced = [], quality.written, []
+
+    def recorded(df, label):
+        table = plain(df, label)
+        made.append((label, table.inputFiles()[0].removeprefix("file:").replace("///", "/")))
+        if label == "quality-pairs":
+            sliced.append({r.w % quality.SLICES for r in table.collect()})
+        return table
+
+    monkeypatch.setattr(quality, "written", recorded)
+    monkeypatch.setattr(quality, "SMALL_TEXT", 0)
+    monkeypatch.setattr(quality, "PASSES", 2)
+    texts = [f"some good words {k} of trusted text" for k in range(12)]
+    assert len(quality.scored(*_halves(spark, texts)).collect()) == 12
+    assert len(sliced) == quality.SLICES and all(x <= {k} for k, x in enumerate(sliced)) and any(sliced)
+    at = {label: [p for x, p in made if x == label] for label, _ in made}
+    for label in ("quality-trusted", "quality-pairs", "quality-word-kinds", "quality-word-contexts", "quality-words",
+                  "quality-weights"):
+        assert at[label] and not any(os.path.exists(p) for p in at[label])
+    assert len(at["quality-sums"]) == quality.PASSES and all(os.path.exists(p) for p in at["quality-sums"])
+
+
 def test_quality_sees_words_and_their_order_in_any_script(spark):
     rng = np.random.default_rng(3)
     letters = list("абвгдежзиклмнопрст")
