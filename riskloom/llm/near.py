@@ -10,13 +10,14 @@ not enumerated: the first member is a pivot, which is compared with all members,
 component need no link of their own. Members of buckets that still hold several components, such as texts with a
 frequent passage in common or the many copies of one text that differ here and there, are dealt into new buckets by the
 rare differences from their pivot that linked sets must share, and pivots are taken there, those of small components
-first and eight times as many each round, until every pair of a bucket is compared or lies in one component. A pair's
+first and ``PIVOTS`` times as many each round, until every pair of a bucket is compared or lies in one component. A pair's
 similarity is estimated from both sketches by the likelihood of its larger, smaller and equal registers; pairs that it
 leaves possible are confirmed on the full sets.
 
 No bucket, class or component is gathered: classes and components are minima taken before the shuffle, pivots are the
 first rows of a bucket and are cut in every task, and joins on a bucket, class or text have two written sides, which
-Spark splits where they are skewed.
+Spark splits where they are skewed. Tables of ids and labels of at most ``PART_ROWS`` rows, whatever the number of shuffle
+partitions, are read as one part and so are joined and grouped without a shuffle.
 
 Nulls: a null text is empty. A document without words is linked with nothing. A null id is linked with nothing, has a
 null component and is kept. Rows that share an id are documents of their own. An empty table gives an empty result.
@@ -42,6 +43,8 @@ LIMIT = 2**16 - 1
 RATE = 20.0
 DOUBT = 30.0  # twice the log-likelihood by which a pair may fall short of the threshold and still be confirmed
 GRID = 200
+PART_ROWS = 200_000  # ids, of a few bytes each, that one task joins and groups sooner than a shuffle is dealt out
+PIVOTS = 16  # of a dealt bucket, and by how much they grow each round
 FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
@@ -185,15 +188,22 @@ def confirmed(pairs: DataFrame, size: int) -> DataFrame:
     return pairs.mapInArrow(judged, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``(cid, comp)`` of every class on an edge: the smallest class that it reaches.
+def _part(df: DataFrame, rows: int | None) -> DataFrame:
+    """``df``, in one part if its rows are few; ``None`` if their number is not known."""
+    return df if rows is None or rows > PART_ROWS else df.coalesce(1)
+
+
+def components(edges: DataFrame, links: int | None = None) -> DataFrame:
+    """``(cid, comp)`` of every class on an edge: the smallest class that it reaches. ``links`` is the number of edges.
 
     Each round takes the smallest label among the neighbours and then the label of that label; a written table ends it.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ends = None if links is None else 2 * links
+    both = _part(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), ends)
     labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp"))
                      .withColumnRenamed("a", "cid"), "near-labels")
     while True:
+        labels = _part(labels, ends)
         named = labels.withColumnRenamed("comp", "next")
         near = both.join(named, both["b"] == named["cid"]).groupBy("a").agg(F.min("next").alias("next"))
         step = labels.join(near, labels["cid"] == near["a"]).select(
@@ -204,7 +214,7 @@ def components(edges: DataFrame) -> DataFrame:
         moved, changed = counted(moved, "near-labels", "comp <> old")
         labels = moved.select("cid", "comp")
         if not changed:
-            return labels
+            return _part(labels, ends)
 
 
 def differences(pairs: DataFrame, size: int) -> DataFrame:
@@ -266,17 +276,17 @@ def rare_differences(members: DataFrame, texts: DataFrame, size: int) -> DataFra
     return kept.select("bucket", "cid", "n", (F.col("others") - F.col("place")).alias("follow"), "cost")
 
 
-def _pivots(members: DataFrame, n: int) -> DataFrame:
+def _pivots(members: DataFrame, n: int, rows: int) -> DataFrame:
     """``(bucket, pivot, ...)``: ``n`` members of each bucket, those of the smallest components first."""
     sizes = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"))
-    sized = members.join(written(sizes, "near-sizes"), ["bucket", "comp"])
+    sized = members.join(_part(written(sizes, "near-sizes"), rows), ["bucket", "comp"])
     order = Window.partitionBy("bucket").orderBy("size", "cid")
     first = sized.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
     return first.select("bucket", "cid", "comp", "n", "follow", "cost")
 
 
-def _pairs(members: DataFrame, pivots: DataFrame) -> DataFrame:
-    """``(a, b)``: pivots with the members of their buckets that lie in other components and may be similar enough.
+def _pairs(members: DataFrame, pivots: DataFrame) -> tuple[DataFrame, int]:
+    """``(a, b)``, and their number: pivots with the members of their buckets that lie in other components and may be similar enough.
 
     The sizes of two linked sets differ little; and where a bucket's difference is the first that a pair has in common, no
     more can be common than what follows it in either set.
@@ -288,7 +298,7 @@ def _pairs(members: DataFrame, pivots: DataFrame) -> DataFrame:
     enough = 2 * (100 + SIMILARITY) * common >= F.col("x.cost") + F.col("y.cost")
     apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp")) & sizes & enough
     pairs = x.join(y, apart).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
-    return written(pairs.distinct(), "near-pairs")
+    return counted(pairs.distinct(), "near-pairs")
 
 
 def near_links(documents: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
@@ -308,22 +318,25 @@ def near_links(documents: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, Da
     slim = classes.select("cid", "n", "registers")
     pairs = members.where("cid <> pivot").select(
         F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
-    edges, links = _linked(pairs, slim, texts, size)
-    labels = components(edges) if links else documents.sparkSession.createDataFrame([], "cid long, comp long")
+    found, links = _linked(pairs, slim, texts, size)
+    edges = written(_part(found, links), "near-edges")
+    labels = components(edges, links) if links else documents.sparkSession.createDataFrame([], "cid long, comp long")
     members, rows = _open(members.where("cid <> pivot").select("bucket", "cid", "pivot"), labels)
     if rows:
         members, rows = _open(written(rare_differences(members, texts, size), "near-refined"), labels)
-    pivots_per_bucket = 1
+    pivots_per_bucket = PIVOTS
     while rows:
-        pivots = written(_pivots(members, pivots_per_bucket), "near-pivots")
-        found, links = _linked(_pairs(members, pivots), slim, texts, size)
-        if links:
-            edges = edges.unionByName(found)
-            labels = components(edges)
+        members = _part(members, rows)
+        pivots = _part(written(_pivots(members, pivots_per_bucket, rows), "near-pivots"), rows)
+        pairs, few = _pairs(members, pivots)
+        found, more = _linked(F.broadcast(pairs) if few <= PART_ROWS else pairs, slim, texts, size)
+        if more:
+            edges, links = edges.unionByName(written(_part(found, more), "near-edges")), links + more
+            labels = components(edges, links)
         # Pivots have met all members of their buckets; what is left matters where it lies in several components.
         left = members.join(pivots.select("bucket", "cid"), ["bucket", "cid"], "left_anti")
         members, rows = _open(left.select("bucket", "cid", "n", "follow", "cost"), labels)
-        pivots_per_bucket *= 8
+        pivots_per_bucket *= PIVOTS
     return sketches.select("doc_id", "sign", "n", "cid"), labels
 
 

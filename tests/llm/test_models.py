@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from conftest import SMALL
 
-from riskloom.llm import fingerprint, language, lines, mixing, near, quality, substring, toxicity
+from riskloom.llm import fingerprint, frames, language, lines, mixing, near, quality, substring, toxicity
 from riskloom.llm import text as words_of
 from riskloom.llm.queries import QUERIES
 
@@ -393,6 +393,29 @@ def test_components_follow_long_chains(spark):
     assert found == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 102: 100}
 
 
+def test_few_labels_need_no_shuffle(spark, monkeypatch):
+    """However many shuffle partitions there are, the rounds over few links and labels are not dealt out."""
+    plans, plain = [], frames.written
+
+    def recorded(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return plain(df, label)
+
+    monkeypatch.setattr(frames, "written", recorded)
+    monkeypatch.setattr(near, "written", recorded)
+    words = [f"t{k}" for k in range(60)]
+    texts = [" ".join([*words[:k], f"c{k}", *words[k + 1:]]) for k in range(8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.component_id for r in near.near_groups(docs).collect()} == {0}
+    rounds = [plan for label, plan in plans if label == "near-labels"]
+    assert len(rounds) > 1 and not any("hashpartitioning" in plan for plan in rounds)
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    assert {r.comp for r in near.components(edges, 40).collect()} == {0}
+    monkeypatch.setattr(near, "PART_ROWS", 10)
+    assert {r.comp for r in near.components(edges, 40).collect()} == {0}
+    assert any("hashpartitioning" in plan for label, plan in plans if label == "near-labels")
+
+
 def test_near_links_need_no_star(spark):
     """A bucket whose smallest member is linked with nothing still links the others."""
     base = [f"t{k}" for k in range(60)]
