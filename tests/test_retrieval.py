@@ -231,3 +231,44 @@ def test_a_search_reads_few_blocks_at_once(spark, monkeypatch):
     assert found == {("one w7", 1): "d7", ("one w7", 2): "d0", ("w9", 1): "d9"}
     assert seen == [[keyword_index.READ_BLOCKS, keyword_index.READ_BYTES]]
     assert [spark.conf.get(k) for k in keys] == before
+
+
+@pytest.mark.parametrize("held", [3_000_000, 12])
+def test_small_parts_of_questions_take_no_passes_of_their_own(spark, monkeypatch, held):
+    """Whatever is scored at once, blocks are read once per unit of questions, and hits are those of scoring all."""
+    rng = random.Random(11)
+    words = ["the"] * 20 + [f"w{i}" for i in range(60)]
+    corpus = [(f"d{i:03}", " ".join(rng.choices(words, k=int(rng.expovariate(0.02)) + 1))) for i in range(250)]
+    questions = [" ".join(rng.choices(words, k=rng.randrange(1, 9))) for _ in range(60)] + ["w1 w1 w1 the", "nothing"]
+    docs = spark.createDataFrame(corpus, "source string, text string").repartition(4)
+    index = retrieval.staged(keyword_index.keyword_blocks(docs, 8), "index")
+    asked = spark.createDataFrame([(q,) for q in questions], "question string")
+    expected, written, plain = _brute(questions, corpus, 3), [], keyword_index.staged
+    monkeypatch.setattr(keyword_index, "staged", lambda *a: written.append(1) or plain(*a))
+    monkeypatch.setattr(keyword_index, "HELD", held)
+    monkeypatch.setattr(keyword_index, "SEED_BLOCKS", 2)
+    for part in (1, 7, 500):
+        written.clear()
+        assert _found(keyword_index.search_keywords(asked, index, 3, part)) == expected
+        assert len(written) == 1 if held > 12 else 1 < len(written)
+    empty = spark.createDataFrame([], keyword_index.INDEX)
+    assert keyword_index.search_keywords(asked, empty, 3).collect() == []
+    assert keyword_index.search_keywords(asked.where("false"), index, 3).collect() == []
+
+
+def test_blocks_hold_documents_of_similar_length_from_all_tasks(spark):
+    corpus = [(f"d{i:04}", "word " * (400 if i % 100 == 0 else 4 + i % 2)) for i in range(1_600)]
+    docs = spark.createDataFrame(corpus, "source string, text string").repartition(8)
+    rows = keyword_index.keyword_blocks(docs, 16).select("sources", "longest").collect()
+    assert sorted(len(r.sources) for r in rows if r.longest == 400) == [16]
+    assert sum(len(r.sources) for r in rows) == 1_600
+
+
+def test_questions_need_documents_of_enough_words(spark):
+    """A score is at most the words of a document times the largest use of a question word."""
+    index = keyword_index.keyword_blocks(
+        spark.createDataFrame([("a", "x " * 90), ("b", "x " * 50 + "y"), ("c", "x")], "source string, text string"), 1)
+    seeds = [row for row in keyword_index._rows(index.toArrow().to_batches()) if row.column("longest")[0].as_py() > 1]
+    asked = spark.createDataFrame([(1, ["x", "x", "y"]), (2, ["y"])], "q bigint, words array<string>")
+    found = {r.question: (r.beat, r.low) for r in keyword_index._seeded(asked, seeds, 2, 9).collect()}
+    assert found == {1: (101, 51), 2: (1, 1)}
