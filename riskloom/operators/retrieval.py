@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.text import compact, is_blank
 from riskloom.operators.joins import join_measured
 from riskloom.operators.keyword_index import KEPT, QUESTIONS, keyword_blocks, search_keywords
+from riskloom.operators.sizing import fits
 from riskloom.operators.vector_index import search_vectors, vector_packs
 from riskloom.session import staged
 
@@ -31,10 +32,14 @@ def keyword_topk(questions: DataFrame, corpus: DataFrame, top_k: int = 4, block:
 def with_text(hits: DataFrame, documents: DataFrame, key: str) -> DataFrame:
     """Add the compacted text of each hit; ``documents(<key>, text)`` has one row per key.
 
-    Texts are compacted before they meet the hits, and a document that many hits name is split over tasks.
+    Texts that a hit names are compacted and written before they meet the hits, or a broadcast join would compact a text
+    again for every hit. A document that many hits name is split over tasks.
     """
-    texts = documents.select(key, compact(F.col("text")).alias("text"))
-    return join_measured(texts, hits, key).select(*hits.columns, "text")
+    hits = staged(hits, "hits")
+    named = hits.select(key).distinct()
+    texts = documents.join(F.broadcast(named) if fits(named) else named, key, "left_semi")
+    return join_measured(staged(texts.select(key, compact(F.col("text")).alias("text")), "texts"), hits, key).select(
+        *hits.columns, "text")
 
 
 def retrieve_context(questions: DataFrame, corpus: DataFrame, top_k: int = 4) -> DataFrame:

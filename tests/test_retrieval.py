@@ -63,6 +63,18 @@ def test_hits_carry_their_compacted_text(spark, monkeypatch):
         assert {(r["question"], r["source"]): r["text"] for r in rows} == expected
 
 
+def test_a_text_is_compacted_once_whatever_the_hits(spark, monkeypatch):
+    """Only texts that hits name are compacted, and never above the join, where each hit would do it again."""
+    compacted, plain = [], retrieval.staged
+    monkeypatch.setattr(retrieval, "staged", lambda df, *a: compacted.append((a[0], df.count())) or plain(df, *a))
+    docs = spark.createDataFrame([("a", "alpha  beta"), ("b", "gamma"), ("c", None)], "source string, text string")
+    hits = spark.createDataFrame([(f"q{k}", "a") for k in range(30)] + [("q", None), ("q", "z")], "question string, source string")
+    found = retrieval.with_text(hits, docs, "source")
+    assert sorted(map(tuple, found.collect())) == sorted((f"q{k}", "a", "alpha beta") for k in range(30))
+    assert ("texts", 1) in compacted
+    assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_vector_topk_matches_brute_force_in_blocks(spark):
     rng = np.random.default_rng(5)
     vectors = rng.normal(size=(300, 8)).astype("float32")
