@@ -27,7 +27,7 @@ def lean(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, options: dict | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared scratch folder, which cuts its lineage and outlives lost executors.
 
     The shuffle files of the job that writes it are removed when it ends.
@@ -35,7 +35,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-        df.write.parquet(path)
+        df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -31,6 +31,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +43,7 @@ from riskloom.llm.contamination import LOWER, UPPER, words
 from riskloom.llm.frames import counted, lean, table, written
 from riskloom.llm.text import mix
 from riskloom.operators.topk import top_per_group
+from riskloom.session import setting
 
 TOP_K = 10
 PACK_DOCS, PACK_POSTINGS = 4_096, 1_000_000  # a pack is full at either
@@ -49,6 +51,10 @@ QUERY_TERMS = 200_000  # query terms that travel to the tasks at once
 BLOCK = 64  # documents of a block on average; a list of no more is one block, bound by its own maxima
 SEED_DOCS = 64  # documents of a pack that are scored per query for the first score to beat
 DIMENSIONS = 32  # of the random projection
+# A pack is a very long row. Spark's reader decodes the rows of a batch at once and its writer holds those of a row group,
+# whose size it checks after a hundred rows unless told otherwise.
+KEPT = {"parquet.block.size": 4 * 1024 * 1024, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1,
+        "parquet.page.size.row.check.min": 1}
 TEXT_CHUNK = 1_000_000  # bytes of a text whose terms are counted at once
 
 # Words are runs of digits, letters and bytes beyond ASCII; A to Z are lowered and all else separates.
@@ -99,6 +105,14 @@ def forward_packs(docs: DataFrame) -> DataFrame:
         "terms array<string>, held array<bigint>, some bigint, total bigint")
 
 
+@contextmanager
+def one_by_one(spark: SparkSession) -> Iterator[None]:
+    """While plans that read packs run: one pack is decoded and travels to Python at once."""
+    with (setting(spark, "spark.sql.parquet.columnarReaderBatchSize", "1"),
+          setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", "1")):
+        yield
+
+
 def _list(values, kind: pa.DataType) -> pa.Array:
     """One list as the only row of a column."""
     flat = pa.array(values, kind)
@@ -271,7 +285,8 @@ def first_scores(packs: DataFrame, queries: Queries, n_docs: int, n_total: int,
             "q": np.concatenate([q, np.full(len(some), -1)]), "term": np.concatenate([term, some]),
             "value": np.concatenate([value, vectors.most[some]])})
 
-    rows = written(packs.mapInArrow(_each_row(seeds), "q bigint, term bigint, value bigint"), "seeds")
+    with one_by_one(packs.sparkSession):
+        rows = written(packs.mapInArrow(_each_row(seeds), "q bigint, term bigint, value bigint"), "seeds")
     best = top_per_group(rows.where("q >= 0"), "q", [F.desc("value")], top_k).where(F.col("rank") == top_k)
     beat, most = np.ones(len(queries.items), dtype=np.int64), np.zeros(len(queries.weights), dtype=np.int64)
     for row in best.collect():
@@ -408,10 +423,11 @@ def search(index: DataFrame, queries: Queries, asked: dict[int, np.ndarray], bea
 def ranked(docs: DataFrame, items: DataFrame, top_k: int = TOP_K, query_terms: int = QUERY_TERMS) -> DataFrame:
     """``(item_id, rank, doc_id, score)``: for each of ``items(item_id, text)`` its best of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
-    packs = written(forward_packs(docs), "packs")
+    packs = written(forward_packs(docs), "packs", KEPT)
     sums = packs.agg(F.sum("some").alias("some"), F.sum("total").alias("total")).first()
     n_docs, n_total = sums["some"] or 0, sums["total"] or 0
-    asked_terms, n_rows = counted(weighted_queries(packs, items, n_docs), "queries")
+    with one_by_one(spark):
+        asked_terms, n_rows = counted(weighted_queries(packs, items, n_docs), "queries")
     parts = max(1, -(-n_rows // query_terms))
     kinds = f"item_id {items.schema['item_id'].dataType.simpleString()}, q bigint"
     found = []
@@ -422,11 +438,13 @@ def ranked(docs: DataFrame, items: DataFrame, top_k: int = TOP_K, query_terms: i
         queries = Queries.of(rows)
         beat, most = first_scores(packs, queries, n_docs, n_total, top_k)
         asked = coordinates(queries, beat, most)
-        index = written(blocked_index(packs, queries, asked, n_docs, n_total), "blocked-index")
+        with one_by_one(spark):
+            index = written(blocked_index(packs, queries, asked, n_docs, n_total), "blocked-index", KEPT)
         hits = top_per_group(search(index, queries, asked, beat, top_k), "q",
                              [F.desc("score"), F.asc_nulls_last("doc_id")], top_k)
         names = spark.createDataFrame([(item, q) for q, item in enumerate(queries.items)], kinds)
-        found.append(written(hits.join(names, "q").select("item_id", "rank", "doc_id", "score"), "hits"))
+        with one_by_one(spark):
+            found.append(written(hits.join(names, "q").select("item_id", "rank", "doc_id", "score"), "hits"))
     if not found:
         kind = f"{kinds.split(',')[0]}, rank int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, score bigint"
         return spark.createDataFrame([], kind)

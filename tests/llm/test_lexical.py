@@ -6,8 +6,10 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from riskloom.llm import lexical
@@ -141,3 +143,27 @@ def test_every_given_item_is_ranked(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
     assert rows(QUERIES["op12_ranked_search"](spark, folder)) == brute(docs, items)
+
+
+def test_packs_are_written_and_read_one_by_one(spark, monkeypatch):
+    """A task holds a pack or two at once, whatever the number of packs that its documents make."""
+    monkeypatch.setattr(lexical, "PACK_POSTINGS", 100_000)
+    keys = ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxBytesPerBatch")
+    seen, tables, plain = {}, {}, lexical.written
+
+    def kept(df, label, *options):
+        seen[label] = [spark.conf.get(k) for k in keys]
+        tables[label] = plain(df, label, *options)
+        return tables[label]
+
+    monkeypatch.setattr(lexical, "written", kept)
+    docs = [(k, " ".join(f"{k:x}w{i * 7919:x}" for i in range(100_000)) + " same") for k in range(9)]
+    asked, some_docs = [(1, "same 0w0")], spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)
+    out = rows(lexical.ranked(some_docs, spark.createDataFrame(asked, "item_id bigint, text string"), 2))
+    assert out == brute(docs, asked, 2)
+    folder = tables["packs"].inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    files = [pq.ParquetFile(f).metadata for f in Path(folder).glob("*.parquet")]
+    groups = [meta.row_group(k).num_rows for meta in files for k in range(meta.num_row_groups)]
+    assert sum(groups) == 9 and max(groups) <= 4
+    assert seen["seeds"] == seen["blocked-index"] == seen["hits"] == ["1", "1"] != seen["packs"]
+    assert [spark.conf.get(k) for k in keys] == seen["packs"]
