@@ -270,7 +270,8 @@ def _score(block: _Block, asked: _Asked, to_beat: np.ndarray, found: list, top_k
                 if len(places) > top_k:
                     cut = np.partition(own_scores[places], len(places) - top_k)[len(places) - top_k]
                     places = places[own_scores[places] >= cut]
-                found[q] = sorted(found[q] + [(-int(own_scores[d]), block.sources[int(d)].as_py()) for d in places])[:top_k]
+                hits = [(-int(own_scores[d]), block.sources[int(d)].as_py()) for d in places]
+                found[q] = sorted(found[q] + hits, key=lambda hit: (hit[0], hit[1] is not None, hit[1] or ""))[:top_k]
                 if len(found[q]) == top_k:
                     to_beat[q] = max(to_beat[q], -found[q][-1][0])
 

@@ -276,6 +276,14 @@ def test_blocks_hold_documents_of_similar_length_from_all_tasks(spark):
     assert sum(len(r.sources) for r in rows) == 1_600
 
 
+def test_documents_without_a_source_rank_before_others_of_their_score(spark):
+    docs = spark.createDataFrame([("b", "x"), (None, "x"), ("a", "x x"), (None, "x"), ("", "x")], "source string, text string")
+    asked = spark.createDataFrame([("x",)], "question string")
+    for parts in (1, 4):
+        hits = keyword_topk(asked, docs.repartition(parts), 4).orderBy("rank").collect()
+        assert [(r.source, r.score) for r in hits] == [("a", 2), (None, 1), (None, 1), ("", 1)]
+
+
 def test_questions_need_documents_of_enough_words(spark):
     """A score is at most the words of a document times the largest use of a question word."""
     index = keyword_index.keyword_blocks(
