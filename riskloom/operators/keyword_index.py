@@ -276,14 +276,25 @@ def _score(block: _Block, asked: _Asked, to_beat: np.ndarray, found: list, top_k
                     to_beat[q] = max(to_beat[q], -found[q][-1][0])
 
 
-def _longest_blocks(index: DataFrame) -> list[pa.RecordBatch]:
-    """Some blocks with the longest documents, from the longest on."""
+def _longest_blocks(index: DataFrame) -> bytes:
+    """Some blocks with the longest documents, from the longest on, as a compressed Arrow stream, empty without blocks.
+
+    A slice of an Arrow table would travel to the tasks with the buffers of the whole table.
+    """
     longest = [row[0] for row in index.select("longest").orderBy(F.desc("longest")).limit(SEED_BLOCKS).collect()]
     seeds = index.where(F.col("longest") >= min(longest, default=0)).limit(SEED_BLOCKS).toArrow()
-    return sorted(_rows(seeds.to_batches()), key=lambda row: -row.column("longest")[0].as_py())
+    return _packed(seeds.sort_by([("longest", "descending")]).to_batches()) if seeds.num_rows else b""
+
+
+def _packed(rows: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for row in rows:
+            out.write_batch(row)
+    return sink.getvalue().to_pybytes()
 
 
-def _seeded(asked: DataFrame, seeds: list[pa.RecordBatch], top_k: int, part: int) -> DataFrame:
+def _seeded(asked: DataFrame, seeds: bytes, top_k: int, part: int) -> DataFrame:
     """``asked(q, words)`` with the counted terms of each question, a score that ``top_k`` documents are known to reach, 1
     at least, and the words that a document needs to reach it."""
 
@@ -301,11 +312,12 @@ def _seeded(asked: DataFrame, seeds: list[pa.RecordBatch], top_k: int, part: int
             yield rows
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = _terms(seeds)
+        blocks = list(_rows(pa.ipc.open_stream(seeds)))
+        terms = _terms(blocks)
         for rows in some(batches):
             unit = _Asked.of(rows)
             beat, found = np.ones(len(rows), dtype=np.int64), [[] for _ in rows]
-            for block in _looked_up(seeds, terms, unit):
+            for block in _looked_up(blocks, terms, unit):
                 _score(block, unit, beat, found, top_k)
             ends = pa.array(unit.begins, pa.int32())
             yield pa.RecordBatch.from_pydict({
@@ -363,7 +375,7 @@ def search_keywords(questions: DataFrame, index: DataFrame, top_k: int = 4, part
     asked, sizes = staged_with(asked, "questions", F.count(F.lit(1)).alias("rows"))
     found = spark.createDataFrame([], "q bigint, source string, score bigint")
     with _few_blocks(spark):
-        seeds = _longest_blocks(index) if sizes["rows"] else []
+        seeds = _longest_blocks(index) if sizes["rows"] else b""
     if seeds:
         seeded, _ = staged_with(_seeded(asked, seeds, top_k, part), "seeded", F.count(F.lit(1)).alias("rows"))
         hits = [_hits(index, unit.toArrow().sort_by("low"), top_k, part) for unit in _units(seeded)]

@@ -8,6 +8,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -276,6 +277,17 @@ def test_blocks_hold_documents_of_similar_length_from_all_tasks(spark):
     assert sum(len(r.sources) for r in rows) == 1_600
 
 
+def test_the_first_blocks_travel_once(spark, monkeypatch):
+    """What travels to the tasks holds every block once, not with the others it was read with."""
+    monkeypatch.setattr(keyword_index, "SEED_BLOCKS", 12)
+    rng = random.Random(2)
+    docs = [(f"d{k}", " ".join(f"{rng.getrandbits(60):x}" for _ in range(600))) for k in range(40)]
+    index = retrieval.staged(keyword_index.keyword_blocks(spark.createDataFrame(docs, "source string, text string"), 2), "i")
+    seeds = keyword_index._longest_blocks(index)
+    blocks = list(keyword_index._rows(pa.ipc.open_stream(seeds)))
+    assert len(blocks) == 12 and len(seeds) < 12 * 2 * 600 * 50
+
+
 def test_documents_without_a_source_rank_before_others_of_their_score(spark):
     docs = spark.createDataFrame([("b", "x"), (None, "x"), ("a", "x x"), (None, "x"), ("", "x")], "source string, text string")
     asked = spark.createDataFrame([("x",)], "question string")
@@ -290,5 +302,5 @@ def test_questions_need_documents_of_enough_words(spark):
         spark.createDataFrame([("a", "x " * 90), ("b", "x " * 50 + "y"), ("c", "x")], "source string, text string"), 1)
     seeds = [row for row in keyword_index._rows(index.toArrow().to_batches()) if row.column("longest")[0].as_py() > 1]
     asked = spark.createDataFrame([(1, ["x", "x", "y"]), (2, ["y"])], "q bigint, words array<string>")
-    found = {r.question: (r.beat, r.low) for r in keyword_index._seeded(asked, seeds, 2, 9).collect()}
+    found = {r.question: (r.beat, r.low) for r in keyword_index._seeded(asked, keyword_index._packed(seeds), 2, 9).collect()}
     assert found == {1: (101, 51), 2: (1, 1)}
